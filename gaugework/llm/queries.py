@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import media, quality_rules
+from . import media, packing, piece_bpe, quality_rules, token_files
+from .common import token_path, written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(documents(spark, sf_dir), token_path("piece_bpe_32k.model"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, shards = token_files.store(documents(spark, sf_dir), token_path("word_bpe_49k.json"))
+    return token_files.read_shards(spark, shards)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = packing.pieces(documents(spark, sf_dir), token_path("byte_bpe_50k.json"))
+    return packing.pack(written(spark, parts, "pieces"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", *quality_rules.BASE, "base_failed", "kept", "quality_probability", "votes")
@@ -26,6 +41,9 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
+    "op4_token_files": op4_token_files,
+    "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_media_columns": op9_media_columns,
 }
