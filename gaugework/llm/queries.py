@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import media, packing, piece_bpe, quality_rules, token_files
-from .common import token_path, written
+from . import compression_quality, language_model, media, packing, piece_bpe, quality_rules, rollups, token_files
+from .common import fold_of, new_folder, token_path, written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(spark, shards)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(documents(spark, sf_dir), token_path("byte_bpe_50k.json"))
     return packing.pack(written(spark, parts, "pieces"))
@@ -36,15 +40,55 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", *quality_rules.BASE, "base_failed", "kept", "quality_probability", "votes")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = compression_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = compression_quality.score(docs, model)
+    return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(documents(spark, sf_dir), keep_media=False)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents come, those labelled toxic go, those labelled of low quality are counted anew by
+    the second tokenizer version, and the second batch arrives again."""
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    counted = documents(spark, sf_dir).select("doc_id", "source", "lang", *(rollups.token_count("text", t).alias(t) for t in rollups.COUNTERS))
+    counted = written(spark, counted.join(marks, "doc_id", "left"), "token-counts")
+
+    def by(version: str, rows: DataFrame) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(version).alias("n_tokens"))
+
+    toxic, low = counted.filter("toxic = 1"), counted.filter("quality = 0 and coalesce(toxic, 0) <> 1")
+    totals = rollups.Rollup(spark, new_folder(spark, "token-totals"))
+    totals.commit("load", rollups.changes(new=by("words-1", counted)))
+    totals.commit("toxic", rollups.changes(old=by("words-1", toxic)))
+    totals.commit("recount", rollups.changes(new=by("words-2", low), old=by("words-1", low)))
+    totals.commit("toxic", rollups.changes(old=by("words-1", toxic)))
+    return totals.totals()
+
+
+OP10_SQL = rf"""
+WITH marks AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+kept AS (
+  SELECT source, lang, coalesce(text, '') AS text, CASE WHEN quality = 0 THEN 'words-2' ELSE 'words-1' END AS tokenizer
+  FROM documents LEFT JOIN marks USING (doc_id) WHERE coalesce(toxic, 0) <> 1)
+SELECT source, lang, tokenizer, count(*) AS n_docs,
+  CAST(sum(CASE WHEN tokenizer = 'words-1' THEN len(regexp_extract_all(text, '{rollups.COUNTERS["words-1"]}'))
+                ELSE len(regexp_extract_all(text, '{rollups.COUNTERS["words-2"]}')) END) AS BIGINT) AS n_tokens
+FROM kept GROUP BY source, lang, tokenizer
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_token_files": op4_token_files,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_media_columns": op9_media_columns,
+    "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_token_counts": OP10_SQL}
