@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import compression_quality, language_model, media, packing, piece_bpe, quality_rules, rollups, token_files
+from . import compression_quality, language_model, media, ngram_join, packing, piece_bpe, quality_rules, rollups, token_files
 from .common import fold_of, new_folder, token_path, written
 
 
@@ -21,6 +21,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(documents(spark, sf_dir), token_path("piece_bpe_32k.model"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(documents(spark, sf_dir))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, shards = token_files.store(documents(spark, sf_dir), token_path("word_bpe_49k.json"))
     return token_files.read_shards(spark, shards)
@@ -83,6 +87,7 @@ FROM kept GROUP BY source, lang, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_files": op4_token_files,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_packing": op6_packing,
