@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import compression_quality, language_model, media, ngram_join, packing, piece_bpe, quality_rules, rollups, token_files
+from . import compression_quality, language_model, media, ngram_join, packing, piece_bpe, quality_rules, rollups, substring_dedup, token_files
 from .common import fold_of, new_folder, token_path, written
 
 
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), digest_only=True)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(documents(spark, sf_dir), token_path("piece_bpe_32k.model"))
 
@@ -86,6 +90,7 @@ FROM kept GROUP BY source, lang, tokenizer
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_join": op3_ngram_join,
     "op4_token_files": op4_token_files,
