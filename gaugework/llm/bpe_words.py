@@ -17,6 +17,9 @@ MEMO_ENTRIES = 300_000
 #: A space beside other white space: then chunks are cut by CHUNK_EDGE instead of at each space.
 IRREGULAR = re.compile(r" \s|\s ")
 CHUNK_EDGE = re.compile(r"(?<=\S)(?= \S)")
+BLANK_INSIDE = re.compile(r"\S\s|\s\s|[\t-\r\x00-\x1f]")
+#: Marks that end words; neither an apostrophe, which can begin a contraction, nor any letter or digit.
+CLOSING = ".,!?;:|#*$%&"
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
@@ -31,14 +34,45 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        #: Whether the tokenizer lowers ASCII letters, so that their case need not tell chunks apart.
+        self.lower = self.tokenizer.encode("QWERTY", add_special_tokens=False).ids == self.tokenizer.encode("qwerty", add_special_tokens=False).ids
+        marks = [(m, self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ("\n", " \x01 ")]
+        self.mark, self.mark_id = next(((m, i[0]) for m, i in marks if len(i) == 1), ("\n", None))
+
+    def _encode_many(self, strings: list[str]) -> list[bytes]:
+        """Ids of each of many short strings: those without white space or the mark go as one text, cut again at the mark's id."""
+        joint = [s for s in strings if not BLANK_INSIDE.search(s)]
+        apart = [s for s in strings if BLANK_INSIDE.search(s)]
+        ids = np.array(self.tokenizer.encode_batch_fast([(self.mark.join(joint)) + self.mark], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(ids == self.mark_id) if self.mark_id is not None else []
+        if len(ends) != len(joint):  # the mark is not safe here: one by one
+            apart, found = strings, {}
+        else:
+            raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1)) if len(ends) else []
+            found = {s: raw[4 * a : 4 * b] for s, a, b in zip(joint, starts, ends)}
+        for s, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)):
+            found[s] = np.array(e.ids, dtype="<u4").tobytes()
+        return [found[s] for s in strings]
+
+    def _parts(self, text: str) -> tuple[str, str]:
+        """A chunk as its letters and its closing marks, between which both tokenizers always split; else (chunk, '')."""
+        core = text.rstrip(CLOSING)
+        return (core, text[len(core) :]) if core.lstrip(" ").isalpha() else (text, "")
 
     def _learn(self, memo: dict[str, bytes], chunks: list[str], lead: str) -> None:
-        if len(memo) > MEMO_ENTRIES:  # words met early are the frequent ones: keep those
-            for k in list(memo)[MEMO_ENTRIES // 2 :]:
-                del memo[k]
-        new = list(dict.fromkeys(c for c in chunks if c not in memo))
-        for chunk, e in zip(new, self.tokenizer.encode_batch_fast([lead + c for c in new], add_special_tokens=False)):
-            memo[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        for held in (memo, self.parts):
+            if len(held) > MEMO_ENTRIES:  # strings met early are the frequent ones: keep those
+                for k in list(held)[MEMO_ENTRIES // 2 :]:
+                    del held[k]
+        split = {c: self._parts(lead + c) for c in dict.fromkeys(chunks)}
+        if self.lower:
+            split = {c: (a.lower() if a.isascii() else a, b) for c, (a, b) in split.items()}
+        new = list(dict.fromkeys(x for ab in split.values() for x in ab if x and x not in self.parts))
+        if new:
+            self.parts.update(zip(new, self._encode_many(new)))
+        for c, (a, b) in split.items():
+            memo[c] = self.parts[a] + self.parts[b] if b else self.parts[a] if a else b""
 
     def _of(self, memo: dict[str, bytes], chunks: list[str], lead: str) -> bytes:
         found = list(map(memo.get, chunks))

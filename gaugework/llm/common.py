@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,19 @@ def split_batches(batches: Iterator[pa.RecordBatch], column: str, rows: int = 20
                 yield batch.slice(a, b - a)
 
 
+def pack_rows(batch: pa.RecordBatch) -> bytes:
+    """A batch with all its columns as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+
+
+def read_rows(payload: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)) as reader:
+        return reader.read_next_batch()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, split_batches, written
+from .common import mix64, pack_rows, read_rows, split_batches, written
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -73,7 +73,9 @@ def distinct_sets(codes: np.ndarray, vocabulary: np.ndarray, lengths: np.ndarray
 BLOCKS = "block long, doc_ids array<long>, sids array<long>, sizes array<long>, lengths binary, codes binary, hashes binary, n_tokens long"
 
 
-def blocks(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def blocks(df: DataFrame, key: str, text: str, width: int, whole_rows: bool = False) -> DataFrame:
+    """The corpus in blocks; with ``whole_rows`` all columns of the rows come along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -92,9 +94,12 @@ def blocks(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
             row = [number, batch.column(key).to_pylist(), signed, sizes.tolist(), lengths.tobytes(), zstandard.ZstdCompressor(level=3).compress(planes), hashes.tobytes(), int(sizes.sum())]
             number += 1
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[x.split(" ")[0] for x in BLOCKS.split(", ")])
+            names = [x.split(" ")[0] for x in BLOCKS.split(", ")]
+            if whole_rows:
+                row, kinds, names = [*row, pack_rows(batch)], [*kinds, pa.binary()], [*names, "payload"]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, BLOCKS)
+    return (df if whole_rows else df.select(F.col(key).cast("long").alias(key), text)).mapInArrow(run, BLOCKS + ", payload binary" * whole_rows)
 
 
 class BlockSets:
@@ -263,3 +268,25 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     least = named.filter("group is not null").groupBy("group").agg(F.min(key).alias("component_id"))
     alone = named.filter("group is null").select(key, "n_shingles", F.col(key).alias("component_id"))
     return named.filter("group is not null").join(least, "group").select(key, "n_shingles", "component_id").unionByName(alone)
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` that have the least key of their group, one row of each group; rows without words all stay.
+
+    Of rows with equal keys in a group the first read stays; a null key comes after all others.
+    """
+    spark = df.sparkSession
+    corpus = written(spark, blocks(df, key, text, width, whole_rows=True), "shingle-blocks")
+    labels = link_sets(spark, candidate_sets(spark, corpus, width, percent), percent)
+    members = corpus.select("block", F.posexplode(F.arrays_zip("doc_ids", "sids")).alias("place", "m")).select("block", "place", F.col("m.doc_ids").alias("id"), F.col("m.sids").alias("sid"))
+    named = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("block", "place", "id", F.coalesce("component", "sid").alias("group"))
+    named = written(spark, named, "members")
+    first = named.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "block", "place")).alias("x")).select("x.block", "x.place")
+    kept = first.unionByName(named.filter("group is null").select("block", "place"))
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        places = pa.array(np.sort(right.column("place").to_numpy()))
+        return pa.concat_tables([pa.Table.from_batches([read_rows(x.as_py()).take(places)]) for x in left.column("payload")])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return corpus.select("block", "payload").join(kept.select("block").distinct(), "block", "left_semi").groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(choose, schema)

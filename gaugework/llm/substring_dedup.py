@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_suffixes
-from .common import mix64, split_batches, written
+from .common import mix64, pack_rows, read_rows, split_batches, written
 
 LEAST, GRAM = 200, 32
 BLOCK_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
@@ -136,18 +136,6 @@ class Block:
         return starts, out
 
 
-def pack_rows(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
-
-
-def read_rows(payload: bytes) -> pa.RecordBatch:
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)) as reader:
-        return reader.read_next_batch()
-
-
 def blocks(df: DataFrame, text: str) -> DataFrame:
     """Rows in blocks of some megabytes, with all their columns."""
 
@@ -293,8 +281,9 @@ def covered(block: Block, answers: dict[int, bytes], verdicts: dict[int, bytes],
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, digest_only: bool = False) -> DataFrame:
-    """``df`` with n_bytes, n_removed, n_spans, kept_sha256, and, unless ``digest_only``, spans and kept in place of the text.
+def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, digest_only: bool = False, as_text: bool = False) -> DataFrame:
+    """``df`` with n_bytes, n_removed, n_spans, kept_sha256; without the text if ``digest_only``, else with spans and kept. With ``as_text`` only the
+    columns of ``df`` come back, the text with its repeats removed (half characters at a cut go too; a null text stays null).
 
     Each text is its UTF-8 bytes (null: none). A byte goes if a string of ``least`` bytes that covers it also starts anywhere else, in the same text too;
     all is judged on the input. ``spans``: array of (start, length) of maximal removed runs; ``kept``: binary, what remains. Other columns stay, those of these names are
@@ -302,7 +291,9 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram:
     """
     spark = df.sparkSession
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *([] if digest_only else ["spans", "kept"])]
-    df = df.drop(*(c for c in added if c in df.columns and c != text))
+    columns = list(df.columns)
+    if not as_text:
+        df = df.drop(*(c for c in added if c in columns and c != text))
     corpus = written(spark, blocks(df, text), "text-blocks")
     shards = max(MIN_SHARDS, -(-int(corpus.agg(F.sum("n_bytes")).first()[0] or 0) // SHARD_BYTES))
 
@@ -342,9 +333,8 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram:
     verdicts = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(decide(least), "block long, shard int, verdict binary")
     # both kinds of answer side by side, so that the last step is one cogroup
     replies = answers.withColumn("verdict", F.lit(None).cast("binary")).unionByName(verdicts.withColumn("answer", F.lit(None).cast("binary")))
-    keep = [f for f in df.schema.fields if digest_only is False or f.name != text]
-    keep = [f for f in keep if f.name != text or digest_only is False]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *([] if digest_only else ["spans array<struct<start: long, length: long>>, kept binary"])])
+    keep = [f for f in df.schema.fields if not digest_only or f.name != text]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) if as_text else ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *([] if digest_only else ["spans array<struct<start: long, length: long>>, kept binary"])])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         counts, verdict = {}, {}
@@ -362,6 +352,11 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram:
                 kept = block.raw[a:b][~mine].tobytes()
                 spans = [] if digest_only else [{"start": int(x), "length": int(y - x)} for x, y in zip(edges[::2], edges[1::2])]
                 rows.append((b - a, int(mine.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), spans, kept))
+            if as_text:
+                texts = block.batch.column(text)
+                new = pa.array([None if gap else r[5].decode("utf-8", errors="ignore") for r, gap in zip(rows, texts.is_null().to_pylist())], texts.type)
+                out.append(pa.Table.from_arrays([new if f.name == text else block.batch.column(f.name) for f in keep], names=[f.name for f in keep]))
+                continue
             columns = list(zip(*rows))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary()]
             arrays = [block.batch.column(f.name) for f in keep] + [pa.array(list(c), t) for c, t in zip(columns, kinds)][: len(added)]
