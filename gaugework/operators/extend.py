@@ -17,7 +17,10 @@ def register_feature(name: str, function: Callable) -> None:
 
 def with_features(df: DataFrame, names: dict[str, list[str]], finite_only: bool = True) -> DataFrame:
     """Registered features of input columns; with ``finite_only``, rows with a feature that is null, NaN or infinite go."""
-    out = df.withColumns({n: F.pandas_udf(FEATURES[n], "double")(*[F.col(c) for c in inputs]) for n, inputs in names.items()})
+    from pyspark.sql.functions import PandasUDFType
+
+    vectorised = lambda f: F.pandas_udf(f, "double", PandasUDFType.SCALAR)
+    out = df.withColumns({n: vectorised(FEATURES[n])(*[F.col(c) for c in inputs]) for n, inputs in names.items()})
     if finite_only:
         for n in names:
             out = out.filter(F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) < float("inf")))

@@ -78,8 +78,13 @@ add("p5_name_filter", lambda t: P.name_filter(t.parts.select("p_name", "p_partke
     "SELECT p_name, p_partkey FROM parts WHERE length(p_name) <= 40 AND length(p_name) - length(replace(p_name, ' ', '')) <= 3 AND NOT starts_with(p_name, 'CID ') AND NOT regexp_matches(p_name, '[,()\\[\\]]') AND p_name NOT IN (SELECT p_name FROM parts WHERE p_size = 1)")
 add("p6_targeted_candidates", lambda t: P.hard_region(P.name_filter(t.parts, "p_name", t.parts.filter("p_size = 1"), 40, " ", 3), {"p_size": 40, "p_retailprice": 990}).filter("hard").select("p_partkey"),
     "SELECT p_partkey FROM parts WHERE (p_size >= 40 OR p_retailprice >= 990) AND length(p_name) <= 40 AND length(p_name) - length(replace(p_name, ' ', '')) <= 3 AND p_name NOT IN (SELECT p_name FROM parts WHERE p_size = 1)")
-RULES = [("shout", F.col("text").rlike("!!")), ("symbols", F.col("text").rlike("[#$%]")), ("table", F.col("text").contains("|"))]
-add("p7_classify_ordered", lambda t: P.classify_ordered(t.doc_words, RULES, "prose").groupBy("category").agg(F.count(F.lit(1)).alias("n")),
+
+
+def kind_rules():
+    return [("shout", F.col("text").rlike("!!")), ("symbols", F.col("text").rlike("[#$%]")), ("table", F.col("text").contains("|"))]
+
+
+add("p7_classify_ordered", lambda t: P.classify_ordered(t.doc_words, kind_rules(), "prose").groupBy("category").agg(F.count(F.lit(1)).alias("n")),
     "SELECT CASE WHEN text LIKE '%!!%' THEN 'shout' WHEN regexp_matches(text, '[#$%]') THEN 'symbols' WHEN text LIKE '%|%' THEN 'table' ELSE 'prose' END AS category, count(*) AS n FROM doc_words GROUP BY ALL")
 add("p8_merge_rare", lambda t: P.merge_rare(t.doc_words.select("doc_id", "source"), "source", 40),
     "SELECT doc_id, CASE WHEN n >= 40 THEN source ELSE 'other' END AS source FROM (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n FROM doc_words)")

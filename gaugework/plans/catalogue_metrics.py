@@ -173,8 +173,7 @@ add("c7_interval_table", lambda t: C.interval_table(cal(t), cal(t).withColumn("y
 
 # ---- audit -----------------------------------------------------------------------------------------------------------
 
-ESTIMATE = F.lit(900.0) + (F.col("p_partkey") % 1000) / 10
-add("l1_formula_labels", lambda t: L.formula_labels(t.parts, "p_retailprice", F.when(F.col("p_size") > 5, ESTIMATE)).select("p_partkey", "is_formula"), "SELECT p_partkey, p_size > 5 AND abs(p_retailprice - (900 + (p_partkey % 1000) / 10)) <= 0.005 AS is_formula FROM parts")
+add("l1_formula_labels", lambda t: L.formula_labels(t.parts, "p_retailprice", F.when(F.col("p_size") > 5, F.lit(900.0) + (F.col("p_partkey") % 1000) / 10)).select("p_partkey", "is_formula"), "SELECT p_partkey, p_size > 5 AND abs(p_retailprice - (900 + (p_partkey % 1000) / 10)) <= 0.005 AS is_formula FROM parts")
 add("l2_consistent_disagreement", lambda t: L.consistent_disagreement(t.pred, "key", 60.0), "SELECT key, round(avg(y_true - y_pred), 6) AS mean_residual, round(min(abs(y_true - y_pred)), 6) AS smallest_miss, count(*) AS n FROM pred GROUP BY 1 HAVING min(abs(y_true - y_pred)) > 60 AND (min(y_true - y_pred) > 0 OR max(y_true - y_pred) < 0)")
 add("l3_below_reference", lambda t: L.below_reference(t.customer.select("c_custkey", F.col("c_nationkey").alias("k"), "c_acctbal"), t.sql("SELECT n_nationkey AS k, n_nationkey * 100.0D AS ref FROM nation WHERE n_nationkey < 20"), "k", "c_acctbal", "ref", 1500.0), "SELECT c_custkey, c_nationkey AS k, round(c_acctbal, 6) AS c_acctbal, CAST(c_nationkey * 100 AS DOUBLE) AS ref FROM customer WHERE c_nationkey < 20 AND c_acctbal < c_nationkey * 100 - 1500")
 GROUPS = "SELECT concat(p_brand, ':', CAST(p_size AS STRING)) AS g, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_partkey + 1 ELSE p_partkey - 1 END AS twin, p_retailprice AS y FROM part"

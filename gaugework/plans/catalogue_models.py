@@ -1 +1,73 @@
-"""Queries."""
+"""Queries of models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import aggregates as A
+from ..operators import extend as X
+from ..operators import models as M
+from ..operators import splits as K
+from .catalogue import add, uniform_sql
+from .catalogue_metrics import POISSON
+
+SUMS = "count(*) AS n, sum(x) AS sx, sum(y_true) AS sy, sum(x * x) AS sxx, sum(x * y_true) AS sxy"
+LESS = ", ".join(f"t.{c} - f.{c} AS {c}" for c in ("n", "sx", "sy", "sxx", "sxy"))
+LINE = "CASE WHEN sxx / n - pow(sx / n, 2) > 1e-12 THEN (sxy / n - sx / n * sy / n) / ((sxx / n - pow(sx / n, 2)) * (1 + {a} / n)) ELSE 0 END"
+
+
+def cv_line_sql(alpha: float = 0.0, source: str = "ev") -> str:
+    return f"""f AS (SELECT fold, {SUMS} FROM {source} GROUP BY 1), t AS (SELECT {SUMS} FROM {source}), l AS (SELECT fold, {LESS} FROM f, t),
+    m AS (SELECT fold, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=alpha)} AS b FROM l)), oof AS (SELECT key, grp, stratum, {source}.fold, y_true, x, a + b * x AS y_pred FROM {source} JOIN m USING (fold))"""
+
+
+add("m1_ridge_one_feature", lambda t: M.cross_validated_line(t.ev, [], "fold", "x", "y_true", 10.0).select("key", "y_pred"), f"WITH {cv_line_sql(10.0)} SELECT key, round(y_pred, 6) AS y_pred FROM oof")
+add("m1_ridge_cv", lambda t: M.ridge_cv(t.ev.withColumn("x2", F.col("x") * F.col("x")), ["x", "x2"], "y_true", "fold", [0.1, 10.0, 1000.0])[0].select("key", "y_pred"))
+SMALL = "SELECT key, fold, x, CAST(grp % 11 AS DOUBLE) AS g, y_true FROM ev"
+add("m2_boosted_trees", lambda t: M.tree_predict(t.sql(SMALL).filter("fold <> 0"), t.sql(SMALL).filter("fold = 0"), ["x", "g"], "y_true", "boosted", maxIter=4, maxDepth=3)[0].agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
+add("m3_random_forest", lambda t: M.tree_predict(t.sql(SMALL).filter("fold <> 0"), t.sql(SMALL).filter("fold = 0"), ["x", "g"], "y_true", "forest", numTrees=5, maxDepth=3)[0].agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
+add("m4_nested_cv", lambda t: M.nested_cv(t.sql(SMALL).withColumn("outer_fold", F.col("fold") % 2), ["x", "g"], "y_true", "outer_fold", [{"maxDepth": 2, "numTrees": 2}], "forest").groupBy("outer_fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
+add("m5_average_ensemble", lambda t: A.ensemble_mean(t.pred, ["key"]), "SELECT key, round(avg(y_pred), 6) AS y_pred FROM pred GROUP BY 1")
+add("m6_segment_models", lambda t: M.segment_models(t.ev, "stratum", "fold", "x", "y_true", 1500).select("key", "y_pred"),
+    f"WITH f AS (SELECT stratum, fold, {SUMS} FROM ev GROUP BY ALL), t AS (SELECT stratum, {SUMS} FROM ev GROUP BY 1), l AS (SELECT f.stratum, fold, {LESS} FROM f JOIN t USING (stratum)), m AS (SELECT stratum, fold, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM l WHERE n >= 1500)) SELECT key, round(a + b * x, 6) AS y_pred FROM ev JOIN m USING (stratum, fold)")
+add("m7_out_of_fold", lambda t: M.out_of_fold(t.ev, t.ev.filter("key % 100 = 0").drop("fold"), "fold", "x", "y_true")[0].select("key", "residual"), f"WITH {cv_line_sql()} SELECT key, round(y_true - y_pred, 6) AS residual FROM oof")
+SEL = "SELECT stratum AS task, fold AS layer, method AS alpha, avg(abs(y_true - y_pred)) AS inner_mae FROM pred GROUP BY stratum, fold, method"
+add("m8_pick_layer", lambda t: M.pick_layer(t.sql(SEL), ["task"], "layer", "alpha", "inner_mae"), f"SELECT task, layer, alpha, round(inner_mae, 6) AS inner_mae FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY inner_mae, layer, alpha) AS r FROM ({SEL})) WHERE r = 1")
+add("m9_best_pipeline", lambda t: A.winner(t.sql(SEL), ["task", "layer"], "inner_mae", "alpha").groupBy("alpha").agg(F.count(F.lit(1)).alias("wins")), f"SELECT alpha, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY task, layer ORDER BY inner_mae, alpha) AS r FROM ({SEL})) WHERE r = 1 GROUP BY 1")
+CAND = "SELECT CAST(l_orderkey AS STRING) AS task, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey AS rank, CASE WHEN l_quantity < 10 THEN CAST('NaN' AS DOUBLE) WHEN l_quantity < 15 THEN NULL ELSE l_quantity END AS score FROM lineitem"
+add("m10_refit_fallback", lambda t: M.refit_fallback(t.sql(CAND), ["task"], "rank", "score").groupBy("fallbacks").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s")),
+    f"WITH c AS (SELECT *, score IS NOT NULL AND isfinite(score) AS ok FROM ({CAND})), r AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY task ORDER BY rank ROWS UNBOUNDED PRECEDING) AS bad FROM c), u AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY rank) AS n FROM r WHERE ok) SELECT CAST(bad AS BIGINT) AS fallbacks, count(*) AS n, round(sum(score), 6) AS s FROM u WHERE n = 1 GROUP BY 1")
+add("m11_reference_predictors", lambda t: M.train_mean_predictor(t.ev, ["stratum"], "fold", "y_true").select("key", "y_pred"), "SELECT key, round(y_pred, 6) AS y_pred FROM pred WHERE method = 'by_type'")
+add("m12_split_sensitivity", lambda t: A.summarise(M.cross_validated_line(K.stratified_kfold(t.ev.drop("fold"), "key", "stratum", 3, 4, 21), ["repeat"], "fold", "x", "y_true").groupBy("repeat").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")), [], "mae"),
+    f"""WITH k AS (SELECT ev.key, x, y_true, r, (row_number() OVER (PARTITION BY r, stratum ORDER BY md5('21:' || r || ':' || key)) - 1) % 3 AS f3 FROM ev, range(4) y(r)), f AS (SELECT r, f3, {SUMS} FROM k GROUP BY ALL), t AS (SELECT r, {SUMS} FROM k GROUP BY 1), l AS (SELECT f.r, f3, {LESS} FROM f JOIN t USING (r)),
+    m AS (SELECT r, f3, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM l)), e AS (SELECT r, avg(abs(y_true - a - b * x)) AS mae FROM k JOIN m USING (r, f3) GROUP BY 1) SELECT round(avg(mae), 6) AS mean, round(stddev_samp(mae), 6) AS sd, count(*) AS size FROM e""")
+add("m13_learning_curve", lambda t: M.learning_curve(t.sql("SELECT x, y_true, s.size FROM ev CROSS JOIN (SELECT 100 AS size UNION ALL SELECT 1000) s WHERE fold <> 0 AND key <= s.size * 4"), t.ev.filter("fold = 0").select("x", "y_true"), "size", "x", "y_true"),
+    f"WITH k AS (SELECT x, y_true, size FROM ev, (VALUES (100), (1000)) s(size) WHERE fold <> 0 AND key <= size * 4), m AS (SELECT size, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM (SELECT size, {SUMS} FROM k GROUP BY 1))) SELECT size, round(avg(abs(y_true - a - b * x)), 6) AS mae FROM ev, m WHERE fold = 0 GROUP BY 1")
+add("m14_bootstrap_ensemble", lambda t: M.bootstrap_predict(t.ev.filter("fold = 0"), M.bootstrap_lines(t.ev.filter("fold <> 0"), "key", "x", "y_true", 10, 17), "key", "x"),
+    f"""WITH w AS (SELECT x, y_true, r, {POISSON} AS w FROM (SELECT x, y_true, r, {uniform_sql(17, "r || ':' || key")} AS u FROM ev, range(1, 11) y(r) WHERE fold <> 0)), s AS (SELECT r, sum(w) AS n, sum(w * x) AS sx, sum(w * y_true) AS sy, sum(w * x * x) AS sxx, sum(w * x * y_true) AS sxy FROM w GROUP BY 1), m AS (SELECT r, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM s))
+    SELECT key, round(avg(a + b * x), 6) AS y_pred, round(stddev_pop(a + b * x), 6) AS spread FROM ev, m WHERE fold = 0 GROUP BY 1""")
+add("m15_success_probability", lambda t: M.success_probability(t.sql("SELECT o_orderkey, o_totalprice / 100000 AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0D ELSE 0.0D END AS label FROM orders"), t.sql("SELECT o_orderkey, o_totalprice / 100000 AS x FROM orders"), ["x"], "label").agg(F.count(F.lit(1)).alias("n"), F.avg("p_success").alias("p")))
+WEIGHT = "least(1.0::DOUBLE, greatest(0.0, coalesce(sum((y_true - p_type) * (p_mean - p_type)) / nullif(sum(pow(p_mean - p_type, 2)), 0), 0.5)))"
+add("m16_stack_weights", lambda t: M.stack_pair_weight(t.wide, ["stratum"], "y_true", "p_mean", "p_type"), f"SELECT stratum, round({WEIGHT}, 6) AS weight FROM wide GROUP BY 1")
+add("m16_simplex_weights", lambda t: t.spark.createDataFrame(sorted(M.stack_weights(t.wide, "y_true", ["p_mean", "p_type", "p_hour"]).items()), "member string, weight double"))
+add("m17_stack_predict", lambda t: M.stack_predict(t.wide.filter("fold <> 0"), t.wide.filter("fold = 0"), ["stratum"], "y_true", "p_mean", "p_type").select("key", "y_pred"), f"WITH w AS (SELECT stratum, {WEIGHT} AS w FROM wide WHERE fold <> 0 GROUP BY 1) SELECT key, round(w * p_mean + (1 - w) * p_type, 6) AS y_pred FROM wide JOIN w USING (stratum) WHERE fold = 0")
+add("m18_concat_ridge", lambda t: M.concat_ridge(t.ev.withColumns({"x2": F.col("x") * F.col("x"), "g": (F.col("grp") % 7).cast("double")}), [["x", "x2"], ["g"]], "y_true", "fold", [1.0, 100.0]).select("key", "y_pred"))
+ADD = "SELECT 'base' AS arm, x, y_true FROM ev WHERE fold IN (1, 2) UNION ALL SELECT 'added', x, y_true FROM ev WHERE fold IN (1, 2, 3)"
+add("m19_compare_additions", lambda t: M.learning_curve(t.sql(ADD), t.ev.filter("fold = 0").select("x", "y_true"), "arm", "x", "y_true"), f"WITH k AS ({ADD}), m AS (SELECT arm, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM (SELECT arm, {SUMS} FROM k GROUP BY 1))) SELECT arm, round(avg(abs(y_true - a - b * x)), 6) AS mae FROM ev, m WHERE fold = 0 GROUP BY 1")
+add("m20_exclusion_effect", lambda t: M.learning_curve(t.sql("SELECT 'full' AS arm, x, y_true FROM ev WHERE fold <> 0 UNION ALL SELECT 'audited', x, y_true FROM ev WHERE fold <> 0 AND y_true < 100"), t.ev.filter("fold = 0").select("x", "y_true"), "arm", "x", "y_true"),
+    f"WITH k AS (SELECT 'full' AS arm, x, y_true FROM ev WHERE fold <> 0 UNION ALL SELECT 'audited', x, y_true FROM ev WHERE fold <> 0 AND y_true < 100), m AS (SELECT arm, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM (SELECT arm, {SUMS} FROM k GROUP BY 1))) SELECT arm, round(avg(abs(y_true - a - b * x)), 6) AS mae FROM ev, m WHERE fold = 0 GROUP BY 1")
+add("m21_feature_importance", lambda t: M.feature_importance(M.tree_predict(t.sql(SMALL).filter("fold <> 0"), t.sql(SMALL).filter("fold = 0"), ["x", "g"], "y_true", "forest", numTrees=3, maxDepth=3)[1], ["x", "g"], t.spark))
+add("m22_log_linear_rule", lambda t: M.log_linear_rule(t.orders, ["o_orderpriority"], "o_custkey", "o_totalprice"), "SELECT o_orderpriority, round(regr_slope(o_totalprice, ln(o_custkey)), 6) AS slope, round(regr_intercept(o_totalprice, ln(o_custkey)), 6) AS intercept FROM orders WHERE o_custkey > 0 GROUP BY 1")
+
+
+def plugged(t):
+    from ..session import ship_package
+
+    ship_package(t.spark)
+    X.register_feature("f", lambda a, b: a * 2 + b)
+    return X.with_features(t.ev.select("key", "x", "y_true"), {"f": ["x", "y_true"]}).select("key", "f")
+
+
+add("f1_registered_features", plugged, "SELECT key, round(x * 2 + y_true, 6) AS f FROM ev")
+add("f3_evaluate", lambda t: A.error_table(X.evaluate(t.ev, "fold", {"mean": lambda train, test: test.crossJoin(train.agg(F.avg("y_true").alias("y_pred")))}), ["method", "fold"]), "SELECT method, fold, count(*) AS n, round(avg(abs(y_true - y_pred)), 6) AS mae, round(sqrt(avg(pow(y_true - y_pred, 2))), 6) AS rmse FROM pred WHERE method = 'mean' GROUP BY ALL")
+add("f4_row_expansion", lambda t: t.events.select("user_id", F.explode(F.array(F.struct(F.lit("v").alias("kind"), F.col("value").alias("x")), F.struct(F.lit("id").alias("kind"), F.col("event_id").cast("double").alias("x")))).alias("r")).select("user_id", "r.*").groupBy("user_id", "kind").agg(F.sum("x").alias("s")), "SELECT user_id, kind, round(sum(x), 6) AS s FROM (SELECT user_id, 'v' AS kind, value AS x FROM events UNION ALL SELECT user_id, 'id', event_id::DOUBLE FROM events) GROUP BY ALL")
