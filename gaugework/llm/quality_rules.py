@@ -35,7 +35,7 @@ RULE_NAMES = [*RULES, *LOW_RULES]
 #: Beta priors (in pseudo-documents) of each rule's rates. A rule seldom calls a good text bad, and finds a fair part of the bad ones.
 PRIOR_BAD_IF_GOOD, PRIOR_BAD_IF_BAD, PRIOR_GOOD_IF_GOOD, PRIOR_GOOD_IF_BAD = (0.2, 199.8), (10.0, 90.0), (60.0, 40.0), (50.0, 50.0)
 #: No rule calls more of the good texts bad than this; else a frequent defect that other rules do not see could pass for quality.
-FALSE_ALARM = 0.001
+FALSE_ALARM = 0.0005
 PRIOR_QUALITY = 0.9
 BASE = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -146,7 +146,7 @@ def fit(patterns: list[tuple[str, int]], steps: int = 50) -> dict[str, float]:
     good, bad = rates(none, PRIOR_BAD_IF_GOOD, PRIOR_GOOD_IF_GOOD, FALSE_ALARM), rates(none, PRIOR_BAD_IF_BAD, PRIOR_GOOD_IF_BAD)
     p = posterior(prior, good, bad)
     for _ in range(steps):
-        prior = (count @ p + 90.0) / (count.sum() + 100.0)
+        prior = min(PRIOR_QUALITY, (count @ p + 90.0) / (count.sum() + 100.0))  # a single bad vote must be able to tell in a clean corpus
         # the priors weigh as much as a hundredth of the texts, or their own pseudo-counts if that is more
         scale = max(1.0, count.sum() / 10000)
         good = rates(count * p / scale, PRIOR_BAD_IF_GOOD, PRIOR_GOOD_IF_GOOD, FALSE_ALARM)
