@@ -40,8 +40,8 @@ def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         tail = np.array([end_id], "<u4").tobytes()
         for batch in (s for b in batches for s in split_batches([b], text)):
             where, rows, parts = [], [], []
-            for k, x in enumerate(batch.column(text).to_pylist()):
-                ids = tool.encode(x) + tail
+            for k, ids in enumerate(tool.encode_many(batch.column(text).to_pylist())):
+                ids += tail
                 for p, (a, n) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                     part = ids[4 * a : 4 * (a + n)]
                     where.append(k)

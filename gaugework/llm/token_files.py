@@ -183,7 +183,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int =
             return row
 
         for batch in (s for b in batches for s in split_batches([b], text)):
-            new = [tool.encode(x) + tail for x in batch.column(text).to_pylist()]
+            new = [x + tail for x in tool.encode_many(batch.column(text).to_pylist())]
             held += new
             column = batch.column(key)
             keys.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
