@@ -54,8 +54,8 @@ add("s1_read_table", lambda t: S.read_table(t.spark, f"{t.sf_dir}/nowhere.parque
     "SELECT p_partkey, p_name, round(p_retailprice, 6) AS p_retailprice FROM part")
 add("s2_needed_subset", lambda t: S.needed_subset(t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice"), t.customer.filter("c_acctbal < 0"), "c_custkey", F.col("o_totalprice") > 400000),
     "SELECT o_custkey AS c_custkey, o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders WHERE o_totalprice > 400000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
-add("s5_pending", lambda t: S.pending(t.customer.select("c_custkey", "c_name"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", t.customer.filter("c_acctbal < 0")),
-    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND NOT c_acctbal < 0")
+add("s5_pending", lambda t: S.pending(t.customer.select("c_custkey", "c_name"), t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", t.customer.filter("c_acctbal < 0")),
+    "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND NOT c_acctbal < 0")
 add("s7_merge_outcome_logs", lambda t: S.merge_outcome_logs([t.outcomes.filter("value < 30"), t.outcomes.filter("value >= 30").drop("value")], "user_id", "event_type", "event_id"),
     """WITH r AS (SELECT user_id, event_id, event_type, CASE WHEN value < 30 THEN value END AS value, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value < 30 THEN 0 ELSE 1 END, event_id) AS n FROM outcomes)
     SELECT user_id, event_id, event_type, round(value, 6) AS value FROM r WHERE n = 1 AND NOT starts_with(event_type, 'error')""")
