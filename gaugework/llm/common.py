@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +43,9 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: its lineage is cut and a lost executor loses nothing."""
     path = new_folder(spark, name)
     df.write.parquet(path)
+    # shuffles of finished jobs are garbage now: let Spark's cleaner see that, as their files else stay until the driver's next collection
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

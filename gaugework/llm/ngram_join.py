@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,10 @@ WIDTH, PERCENT = 5, 75
 BLOCK_BYTES = 8 << 20
 SHARD_TOKENS, MIN_SHARDS = 4_000_000, 48
 ORDERS = (0x51ED270B, 0x2545F491, 0x9E3779B9)
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_LOW40 = np.uint64((1 << 40) - 1)
+#: Tokens go to their shard by 32 bits: a shard holds so few that one in a thousand is taken for another and called shared, which is safe.
+_LOW32 = np.uint64((1 << 32) - 1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -119,7 +121,7 @@ class BlockSets:
         keep = chosen[owner] if len(owner) else np.zeros(0, bool)
         self.tokens, self.owner = tokens[keep], owner[keep]
         self.shard = (mix64(self.tokens) % np.uint64(shards)).astype(np.int64)
-        short = self.tokens & _LOW40
+        short = self.tokens & _LOW32
         order = np.lexsort((short, self.shard))
         shard, short = self.shard[order], short[order]
         new = np.append(True, (short[1:] != short[:-1]) | (shard[1:] != shard[:-1])) if len(short) else np.zeros(0, bool)
@@ -130,16 +132,23 @@ class BlockSets:
         self.cuts = np.searchsorted(shard[new], np.arange(shards + 1))
 
 
+def pack_sorted(values: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as compressed byte planes of their gaps, and their counts."""
+    gaps = np.diff(values.astype(np.int64), prepend=0).astype("<u4")
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T)
+    return struct.pack("<I", len(gaps)) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes() + times.astype(np.uint8).tobytes())
+
+
+def unpack_sorted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = struct.unpack_from("<I", data)[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), np.uint8)
+    gaps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4")[:, 0]
+    return np.cumsum(gaps.astype(np.int64)), raw[4 * n :]
+
+
 def count_classes(table: pa.Table) -> pa.Table:
     """One shard: frequency class (bits of frequency - 1) of each token that a block asks about."""
-    asked, times = [], []
-    for x in table.column("question"):
-        raw = np.frombuffer(x.as_py(), np.uint8)
-        n = len(raw) // 6
-        wide = np.zeros((n, 8), dtype=np.uint8)
-        wide[:, :5] = raw[: 5 * n].reshape(n, 5)
-        asked.append(wide.view("<u8")[:, 0])
-        times.append(raw[5 * n :])
+    asked, times = zip(*(unpack_sorted(x.as_py()) for x in table.column("question")))
     known, where = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(where, weights=np.concatenate(times), minlength=len(known)).astype(np.int64)
     kind = np.minimum(63, np.ceil(np.log2(np.maximum(1, total)))).astype(np.uint8)[where]
@@ -154,9 +163,10 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def candidate_sets(spark, corpus: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sid, n, heads array<array<long>>, items array<long>) of sets that have a shingle of others in their first prefix.
+    """(sid, n, head array<long>, rest array<long>, others array<array<int>>, items array<long>) of sets that have a shingle of others in all prefixes.
 
-    ``heads`` holds for each order its prefix tokens that other documents have too; ``items`` all such tokens of the set.
+    ``head`` holds the first order's prefix tokens that other documents have too, ``rest`` the set's number of tokens from each on, ``others`` those of the other orders by 32 bits (enough
+    to tell that two do not meet); ``items`` all shared tokens of the set.
     """
     total = int(corpus.agg(F.sum("n_tokens")).first()[0] or 0)
     shards = max(MIN_SHARDS, -(-total // SHARD_TOKENS))
@@ -164,8 +174,7 @@ def candidate_sets(spark, corpus: DataFrame, width: int, percent: int) -> DataFr
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             sets = BlockSets(row, shards, width)
-            five = np.ascontiguousarray(sets.short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-            rows = [(s, row["block"], five[a:b].tobytes() + sets.times[a:b].astype(np.uint8).tobytes()) for s, (a, b) in enumerate(zip(sets.cuts[:-1], sets.cuts[1:])) if b > a]
+            rows = [(s, row["block"], pack_sorted(sets.short[a:b], sets.times[a:b])) for s, (a, b) in enumerate(zip(sets.cuts[:-1], sets.cuts[1:])) if b > a]
             if rows:
                 s, k, q = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int64()), pa.array(q, pa.binary())], names=["shard", "block", "question"])
@@ -186,23 +195,27 @@ def candidate_sets(spark, corpus: DataFrame, width: int, percent: int) -> DataFr
             heads = []
             for seed in ORDERS:
                 order = np.lexsort((mix64(sets.tokens ^ np.uint64(seed)), kind, sets.owner))
-                inside = order[(nth < prefix) & (kind[order] > 0)]
+                chosen = (nth < prefix) & (kind[order] > 0)
+                inside = order[chosen]
                 heads.append({int(o): t for o, t in _by_owner(sets.owner[inside], sets.tokens[inside])})
+                if len(heads) == 1:  # how many of the set's tokens stand from each head token on
+                    rest = {int(o): t for o, t in _by_owner(sets.owner[inside], (size - nth)[chosen])}
             shared = kind > 0
             items = {int(o): t for o, t in _by_owner(sets.owner[shared], sets.tokens[shared])}
             for o, first in heads[0].items():
                 if all(o in h for h in heads):
-                    rows.append((sets.sid_of[o], int(sets.sizes[o]), [h[o].view(np.int64) for h in heads], items[o].view(np.int64)))
-        columns = list(zip(*rows)) if rows else [[], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["sid", "n", "heads", "items"])
+                    others = [(h[o] & _LOW32).astype(np.uint32).view(np.int32) for h in heads[1:]]
+                    rows.append((sets.sid_of[o], int(sets.sizes[o]), first.view(np.int64), rest[o], others, items[o].view(np.int64)))
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["sid", "n", "head", "rest", "others", "items"])
 
     asked = corpus.select("block", "sids", "lengths", "codes", "hashes").mapInArrow(ask, "shard int, block long, question binary")
     answers = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(count_classes, "block long, shard int, answer binary")
     mine = corpus.select("block", "sids", "lengths", "codes", "hashes")
-    chosen = mine.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, "sid long, n long, heads array<array<long>>, items array<long>")
-    one = chosen.groupBy("sid").agg(F.first(F.struct("n", "heads", "items")).alias("x"))
-    return written(spark, one.select("sid", "x.n", "x.heads", "x.items"), "shingle-sets")
+    chosen = mine.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, "sid long, n long, head array<long>, rest array<long>, others array<array<int>>, items array<long>")
+    one = chosen.groupBy("sid").agg(F.first(F.struct("n", "head", "rest", "others", "items")).alias("x"))
+    return written(spark, one.select("sid", "x.n", "x.head", "x.rest", "x.others", "x.items"), "shingle-sets")
 
 
 def _by_owner(owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -213,24 +226,31 @@ def _by_owner(owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.n
 
 def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar: all orders' prefixes must meet, then the sets' overlap decides."""
-    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("heads").alias("ha"), F.col("items").alias("xa"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("heads").alias("hb"), F.col("items").alias("xb"))
+    left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("others").alias("ha"), F.col("items").alias("xa"))
+    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("others").alias("hb"), F.col("items").alias("xb"))
     both = pairs.join(left, "a").join(right, "b")
-    for k in range(len(ORDERS)):
+    for k in range(len(ORDERS) - 1):
         both = both.filter(F.arrays_overlap(F.col("ha")[k], F.col("hb")[k]))
     common = F.size(F.array_intersect("xa", "xb")).cast("long")
     return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def _possible(percent: int):
+    """Whether sizes allow the similarity: of the sets (nx, ny), and of their parts from the list's token on (sx, sy).
+
+    In the list of their first common token, those parts hold all that two sets have in common, so each similar pair is possible there.
+    """
+    return (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((100 + percent) * F.least("sx", "sy") >= percent * (F.col("nx") + F.col("ny")))
+
+
 def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs with a < b whose sizes allow the similarity, from (x, nx, y, ny)."""
-    fits = (F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    return pairs.filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Distinct pairs with a < b that are possible, from (x, nx, sx, y, ny, sy)."""
+    return pairs.filter((F.col("x") != F.col("y")) & _possible(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def link_sets(spark, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that are linked with another."""
-    lists = written(spark, sets.select(F.explode(F.col("heads")[0]).alias("token"), "sid", "n"), "prefix-lists")
+    lists = written(spark, sets.select("sid", "n", F.explode(F.arrays_zip("head", "rest")).alias("h")).select(F.col("h.head").alias("token"), "sid", "n", F.col("h.rest").alias("s")), "prefix-lists")
     links = None
     now = lists.withColumn("component", F.col("sid"))
     for turn in range(LEADER_ROUNDS + 1):
@@ -238,18 +258,20 @@ def link_sets(spark, sets: DataFrame, percent: int) -> DataFrame:
         now = written(spark, now.join(open_, "token", "left_semi"), "open-lists")
         if turn < LEADER_ROUNDS:
             rank = F.xxhash64("sid", F.lit(turn))
-            lead = now.groupBy("token").agg(F.min(F.struct(rank, "sid", "n", "component")).alias("p"), F.max(F.struct(rank, "sid", "n", "component")).alias("q"))
+            # two leaders: one with the fewest tokens of its own, as the source of a group of copies has, and one at random
+            plain = F.struct(F.round(F.col("s") / F.col("n"), 2).alias("share"), rank.alias("rank"), "sid", "n", "s", "component")
+            lead = now.groupBy("token").agg(F.max(plain).alias("p"), F.max_by(plain, F.struct(rank, "sid")).alias("q"))
             lead = lead.select("token", F.explode(F.array("p", "q")).alias("l"))
-            met = now.join(lead, "token").filter("component <> l.component").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("l.sid").alias("y"), F.col("l.n").alias("ny"))
+            met = now.join(lead, "token").filter("component <> l.component").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.s").alias("sy"))
         else:
-            a = now.select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-            b = now.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-            met = a.join(b, "token").filter("cx < cy and 100 * least(nx, ny) >= %d * greatest(nx, ny)" % percent)
+            a = now.select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("component").alias("cx"))
+            b = now.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("component").alias("cy"))
+            met = a.join(b, "token").filter(_possible(percent) & F.expr("cx < cy"))
         found = written(spark, checked(_ordered(met, percent), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         if turn < LEADER_ROUNDS:
-            now = now.drop("component").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", F.coalesce("component", "sid").alias("component"))
+            now = now.drop("component").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "s", F.coalesce("component", "sid").alias("component"))
     return labels
 
 
