@@ -26,6 +26,51 @@ CLOSING = ".,!?;:|#*$%&"
 _LOADED: dict[str, ChunkEncoder | ByteEncoder] = {}
 
 
+class SuffixWords:
+    """Ids of words of Latin letters in a byte-level BPE file that marks the end of words, merged by tiktoken.
+
+    tiktoken merges bytes by rank. A word's last byte is another symbol than the same byte before it, and all symbols of such words (letters a to z and
+    two-byte letters up to U+017F) are under 256 together, so a word becomes bytes with one code for each symbol, and the file's vocabulary ranks.
+    """
+
+    LEADS, TRAILS, LETTERS = range(0xC2, 0xC6), range(0x80, 0xC0), range(0x61, 0x7B)
+    #: Letters that are their own composed form and lower case form.
+    WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+    def __init__(self, vocabulary: dict[str, int], suffix: str, last: int):
+        import tiktoken
+
+        inner, final = [*self.LETTERS, *self.LEADS, *self.TRAILS], [*self.LETTERS, *self.TRAILS]
+        self.inner = {b: k for k, b in enumerate(inner)}
+        self.final = {b: len(inner) + k for k, b in enumerate(final)}
+        shown = ByteEncoder.shown_bytes()
+        ranks: dict[bytes, int] = {}
+        for token, number in vocabulary.items():
+            closed = token.endswith(suffix) and token != suffix
+            raw = [shown.get(c) for c in (token[: -len(suffix)] if closed else token)]
+            codes = [self.inner.get(b) for b in (raw[:-1] if closed else raw)] + ([self.final.get(raw[-1])] if closed else [])
+            if number <= last and None not in codes:
+                ranks[bytes(codes)] = number
+        for code in range(256):
+            ranks.setdefault(bytes([code]), 1_000_000 + code)
+        self.encoding = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+        self.table = bytes(self.inner.get(b, 255) for b in range(256))
+
+    @classmethod
+    def of(cls, path: str) -> SuffixWords | None:
+        with open(path, encoding="utf-8") as source:
+            model = json.load(source)["model"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        numbers = [model["vocab"].get(a + b) for a, b in merges]
+        usual = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout") and None not in numbers and numbers == sorted(set(numbers)) and numbers[0] >= 512
+        return cls(model["vocab"], model["end_of_word_suffix"], numbers[-1]) if usual else None
+
+    def encode(self, word: str) -> bytes:
+        raw = word.encode("utf-8")
+        codes = raw[:-1].translate(self.table) + bytes([self.final[raw[-1]]])
+        return np.array(self.encoding._encode_single_piece(codes), dtype="<u4").tobytes()
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, equal to the library's for the whole text."""
 
@@ -40,6 +85,7 @@ class ChunkEncoder:
         self.parts: dict[str, bytes] = {}
         #: Whether the tokenizer lowers ASCII letters, so that their case need not tell chunks apart.
         self.lower = self.tokenizer.encode("QWERTY", add_special_tokens=False).ids == self.tokenizer.encode("qwerty", add_special_tokens=False).ids
+        self.words = SuffixWords.of(path) if self.lower else None
         marks = [(m, self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ("\n", " \x01 ")]
         self.mark, self.mark_id = next(((m, i[0]) for m, i in marks if len(i) == 1), ("\n", None))
 
@@ -70,8 +116,12 @@ class ChunkEncoder:
     def _learn(self, memo: dict[str, bytes], chunks: list[str], lead: str) -> None:
         split = {c: self._parts(lead + c) for c in dict.fromkeys(chunks)}
         if self.lower:
-            split = {c: (a.lower() if a.isascii() else a, b) for c, (a, b) in split.items()}
+            split = {c: (a.lower() if a.isascii() or self.words and self.words.WORD.fullmatch(a.strip(" ").lower()) else a, b) for c, (a, b) in split.items()}
         new = list(dict.fromkeys(x for ab in split.values() for x in ab if x and x not in self.parts))
+        if self.words:
+            latin = {x for x in new if self.words.WORD.fullmatch(x.strip(" "))}
+            self.parts.update((x, self.words.encode(x.strip(" "))) for x in latin)
+            new = [x for x in new if x not in latin]
         if new:
             self.parts.update(zip(new, self._encode_many(new)))
         for c, (a, b) in split.items():
