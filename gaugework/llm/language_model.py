@@ -202,10 +202,10 @@ def answer(spread_counts: dict[int, int]):
         words, word_at = np.unique(np.concatenate([a[4] for a in asked]), return_inverse=True)
         pair, pair_at = np.unique(context_at.astype(np.int64) << 32 | word_at, return_inverse=True)
         times = np.bincount(pair_at, weights=np.concatenate([a[5] for a in asked]), minlength=len(pair)).astype(np.int64)
-        del context_at, word_at, pair_at, where
+        del context_at, word_at, where
         seen = times > 0
-        pair, times = pair[seen], times[seen]
-        context_of, word_of = pair >> 32, pair & 0xFFFFFFFF
+        ask_context, ask_word = pair >> 32, pair & 0xFFFFFFFF
+        context_of, word_of, times = ask_context[seen], ask_word[seen], times[seen]
         # how often each context stands: from this shard's words, or for spread contexts from the exact sums sent along
         total = np.zeros(len(contexts), dtype=np.int64)
         at = np.minimum(np.searchsorted(known, contexts), max(0, len(known) - 1))
@@ -215,14 +215,15 @@ def answer(spread_counts: dict[int, int]):
             total[contexts == np.uint64(h)] = c
         followers = np.bincount(context_of, minlength=len(contexts))
         trie = Trie(mapped(Trie.pack(contexts, words, context_of, word_of, np.maximum(times - DISCOUNT, 0) / np.maximum(1, total[context_of]))))
-        rows = []
-        for block, (ask_words, _, ask_contexts, runs, successors, _) in zip(table.column("block").to_pylist(), asked):
+        # every question once, however many blocks ask it; places in the levels are the numbers given above
+        code = (trie.look_up(ask_context, ask_word) + 1).astype("<u2")
+        rows, at = [], 0
+        for block, (ask_words, _, ask_contexts, _, successors, _) in zip(table.column("block").to_pylist(), asked):
             c = counts[np.searchsorted(known, ask_words)]
-            place = trie.find(trie.contexts, ask_contexts)
-            code = trie.look_up(np.repeat(place, runs), trie.find(trie.words, successors))
-            n = followers[place]
-            data = c.astype("<u8").tobytes() + n.astype("<u4").tobytes() + (code + 1).astype("<u2").tobytes() + trie.book.tobytes()
+            n = followers[np.searchsorted(contexts, ask_contexts)]
+            data = c.astype("<u8").tobytes() + n.astype("<u4").tobytes() + code[pair_at[at : at + len(successors)]].tobytes() + trie.book.tobytes()
             rows.append((block, shard, zstandard.ZstdCompressor(level=1).compress(data), None, None))
+            at += len(successors)
         rows.append((None, shard, None, -1, int((counts > 0).sum())))
         for h in spread_counts:
             at = np.flatnonzero(contexts == np.uint64(h))
