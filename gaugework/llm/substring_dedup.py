@@ -151,24 +151,28 @@ def blocks(df: DataFrame, text: str) -> DataFrame:
     return df.mapInArrow(run, "block long, n_bytes long, payload binary")
 
 
-def count_segments(table: pa.Table) -> pa.Table:
+def count_segments(most: int):
     """First exchange, one shard: what is known of each segment that a block asks about."""
-    asked = [np.frombuffer(x.as_py(), np.dtype([("anchor", "<u8"), ("content", "<u8"), ("times", "u1")])) for x in table.column("question")]
-    block = np.repeat(table.column("block").to_numpy(), [len(a) for a in asked])
-    every = np.concatenate(asked)
-    order = np.lexsort((block, every["content"], every["anchor"]))
-    anchor, content, times = every["anchor"][order], every["content"][order], every["times"][order].astype(np.int64)
-    new_anchor = np.append(True, anchor[1:] != anchor[:-1])
-    new = new_anchor | np.append(True, content[1:] != content[:-1])
-    which_anchor, which = np.cumsum(new_anchor) - 1, np.cumsum(new) - 1
-    found = np.bincount(which_anchor, weights=times)[which_anchor]
-    weight = np.bincount(which, weights=times)[which]
-    different = np.bincount(which_anchor, weights=new)[which_anchor]
-    kind = np.zeros(len(order), dtype=np.uint8)
-    kind[order] = np.where(found > 1, FOUND_TWICE, 0) | np.where(new, SENDS, 0) | np.where(weight > 1, WEIGHTY, 0) | np.where(different > MOST_SEGMENTS, CROWDED, 0)
-    cuts = np.cumsum([0, *map(len, asked)])
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    return pa.Table.from_arrays([table.column("block"), table.column("shard"), pa.array([squeeze(kind[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["block", "shard", "answer"])
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = [np.frombuffer(x.as_py(), np.dtype([("anchor", "<u8"), ("content", "<u8"), ("times", "u1")])) for x in table.column("question")]
+        block = np.repeat(table.column("block").to_numpy(), [len(a) for a in asked])
+        every = np.concatenate(asked)
+        order = np.lexsort((block, every["content"], every["anchor"]))
+        anchor, content, times = every["anchor"][order], every["content"][order], every["times"][order].astype(np.int64)
+        new_anchor = np.append(True, anchor[1:] != anchor[:-1])
+        new = new_anchor | np.append(True, content[1:] != content[:-1])
+        which_anchor, which = np.cumsum(new_anchor) - 1, np.cumsum(new) - 1
+        found = np.bincount(which_anchor, weights=times)[which_anchor]
+        weight = np.bincount(which, weights=times)[which]
+        different = np.bincount(which_anchor, weights=new)[which_anchor]
+        kind = np.zeros(len(order), dtype=np.uint8)
+        kind[order] = np.where(found > 1, FOUND_TWICE, 0) | np.where(new, SENDS, 0) | np.where(weight > 1, WEIGHTY, 0) | np.where(different > most, CROWDED, 0)
+        cuts = np.cumsum([0, *map(len, asked)])
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return pa.Table.from_arrays([table.column("block"), table.column("shard"), pa.array([squeeze(kind[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["block", "shard", "answer"])
+
+    return run
 
 
 _ITEM = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("size", "<u4"), ("kind", "u1")])
@@ -281,7 +285,7 @@ def covered(block: Block, answers: dict[int, bytes], verdicts: dict[int, bytes],
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, digest_only: bool = False, as_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, digest_only: bool = False, as_text: bool = False, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """``df`` with n_bytes, n_removed, n_spans, kept_sha256; without the text if ``digest_only``, else with spans and kept. With ``as_text`` only the
     columns of ``df`` come back, the text with its repeats removed (half characters at a cut go too; a null text stays null).
 
@@ -328,7 +332,7 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram:
         columns = list(zip(*rows)) if rows else [[]] * 5
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["shard", "block", "items", "contents", "windows"])
 
-    answers = written(spark, corpus.select("block", "payload").mapInArrow(ask, "shard int, block long, question binary").repartition(shards, "shard").groupBy("shard").applyInArrow(count_segments, "block long, shard int, answer binary"), "segment-counts")
+    answers = written(spark, corpus.select("block", "payload").mapInArrow(ask, "shard int, block long, question binary").repartition(shards, "shard").groupBy("shard").applyInArrow(count_segments(most_segments), "block long, shard int, answer binary"), "segment-counts")
     asked = corpus.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(request, "shard int, block long, items binary, contents binary, windows binary")
     verdicts = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(decide(least), "block long, shard int, verdict binary")
     # both kinds of answer side by side, so that the last step is one cogroup

@@ -76,9 +76,8 @@ def removed_by_hand(texts, least):
 
 
 @pytest.mark.parametrize("crowded", [3000, 2])
-def test_op1(docs, monkeypatch, crowded):
-    monkeypatch.setattr(substring_dedup, "MOST_SEGMENTS", crowded)
-    got = by_id(substring_dedup.remove_repeats(docs))
+def test_op1(docs, crowded):
+    got = by_id(substring_dedup.remove_repeats(docs, most_segments=crowded))
     for i, (b, gone) in enumerate(zip(*removed_by_hand(TEXTS, 200))):
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept_sha256"], bytes(got[i]["kept"])) == (len(b), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept)
