@@ -113,3 +113,29 @@ def test_ledger_restarts_without_repeats(spark, tmp_path):
         spark.createDataFrame([(2, 9, "late"), (3, 4, "found")], schema).write.mode("append").parquet(source)
     outcome_ledger(spark.readStream.schema(schema).parquet(source), out, f"{tmp_path}/c", "key", "n").awaitTermination()
     assert sorted((r["key"], r["status"]) for r in spark.read.parquet(out).collect()) == [(1, "found"), (2, "found"), (3, "found")]
+
+
+def test_run_records_and_sinks(spark, tmp_path):
+    from gaugework.sources.tables import collect_runs, read_table, require_none, write_results
+
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "a.json").write_text('{"task": "t", "lr": 0.1, "key": ["x", "y"], "y_pred": [1.5, 2.5]}\n')
+    (tmp_path / "runs" / "b.json").write_text('{"task": "t", "lr": 0.2, "key": ["x"], "y_pred": [9.0]}\n')
+    rows = collect_runs(spark, f"{tmp_path}/runs", "task string, lr double, key array<string>, y_pred array<double>", ["key", "y_pred"], F.col("lr") == 0.1)
+    assert sorted(map(tuple, rows.collect())) == [("t", 0.1, "x", 1.5), ("t", 0.1, "y", 2.5)]
+    write_results(rows, f"{tmp_path}/out.csv", order=["key"])
+    back = read_table(spark, f"{tmp_path}/out.csv", "task string, lr double, key string, y_pred double", ["key", "y_pred"])
+    assert sorted(map(tuple, back.collect())) == [("x", 1.5), ("y", 2.5)]
+    require_none(back.filter("y_pred < 0"), "negative")
+    with pytest.raises(ValueError):
+        require_none(back, "rows")
+
+
+def test_guards_raise(spark):
+    df = spark.createDataFrame([(1, -2.0), (2, 3.0)], "k int, v double")
+    with pytest.raises(Exception, match="negative"):
+        projections.log1p_guarded(df, ["v"]).collect()
+    with pytest.raises(Exception, match="repeats a key"):
+        joins.join_many_to_one(df, df.unionByName(df).select("k", F.col("v").alias("w")), ["k"]).collect()
+    with pytest.raises(Exception, match="in no bin"):
+        projections.assign_bins(df, "k", [("one", 1, 1)]).collect()
