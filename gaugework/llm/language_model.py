@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, split_batches, written
+from .common import mix64, release_shuffles, split_batches, written
 from .elias_fano import Trie, mapped
 
 DISCOUNT = 0.75
@@ -303,8 +303,8 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     counted[int(BEGIN)] = train_docs
     spread = {h: max(1, -(-8 * shards * c // max(1, train_tokens))) for h, c in counted.items()}
 
-    questions = ask(corpus, shards, spread)
-    answers = written(spark, questions.repartition(shards, "shard").groupBy("shard").applyInArrow(answer(counted), "block long, shard int, answer binary, about long, amount long"), "lm-answers")
+    answers = written(spark, ask(corpus, shards, spread).repartition(shards, "shard").groupBy("shard").applyInArrow(answer(counted), "block long, shard int, answer binary, about long, amount long"), "lm-answers")
+    release_shuffles(spark)
     model = {r[0]: r[1] for r in answers.filter("about is not null").groupBy("about").agg(F.sum("amount")).collect()}
     vocabulary = int(model.pop(-1, 0))
     followers = {int(np.int64(h).view(np.uint64)): int(n) for h, n in model.items()}
