@@ -161,19 +161,26 @@ def tree_predict(train: DataFrame, test: DataFrame, features: list[str], y: str,
 
 
 def nested_cv(df: DataFrame, features: list[str], y: str, fold: str, grid: list[dict], kind: str = "boosted", seed: int = 0) -> DataFrame:
-    """Each outer fold's test rows, predicted by trees whose options were tuned inside the outer training folds only."""
+    """Each outer fold's test rows, predicted by trees whose options were tuned over all inner folds, inside the outer training folds only.
+
+    A model without folds a and b judges options on b for outer fold a, and on a for outer fold b: it is fitted once. Ties: the first options.
+    """
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    if len(grid) > 1 and len(folds) < 3:
+        raise ValueError(f"{len(folds)} folds leave no rows to tune on; options need three")
+    gap = F.abs(F.col(y) - F.col("y_pred"))
+    sums = {(test, i): [0.0, 0] for test in folds for i in range(len(grid))}
+    for a, b in itertools.combinations(folds, 2) if len(grid) > 1 else ():
+        out = F.col(fold).isin(a, b)
+        for i, options in enumerate(grid):
+            judged = tree_predict(df.filter(~out), df.filter(out), features, y, kind, seed, **options)[0]
+            for f, error, n in judged.groupBy(fold).agg(F.sum(gap), F.count(gap)).collect():
+                total = sums[b if f == a else a, i]
+                total[0], total[1] = total[0] + (error or 0.0), total[1] + n
     out = None
     for test in folds:
-        train = df.filter(F.col(fold) != test)
-        inner = [f for f in folds if f != test]
-
-        def error(options: dict) -> float:
-            parts = [tree_predict(train.filter(F.col(fold) != f), train.filter(F.col(fold) == f), features, y, kind, seed, **options)[0] for f in inner[:1]]
-            return sum(p.agg(F.avg(F.abs(F.col(y) - F.col("y_pred")))).first()[0] for p in parts)
-
-        best = min(grid, key=error) if len(grid) > 1 else grid[0]
-        rows = tree_predict(train, df.filter(F.col(fold) == test), features, y, kind, seed, **best)[0]
+        means = [error / n if n else float("inf") for error, n in (sums[test, i] for i in range(len(grid)))]
+        rows = tree_predict(df.filter(F.col(fold) != test), df.filter(F.col(fold) == test), features, y, kind, seed, **grid[means.index(min(means))])[0]
         out = rows if out is None else out.unionByName(rows)
     return out
 

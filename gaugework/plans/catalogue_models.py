@@ -26,7 +26,8 @@ add("m1_ridge_cv", lambda t: M.ridge_cv(t.ev.withColumn("x2", F.col("x") * F.col
 SMALL = "SELECT key, fold, x, CAST(grp % 11 AS DOUBLE) AS g, y_true FROM ev"
 add("m2_boosted_trees", lambda t: M.tree_predict(t.sql(SMALL).filter("fold <> 0"), t.sql(SMALL).filter("fold = 0"), ["x", "g"], "y_true", "boosted", maxIter=4, maxDepth=3)[0].agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
 add("m3_random_forest", lambda t: M.tree_predict(t.sql(SMALL).filter("fold <> 0"), t.sql(SMALL).filter("fold = 0"), ["x", "g"], "y_true", "forest", numTrees=5, maxDepth=3)[0].agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
-add("m4_nested_cv", lambda t: M.nested_cv(t.sql(SMALL).withColumn("outer_fold", F.col("fold") % 2), ["x", "g"], "y_true", "outer_fold", [{"maxDepth": 2, "numTrees": 2}], "forest").groupBy("outer_fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
+TREES = [{"maxDepth": 2, "numTrees": 2}, {"maxDepth": 4, "numTrees": 2}, {"maxDepth": 3, "numTrees": 5}]
+add("m4_nested_cv", lambda t: M.nested_cv(t.sql(SMALL), ["x", "g"], "y_true", "fold", TREES, "forest").withColumnRenamed("fold", "outer_fold").groupBy("outer_fold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
 add("m5_average_ensemble", lambda t: A.ensemble_mean(t.pred, ["key"]), "SELECT key, round(avg(y_pred), 6) AS y_pred FROM pred GROUP BY 1")
 add("m6_segment_models", lambda t: M.segment_models(t.ev, "stratum", "fold", "x", "y_true", 1500).select("key", "y_pred"),
     f"WITH f AS (SELECT stratum, fold, {SUMS} FROM ev GROUP BY ALL), t AS (SELECT stratum, {SUMS} FROM ev GROUP BY 1), l AS (SELECT f.stratum, fold, {LESS} FROM f JOIN t USING (stratum)), m AS (SELECT stratum, fold, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM l WHERE n >= 1500)) SELECT key, round(a + b * x, 6) AS y_pred FROM ev JOIN m USING (stratum, fold)")
