@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
+from ..session import ship_package
 from .windows import order_stat
 
 INF = float("inf")
@@ -27,17 +33,75 @@ def normalised_width(cal: DataFrame, test: DataFrame, by: list[str], residual: s
     return test.join(F.broadcast(rank), by).join(F.broadcast(beta), by).withColumn("width", F.col("stat") * (F.col(scale) + F.col("_beta"))).drop("stat", "_beta")
 
 
+def _sorted_lists(residuals: DataFrame, names: list[str]) -> dict[tuple, np.ndarray]:
+    """Ascending absolute residuals by ``names``: tasks send sorted runs as binary rows, eight bytes a residual."""
+
+    def runs(batches):
+        parts: dict[tuple, list] = {}
+        for batch in batches:
+            for k, rows in batch.groupby(names, sort=False)["_r"]:
+                parts.setdefault(k if isinstance(k, tuple) else (k,), []).append(rows.to_numpy(dtype="float64"))
+        if parts:
+            yield pd.DataFrame([(*k, np.sort(np.concatenate(v)).tobytes()) for k, v in parts.items()], columns=[*names, "_run"])
+
+    known = residuals.select(*names, F.abs("residual").cast("double").alias("_r")).dropna(subset=names).filter("_r is not null")
+    schema = StructType([*known.select(*names).schema.fields, StructField("_run", BinaryType())])
+    found: dict[tuple, list] = {}
+    for *k, run in known.mapInPandas(runs, schema).collect():
+        found.setdefault(tuple(k), []).append(np.frombuffer(run))
+    lists = {k: np.sort(np.concatenate(v)) for k, v in found.items()}
+    if not all(np.isfinite(v[-1]) for v in lists.values()):
+        raise ValueError("a residual is not finite")
+    return lists
+
+
+def nth_of_shifted(centres: np.ndarray, lists: list[np.ndarray], rank: int) -> np.ndarray:
+    """For each row of ``centres``, the ``rank``-th least of centre + value over the ascending lists, one a column: values are bisected, and
+    those below are counted in each list."""
+    low = np.min([centres[:, j] + v[0] for j, v in enumerate(lists)], axis=0)
+    high = np.max([centres[:, j] + v[-1] for j, v in enumerate(lists)], axis=0)
+    for _ in range(200):
+        middle = low + (high - low) / 2
+        if not ((middle > low) & (middle < high)).any():
+            break
+        enough = sum(np.searchsorted(v, middle - centres[:, j], "right") for j, v in enumerate(lists)) >= rank
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    near = []
+    for j, v in enumerate(lists):
+        at = np.searchsorted(v, high - centres[:, j])
+        near += [centres[:, j] + v[np.clip(at + d, 0, len(v) - 1)] for d in (-1, 0)]
+    options = np.array(near)
+    return options[np.argmin(np.abs(options - high), axis=0), np.arange(len(high))]
+
+
 def cv_plus(centres: DataFrame, residuals: DataFrame, fold: str, key: list[str], alpha: float, group: list[str] = ()) -> DataFrame:
     """(key, lower, upper): ranks among y_pred - |r| and y_pred + |r| over all residuals, each with the model of its fold.
 
-    ``centres``: (key, fold, y_pred); ``residuals``: (fold, residual), and ``group`` columns in both for intervals within groups. Every
-    test row meets every residual of its group, in a join on fold; ranks come from the sorted absolute residuals of each row.
+    ``centres``: (key, fold, y_pred); ``residuals``: (fold, residual), and ``group`` columns in both for intervals within groups. Each
+    fold's absolute residuals are sorted once and broadcast, eight bytes a residual; no row meets a residual, and a test row has a
+    centre a fold. Equal centres are worked out once in a batch. Residuals and centres that are null do not count.
     """
-    r = residuals.select(fold, *group, F.abs("residual").alias("_r"))
-    met = centres.join(r, [fold, *group]).select(*key, (F.col("y_pred") - F.col("_r")).alias("_low"), (F.col("y_pred") + F.col("_r")).alias("_high"))
-    lists = met.groupBy(*key).agg(F.array_sort(F.collect_list("_low")).alias("_l"), F.array_sort(F.collect_list("_high")).alias("_h"), F.count(F.lit(1)).alias("n"))
-    low, high = F.floor(alpha * (F.col("n") + 1) + 1e-9).cast("int"), upper_rank(alpha).cast("int")
-    return lists.select(*key, F.when(low >= 1, F.get("_l", low - 1)).otherwise(-INF).alias("lower"), F.when(high <= F.col("n"), F.get("_h", high - 1)).otherwise(INF).alias("upper"))
+    ship_package(centres.sparkSession)
+    names = [fold, *group]
+    lists = _sorted_lists(residuals, names)
+    kept = centres.sparkSession.sparkContext.broadcast(list(lists.values()))
+    ids = centres.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(lists)], StructType([*residuals.select(*names).schema.fields, StructField("_id", IntegerType())]))
+
+    @F.pandas_udf("lower double, upper double")
+    def interval(which: pd.Series, at: pd.Series) -> pd.DataFrame:
+        out = np.empty((len(which), 2))
+        for ids_, rows in which.reset_index(drop=True).groupby(which.to_numpy()).indices.items():
+            own = [kept.value[int(i)] for i in ids_.split(",")]
+            c, back = np.unique(np.array(at.iloc[rows].tolist(), dtype="float64"), axis=0, return_inverse=True)
+            n = sum(map(len, own))
+            low, high = math.floor(alpha * (n + 1) + 1e-9), math.ceil((1 - alpha) * (n + 1) - 1e-9)
+            lower = nth_of_shifted(c, [-v[::-1] for v in own], low) if low >= 1 else np.full(len(c), -INF)
+            upper = nth_of_shifted(c, own, high) if high <= n else np.full(len(c), INF)
+            out[rows] = np.stack([lower, upper], axis=1)[back.reshape(-1)]
+        return pd.DataFrame(out, columns=["lower", "upper"])
+
+    met = centres.filter("y_pred is not null").join(F.broadcast(ids), names).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_id", F.col("y_pred").cast("double").alias("_c")))).alias("_m"))
+    return met.withColumn("_i", interval(F.array_join(F.transform("_m", lambda m: m["_id"].cast("string")), ","), F.col("_m._c"))).select(*key, "_i.lower", "_i.upper")
 
 
 def mondrian_cv_plus(centres: DataFrame, residuals: DataFrame, fold: str, key: list[str], group: str, alpha: float) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import conformal as C
 from ..operators import extend as X
 from ..operators import models as M
 from ..operators import splits as K
 from .catalogue import add, uniform_sql
-from .catalogue_metrics import POISSON
+from .catalogue_metrics import BOUNDS, CVP, POISSON
 
 SUMS = "count(*) AS n, sum(x) AS sx, sum(y_true) AS sy, sum(x * x) AS sxx, sum(x * y_true) AS sxy"
 LESS = ", ".join(f"t.{c} - f.{c} AS {c}" for c in ("n", "sx", "sy", "sxx", "sxy"))
@@ -32,6 +33,23 @@ add("m5_average_ensemble", lambda t: A.ensemble_mean(t.pred, ["key"]), "SELECT k
 add("m6_segment_models", lambda t: M.segment_models(t.ev, "stratum", "fold", "x", "y_true", 1500).select("key", "y_pred"),
     f"WITH f AS (SELECT stratum, fold, {SUMS} FROM ev GROUP BY ALL), t AS (SELECT stratum, {SUMS} FROM ev GROUP BY 1), l AS (SELECT f.stratum, fold, {LESS} FROM f JOIN t USING (stratum)), m AS (SELECT stratum, fold, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM l WHERE n >= 1500)) SELECT key, round(a + b * x, 6) AS y_pred FROM ev JOIN m USING (stratum, fold)")
 add("m7_out_of_fold", lambda t: M.out_of_fold(t.ev, t.ev.filter("key % 100 = 0").drop("fold"), "fold", "x", "y_true")[0].select("key", "residual"), f"WITH {cv_line_sql()} SELECT key, round(y_true - y_pred, 6) AS residual FROM oof")
+TASK = f"tr AS (SELECT * FROM ev WHERE fold <> 0), {cv_line_sql(source='tr')}, c AS (SELECT e.key, e.stratum, m.fold, m.a + m.b * e.x AS y_pred FROM ev e, m WHERE e.fold = 0), r AS (SELECT fold, stratum, y_true - y_pred AS residual FROM oof)"
+
+
+def task_out_of_fold(t):
+    """Out-of-fold residuals of folds 1 to 4, and every row of fold 0 predicted by each of their leave-fold-out models."""
+    return M.out_of_fold(t.ev.filter("fold <> 0"), t.ev.filter("fold = 0").drop("fold"), "fold", "x", "y_true")
+
+
+def task_intervals(t, make, *more):
+    residuals, centres = task_out_of_fold(t)
+    return make(centres, residuals, "fold", ["key"], *more)
+
+
+add("c3_cv_plus_whole", lambda t: task_intervals(t, C.cv_plus, 0.1), f"WITH {TASK}, v AS ({CVP.format(g='', j='')}) SELECT key, round(lower, 6) AS lower, round(upper, 6) AS upper FROM (SELECT key, {BOUNDS} FROM v)")
+add("c4_mondrian_cv_plus_whole", lambda t: task_intervals(t, C.mondrian_cv_plus, "stratum", 0.1),
+    f"""WITH {TASK}, v AS ({CVP.format(g='', j='')}), o AS ({CVP.format(g='c.stratum,', j='AND c.stratum = r.stratum')}), p AS (SELECT key, {BOUNDS} FROM v), q AS (SELECT key, {BOUNDS} FROM o)
+    SELECT p.key, round(CASE WHEN isfinite(q.lower) AND isfinite(q.upper) THEN q.lower ELSE p.lower END, 6) AS lower, round(CASE WHEN isfinite(q.lower) AND isfinite(q.upper) THEN q.upper ELSE p.upper END, 6) AS upper FROM p LEFT JOIN q USING (key)""")
 SEL = "SELECT stratum AS task, fold AS layer, method AS alpha, avg(abs(y_true - y_pred)) AS inner_mae FROM pred GROUP BY stratum, fold, method"
 add("m8_pick_layer", lambda t: M.pick_layer(t.sql(SEL), ["task"], "layer", "alpha", "inner_mae"), f"SELECT task, layer, alpha, round(inner_mae, 6) AS inner_mae FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY inner_mae, layer, alpha) AS r FROM ({SEL})) WHERE r = 1")
 add("m9_best_pipeline", lambda t: A.winner(t.sql(SEL), ["task", "layer"], "inner_mae", "alpha").groupBy("alpha").agg(F.count(F.lit(1)).alias("wins")), f"SELECT alpha, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY task, layer ORDER BY inner_mae, alpha) AS r FROM ({SEL})) WHERE r = 1 GROUP BY 1")

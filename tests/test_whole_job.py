@@ -4,7 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.operators import models
+from gaugework.operators import conformal, models
+from gaugework.plans.catalogue import QUERIES
+from gaugework.plans.views import table
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_nested_cv_tunes_over_all_inner_folds(spark, monkeypatch):
@@ -23,3 +27,26 @@ def test_nested_cv_tunes_over_all_inner_folds(spark, monkeypatch):
     assert {s for n, s in seen if n == "a"} == {frozenset({0, 1, 2, 3} - {i, j}) for i in range(4) for j in range(i)}
     with pytest.raises(ValueError, match="no rows to tune on"):
         models.nested_cv(df.filter("fold < 2"), [], "y", "fold", [{"name": "a"}, {"name": "b"}])
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_cv_plus_counts_in_sorted_lists(spark, group):
+    """Equal to all shifted residuals sorted, with ties, uneven folds and a group without finite bounds; no row meets a residual."""
+    rng = np.random.default_rng(4)
+    residuals = [(int(f), "a" if i % 3 else "b", float(rng.integers(-40, 40)) / 4) for i, f in enumerate(rng.integers(0, 3, 200))] + [(1, "c", 2.0)]
+    centres = [(k, f, "abc"[k % 3], float(v)) for k in range(60) for f, v in enumerate(rng.normal(0, 5, 3).round(k % 3))]
+    frame = conformal.cv_plus(spark.createDataFrame(centres, "key int, fold int, g string, y_pred double"), spark.createDataFrame(residuals, "fold int, g string, residual double"), "fold", ["key"], 0.1, group)
+    assert "residual" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["key"]: (r["lower"], r["upper"]) for r in frame.collect()}
+    for k in range(60):
+        met = [(c, abs(r)) for key, f, g, c in centres if key == k for fold, h, r in residuals if f == fold and (not group or g == h)]
+        n, low, high = len(met), sorted(c - r for c, r in met), sorted(c + r for c, r in met)
+        a, b = int(np.floor(0.1 * (n + 1) + 1e-9)), int(np.ceil(0.9 * (n + 1) - 1e-9))
+        assert got[k] == (low[a - 1] if a >= 1 else -np.inf, high[b - 1] if b <= n else np.inf)
+
+
+@pytest.mark.parametrize("name", ["c3_cv_plus_whole", "c4_mondrian_cv_plus_whole"])
+def test_each_row_of_the_test_fold_has_an_interval(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
+    assert sorted(r["key"] for r in rows) == sorted(r[0] for r in table(spark, SF, "ev").filter("fold = 0").select("key").collect())
+    assert all(np.isfinite([r["lower"], r["upper"]]).all() for r in rows)
