@@ -46,6 +46,13 @@ def task_intervals(t, make, *more):
     return make(centres, residuals, "fold", ["key"], *more)
 
 
+def residuals_and_predictions(t):
+    kind = lambda df, name, value: df.select(F.lit(name).alias("kind"), "key", "fold", F.col(value).alias("value"))
+    residuals, centres = task_out_of_fold(t)
+    return kind(residuals, "residual", "residual").unionByName(kind(centres, "prediction", "y_pred"))
+
+
+add("m7_residuals_and_predictions", residuals_and_predictions, f"WITH {TASK} SELECT 'residual' AS kind, key, fold, round(y_true - y_pred, 6) AS value FROM oof UNION ALL SELECT 'prediction', key, fold, round(y_pred, 6) FROM c")
 add("c3_cv_plus_whole", lambda t: task_intervals(t, C.cv_plus, 0.1), f"WITH {TASK}, v AS ({CVP.format(g='', j='')}) SELECT key, round(lower, 6) AS lower, round(upper, 6) AS upper FROM (SELECT key, {BOUNDS} FROM v)")
 add("c4_mondrian_cv_plus_whole", lambda t: task_intervals(t, C.mondrian_cv_plus, "stratum", 0.1),
     f"""WITH {TASK}, v AS ({CVP.format(g='', j='')}), o AS ({CVP.format(g='c.stratum,', j='AND c.stratum = r.stratum')}), p AS (SELECT key, {BOUNDS} FROM v), q AS (SELECT key, {BOUNDS} FROM o)
@@ -62,6 +69,25 @@ add("m12_split_sensitivity", lambda t: A.summarise(M.cross_validated_line(K.stra
     m AS (SELECT r, f3, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM l)), e AS (SELECT r, avg(abs(y_true - a - b * x)) AS mae FROM k JOIN m USING (r, f3) GROUP BY 1) SELECT round(avg(mae), 6) AS mean, round(stddev_samp(mae), 6) AS sd, count(*) AS size FROM e""")
 add("m13_learning_curve", lambda t: M.learning_curve(t.sql("SELECT x, y_true, s.size FROM ev CROSS JOIN (SELECT 100 AS size UNION ALL SELECT 1000) s WHERE fold <> 0 AND key <= s.size * 4"), t.ev.filter("fold = 0").select("x", "y_true"), "size", "x", "y_true"),
     f"WITH k AS (SELECT x, y_true, size FROM ev, (VALUES (100), (1000)) s(size) WHERE fold <> 0 AND key <= size * 4), m AS (SELECT size, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM (SELECT size, {SUMS} FROM k GROUP BY 1))) SELECT size, round(avg(abs(y_true - a - b * x)), 6) AS mae FROM ev, m WHERE fold = 0 GROUP BY 1")
+SHARES = [1, 10, 30, 100]
+
+
+def nested_curve(t):
+    """Nested subsets of hundredths of the training rows, all of them included, on one test fold."""
+    train = t.ev.filter("fold <> 0")
+    n = train.count()
+    sizes = [-(-n * s // 100) for s in SHARES]
+    entries = K.nested_subsets(train, "key", "stratum", "grp", sizes, 6).filter("entry is not null")
+    tasks = K.learning_curve_tasks(train.join(entries, "key"), "entry", sizes)
+    rows = tasks.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    return M.learning_curve(tasks, t.ev.filter("fold = 0").select("x", "y_true"), "size", "x", "y_true").join(rows, "size")
+
+
+add("m13_learning_curve_nested", nested_curve,
+    f"""WITH tr AS (SELECT * FROM ev WHERE fold <> 0), z AS (SELECT CAST(ceil(count(*) * s / 100) AS INT) AS size FROM tr, (VALUES {", ".join(f"({s})" for s in SHARES)}) v(s) GROUP BY s), c AS (SELECT stratum, count(*) AS n FROM tr GROUP BY 1),
+    q AS (SELECT size, stratum AS st, n * size::DOUBLE / sum(n) OVER (PARTITION BY size) AS share FROM c, z), q2 AS (SELECT size, st, floor(share) AS f, row_number() OVER (PARTITION BY size ORDER BY round(share - floor(share), 9) DESC, st) AS o FROM q), qs AS (SELECT size, st, f + CASE WHEN o <= size - sum(f) OVER (PARTITION BY size) THEN 1 ELSE 0 END AS quota FROM q2),
+    g AS (SELECT stratum, grp, count(*) AS n FROM tr GROUP BY ALL), b AS (SELECT stratum, grp, coalesce(sum(n) OVER (PARTITION BY stratum ORDER BY md5('6:' || grp), grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g), e AS (SELECT grp, min(size) AS entry FROM b JOIN qs ON st = stratum AND b < quota GROUP BY 1),
+    k AS (SELECT x, y_true, size FROM tr JOIN e USING (grp) JOIN z ON entry <= size), m AS (SELECT size, n, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM (SELECT size, {SUMS} FROM k GROUP BY 1))) SELECT size, round(avg(abs(y_true - a - b * x)), 6) AS mae, any_value(n) AS n FROM ev, m WHERE fold = 0 GROUP BY 1""")
 add("m14_bootstrap_ensemble", lambda t: M.bootstrap_predict(t.ev.filter("fold = 0"), M.bootstrap_lines(t.ev.filter("fold <> 0"), "key", "x", "y_true", 10, 17), "key", "x"),
     f"""WITH w AS (SELECT x, y_true, r, {POISSON} AS w FROM (SELECT x, y_true, r, {uniform_sql(17, "r || ':' || key")} AS u FROM ev, range(1, 11) y(r) WHERE fold <> 0)), s AS (SELECT r, sum(w) AS n, sum(w * x) AS sx, sum(w * y_true) AS sy, sum(w * x * x) AS sxx, sum(w * x * y_true) AS sxy FROM w GROUP BY 1), m AS (SELECT r, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM s))
     SELECT key, round(avg(a + b * x), 6) AS y_pred, round(stddev_pop(a + b * x), 6) AS spread FROM ev, m WHERE fold = 0 GROUP BY 1""")

@@ -50,3 +50,17 @@ def test_each_row_of_the_test_fold_has_an_interval(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert sorted(r["key"] for r in rows) == sorted(r[0] for r in table(spark, SF, "ev").filter("fold = 0").select("key").collect())
     assert all(np.isfinite([r["lower"], r["upper"]]).all() for r in rows)
+
+
+def test_learning_curve_ends_with_all_training_rows(spark):
+    sizes = sorted((r["size"], r["n"]) for r in QUERIES["m13_learning_curve_nested"](spark, SF).collect())
+    train = table(spark, SF, "ev").filter("fold <> 0").count()
+    assert len(sizes) == 4 and sizes[-1] == (train, train) and sizes == sorted(sizes, key=lambda x: x[1]) and all(n >= size for size, n in sizes)
+
+
+def test_each_model_predicts_each_test_row(spark):
+    rows = QUERIES["m7_residuals_and_predictions"](spark, SF).collect()
+    ev = table(spark, SF, "ev")
+    want = {(r[0], f) for r in ev.filter("fold = 0").select("key").collect() for f in range(1, 5)}
+    assert {(r["key"], r["fold"]) for r in rows if r["kind"] == "prediction"} == want
+    assert sorted(r["key"] for r in rows if r["kind"] == "residual") == sorted(r[0] for r in ev.filter("fold <> 0").select("key").collect())
