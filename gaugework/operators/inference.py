@@ -98,8 +98,10 @@ def paired_rmse_bootstrap(units: DataFrame, unit: str, square_a: str, square_b:
     return units.agg(gap(F.lit(1)).alias("change")).crossJoin(q).select("change", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
-def sliced_errors(errors: DataFrame, attributes: list[str], method: str, group: str, error: str, reference: str, replicates: int, seed: int) -> DataFrame:
-    """The group bootstrap for every value of every attribute."""
-    cells = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])
+def sliced_errors(errors: DataFrame, attributes: list[str], method: str, group: str, error: str, reference: str, replicates: int, seed: int, pairs: list[tuple[str, str]] = ()) -> DataFrame:
+    """The group bootstrap for every value of every attribute, and of every pair in ``pairs`` ('a x b', with values 'u x v')."""
+    text = lambda c: F.col(c).cast("string")
+    named = [(a, text(a)) for a in attributes] + [(f"{a} x {b}", F.concat(text(a), F.lit(" x "), text(b))) for a, b in pairs]
+    cells = F.array(*[F.struct(F.lit(a).alias("attribute"), v.alias("value")) for a, v in named])
     long = errors.select(method, group, error, F.explode(cells).alias("x")).select(method, group, error, "x.*").filter("value is not null")
     return group_bootstrap(long, ["attribute", "value"], method, group, error, reference, replicates, seed)

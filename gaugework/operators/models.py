@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.randomness import poisson_one, uniform
@@ -77,6 +77,28 @@ def learning_curve(tasks: DataFrame, test: DataFrame, size: str, x: str, y: str)
     return test.join(F.broadcast(model), F.lit(True)).groupBy(size).agg(F.avg(F.abs(F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))).alias("mae"))
 
 
+def compare_additions(base: DataFrame, additions: dict[str, DataFrame], test: DataFrame, key: str, hard: Column, x: str, y: str, replicates: int, seed: int) -> DataFrame:
+    """(arm, n_added, rmse, rmse_hard) of lines on the base rows alone and with each addition, on one test set; for additions also the
+    changes against base, with bootstrap intervals over test rows that are paired: both arms have the same draws."""
+    from .inference import paired_rmse_bootstrap
+
+    tasks = base.select(F.lit("base").alias("arm"), x, y, F.lit(0).alias("_new"))
+    for name, rows in additions.items():
+        tasks = tasks.unionByName(base.select(F.lit(name).alias("arm"), x, y, F.lit(0).alias("_new"))).unionByName(rows.select(F.lit(name).alias("arm"), x, y, F.lit(1).alias("_new")))
+    added = tasks.groupBy("arm").agg(F.sum("_new").alias("n_added"))
+    every = line_predict(test.withColumn("_hard", F.coalesce(hard, F.lit(False))).crossJoin(F.broadcast(added.select("arm"))), line_model(line_sums(tasks, ["arm"], x, y), ["arm"]), ["arm"], x)
+    squares = every.withColumn("_s", (F.col(y) - F.col("y_pred")) * (F.col(y) - F.col("y_pred")))
+    out = squares.groupBy("arm").agg(F.sqrt(F.avg("_s")).alias("rmse"), F.sqrt(F.avg(F.when(F.col("_hard"), F.col("_s")))).alias("rmse_hard")).join(F.broadcast(added), "arm").select("arm", "n_added", "rmse", "rmse_hard")
+    wide = squares.groupBy(key, "_hard").pivot("arm", ["base", *additions]).agg(F.first("_s"))
+    changes = None
+    for name in additions:
+        units = wide.select(key, "_hard", F.col(f"`{name}`").alias("_a"), F.col("base").alias("_b"))
+        named = lambda df, metric: paired_rmse_bootstrap(df, key, "_a", "_b", replicates, seed).toDF(f"{metric}_change", f"{metric}_low", f"{metric}_high")
+        row = named(units, "rmse").crossJoin(named(units.filter("_hard"), "rmse_hard")).withColumn("arm", F.lit(name))
+        changes = row if changes is None else changes.unionByName(row)
+    return out if changes is None else out.join(changes, "arm", "left")
+
+
 def bootstrap_lines(df: DataFrame, key: str, x: str, y: str, members: int, seed: int, fold: str | None = None) -> DataFrame:
     """(member, slope, intercept) on Poisson resamples of the rows."""
     rows = df.withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(members)))).withColumn("_w", poisson_one(uniform(seed, F.col("member"), key)))

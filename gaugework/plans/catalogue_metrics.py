@@ -151,6 +151,10 @@ add("st10_paired_rmse_bootstrap", lambda t: I.paired_rmse_bootstrap(t.sql(ONE),
 add("st11_sliced_errors", lambda t: I.sliced_errors(with_error(t).withColumn("late", F.col("x") >= 12), ["stratum", "late"], "method", "grp", "e", "mean", 50, 5),
     group_bootstrap_sql(f"SELECT method, grp, {ERR} AS e, 'stratum' AS attribute, stratum AS value FROM pred UNION ALL SELECT method, grp, {ERR}, 'late', CASE WHEN x >= 12 THEN 'true' ELSE 'false' END FROM pred", "attribute, value", 5, 50))
 
+LATE = "CASE WHEN x >= 12 THEN 'true' ELSE 'false' END"
+add("st11_sliced_pairs", lambda t: I.sliced_errors(with_error(t).withColumn("late", F.col("x") >= 12), ["stratum", "late"], "method", "grp", "e", "mean", 50, 5, [("stratum", "late")]),
+    group_bootstrap_sql(f"SELECT method, grp, {ERR} AS e, 'stratum' AS attribute, stratum AS value FROM pred UNION ALL SELECT method, grp, {ERR}, 'late', {LATE} FROM pred UNION ALL SELECT method, grp, {ERR}, 'stratum x late', stratum || ' x ' || {LATE} FROM pred", "attribute, value", 5, 50))
+
 # ---- intervals -------------------------------------------------------------------------------------------------------
 
 WIDTH = "list_sort(list(abs(y_true - {p})))[CAST(ceil(0.9 * (count(*) + 1) - 1e-9) AS INT)]"

@@ -10,7 +10,7 @@ from ..operators import extend as X
 from ..operators import models as M
 from ..operators import splits as K
 from .catalogue import add, uniform_sql
-from .catalogue_metrics import BOUNDS, CVP, POISSON
+from .catalogue_metrics import BOUNDS, CVP, POISSON, weights_sql
 
 SUMS = "count(*) AS n, sum(x) AS sx, sum(y_true) AS sy, sum(x * x) AS sxx, sum(x * y_true) AS sxy"
 LESS = ", ".join(f"t.{c} - f.{c} AS {c}" for c in ("n", "sx", "sy", "sxx", "sxy"))
@@ -99,6 +99,13 @@ add("m17_stack_predict", lambda t: M.stack_predict(t.wide.filter("fold <> 0"), t
 add("m18_concat_ridge", lambda t: M.concat_ridge(t.ev.withColumns({"x2": F.col("x") * F.col("x"), "g": (F.col("grp") % 7).cast("double")}), [["x", "x2"], ["g"]], "y_true", "fold", [1.0, 100.0]).select("key", "y_pred"))
 ADD = "SELECT 'base' AS arm, x, y_true FROM ev WHERE fold IN (1, 2) UNION ALL SELECT 'added', x, y_true FROM ev WHERE fold IN (1, 2, 3)"
 add("m19_compare_additions", lambda t: M.learning_curve(t.sql(ADD), t.ev.filter("fold = 0").select("x", "y_true"), "arm", "x", "y_true"), f"WITH k AS ({ADD}), m AS (SELECT arm, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM (SELECT arm, {SUMS} FROM k GROUP BY 1))) SELECT arm, round(avg(abs(y_true - a - b * x)), 6) AS mae FROM ev, m WHERE fold = 0 GROUP BY 1")
+add("m19_additions_bootstrap", lambda t: M.compare_additions(t.ev.filter("fold IN (1, 2)"), {"added": t.ev.filter("fold = 3")}, t.ev.filter("fold = 0").select("key", "x", "y_true"), "key", F.col("x") >= 12, "x", "y_true", 200, 19),
+    f"""WITH k AS ({ADD}), m AS (SELECT arm, n, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM (SELECT arm, {SUMS} FROM k GROUP BY 1))), s AS (SELECT key, arm, x >= 12 AS hard, pow(y_true - a - b * x, 2) AS s FROM ev, m WHERE fold = 0),
+    o AS (SELECT key, hard, max(CASE WHEN arm = 'added' THEN s END) AS sa, max(CASE WHEN arm = 'base' THEN s END) AS sb FROM s GROUP BY ALL), w AS {weights_sql('o', 'key', 200, 19)},
+    r AS (SELECT sqrt(sum(w * sa) / sum(w)) - sqrt(sum(w * sb) / sum(w)) AS g, sqrt(sum(w * sa) FILTER (hard) / sum(w) FILTER (hard)) - sqrt(sum(w * sb) FILTER (hard) / sum(w) FILTER (hard)) AS h FROM o JOIN w USING (key) WHERE w > 0 GROUP BY replicate),
+    q AS (SELECT quantile_cont(g, 0.025) AS gl, quantile_cont(g, 0.975) AS gh, quantile_cont(h, 0.025) AS hl, quantile_cont(h, 0.975) AS hh FROM r), e AS (SELECT arm, sqrt(avg(s)) AS rmse, sqrt(avg(s) FILTER (hard)) AS rmse_hard FROM s GROUP BY 1)
+    SELECT e.arm, m.n - z.n AS n_added, round(e.rmse, 6) AS rmse, round(e.rmse_hard, 6) AS rmse_hard, CASE WHEN e.arm <> 'base' THEN round(e.rmse - y.rmse, 6) END AS rmse_change, CASE WHEN e.arm <> 'base' THEN round(gl, 6) END AS rmse_low, CASE WHEN e.arm <> 'base' THEN round(gh, 6) END AS rmse_high,
+    CASE WHEN e.arm <> 'base' THEN round(e.rmse_hard - y.rmse_hard, 6) END AS rmse_hard_change, CASE WHEN e.arm <> 'base' THEN round(hl, 6) END AS rmse_hard_low, CASE WHEN e.arm <> 'base' THEN round(hh, 6) END AS rmse_hard_high FROM e JOIN m USING (arm), e y, m z, q WHERE y.arm = 'base' AND z.arm = 'base'""")
 add("m20_exclusion_effect", lambda t: M.learning_curve(t.sql("SELECT 'full' AS arm, x, y_true FROM ev WHERE fold <> 0 UNION ALL SELECT 'audited', x, y_true FROM ev WHERE fold <> 0 AND y_true < 100"), t.ev.filter("fold = 0").select("x", "y_true"), "arm", "x", "y_true"),
     f"WITH k AS (SELECT 'full' AS arm, x, y_true FROM ev WHERE fold <> 0 UNION ALL SELECT 'audited', x, y_true FROM ev WHERE fold <> 0 AND y_true < 100), m AS (SELECT arm, b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=0)} AS b FROM (SELECT arm, {SUMS} FROM k GROUP BY 1))) SELECT arm, round(avg(abs(y_true - a - b * x)), 6) AS mae FROM ev, m WHERE fold = 0 GROUP BY 1")
 add("m21_feature_importance", lambda t: M.feature_importance(M.tree_predict(t.sql(SMALL).filter("fold <> 0"), t.sql(SMALL).filter("fold = 0"), ["x", "g"], "y_true", "forest", numTrees=3, maxDepth=3)[1], ["x", "g"], t.spark))

@@ -64,3 +64,20 @@ def test_each_model_predicts_each_test_row(spark):
     want = {(r[0], f) for r in ev.filter("fold = 0").select("key").collect() for f in range(1, 5)}
     assert {(r["key"], r["fold"]) for r in rows if r["kind"] == "prediction"} == want
     assert sorted(r["key"] for r in rows if r["kind"] == "residual") == sorted(r[0] for r in ev.filter("fold <> 0").select("key").collect())
+
+
+def test_compare_additions(spark):
+    """An addition on the true line helps most where the base rows lead astray; the base arm has no change."""
+    df = lambda rows: spark.createDataFrame(rows, "key int, x double, y double")
+    base, more = df([(i, float(i % 5), 0.0) for i in range(20)]), df([(i, float(i % 50), 2.0 * (i % 50)) for i in range(400)])
+    test = df([(i, float(i % 50), 2.0 * (i % 50)) for i in range(100)])
+    got = {r["arm"]: r for r in models.compare_additions(base, {"more": more, "same": base}, test, "key", F.col("x") >= 40, "x", "y", 50, 1).collect()}
+    assert {a: r["n_added"] for a, r in got.items()} == {"base": 0, "more": 400, "same": 20} and got["base"]["rmse_change"] is None
+    r = got["more"]
+    assert r["rmse_hard_change"] < r["rmse_change"] < 0 and r["rmse_low"] <= r["rmse_change"] <= r["rmse_high"] < 0 and r["rmse_hard_low"] <= r["rmse_hard_change"] <= r["rmse_hard_high"] < 0
+    assert r["rmse_change"] == pytest.approx(r["rmse"] - got["base"]["rmse"]) and got["same"]["rmse_change"] == pytest.approx(0)
+
+
+def test_sliced_errors_has_pairs(spark):
+    rows = QUERIES["st11_sliced_pairs"](spark, SF).collect()
+    assert {"stratum", "late", "stratum x late"} == {r["attribute"] for r in rows}
