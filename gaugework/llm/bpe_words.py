@@ -1,9 +1,10 @@
-"""Exact tokenizer ids, at less cost than whole texts through the tokenizers library.
+"""Exact tokenizer ids, at less cost than the tokenizers library takes for whole texts.
 
-Byte-level files go through tiktoken (``ByteEncoder``). Others go through a memo of word chunks: the tokenizers split a text before they merge, and always where a space stands between two characters that
-are not white space (the space goes to the later chunk or is dropped). So the ids of a text are the ids of its chunks
-end to end, and the tokenizers library has to encode each distinct chunk once only. A memo lives as long as its Python worker and has a
-bound; chunks beyond it are encoded again.
+Three encoders give the ids that the library gives with add_special_tokens=False, special tokens' strings in a text included.
+``ByteEncoder``: byte-level files go through tiktoken, which merges by the same ranks. ``WordEncoder``: a file whose words end in a
+suffix; texts of Latin letters become one symbol string with marked word ends, by numpy over many texts at once, and tiktoken merges
+that. ``LibraryEncoder``: every other file, and every text that the other two leave: with a special token's string, with a very long
+run of white space, or of other scripts.
 """
 
 from __future__ import annotations
@@ -11,204 +12,214 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
-MEMO_ENTRIES = 450_000
-#: Characters of texts looked at together, and unknown chunks encoded in one call.
-GROUP_CHARS, JOINED = 1 << 20, 200
-#: A space beside other white space: then chunks are cut by CHUNK_EDGE instead of at each space.
-IRREGULAR = re.compile(r" \s|\s ")
-CHUNK_EDGE = re.compile(r"(?<=\S)(?= \S)")
-BLANK_INSIDE = re.compile(r"\S\s|\s\s|[\t-\r\x00-\x1f]")
-#: Marks that end words; neither an apostrophe, which can begin a contraction, nor any letter or digit.
-CLOSING = ".,!?;:|#*$%&"
-_LOADED: dict[str, ChunkEncoder | ByteEncoder] = {}
+#: Texts laid end to end for one call, in characters.
+GROUP_CHARS = 1 << 20
+#: tiktoken's pattern matcher fails on far longer white space; the library takes those texts.
+LONG_SPACE = re.compile(r"\s{10000}")
+#: The split patterns of the two kinds of files, fixed values.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+_LOADED: dict[str, LibraryEncoder] = {}
 
 
-class SuffixWords:
-    """Ids of words of Latin letters in a byte-level BPE file that marks the end of words, merged by tiktoken.
+def shown_bytes() -> dict[str, int]:
+    """Bytes by the characters that stand for them in a byte-level vocabulary: printable ones by themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-    tiktoken merges bytes by rank. A word's last byte is another symbol than the same byte before it, and all symbols of such words (letters a to z and
-    two-byte letters up to U+017F) are under 256 together, so a word becomes bytes with one code for each symbol, and the file's vocabulary ranks.
-    """
-
-    LEADS, TRAILS, LETTERS = range(0xC2, 0xC6), range(0x80, 0xC0), range(0x61, 0x7B)
-    #: Letters that are their own composed form and lower case form.
-    WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-
-    def __init__(self, vocabulary: dict[str, int], suffix: str, last: int):
-        import tiktoken
-
-        inner, final = [*self.LETTERS, *self.LEADS, *self.TRAILS], [*self.LETTERS, *self.TRAILS]
-        self.inner = {b: k for k, b in enumerate(inner)}
-        self.final = {b: len(inner) + k for k, b in enumerate(final)}
-        shown = ByteEncoder.shown_bytes()
-        ranks: dict[bytes, int] = {}
-        for token, number in vocabulary.items():
-            closed = token.endswith(suffix) and token != suffix
-            raw = [shown.get(c) for c in (token[: -len(suffix)] if closed else token)]
-            codes = [self.inner.get(b) for b in (raw[:-1] if closed else raw)] + ([self.final.get(raw[-1])] if closed else [])
-            if number <= last and None not in codes:
-                ranks[bytes(codes)] = number
-        for code in range(256):
-            ranks.setdefault(bytes([code]), 1_000_000 + code)
-        self.encoding = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
-        self.table = bytes(self.inner.get(b, 255) for b in range(256))
-
-    @classmethod
-    def of(cls, path: str) -> SuffixWords | None:
-        with open(path, encoding="utf-8") as source:
-            model = json.load(source)["model"]
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
-        numbers = [model["vocab"].get(a + b) for a, b in merges]
-        usual = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout") and None not in numbers and numbers == sorted(set(numbers)) and numbers[0] >= 512
-        return cls(model["vocab"], model["end_of_word_suffix"], numbers[-1]) if usual else None
 
-    def encode(self, word: str) -> bytes:
-        raw = word.encode("utf-8")
-        codes = raw[:-1].translate(self.table) + bytes([self.final[raw[-1]]])
-        return np.array(self.encoding._encode_single_piece(codes), dtype="<u4").tobytes()
+def ranked(model: dict) -> bool:
+    """Whether a BPE file's token numbers follow the order of its merges, so that merging by number is merging by rank."""
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+        return False
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    numbers = [model["vocab"].get(a + b) for a, b in merges]
+    return None not in numbers and numbers == sorted(set(numbers)) and (not numbers or numbers[0] >= 256)
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, equal to the library's for the whole text."""
+class LibraryEncoder:
+    """Ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, file: dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        #: Whether the tokenizer lowers ASCII letters, so that their case need not tell chunks apart.
-        self.lower = self.tokenizer.encode("QWERTY", add_special_tokens=False).ids == self.tokenizer.encode("qwerty", add_special_tokens=False).ids
-        self.words = SuffixWords.of(path) if self.lower else None
-        marks = [(m, self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ("\n", " \x01 ")]
-        self.mark, self.mark_id = next(((m, i[0]) for m, i in marks if len(i) == 1), ("\n", None))
-
-    def _encode_many(self, strings: list[str]) -> list[bytes]:
-        """Ids of each of many short strings: those without white space or the mark go as one text, cut again at the mark's id."""
-        apart = [s for s in strings if BLANK_INSIDE.search(s)]
-        skip = set(apart)
-        joint = [s for s in strings if s not in skip]
-        groups = [joint[a : a + JOINED] for a in range(0, len(joint), JOINED)]
-        found: dict[str, bytes] = {}
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(g) + self.mark for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark_id) if self.mark_id is not None else []
-            if len(ends) != len(group):  # the mark is not safe here: one by one
-                apart += group
-                continue
-            raw, starts = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1))
-            found.update((s, raw[4 * a : 4 * b]) for s, a, b in zip(group, starts.tolist(), ends.tolist()))
-        for s, e in zip(apart, self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)):
-            found[s] = np.array(e.ids, dtype="<u4").tobytes()
-        return [found[s] for s in strings]
-
-    def _parts(self, text: str) -> tuple[str, str]:
-        """A chunk as its letters and its closing marks, between which both tokenizers always split; else (chunk, '')."""
-        core = text.rstrip(CLOSING)
-        return (core, text[len(core) :]) if core.lstrip(" ").isalpha() else (text, "")
-
-    def _learn(self, memo: dict[str, bytes], chunks: list[str], lead: str) -> None:
-        split = {c: self._parts(lead + c) for c in dict.fromkeys(chunks)}
-        if self.lower:
-            split = {c: (a.lower() if a.isascii() or self.words and self.words.WORD.fullmatch(a.strip(" ").lower()) else a, b) for c, (a, b) in split.items()}
-        new = list(dict.fromkeys(x for ab in split.values() for x in ab if x and x not in self.parts))
-        if self.words:
-            latin = {x for x in new if self.words.WORD.fullmatch(x.strip(" "))}
-            self.parts.update((x, self.words.encode(x.strip(" "))) for x in latin)
-            new = [x for x in new if x not in latin]
-        if new:
-            self.parts.update(zip(new, self._encode_many(new)))
-        for c, (a, b) in split.items():
-            memo[c] = self.parts[a] + self.parts[b] if b else self.parts[a] if a else b""
-
-    def _split(self, text: str | None) -> tuple[list[str], list[str]]:
-        """Chunks that stand as they are, and chunks that a space comes before."""
-        if not text:
-            return [], []
-        if IRREGULAR.search(text):
-            return CHUNK_EDGE.split(text), []
-        head, *rest = text.split(" ")
-        return [head], rest
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in file.get("added_tokens", [])) or r"(?!)")
+        # a character that every special token has, so that most texts need no search
+        shared = set.intersection(*(set(t["content"]) for t in file["added_tokens"])) if file.get("added_tokens") else set()
+        self.hint = min(shared, key=str.isalnum) if shared else ""
+
+    def plain(self, text: str) -> bool:
+        """Whether the faster path may take the text."""
+        if self.hint in text and self.special.search(text):
+            return False
+        return len(text) < 10_000 or not LONG_SPACE.search(text)
+
+    def slow(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null texts count as empty. Unknown chunks are learnt once for all texts of a group of about GROUP_CHARS."""
-        out: list[bytes] = []
-        group, size = [], 0
-        for k, text in enumerate(texts):
-            group.append(self._split(text))
-            size += len(text or "")
-            if size >= GROUP_CHARS or k == len(texts) - 1:
-                for held in (self.first, self.later, self.parts):
-                    if len(held) > MEMO_ENTRIES:  # strings met early are the frequent ones: keep those
-                        for old in list(held)[MEMO_ENTRIES // 2 :]:
-                            del held[old]
-                for memo, side, lead in ((self.first, 0, ""), (self.later, 1, " ")):
-                    unknown = {c for parts in group for c in parts[side] if c not in memo}
-                    if unknown:
-                        self._learn(memo, sorted(unknown), lead)
-                first, later = self.first, self.later
-                out += [b"".join([first[c] for c in a]) + b"".join([later[c] for c in b]) for a, b in group]
-                group, size = [], 0
-        return out
+        """Ids of each text; null texts count as empty."""
+        return [self.slow(t) if t else b"" for t in texts]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
 
-class ByteEncoder:
-    """Byte-level BPE whose token numbers follow the order of its merges: tiktoken then merges as the tokenizers library does, and faster.
+class ByteEncoder(LibraryEncoder):
+    """Byte-level BPE by tiktoken; the file's own vocabulary gives the ranks."""
 
-    The file's own vocabulary gives the ranks, and its pre-tokenizer the pattern; ``of`` gives None for files of another kind.
-    """
-
-    #: The split pattern of byte-level pre-tokenizers of this kind, a fixed value.
-    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    @staticmethod
+    def takes(file: dict) -> bool:
+        split, model = file.get("pre_tokenizer") or {}, file["model"]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and file.get("normalizer") is None
+        return bool(plain) and ranked(model) and not model.get("end_of_word_suffix")
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, path: str, file: dict):
         import tiktoken
 
-        self.encoding = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        super().__init__(path, file)
+        shown = shown_bytes()
+        added = {t["content"] for t in file.get("added_tokens", [])}
+        ranks = {bytes(shown[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in added}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    @classmethod
-    def of(cls, path: str) -> ByteEncoder | None:
-        with open(path, encoding="utf-8") as source:
-            file = json.load(source)
-        split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
-        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and file.get("normalizer") is None
-        if not plain or model.get("type") != "BPE" or model.get("end_of_word_suffix") or model.get("dropout") or model.get("ignore_merges"):
-            return None
-        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        vocabulary = model["vocab"]
-        numbers = [vocabulary.get(a + b) for a, b in merges]
-        if numbers != sorted(x for x in numbers if x is not None) or (numbers and numbers[0] < 256):
-            return None
-        shown = cls.shown_bytes()
-        ranks = {bytes(shown[c] for c in t): i for t, i in vocabulary.items() if i <= numbers[-1]}
-        return cls(ranks) if len(ranks) == 256 + len(merges) else None
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        fast = self.encoding.encode_to_numpy
+        return [(fast(t, disallowed_special=()).tobytes() if self.plain(t) else self.slow(t)) if t else b"" for t in texts]
+
+
+class WordEncoder(LibraryEncoder):
+    """BPE with marked word ends, for texts of characters up to U+00FF.
+
+    A symbol is a byte of a word, and whether it is the word's last. Symbols become characters: a to z stand for themselves, as last
+    ones for A to Z; digits and ASCII marks stand for themselves as last ones; the others have two-byte characters, which tiktoken joins
+    before all else. Words (runs of letters, single digits, runs of marks, contractions) are found by numpy; white space is dropped.
+    """
+
+    SPACE, LETTER, NUMBER, OTHER = range(4)
+    #: Closes a text: the symbol of byte 255 as a last one, which no UTF-8 text has.
+    MARK = 0x2FF
 
     @staticmethod
-    def shown_bytes() -> dict[str, int]:
-        """Bytes by the characters that stand for them in a byte-level vocabulary: printable ones by themselves, the others from U+0100 on."""
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in set(plain)]
-        return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+    def takes(file: dict) -> bool:
+        normal = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+        split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+        steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        last = steps[-1] or {}
+        level = last.get("type") == "ByteLevel" and not last.get("use_regex") and not last.get("add_prefix_space")
+        return file.get("normalizer") == normal and steps[:-1] == [split] and level and ranked(file["model"]) and bool(file["model"].get("end_of_word_suffix"))
+
+    def __init__(self, path: str, file: dict):
+        import regex
+        import tiktoken
+
+        super().__init__(path, file)
+        inner = np.array([b if chr(b) in "abcdefghijklmnopqrstuvwxyz" else 0x100 + b for b in range(256)])
+        last = np.array([b - 32 if chr(b).islower() and b < 128 else b if 0x21 <= b < 0x7F and not chr(b).isalpha() else 0x200 + b for b in range(256)])
+        suffix, shown = file["model"]["end_of_word_suffix"], shown_bytes()
+        added = {t["content"] for t in file.get("added_tokens", [])}
+        symbols = [chr(c) for c in dict.fromkeys([*inner.tolist(), *last.tolist()])]
+        ranks = {s.encode(): k for k, s in enumerate(symbols) if ord(s) >= 128}
+        for b in range(256):
+            ranks.setdefault(bytes([b]), len(symbols) + b)
+        base = len(symbols) + 256
+        number = np.zeros(base + len(file["model"]["vocab"]), dtype="<u4")
+        for token, i in file["model"]["vocab"].items():
+            if token in added:
+                continue
+            closed = token.endswith(suffix)
+            raw = [shown[c] for c in (token[: -len(suffix)] if closed else token)]
+            coded = "".join(chr(inner[b]) for b in raw[: len(raw) - closed]) + (chr(last[raw[-1]]) if closed else "")
+            rank = ranks.setdefault(coded.encode(), base + i)
+            number[rank] = i
+        self.number = number
+        closing = "".join(re.escape(chr(c)) for c in sorted(set(last.tolist())))
+        self.encoding = tiktoken.Encoding("words", pat_str=f"[^{closing}]*[{closing}]", mergeable_ranks=ranks, special_tokens={})
+        self.mark_id = int(number[ranks[chr(self.MARK).encode()]])
+        kind, low = np.zeros(256, dtype=np.uint8), np.zeros(256, dtype=np.uint8)
+        for c in range(256):
+            low[c] = ord(chr(c).lower())
+            group = unicodedata.category(chr(c))[0]
+            kind[c] = self.LETTER if group == "L" else self.NUMBER if group == "N" else self.SPACE if regex.match(r"\s", chr(c)) else self.OTHER
+        self.kind = kind
+        # codes by lower-cased character: its lead byte where it has two, and its last byte, inner and closing
+        trail = [c if c < 128 else 0x80 | c & 0x3F for c in low.tolist()]
+        self.lead = np.array([inner[0xC0 | c >> 6] if c >= 128 else 0 for c in low.tolist()], dtype="<u2")
+        self.tail = np.stack([inner[trail], last[trail]]).astype("<u2")
+
+    def coded(self, raw: np.ndarray, marks: np.ndarray) -> str:
+        """The symbol string of texts in Latin-1, each closed by a line end at one of ``marks``."""
+        kind = self.kind[raw]
+        after = np.append(kind[1:], 0)
+        closes = (kind == self.NUMBER) | ((kind != self.SPACE) & (kind != after))
+        for at in np.flatnonzero((raw == 0x27) & (after == self.LETTER)).tolist():
+            if at and kind[at - 1] == self.OTHER:
+                continue
+            ahead = raw[at + 1 : at + 3].tobytes().decode("latin-1").lower()
+            found = next((c for c in CONTRACTIONS if ahead.startswith(c)), None)
+            if found:
+                closes[at], closes[at + len(found)] = False, True
+        kept = kind != self.SPACE
+        kept[marks] = True
+        wide = (raw >= 128) & kept
+        where = np.cumsum(kept + wide.view(np.int8), dtype=np.int64) - 1
+        out = np.empty(int(where[-1]) + 1, dtype="<u2")
+        code = np.where(closes, self.tail[1][raw], self.tail[0][raw])
+        code[marks] = self.MARK
+        out[where[kept]] = code[kept]
+        out[where[wide] - 1] = self.lead[raw[wide]]
+        return out.tobytes().decode("utf-16-le")
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null texts count as empty."""
-        return [np.array(self.encoding.encode_ordinary(t), dtype="<u4").tobytes() if t else b"" for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        group: list[int] = []
+        held: list[bytes] = []
+        size = 0
+
+        def settle() -> None:
+            nonlocal group, held, size
+            if group:
+                raw = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+                marks = np.cumsum([len(x) + 1 for x in held]) - 1
+                ids = self.number[self.encoding.encode_to_numpy(self.coded(raw, marks), disallowed_special=())]
+                ends = np.flatnonzero(ids == self.mark_id)
+                packed, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
+                for k, a, b in zip(group, starts.tolist(), ends.tolist()):
+                    out[k] = packed[4 * a : 4 * b]
+            group, held, size = [], [], 0
 
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_many([text])[0]
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            try:
+                latin = text.encode("latin-1") if self.plain(text) else None
+            except UnicodeEncodeError:
+                latin = None
+            if latin is None:
+                out[k] = self.slow(text)
+                continue
+            group.append(k)
+            held.append(latin)
+            size += len(latin)
+            if size >= GROUP_CHARS:
+                settle()
+        settle()
+        return out
 
 
-def encoder(path: str) -> ChunkEncoder | ByteEncoder:
+def encoder(path: str) -> LibraryEncoder:
     """The Python worker's encoder for a tokenizer file."""
     if path not in _LOADED:
-        _LOADED[path] = ByteEncoder.of(path) or ChunkEncoder(path)
+        with open(path, encoding="utf-8") as source:
+            file = json.load(source)
+        kind = next((k for k in (ByteEncoder, WordEncoder) if k.takes(file)), LibraryEncoder)
+        _LOADED[path] = kind(path, file)
     return _LOADED[path]

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from .common import split_batches
 
 SPACE = "▁"
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 400_000
 PAIR_ENTRIES = 1_000_000
+_NONE = hashlib.sha256(b"").hexdigest()
 _LOADED: dict[str, PieceBpe] = {}
 
 
@@ -44,10 +45,12 @@ class PieceBpe:
         self.reached = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}
         self.automaton = ahocorasick.Automaton()
         for p in self.reached:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.pair_count = 0
         self.prefixes: dict[str, str | None] = {}
+        self.forms: dict[str, tuple[int, str, bytes]] = {}
         self.memo: dict[str, tuple[int, str, bytes]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -78,11 +81,12 @@ class PieceBpe:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether merging the two pieces' characters again gives the two pieces."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > PAIR_ENTRIES:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        if self.pair_count > PAIR_ENTRIES:
+            self.pairs.clear()
+            self.pair_count = 0
+        self.pair_count += 1
+        known = self.merged(left + right) == [left, right]
+        self.pairs.setdefault(left, {})[right] = known
         return known
 
     def shorter(self, piece: str) -> str | None:
@@ -94,21 +98,18 @@ class PieceBpe:
 
     def split(self, chunk: str) -> list[str]:
         """Pieces of a chunk; a character that no piece covers stands as itself."""
-        longest: dict[int, int] = {}
-        for end, length in self.automaton.iter(chunk):
-            start = end - length + 1
-            if length > longest.get(start, 0):
-                longest[start] = length
+        # matches come in order of their ends, so the longest from a start is the last
+        longest = {end - reach: piece for end, (reach, piece) in self.automaton.iter(chunk)}
         pairs, fits = self.pairs, self.fits
         laid: list[str] = []
-        at, failed, size, last = 0, 0, len(chunk), None
+        at, failed, size, last, after = 0, 0, len(chunk), None, {}
         piece: str | None
         while at < size:
-            piece = chunk[at : at + longest.get(at, 1)]
+            piece = longest.get(at) or chunk[at]
             while True:
                 while piece is not None:
-                    if not failed >> (at + len(piece)) & 1:
-                        good = last is None or pairs.get((last, piece))
+                    if not failed or not failed >> (at + len(piece)) & 1:
+                        good = last is None or after.get(piece)
                         if good or good is None and fits(last, piece):
                             break
                     piece = self.shorter(piece)
@@ -120,9 +121,11 @@ class PieceBpe:
                 piece = laid.pop()
                 at -= len(piece)
                 last = laid[-1] if laid else None
+                after = pairs.get(last) or {}
+                piece = self.shorter(piece)
             laid.append(piece)
             at += len(piece)
-            last = piece
+            last, after = piece, pairs.get(piece) or {}
         return laid
 
     def ids_of(self, pieces: list[str]) -> list[int]:
@@ -161,23 +164,37 @@ class PieceBpe:
             raw = raw[1:]
         return raw.decode("utf-8", errors="replace")
 
+    def form(self, piece: str) -> tuple[int, str, bytes]:
+        """Number of ids of a piece, the ids in decimal, and the bytes that they decode to."""
+        known = self.forms.get(piece)
+        if known is None:
+            ids = self.ids_of([piece])
+            known = len(ids), ",".join(map(str, ids)), self.raw_bytes(ids)
+            if piece in self.ids:
+                self.forms[piece] = known
+        return known
+
+    def chunk_form(self, chunk: str) -> tuple[int, str, bytes]:
+        n, ids, raw = zip(*map(self.form, self.split(chunk)))
+        return sum(n), ",".join(ids), b"".join(raw)
+
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the ids decoded."""
-        n, numbers, raw = 0, [], []
-        for chunk in self.chunks(text):
-            known = self.memo.get(chunk)
-            if known is None:
-                ids = self.ids_of(self.split(chunk))
-                known = len(ids), ",".join(map(str, ids)), self.raw_bytes(ids)
-                if len(self.memo) > MEMO_ENTRIES:  # keep what was met early: the frequent chunks
-                    for k in list(self.memo)[MEMO_ENTRIES // 2 :]:
-                        del self.memo[k]
-                self.memo[chunk] = known
-            n += known[0]
-            numbers.append(known[1])
-            raw.append(known[2])
+        if not text:
+            return 0, _NONE, _NONE
+        memo = self.memo
+        if self.cut and "  " not in text and SPACE not in text and text[0] != " ":
+            chunks, lead = text.split(" "), SPACE  # each word is a chunk with its space
+        else:
+            chunks, lead = self.chunks(text), ""
+        if len(memo) > MEMO_ENTRIES:  # keep what was met early: the frequent chunks
+            for k in list(memo)[MEMO_ENTRIES // 2 :]:
+                del memo[k]
+        for c in set(chunks).difference(memo) if lead else ():
+            memo[c] = self.chunk_form(lead + c)
+        n, ids, raw = zip(*[memo[c] for c in chunks] if lead else map(self.chunk_form, chunks))
         decoded = b"".join(raw)
-        return n, hashlib.sha256(",".join(numbers).encode()).hexdigest(), hashlib.sha256(decoded[1:] if decoded[:1] == b" " else decoded).hexdigest()
+        return sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded[1:] if decoded[:1] == b" " else decoded).hexdigest()
 
 
 def loaded(path: str) -> PieceBpe:
@@ -212,7 +229,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
 
 
 def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each text; a null text counts as empty. Keys may be null or repeat."""
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each text.
+
+    A null text counts as empty and has no ids. Keys may be null or repeat: each row has its own result, equal texts equal ones. Texts of any
+    length are encoded whole. Other columns are dropped; an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)

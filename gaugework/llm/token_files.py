@@ -147,8 +147,9 @@ def _filesystem(uri: str):
 def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write all documents in ascending key order (nulls first); one row a shard: shard, path, n_docs, n_ids.
 
-    Documents are dealt by key range, sorted within, and encoded where they are written. A null text counts as empty: its ids are
-    the end id alone. A partition of many ids becomes several shards. The key must be a long or null; repeats are kept, in any order.
+    Documents are dealt by range of key and text hash, sorted within, and encoded where they are written. A null text counts as empty: its
+    ids are the end id alone. A partition of many ids becomes several shards. The key must be a long or null; rows of equal keys are kept side by
+    side, numbered within their shard. Other columns are dropped. An empty table writes no shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +195,10 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, end_id: int =
         if keys:
             yield flush()
 
+    # the text's hash beside the key, so that rows of one key (or of none) can lie in several ranges
     rows = df.select(F.col(key).cast("long").alias(key), text)
-    return rows.repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first()).mapInArrow(run, "shard string, path string, n_docs long, n_ids long")
+    order = [F.col(key).asc_nulls_first(), F.xxhash64(text)]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "shard string, path string, n_docs long, n_ids long")
 
 
 def read_shards(spark: SparkSession, shards: list[tuple[str, str, int, int]], key: str = "doc_id") -> DataFrame:
