@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +25,16 @@ def token_path(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is unset, a new local one in local mode (as in tests);
+    a cluster without one raises, as executors cannot see a folder of the driver's machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = path.get() if path.isDefined() else "file://" + tempfile.mkdtemp(prefix="gaugework-")
+        path = path.get() if path.isDefined() else None
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="gaugework-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path if "://" in path or path.startswith("file:") else "file://" + path
 
@@ -40,22 +43,38 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/gaugework/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: its lineage is cut and a lost executor loses nothing."""
+#: Spark drops a query's shuffle files when the query ends, instead of when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, finished: Iterable[DataFrame] = ()) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: its lineage is cut and a lost executor loses nothing.
+
+    Its shuffle files go when it is written, and so do the tables of this function that ``finished`` lists, which nothing may read any more.
+    """
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    # shuffles of finished jobs are garbage now: let Spark's cleaner see that, as their files else stay until the driver's next collection
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs before a further large shuffle. It learns of them from two collections."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    for old in finished:
+        delete_table(spark, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def delete_table(spark: SparkSession, table: DataFrame) -> None:
+    """Drop a table that ``written`` made."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(table._written_path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dealt(df: DataFrame, shards: int, column: str) -> DataFrame:
+    """Each number of ``column`` (int, 0 to ``shards`` - 1) in a partition of its own."""
+    return df.repartitionById(shards, F.col(column))
 
 
 def map_texts(df: DataFrame, columns: list[str], schema: str, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:

@@ -3,16 +3,16 @@
 No transform can hold a corpus, so windows of the minimum length are first dealt to pools in which all their equals are:
 each window goes by its anchor, the least hash among its short grams, which depends on its bytes only. Neighbouring windows with
 one anchor travel as one segment. A first exchange counts anchors and segments, so that segments of anchors found once stay home
-and of equal segments one is sent; its copies add weight. A second brings each anchor's different segments into one pool, whose
+and of equal segments one is sent, with its copies as weight. A second brings each anchor's different segments into one pool, whose
 transform decides every window (``bwt.repeated_suffixes``), and verdicts go back to all blocks that hold the segment.
-An anchor of more different segments than a pool should hold (a passage in very many texts) is dealt on: its windows go each by
-their own 64-bit hash, and are counted.
+An anchor of more different segments than a pool should hold (a passage in very many texts) is dealt on: each of its windows becomes a segment of
+its own, is counted in the same way, and goes to the transforms with the others if it is found twice.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_suffixes
-from .common import mix64, pack_rows, read_rows, split_batches, written
+from .common import dealt, mix64, pack_rows, read_rows, split_batches, written
 
 LEAST, GRAM = 200, 32
 BLOCK_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
@@ -35,6 +35,7 @@ BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 FOUND_TWICE, SENDS, WEIGHTY, CROWDED = 1, 2, 4, 8
 _PLACE = np.uint64((1 << 26) - 1)
+_HALF = np.uint64(32)
 
 
 class Hasher:
@@ -57,20 +58,19 @@ class Hasher:
             return mix64((self.sums[start + size] - self.sums[start]) * self.down[start] + np.asarray(size).astype(np.uint64))
 
 
-def segments(raw: np.ndarray, lengths: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Hasher]:
+def segments(raw: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, number of windows, anchor hash and content hash of each segment of documents laid end to end.
 
-    Each window of ``least`` bytes within a document is in one segment, by the first of its grams of least hash.
+    ``ends``: for each place the end of its document. Each window of ``least`` bytes within a document is in one segment, by the first of its grams of least hash.
     """
     none = np.zeros(0, dtype=np.int64)
-    if len(raw) < least:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), Hasher(raw)
-    if len(raw) > int(_PLACE):
-        raise ValueError("a slice of more than 64 MiB")
+    width = least - gram + 1
+    windows = np.flatnonzero(np.arange(len(raw)) + least <= ends)
+    if not len(windows):
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     hasher = Hasher(raw)
     grams = np.arange(len(raw) - gram + 1)
     hashes = hasher.of(grams, gram)
-    width = least - gram + 1
     best = (hashes & ~_PLACE) | grams.astype(np.uint64)
     reach = 1
     while 2 * reach <= width:
@@ -78,87 +78,143 @@ def segments(raw: np.ndarray, lengths: np.ndarray, least: int, gram: int) -> tup
         reach *= 2
     if reach < width:
         best = np.minimum(best[: len(best) - (width - reach)], best[width - reach :])
-    ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    windows = np.flatnonzero(np.arange(len(best)) + least <= ends[owner[: len(best)]])
-    if not len(windows):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), hasher
     anchor = (best[windows] & _PLACE).astype(np.int64)
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1))
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(windows)))
     start = windows[at]
-    return start, count, hashes[anchor[at]], hasher.of(start, count + least - 1), hasher
+    return start, count, mix64(hashes[anchor[at]]), hasher.of(start, count + least - 1)
 
 
-class Block:
-    """A block's segments, its distinct ones in the order of its questions."""
-
-    def __init__(self, payload: bytes, text: str, shards: int, least: int, gram: int):
-        self.batch = read_rows(payload)
-        texts = self.batch.column(text).cast(pa.large_binary()).fill_null(b"")
-        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.lengths, self.least = lengths, least
-        self.raw = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
-        cut = np.flatnonzero(np.diff(np.append(-1, (np.cumsum(lengths) - lengths) // SLICE_BYTES)))  # documents in slices of about equal size
-        cut = np.append(cut, len(lengths))
-        byte = np.concatenate(([0], np.cumsum(lengths)))
-        parts = [(byte[a], *segments(self.raw[byte[a] : byte[b]], lengths[a:b], least, gram)) for a, b in zip(cut[:-1], cut[1:])]
-        if not parts:
-            parts = [(0, *segments(self.raw, lengths, least, gram))]
-        self.hashers = [(p[0], p[5]) for p in parts]
-        self.start = np.concatenate([p[0] + p[1] for p in parts])
-        self.count = np.concatenate([p[2] for p in parts])
-        anchor, content = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
-        shard = (mix64(anchor) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((content, anchor, shard))
-        sa, sc = anchor[order], content[order]
-        new = np.append(True, (sa[1:] != sa[:-1]) | (sc[1:] != sc[:-1])) if len(order) else np.zeros(0, bool)
-        self.item = np.empty(len(order), dtype=np.int64)  # of each segment among the distinct ones
-        self.item[order] = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        self.example = order[at]
-        self.anchor, self.content = sa[at], sc[at]
-        self.times = np.minimum(np.diff(np.append(at, len(order))), 2)
-        self.cuts = np.searchsorted(shard[order][at], np.arange(shards + 1))
-
-    def window_hashes(self, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of all windows of some segments."""
-        count = self.count[segment]
-        starts = np.repeat(self.start[segment] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-        out = np.empty(len(starts), dtype=np.uint64)
-        edges = np.array([h[0] for h in self.hashers])
-        which = np.searchsorted(edges, starts, side="right") - 1
-        for k, (offset, hasher) in enumerate(self.hashers):
-            mine = which == k
-            if mine.any():
-                out[mine] = hasher.of(starts[mine] - offset, self.least)
-        return starts, out
-
-
-def blocks(df: DataFrame, text: str) -> DataFrame:
-    """Rows in blocks of some megabytes, with all their columns."""
+def block_segments(raw: np.ndarray, lengths: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``segments`` of a block, made slice by slice; slices overlap, so that they need not end with a document."""
+    ends = np.cumsum(lengths)
+    parts = []
+    for a in range(0, max(1, len(raw)), SLICE_BYTES):
+        b = min(len(raw), a + SLICE_BYTES + least - 1)
+        first, last = np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b, side="left")
+        mine = ends[first : last + 1]
+        inside = np.diff(np.concatenate(([a], np.minimum(mine, b))))
+        start, *others = segments(raw[a:b], np.repeat(mine, inside) - a, least, gram)
+        parts.append((start + a, *others))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+BLOCK = "block long, n_bytes long, payload binary, starts binary, counts binary, items binary, anchors binary, contents binary, times binary"
+
+
+def blocks(df: DataFrame, text: str, least: int, gram: int) -> DataFrame:
+    """Rows in blocks of some megabytes with all their columns, and each block's segments.
+
+    ``starts``, ``counts``, ``items``: of every segment, its place, its windows and its number among the block's different ones, which
+    ``anchors``, ``contents`` and ``times`` (2: twice or more) list in order of their anchors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in (s for b in batches for s in split_batches([b], text, rows=1 << 20, size=BLOCK_BYTES)):
-            size = pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size], pa.int64()), pa.array([pack_rows(batch)], pa.binary())], names=["block", "n_bytes", "payload"])
+            raw, lengths = text_bytes(batch.column(text))
+            start, count, anchor, content = block_segments(raw, lengths, least, gram)
+            order = np.lexsort((content, anchor))
+            sa, sc = anchor[order], content[order]
+            new = np.append(True, (sa[1:] != sa[:-1]) | (sc[1:] != sc[:-1])) if len(order) else np.zeros(0, bool)
+            item = np.empty(len(order), dtype="<u4")
+            item[order] = np.cumsum(new) - 1
+            at = np.flatnonzero(new)
+            times = np.minimum(np.diff(np.append(at, len(order))), 2).astype(np.uint8)
+            gaps = np.diff(start, prepend=0).astype("<u4")
+            row = [number, len(raw), pack_rows(batch), squeeze(gaps.tobytes()), squeeze(count.astype("<u2").tobytes()), squeeze(item.tobytes()), sa[at].tobytes(), sc[at].tobytes(), squeeze(times.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k < 2 else pa.binary()) for k, v in enumerate(row)], names=[x.split(" ")[0] for x in BLOCK.split(", ")])
             number += 1
 
-    return df.mapInArrow(run, "block long, n_bytes long, payload binary")
+    return df.mapInArrow(run, BLOCK)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes end to end, and their lengths."""
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    return np.frombuffer(b"".join(texts.to_pylist()), np.uint8), pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+class Block:
+    """A block's segments and different items, as ``blocks`` wrote them."""
+
+    def __init__(self, row: dict, text: str, least: int):
+        loose = zstandard.ZstdDecompressor().decompress
+        self.least = least
+        self.anchor, self.content = np.frombuffer(row["anchors"], "<u8"), np.frombuffer(row["contents"], "<u8")
+        if "times" in row:
+            self.times = np.frombuffer(loose(row["times"]), np.uint8)
+        if "payload" in row:
+            self.batch = read_rows(row["payload"])
+            self.raw, self.lengths = text_bytes(self.batch.column(text))
+            self.start = np.cumsum(np.frombuffer(loose(row["starts"]), "<u4").astype(np.int64))
+            self.count = np.frombuffer(loose(row["counts"]), "<u2").astype(np.int64)
+            self.item = np.frombuffer(loose(row["items"]), "<u4").astype(np.int64)
+            self.example = np.empty(len(self.anchor), dtype=np.int64)
+            self.example[self.item] = np.arange(len(self.item))
+
+    def windows_of(self, chosen: np.ndarray) -> np.ndarray:
+        """Starts of all windows of some segments."""
+        count = self.count[chosen]
+        return np.repeat(self.start[chosen] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+    def crowded_windows(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of the segments whose items are crowded: all their starts, each one's number among the different ones, and those: hash, times."""
+        chosen = np.flatnonzero(kind[self.item] & CROWDED) if len(kind) else np.zeros(0, np.int64)
+        starts = self.windows_of(chosen)
+        if not len(starts):
+            return starts, starts, np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        size = self.count[chosen] + self.least - 1
+        laid = np.repeat(self.start[chosen] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        first = np.cumsum(size) - size  # of each chosen segment among the bytes laid
+        count = self.count[chosen]
+        hashes = mix64(Hasher(self.raw[laid]).of(np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(starts)), self.least))
+        known, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        return starts, which, known, np.minimum(times, 2).astype(np.uint8)
+
+
+def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of the anchors' mixed hashes."""
+    return ((anchor >> _HALF) * np.uint64(shards) >> _HALF).astype(np.int64)
+
+
+def runs(sorted_numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each number of a sorted array, and where it stands."""
+    cuts = np.flatnonzero(np.append(True, sorted_numbers[1:] != sorted_numbers[:-1])) if len(sorted_numbers) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sorted_numbers)]):
+        yield int(sorted_numbers[a]), slice(a, b)
+
+
+def gathered(answers: dict[int, bytes], shard: np.ndarray) -> np.ndarray:
+    """One byte for each item of sorted shards, from the shards' answers."""
+    loose = zstandard.ZstdDecompressor().decompress
+    parts = [np.frombuffer(loose(answers[s]), np.uint8) for s, _ in runs(shard)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
 
+_QUESTION = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("times", "u1")])
+_ITEM = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("size", "<u4"), ("kind", "u1")])
+#: What a reply is: kinds of items, kinds of crowded windows, verdicts.
+ITEMS, WINDOWS, VERDICTS = range(3)
+REPLY = "block long, shard int, tag int, data binary, crowded boolean"
+
+
+def replies(table: pa.Table, tag: int, data: list[bytes], crowded: list[bool] | None = None) -> pa.Table:
+    n = len(data)
+    return pa.Table.from_arrays([table.column("block"), table.column("shard"), pa.array([tag] * n, pa.int32()), pa.array(data, pa.binary()), pa.array(crowded or [False] * n)], names=[x.split(" ")[0] for x in REPLY.split(", ")])
 
-def count_segments(most: int):
-    """First exchange, one shard: what is known of each segment that a block asks about."""
+
+def count_items(tag: int, most: int | None) -> Callable[[pa.Table], pa.Table]:
+    """An exchange's shard: what is known of each item that a block asks about."""
 
     def run(table: pa.Table) -> pa.Table:
-        asked = [np.frombuffer(x.as_py(), np.dtype([("anchor", "<u8"), ("content", "<u8"), ("times", "u1")])) for x in table.column("question")]
-        block = np.repeat(table.column("block").to_numpy(), [len(a) for a in asked])
+        asked = [np.frombuffer(x.as_py(), _QUESTION) for x in table.column("question")]
         every = np.concatenate(asked)
-        order = np.lexsort((block, every["content"], every["anchor"]))
+        order = np.lexsort((every["content"], every["anchor"]))
         anchor, content, times = every["anchor"][order], every["content"][order], every["times"][order].astype(np.int64)
         new_anchor = np.append(True, anchor[1:] != anchor[:-1])
         new = new_anchor | np.append(True, content[1:] != content[:-1])
@@ -167,129 +223,128 @@ def count_segments(most: int):
         weight = np.bincount(which, weights=times)[which]
         different = np.bincount(which_anchor, weights=new)[which_anchor]
         kind = np.zeros(len(order), dtype=np.uint8)
-        kind[order] = np.where(found > 1, FOUND_TWICE, 0) | np.where(new, SENDS, 0) | np.where(weight > 1, WEIGHTY, 0) | np.where(different > most, CROWDED, 0)
+        kind[order] = np.where(found > 1, FOUND_TWICE, 0) | np.where(new, SENDS, 0) | np.where(weight > 1, WEIGHTY, 0) | np.where(different > most if most else False, CROWDED, 0)
         cuts = np.cumsum([0, *map(len, asked)])
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        return pa.Table.from_arrays([table.column("block"), table.column("shard"), pa.array([squeeze(kind[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["block", "shard", "answer"])
+        parts = [kind[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return replies(table, tag, [squeeze(p.tobytes()) for p in parts], [bool((p & CROWDED).any()) for p in parts])
 
     return run
 
 
-_ITEM = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("size", "<u4"), ("kind", "u1")])
-
-
-def decide(least: int):
-    """Second exchange, one shard: verdicts on the windows of segments, and counts of single windows."""
+def decide(least: int) -> Callable[[pa.Table], pa.Table]:
+    """The last exchange's shard: verdicts on the windows of items, from the transforms of their pools."""
 
     def run(table: pa.Table) -> pa.Table:
         loose, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        items = [np.frombuffer(loose(x.as_py()), _ITEM) for x in table.column("items")]
-        every = np.concatenate(items)
-        name, where = np.unique(every[["anchor", "content"]], return_inverse=True)
-        held: dict[int, tuple[bytes, bool]] = {}
+        asked = [np.frombuffer(loose(x.as_py()), _ITEM) for x in table.column("items")]
+        every = np.concatenate(asked)
+        order = np.lexsort((every["content"], every["anchor"]))
+        anchor, content = every["anchor"][order], every["content"][order]
+        new_anchor = np.append(True, anchor[1:] != anchor[:-1])
+        new = new_anchor | np.append(True, content[1:] != content[:-1])
+        where = np.empty(len(every), dtype=np.int64)
+        where[order] = np.cumsum(new) - 1
+        opens = new_anchor[new].tolist()
+        held: list[bytes] = [b""] * len(opens)
         at = 0
-        for asked, contents in zip(items, table.column("contents")):
+        for items, contents in zip(asked, table.column("contents")):
             data, place = loose(contents.as_py()), 0
-            for k in np.flatnonzero(asked["kind"] & SENDS):
-                size = int(asked["size"][k])
-                held[int(where[at + k])] = data[place : place + size], bool(asked["kind"][k] & WEIGHTY)
+            sends = np.flatnonzero(items["kind"] & SENDS)
+            for k, size in zip(where[at + sends].tolist(), items["size"][sends].tolist()):
+                held[k] = data[place : place + size]
                 place += size
-            at += len(asked)
-        verdicts: list[np.ndarray | None] = [None] * len(name)
-        pool: list[int] = []
-        size = 0
-
-        def settle() -> None:
-            nonlocal pool, size
-            if pool:
-                flags, starts = repeated_suffixes([held[k][0] for k in pool], least)
-                for k, a in zip(pool, starts):
-                    windows = len(held[k][0]) - least + 1
-                    # a weighty segment stands for two or more equal ones, so every suffix of the needed length has its twin
-                    verdicts[k] = np.ones(windows, dtype=bool) if held[k][1] else flags[a : a + windows]
-            pool, size = [], 0
-
-        for k in range(len(name)):  # in order of anchors; a pool ends between two anchors
-            if size >= POOL_BYTES and name["anchor"][k] != name["anchor"][k - 1]:
-                settle()
-            pool.append(k)
-            size += len(held[k][0]) + 1
-        settle()
-        windows = [np.frombuffer(x.as_py(), np.dtype([("hash", "<u8"), ("times", "u1")])) for x in table.column("windows")]
-        every_window = np.concatenate(windows)
-        _, which = np.unique(every_window["hash"], return_inverse=True)
-        twice = np.bincount(which, weights=every_window["times"])[which] > 1 if len(which) else np.zeros(0, bool)
-        rows, at, w = [], 0, 0
-        for asked, one in zip(items, windows):
-            bits = np.concatenate([np.zeros(0, bool), *(verdicts[k] for k in where[at : at + len(asked)])])
-            rows.append(squeeze(np.packbits(np.concatenate((bits, twice[w : w + len(one)]))).tobytes()))
-            at, w = at + len(asked), w + len(one)
-        return pa.Table.from_arrays([table.column("block"), table.column("shard"), pa.array(rows, pa.binary())], names=["block", "shard", "verdict"])
+            at += len(items)
+        weights = np.ones(len(opens), dtype=np.int64)
+        weights[where] = 1 + (every["kind"] & WEIGHTY > 0)
+        verdicts: list[np.ndarray] = []
+        pool, size = 0, 0
+        for k in range(len(held) + 1):  # in order of anchors; a pool ends between two anchors
+            if k == len(held) or size >= POOL_BYTES and opens[k]:
+                flags, starts = repeated_suffixes(held[pool:k], least, weights[pool:k].tolist())
+                verdicts += [flags[a : a + len(x) - least + 1] for x, a in zip(held[pool:k], starts.tolist())]
+                pool, size = k, 0
+            if k < len(held):
+                size += len(held[k]) + 1
+        rows, at = [], 0
+        for items in asked:
+            rows.append(squeeze(np.packbits(np.concatenate([verdicts[k] for k in where[at : at + len(items)].tolist()])).tobytes()))
+            at += len(items)
+        return replies(table, VERDICTS, rows)
 
     return run
 
 
 class Requests:
-    """What a block sends in the second exchange, from its answers in the first."""
-
-    def __init__(self, block: Block, answers: dict[int, bytes], shards: int):
-        loose = zstandard.ZstdDecompressor().decompress
-        kinds = [np.frombuffer(loose(answers[s]), np.uint8) for s in range(shards) if block.cuts[s + 1] > block.cuts[s]]
-        self.kind = np.concatenate(kinds) if kinds else np.zeros(0, np.uint8)
-        self.shards = shards
-        whole = (self.kind & FOUND_TWICE > 0) & (self.kind & CROWDED == 0)
-        self.whole = [np.flatnonzero(whole[a:b]) + a for a, b in zip(block.cuts[:-1], block.cuts[1:])]
-        crowded = np.flatnonzero(self.kind[block.item] & CROWDED) if len(block.item) else np.zeros(0, np.int64)
-        self.starts, hashes = block.window_hashes(crowded)
-        shard = (mix64(hashes) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((hashes, shard))
-        new = np.append(True, hashes[order][1:] != hashes[order][:-1]) if len(order) else np.zeros(0, bool)
-        self.window_item = np.empty(len(order), dtype=np.int64)
-        self.window_item[order] = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        self.window_hash = hashes[order][at]
-        self.window_times = np.minimum(np.diff(np.append(at, len(order))), 2)
-        self.window_cuts = np.searchsorted(shard[order][at], np.arange(shards + 1))
-
-    def used(self) -> Iterator[tuple[int, np.ndarray, slice]]:
-        for s in range(self.shards):
-            a, b = self.window_cuts[s], self.window_cuts[s + 1]
-            if len(self.whole[s]) or b > a:
-                yield s, self.whole[s], slice(a, b)
-
-
-def covered(block: Block, answers: dict[int, bytes], verdicts: dict[int, bytes], shards: int) -> np.ndarray:
+    """What a block sends to the transforms, from the answers it has: items found twice, and in place of crowded ones their windows found twice."""
+
+    def __init__(self, block: Block, answers: dict[tuple[int, int], bytes], shards: int):
+        pick = lambda tag: {s: d for (t, s), d in answers.items() if t == tag}
+        shard = shard_of(block.anchor, shards)
+        kind = gathered(pick(ITEMS), shard)
+        self.items = np.flatnonzero((kind & FOUND_TWICE > 0) & (kind & CROWDED == 0))
+        self.starts, self.which, hashes, _ = block.crowded_windows(kind)
+        window_shard = shard_of(hashes, shards)
+        window_kind = gathered(pick(WINDOWS), window_shard)
+        self.windows = np.flatnonzero(window_kind & FOUND_TWICE)
+        example = block.example[self.items]
+        table = np.empty(len(self.items) + len(self.windows), dtype=_ITEM)
+        table["anchor"] = np.concatenate((block.anchor[self.items], hashes[self.windows]))
+        table["content"] = np.concatenate((block.content[self.items], hashes[self.windows]))
+        table["kind"] = np.concatenate((kind[self.items], window_kind[self.windows]))
+        table["size"] = np.concatenate((block.count[example] + block.least - 1, np.full(len(self.windows), block.least)))
+        first = np.empty(len(hashes), dtype=np.int64)
+        first[self.which] = self.starts
+        place = np.concatenate((block.start[example], first[self.windows]))
+        self.shard = np.concatenate((shard[self.items], window_shard[self.windows]))
+        self.order = np.argsort(self.shard, kind="stable")
+        self.table, self.place, self.shard = table[self.order], place[self.order], self.shard[self.order]
+
+
+def covered(block: Block, answers: dict[tuple[int, int], bytes], shards: int) -> np.ndarray:
     """For each byte of the block's texts, whether a repeated window covers it."""
     loose = zstandard.ZstdDecompressor().decompress
     asked = Requests(block, answers, shards)
-    windows = block.count[block.example] if len(block.example) else np.zeros(0, np.int64)
-    offset = np.full(len(windows), -1, dtype=np.int64)  # of each distinct segment's verdicts in ``bits``
-    bits, single = [np.zeros(0, bool)], np.zeros(len(asked.window_hash), dtype=bool)
-    total = 0
-    for s, items, span in asked.used():
-        n = int(windows[items].sum()) + span.stop - span.start
-        got = np.unpackbits(np.frombuffer(loose(verdicts[s]), np.uint8), count=n).astype(bool)
-        offset[items] = total + np.cumsum(windows[items]) - windows[items]
-        single[span] = got[n - (span.stop - span.start) :]
-        bits.append(got)
-        total += n
-    flags = np.concatenate(bits)
-    known = np.flatnonzero(offset[block.item] >= 0) if len(block.item) else np.zeros(0, np.int64)
+    windows = asked.table["size"].astype(np.int64) - block.least + 1
+    bits = [np.unpackbits(np.frombuffer(loose(answers[VERDICTS, s]), np.uint8), count=int(windows[span].sum())).astype(bool) for s, span in runs(asked.shard)]
+    flags = np.concatenate(bits) if bits else np.zeros(0, bool)
+    offset = np.empty(len(windows), dtype=np.int64)  # in ``flags``, of each asked item in the order items, windows
+    offset[asked.order] = np.cumsum(windows) - windows
+    of_item = np.full(len(block.anchor), -1, dtype=np.int64)
+    of_item[asked.items] = offset[: len(asked.items)]
+    known = np.flatnonzero(of_item[block.item] >= 0) if len(block.item) else np.zeros(0, np.int64)
     count = block.count[known]
     inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    hit = flags[np.repeat(offset[block.item[known]], count) + inner]
-    starts = np.concatenate(((np.repeat(block.start[known], count) + inner)[hit], asked.starts[single[asked.window_item]]))
+    hit = flags[np.repeat(of_item[block.item[known]], count) + inner]
+    twice = np.zeros(int(asked.which.max()) + 1 if len(asked.which) else 0, dtype=bool)
+    twice[asked.windows] = flags[offset[len(asked.items) :]]
+    starts = np.concatenate(((np.repeat(block.start[known], count) + inner)[hit], asked.starts[twice[asked.which]]))
     edge = np.zeros(len(block.raw) + 1, dtype=np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + block.least, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def rows_of(table: pa.Table) -> dict[tuple[int, int], bytes]:
+    return {(t, s): d for t, s, d in zip(*(table.column(c).to_pylist() for c in ("tag", "shard", "data")))}
+
+
+def question_rows(block: list[int], shard: list[int], question: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(block, pa.int64()), pa.array(question, pa.binary())], names=["shard", "block", "question"])
+
+
+def questions(block: int, shard: np.ndarray, anchor: np.ndarray, content: np.ndarray, times: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    table = np.empty(len(anchor), dtype=_QUESTION)
+    table["anchor"], table["content"], table["times"] = anchor, content, times
+    found = [(s, table[span].tobytes()) for s, span in runs(shard)]
+    return [block] * len(found), [s for s, _ in found], [q for _, q in found]
+
+
 def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, digest_only: bool = False, as_text: bool = False, most_segments: int = MOST_SEGMENTS) -> DataFrame:
     """``df`` with n_bytes, n_removed, n_spans, kept_sha256; without the text if ``digest_only``, else with spans and kept. With ``as_text`` only the
     columns of ``df`` come back, the text with its repeats removed (half characters at a cut go too; a null text stays null).
 
-    Each text is its UTF-8 bytes (null: none). A byte goes if a string of ``least`` bytes that covers it also starts anywhere else, in the same text too;
+    Each text is its UTF-8 bytes (null: none), of any length. A byte goes if a string of ``least`` bytes that covers it also starts anywhere else, in the same text too;
     all is judged on the input. ``spans``: array of (start, length) of maximal removed runs; ``kept``: binary, what remains. Other columns stay, those of these names are
     replaced; rows may repeat (and then remove each other); null in any column is kept. An empty table gives an empty one.
     """
@@ -298,56 +353,60 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram:
     columns = list(df.columns)
     if not as_text:
         df = df.drop(*(c for c in added if c in columns and c != text))
-    corpus = written(spark, blocks(df, text), "text-blocks")
+    corpus = written(spark, blocks(df, text, least, gram), "text-blocks")
     shards = max(MIN_SHARDS, -(-int(corpus.agg(F.sum("n_bytes")).first()[0] or 0) // SHARD_BYTES))
+    keyed = corpus.select("block", "anchors", "contents", "times")
+    whole = corpus.drop("n_bytes", "times")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
-            block = Block(row["payload"], text, shards, least, gram)
-            table = np.empty(len(block.anchor), dtype=[("anchor", "<u8"), ("content", "<u8"), ("times", "u1")])
-            table["anchor"], table["content"], table["times"] = block.anchor, block.content, block.times
-            rows = [(s, row["block"], table[a:b].tobytes()) for s, (a, b) in enumerate(zip(block.cuts[:-1], block.cuts[1:])) if b > a]
-            if rows:
-                s, k, q = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int64()), pa.array(q, pa.binary())], names=["shard", "block", "question"])
+            block = Block(row, text, least)
+            yield question_rows(*questions(row["block"], shard_of(block.anchor, shards), block.anchor, block.content, block.times))
+
+    def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [question_rows([], [], [])]
+        for row in left.to_pylist():
+            block = Block(row, text, least)
+            kind = gathered({s: d for (_, s), d in rows_of(right).items()}, shard_of(block.anchor, shards))
+            _, _, hashes, times = block.crowded_windows(kind)
+            out.append(question_rows(*questions(row["block"], shard_of(hashes, shards), hashes, hashes, times)))
+        return pa.Table.from_batches(out)
 
     def request(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        got = dict(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist()))
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        out = []
+        got, squeeze = rows_of(right), zstandard.ZstdCompressor(level=1).compress
         for row in left.to_pylist():
-            block = Block(row["payload"], text, shards, least, gram)
-            asked = Requests(block, got, shards)
-            for s, items, span in asked.used():
-                table = np.empty(len(items), dtype=_ITEM)
-                table["anchor"], table["content"], table["kind"] = block.anchor[items], block.content[items], asked.kind[items]
-                example = block.example[items]
-                table["size"] = block.count[example] + least - 1
-                sends = table["kind"] & SENDS > 0
-                contents = b"".join(block.raw[a : a + n].tobytes() for a, n in zip(block.start[example][sends].tolist(), table["size"][sends].tolist()))
-                single = np.empty(span.stop - span.start, dtype=[("hash", "<u8"), ("times", "u1")])
-                single["hash"], single["times"] = asked.window_hash[span], asked.window_times[span]
-                rows.append((s, row["block"], squeeze(table.tobytes()), squeeze(contents), single.tobytes()))
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["shard", "block", "items", "contents", "windows"])
-
-    answers = written(spark, corpus.select("block", "payload").mapInArrow(ask, "shard int, block long, question binary").repartition(shards, "shard").groupBy("shard").applyInArrow(count_segments(most_segments), "block long, shard int, answer binary"), "segment-counts")
-    asked = corpus.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(request, "shard int, block long, items binary, contents binary, windows binary")
-    verdicts = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(decide(least), "block long, shard int, verdict binary")
-    # both kinds of answer side by side, so that the last step is one cogroup
-    replies = answers.withColumn("verdict", F.lit(None).cast("binary")).unionByName(verdicts.withColumn("answer", F.lit(None).cast("binary")))
+            block = Block(row, text, least)
+            asked, data = Requests(block, got, shards), block.raw.tobytes()
+            for s, span in runs(asked.shard):
+                items, place = asked.table[span], asked.place[span]
+                sends = np.flatnonzero(items["kind"] & SENDS)
+                contents = b"".join([data[a : a + n] for a, n in zip(place[sends].tolist(), items["size"][sends].tolist())])
+                out.append((s, row["block"], squeeze(items.tobytes()), squeeze(contents)))
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [[]] * 4, kinds)], names=["shard", "block", "items", "contents"])
+
+    def counted(asked: DataFrame, tag: int, most: int | None, name: str) -> DataFrame:
+        return written(spark, dealt(asked, shards, "shard").groupBy("shard").applyInArrow(count_items(tag, most), REPLY), name)
+
+    answers = counted(keyed.mapInArrow(ask, "shard int, block long, question binary"), ITEMS, most_segments, "segment-counts")
+    if answers.filter("crowded").limit(1).count():
+        crowded = answers.select("block").where("crowded").distinct()
+        mine, theirs = whole.join(crowded, "block", "left_semi"), answers.join(crowded, "block", "left_semi")
+        asked = mine.groupBy("block").cogroup(theirs.groupBy("block")).applyInArrow(ask_windows, "shard int, block long, question binary")
+        answers = answers.unionByName(counted(asked, WINDOWS, None, "window-counts"))
+    sent = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(request, "shard int, block long, items binary, contents binary")
+    verdicts = written(spark, dealt(sent, shards, "shard").groupBy("shard").applyInArrow(decide(least), REPLY), "verdicts")
+    told = answers.unionByName(verdicts)
     keep = [f for f in df.schema.fields if not digest_only or f.name != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) if as_text else ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *([] if digest_only else ["spans array<struct<start: long, length: long>>, kept binary"])])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts, verdict = {}, {}
-        for s, a, v in zip(*(right.column(c).to_pylist() for c in ("shard", "answer", "verdict"))):
-            (counts if a is not None else verdict)[s] = a if a is not None else v
+        got = rows_of(right)
         out = []
-        for payload in left.column("payload").to_pylist():
-            block = Block(payload, text, shards, least, gram)
-            gone = covered(block, counts, verdict, shards)
+        for row in left.to_pylist():
+            block = Block(row, text, least)
+            gone = covered(block, got, shards)
             ends = np.cumsum(block.lengths)
             rows = []
             for a, b in zip((ends - block.lengths).tolist(), ends.tolist()):
@@ -367,4 +426,4 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram:
             out.append(pa.Table.from_arrays(arrays, names=[*(f.name for f in keep), *added]))
         return pa.concat_tables(out)
 
-    return corpus.select("block", "payload").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
+    return whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)

@@ -33,7 +33,7 @@ def make_texts() -> list:
         near.append(" ".join(w))
     passage = prose(60)
     shared = [prose(30 + 5 * k) + " " + passage + " " + prose(20) for k in range(5)]
-    return [None, "", " ", "a", "one two", "One TWO", "x  y\n\n z\t", base, base, base.upper(), *near, *shared, prose(3000), "ab " * 400, "<s> </s> <|endoftext|> ▁ \x00", "  lead", "trail  ", *[prose(rng.randint(1, 80)) for _ in range(25)]]
+    return [None, "", " ", "a", "one two", "One TWO", "x  y\n\n z\t", base, base, base.upper(), *near, *shared, prose(3000), "ab " * 400, "<s> </s> <|endoftext|> ▁ \x00", "Don't we'LL 's ''s Ünd É1,2<|startoftext|>x", " " * 12000 + "z" * 3000 + "\n" * 12000, "  lead", "trail  ", *[prose(rng.randint(1, 80)) for _ in range(25)]]
 
 
 TEXTS = make_texts()
@@ -131,7 +131,6 @@ def ids_by_library(name, end):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(PATH(name))
-    tool.encode_special_tokens = True
     return [np.array(e.ids + [end], dtype="<u4") for e in tool.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
 
 
