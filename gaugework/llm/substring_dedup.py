@@ -65,7 +65,8 @@ def segments(raw: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[
     """
     none = np.zeros(0, dtype=np.int64)
     width = least - gram + 1
-    windows = np.flatnonzero(np.arange(len(raw)) + least <= ends)
+    starts = np.arange(max(0, len(raw) - least + 1))
+    windows = np.flatnonzero(starts + least <= ends[: len(starts)])
     if not len(windows):
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     hasher = Hasher(raw)

@@ -62,6 +62,22 @@ def test_bwt_against_counts():
             assert [bool(x) for x in flags[a : a + len(s) + 1]] == [i + least <= len(s) and count[s[i : i + least]] > 1 for i in range(len(s) + 1)]
 
 
+def test_segments_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    lengths = np.array([0, 5000, 3, 199, 200, 0, 2500, 201])
+    raw = rng.integers(97, 101, int(lengths.sum())).astype(np.uint8)
+    ends = np.cumsum(lengths)
+    want = {s for a, b in zip(ends - lengths, ends) for s in range(a, b - 199)}
+    whole = {}
+    for size in (1 << 20, 997, 300):
+        monkeypatch.setattr(substring_dedup, "SLICE_BYTES", size)
+        start, count, anchor, _ = substring_dedup.block_segments(raw, lengths, 200, 32)
+        found = {s + k: a for s, n, a in zip(start.tolist(), count.tolist(), anchor.tolist()) for k in range(n)}
+        assert set(found) == want and len(found) == count.sum()
+        whole = whole or found
+        assert found == whole  # a window's anchor depends on its bytes only
+
+
 def removed_by_hand(texts, least):
     raw = [(t or "").encode() for t in texts]
     count = collections.Counter(b[i : i + least] for b in raw for i in range(len(b) - least + 1))
