@@ -2,18 +2,20 @@
 
 1. Documents become blocks of word numbers; equal shingle sets get one set id, so copies cost nothing further.
 2. Every shingle's document frequency is counted: blocks send their distinct shingles to shards, which answer with a frequency class.
-3. Each order sorts a set by (frequency class, an own hash). Two sets of similarity t share a token among the first
-   n - ceil(t n) + 1 of both, under every order. Sets whose rare prefix holds only shingles of their own drop out here.
+3. Three global orders: rarest class first, and two hash orders that know nothing of frequency. Two sets of similarity t share a token among
+   the first n - ceil(t n) + 1 of both, under every order. Sets whose prefix holds only shingles of their own under one of them drop out here.
 4. Sets that share a prefix token of the first order meet in that token's list. Lists are not expanded into pairs: members are
    compared with list leaders, linked sets are joined to components, and lists that lie in one component are done. Only pairs
-   of different components that are left in a list are compared one by one, so no link between components is lost.
-5. Before the exact check of a pair, its prefixes of the other orders must meet as well and its sizes must allow the similarity.
+   of different components and near sizes that are left in a list are compared one by one, so no link between components is lost.
+5. Before the exact check of a pair, its prefixes of the other orders must meet as well and its sizes must allow the similarity. Two sets that
+   share a passage meet under the first order by its rarest shingles; a hash order puts the passage's shingles anywhere, so that few such pairs pass both.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,12 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pack_rows, read_rows, split_batches, written
+from .common import WORD_PATTERN, dealt, delete_table, mix64, runs, split_batches, written
 from .components import components
 
 WIDTH, PERCENT = 5, 75
 BLOCK_BYTES = 8 << 20
 SHARD_TOKENS, MIN_SHARDS = 4_000_000, 48
+#: Seeds of the orders' hashes; the first order sorts by frequency class before its hash.
 ORDERS = (0x51ED270B, 0x2545F491, 0x9E3779B9)
 LEADER_ROUNDS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -72,18 +75,18 @@ def distinct_sets(codes: np.ndarray, vocabulary: np.ndarray, lengths: np.ndarray
     return h, d, np.bincount(d, minlength=len(lengths))
 
 
-BLOCKS = "block long, doc_ids array<long>, sids array<long>, sizes array<long>, lengths binary, codes binary, hashes binary, n_tokens long"
+BLOCKS = "block long, doc_ids array<long>, tags array<long>, sids array<long>, sizes array<long>, lengths binary, codes binary, hashes binary, n_tokens long"
 
 
-def blocks(df: DataFrame, key: str, text: str, width: int, whole_rows: bool = False) -> DataFrame:
-    """The corpus in blocks; with ``whole_rows`` all columns of the rows come along."""
+def blocks(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """The corpus in blocks; ``tags`` are 64-bit hashes of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for batch in (s for b in batches for s in split_batches([b], text, rows=1 << 20, size=BLOCK_BYTES)):
-            words = [words_of(x) for x in batch.column(text).to_pylist()]
+        for batch in (s for b in batches for s in split_batches([b], "text", rows=1 << 20, size=BLOCK_BYTES)):
+            words = [words_of(x) for x in batch.column("text").to_pylist()]
             lengths = np.array([len(w) for w in words], dtype=np.int64)
             flat = np.array([x for w in words for x in w], dtype=object)
             codes, vocabulary = pd.factorize(flat) if len(flat) else (np.zeros(0, np.int64), [])
@@ -93,15 +96,12 @@ def blocks(df: DataFrame, key: str, text: str, width: int, whole_rows: bool = Fa
             sids = [xxhash.xxh3_64_intdigest(tokens[b - n : b].tobytes(), seed=int(n)) if n else None for b, n in zip(ends.tolist(), sizes.tolist())]
             planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
             signed = [None if s is None else s - (1 << 64) if s >> 63 else s for s in sids]
-            row = [number, batch.column(key).to_pylist(), signed, sizes.tolist(), lengths.tobytes(), zstandard.ZstdCompressor(level=3).compress(planes), hashes.tobytes(), int(sizes.sum())]
+            row = [number, batch.column("key").to_pylist(), batch.column("tag").to_pylist(), signed, sizes.tolist(), lengths.tobytes(), zstandard.ZstdCompressor(level=3).compress(planes), hashes.tobytes(), int(sizes.sum())]
             number += 1
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-            names = [x.split(" ")[0] for x in BLOCKS.split(", ")]
-            if whole_rows:
-                row, kinds, names = [*row, pack_rows(batch)], [*kinds, pa.binary()], [*names, "payload"]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, *[pa.binary()] * 3, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[x.split(" ")[0] for x in BLOCKS.split(", ")])
 
-    return (df if whole_rows else df.select(F.col(key).cast("long").alias(key), text)).mapInArrow(run, BLOCKS + ", payload binary" * whole_rows)
+    return df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tag"), F.col(text).alias("text")).mapInArrow(run, BLOCKS)
 
 
 class BlockSets:
@@ -129,7 +129,7 @@ class BlockSets:
         self.place[order] = np.cumsum(new) - 1
         at = np.flatnonzero(new)
         self.short, self.times = short[new], np.minimum(np.diff(np.append(at, len(short))), 255)
-        self.cuts = np.searchsorted(shard[new], np.arange(shards + 1))
+        self.short_shard = shard[new]
 
 
 def pack_sorted(values: np.ndarray, times: np.ndarray) -> bytes:
@@ -162,6 +162,13 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
+def prefix_order(owner: np.ndarray, kind: np.ndarray | None, tokens: np.ndarray, seed: int) -> np.ndarray:
+    """Tokens by owner (under 2 ** 20 of them), then frequency class where given, then an own hash: sorted as one number each."""
+    key = owner.astype(np.uint64) << np.uint64(44)
+    spot = mix64(tokens ^ np.uint64(seed))
+    return np.argsort(key | (spot >> np.uint64(20)) if kind is None else key | (kind.astype(np.uint64) << np.uint64(38)) | (spot >> np.uint64(26)))
+
+
 def candidate_sets(spark, corpus: DataFrame, width: int, percent: int) -> DataFrame:
     """(sid, n, head array<long>, rest array<long>, others array<array<int>>, items array<long>) of sets that have a shingle of others in all prefixes.
 
@@ -174,7 +181,7 @@ def candidate_sets(spark, corpus: DataFrame, width: int, percent: int) -> DataFr
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             sets = BlockSets(row, shards, width)
-            rows = [(s, row["block"], pack_sorted(sets.short[a:b], sets.times[a:b])) for s, (a, b) in enumerate(zip(sets.cuts[:-1], sets.cuts[1:])) if b > a]
+            rows = [(s, row["block"], pack_sorted(sets.short[span], sets.times[span])) for s, span in runs(sets.short_shard)]
             if rows:
                 s, k, q = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.int64()), pa.array(q, pa.binary())], names=["shard", "block", "question"])
@@ -186,15 +193,15 @@ def candidate_sets(spark, corpus: DataFrame, width: int, percent: int) -> DataFr
             if not len(sets.tokens):
                 continue
             got = dict(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist()))
-            kinds = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(got[s]), np.uint8) for s in range(shards) if sets.cuts[s + 1] > sets.cuts[s]])
+            kinds = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(got[s]), np.uint8) for s, _ in runs(sets.short_shard)])
             kind = kinds[sets.place].astype(np.int64)
             size = sets.sizes[sets.owner]
             starts = np.flatnonzero(np.append(True, sets.owner[1:] != sets.owner[:-1]))
             nth = np.arange(len(kind)) - np.repeat(starts, np.diff(np.append(starts, len(kind))))  # tokens stand by owner
             prefix = prefix_length(size, percent)
             heads = []
-            for seed in ORDERS:
-                order = np.lexsort((mix64(sets.tokens ^ np.uint64(seed)), kind, sets.owner))
+            for number, seed in enumerate(ORDERS):
+                order = prefix_order(sets.owner, kind if number == 0 else None, sets.tokens, seed)
                 chosen = (nth < prefix) & (kind[order] > 0)
                 inside = order[chosen]
                 heads.append({int(o): t for o, t in _by_owner(sets.owner[inside], sets.tokens[inside])})
@@ -211,7 +218,7 @@ def candidate_sets(spark, corpus: DataFrame, width: int, percent: int) -> DataFr
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["sid", "n", "head", "rest", "others", "items"])
 
     asked = corpus.select("block", "sids", "lengths", "codes", "hashes").mapInArrow(ask, "shard int, block long, question binary")
-    answers = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(count_classes, "block long, shard int, answer binary")
+    answers = dealt(asked, shards, "shard").groupBy("shard").applyInArrow(count_classes, "block long, shard int, answer binary")
     mine = corpus.select("block", "sids", "lengths", "codes", "hashes")
     chosen = mine.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, "sid long, n long, head array<long>, rest array<long>, others array<array<int>>, items array<long>")
     one = chosen.groupBy("sid").agg(F.first(F.struct("n", "head", "rest", "others", "items")).alias("x"))
@@ -224,15 +231,20 @@ def _by_owner(owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.n
         yield owner[a], values[a:b]
 
 
-def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: all orders' prefixes must meet, then the sets' overlap decides."""
+def met_in_all(pairs: DataFrame, sets: DataFrame, orders: int = len(ORDERS)) -> DataFrame:
+    """(a, b, na, nb, xa, xb) of the pairs whose prefixes meet under the first ``orders`` orders; xa and xb: the sets' shared tokens."""
     left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("others").alias("ha"), F.col("items").alias("xa"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("others").alias("hb"), F.col("items").alias("xb"))
     both = pairs.join(left, "a").join(right, "b")
-    for k in range(len(ORDERS) - 1):
+    for k in range(orders - 1):
         both = both.filter(F.arrays_overlap(F.col("ha")[k], F.col("hb")[k]))
+    return both.select("a", "b", "na", "nb", "xa", "xb")
+
+
+def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar: all orders' prefixes must meet, then the sets' overlap decides."""
     common = F.size(F.array_intersect("xa", "xb")).cast("long")
-    return both.filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return met_in_all(pairs, sets).filter(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def _possible(percent: int):
@@ -248,30 +260,56 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((F.col("x") != F.col("y")) & _possible(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def prefix_lists(sets: DataFrame) -> DataFrame:
+    """(token, sid, n, s): the first order's lists, with each member's size and its number of tokens from the list's token on."""
+    return sets.select("sid", "n", F.explode(F.arrays_zip("head", "rest")).alias("h")).select(F.col("h.head").alias("token"), "sid", "n", F.col("h.rest").alias("s"))
+
+
+def _sides(*names: str) -> list[F.Column]:
+    """(name, n, s) of the member ``sid`` as a side of a pair."""
+    return [F.col(f).alias(t) for f, t in zip(("sid", "n", "s"), names)]
+
+
+def left_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(x, nx, sx, y, ny, sy): possible pairs of different components in each list, dealt by list and by size.
+
+    Sizes of similar sets differ by a factor of 100 / percent at most, so they lie in the same or neighbouring classes of that ratio.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
+    a = members.select("token", *_sides("x", "nx", "sx"), F.col("component").alias("cx"), F.explode(F.array(size_class - 1, size_class, size_class + 1)).alias("size_class"))
+    b = members.select("token", *_sides("y", "ny", "sy"), F.col("component").alias("cy"), size_class.alias("size_class"))
+    return a.join(b, ["token", "size_class"]).filter(_possible(percent) & F.expr("cx < cy"))
+
+
 def link_sets(spark, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the sets that are linked with another."""
-    lists = written(spark, sets.select("sid", "n", F.explode(F.arrays_zip("head", "rest")).alias("h")).select(F.col("h.head").alias("token"), "sid", "n", F.col("h.rest").alias("s")), "prefix-lists")
-    links = None
-    now = lists.withColumn("component", F.col("sid"))
+    """(node, component) of the sets that are linked with another. ``sets`` is dropped when done.
+
+    What is joined is written before, so that Spark can split the lists of frequent tokens between tasks.
+    """
+    now = written(spark, prefix_lists(sets).withColumn("component", F.col("sid")), "prefix-lists")
+    links: list[DataFrame] = []
+    labels = None
     for turn in range(LEADER_ROUNDS + 1):
-        open_ = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-        now = written(spark, now.join(open_, "token", "left_semi"), "open-lists")
+        rank = F.xxhash64("sid", F.lit(turn))
+        # two leaders: one with the fewest tokens of its own, as the source of a group of copies has, and one at random
+        plain = F.struct(F.round(F.col("s") / F.col("n"), 2).alias("share"), rank.alias("rank"), "sid", "n", "s", "component")
+        lead = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(plain).alias("p"), F.max_by(plain, F.struct(rank, "sid")).alias("q"))
+        lead = written(spark, lead.filter("low <> high").select("token", F.array("p", "q").alias("leaders")), "leaders")
+        now = written(spark, now.join(lead, "token"), "open-lists", finished=[now, lead])
         if turn < LEADER_ROUNDS:
-            rank = F.xxhash64("sid", F.lit(turn))
-            # two leaders: one with the fewest tokens of its own, as the source of a group of copies has, and one at random
-            plain = F.struct(F.round(F.col("s") / F.col("n"), 2).alias("share"), rank.alias("rank"), "sid", "n", "s", "component")
-            lead = now.groupBy("token").agg(F.max(plain).alias("p"), F.max_by(plain, F.struct(rank, "sid")).alias("q"))
-            lead = lead.select("token", F.explode(F.array("p", "q")).alias("l"))
-            met = now.join(lead, "token").filter("component <> l.component").select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.s").alias("sy"))
+            met = now.select("component", *_sides("x", "nx", "sx"), F.explode("leaders").alias("l")).filter("component <> l.component").select("x", "nx", "sx", F.col("l.sid").alias("y"), F.col("l.n").alias("ny"), F.col("l.s").alias("sy"))
         else:
-            a = now.select("token", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("component").alias("cx"))
-            b = now.select("token", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("component").alias("cy"))
-            met = a.join(b, "token").filter(_possible(percent) & F.expr("cx < cy"))
-        found = written(spark, checked(_ordered(met, percent), sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+            met = left_pairs(now, percent)
+        candidates = written(spark, _ordered(met, percent), "candidates")
+        links.append(written(spark, checked(candidates, sets, percent), "links", finished=[candidates]))
+        old, labels = labels, components(reduce(DataFrame.unionByName, links))
+        if old is not None:
+            delete_table(spark, old)
         if turn < LEADER_ROUNDS:
-            now = now.drop("component").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("token", "sid", "n", "s", F.coalesce("component", "sid").alias("component"))
+            told = now.drop("component", "leaders").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+            now = written(spark, told.select("token", "sid", "n", "s", F.coalesce("component", "sid").alias("component")), "lists", finished=[now])
+    for table in (now, sets, *links):
+        delete_table(spark, table)
     return labels
 
 
@@ -280,14 +318,16 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
     Documents link when 100 * intersection >= percent * union of their distinct ``width``-word shingles. A document without words (null,
     empty or blank text) links with nothing. Keys are longs; rows with a null key group with their copies, and count in no minimum (a group of
-    null keys alone has a null id). Repeated rows are documents. An empty table gives an empty one. Shingles and sets are known by 64-bit hashes.
+    null keys alone has a null id). Repeated rows are documents. An empty table gives an empty one. Texts of any length are read whole; other
+    columns are dropped. Shingles and sets are known by 64-bit hashes.
     """
     spark = df.sparkSession
     corpus = written(spark, blocks(df, key, text, width), "shingle-blocks")
     labels = link_sets(spark, candidate_sets(spark, corpus, width, percent), percent)
     members = corpus.select(F.explode(F.arrays_zip("doc_ids", "sids", "sizes")).alias("m")).select(F.col("m.doc_ids").alias(key), F.col("m.sids").alias("sid"), F.col("m.sizes").alias("n_shingles"))
-    named = written(spark, members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select(key, "n_shingles", F.coalesce("component", "sid").alias("group")), "members")
-    least = named.filter("group is not null").groupBy("group").agg(F.min(key).alias("component_id"))
+    named = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select(key, "n_shingles", F.coalesce("component", "sid").alias("group"))
+    named = written(spark, named, "members", finished=[corpus])
+    least = written(spark, named.filter("group is not null").groupBy("group").agg(F.min(key).alias("component_id")), "least-keys", finished=[labels])
     alone = named.filter("group is null").select(key, "n_shingles", F.col(key).alias("component_id"))
     return named.filter("group is not null").join(least, "group").select(key, "n_shingles", "component_id").unionByName(alone)
 
@@ -295,20 +335,19 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that have the least key of their group, one row of each group; rows without words all stay.
 
-    Of rows with equal keys in a group the first read stays; a null key comes after all others.
+    Of rows with equal keys in a group the one of least text hash stays, and any one of rows with equal keys and texts; a null key comes after
+    all others. All columns stay as they are, whatever their names; an empty table gives an empty one.
     """
     spark = df.sparkSession
-    corpus = written(spark, blocks(df, key, text, width, whole_rows=True), "shingle-blocks")
+    corpus = written(spark, blocks(df, key, text, width), "shingle-blocks")
     labels = link_sets(spark, candidate_sets(spark, corpus, width, percent), percent)
-    members = corpus.select("block", F.posexplode(F.arrays_zip("doc_ids", "sids")).alias("place", "m")).select("block", "place", F.col("m.doc_ids").alias("id"), F.col("m.sids").alias("sid"))
-    named = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("block", "place", "id", F.coalesce("component", "sid").alias("group"))
-    named = written(spark, named, "members")
-    first = named.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "block", "place")).alias("x")).select("x.block", "x.place")
-    kept = first.unionByName(named.filter("group is null").select("block", "place"))
-
-    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
-        places = pa.array(np.sort(right.column("place").to_numpy()))
-        return pa.concat_tables([pa.Table.from_batches([read_rows(x.as_py()).take(places)]) for x in left.column("payload")])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return corpus.select("block", "payload").join(kept.select("block").distinct(), "block", "left_semi").groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(choose, schema)
+    members = corpus.select(F.explode(F.arrays_zip("doc_ids", "tags", "sids")).alias("m")).select(F.col("m.doc_ids").alias("id"), F.col("m.tags").alias("tag"), F.col("m.sids").alias("sid"))
+    named = members.filter("sid is not null").join(labels.withColumnRenamed("node", "sid"), "sid", "left").groupBy(F.coalesce("component", "sid").alias("group"), "id", "tag").agg(F.count(F.lit(1)).alias("copies"))
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "tag", "copies")).alias("x")).select(F.col("x.id").alias("id"), F.col("x.tag").alias("tag"), F.col("x.copies").alias("copies"))
+    kept = written(spark, first, "kept-keys", finished=[corpus, labels])
+    rows = df.select(F.col(key).cast("long").alias("_id"), F.xxhash64(text).alias("_tag"), F.col(text).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+    found = F.coalesce(F.col("_text"), F.lit("")).rlike(WORD_PATTERN)
+    both = rows.filter(found).join(kept, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_tag") == F.col("tag")))
+    # a key and text that stand in several rows: one of them
+    repeated = both.filter("copies > 1").groupBy("_id", "_tag").agg(F.first("_row").alias("_row")).select("_row.*")
+    return both.filter("copies = 1").select("_row.*").unionByName(repeated).unionByName(rows.filter(~found).select("_row.*"))

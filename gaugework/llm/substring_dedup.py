@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_suffixes
-from .common import dealt, mix64, pack_rows, read_rows, split_batches, written
+from .common import dealt, mix64, pack_rows, read_rows, runs, split_batches, written
 
 LEAST, GRAM = 200, 32
 BLOCK_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
@@ -183,13 +183,6 @@ def shard_of(anchor: np.ndarray, shards: int) -> np.ndarray:
     return ((anchor >> _HALF) * np.uint64(shards) >> _HALF).astype(np.int64)
 
 
-def runs(sorted_numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Each number of a sorted array, and where it stands."""
-    cuts = np.flatnonzero(np.append(True, sorted_numbers[1:] != sorted_numbers[:-1])) if len(sorted_numbers) else np.zeros(0, np.int64)
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sorted_numbers)]):
-        yield int(sorted_numbers[a]), slice(a, b)
-
-
 def gathered(answers: dict[int, bytes], shard: np.ndarray) -> np.ndarray:
     """One byte for each item of sorted shards, from the shards' answers."""
     loose = zstandard.ZstdDecompressor().decompress
