@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Words are runs of anything but space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -47,7 +48,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, finished: Iterable[DataFrame] = ()) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, finished: Iterable[DataFrame] = (), compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder, read back: its lineage is cut and a lost executor loses nothing.
 
     Its shuffle files go when it is written, and so do the tables of this function that ``finished`` lists, which nothing may read any more.
@@ -56,7 +57,7 @@ def written(spark: SparkSession, df: DataFrame, name: str, finished: Iterable[Da
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     for old in finished:
@@ -77,9 +78,9 @@ def dealt(df: DataFrame, shards: int, column: str) -> DataFrame:
     return df.repartitionById(shards, F.col(column))
 
 
-def map_texts(df: DataFrame, columns: list[str], schema: str, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Column-pruned ``mapInArrow``."""
-    return df.select(*columns).mapInArrow(batches, schema)
+def with_fields(fields: list[StructField], more: str = "") -> StructType:
+    """Fields of a table as they are, and further ones in DDL."""
+    return StructType([StructField(f.name, f.dataType) for f in fields] + (StructType.fromDDL(more).fields if more else []))
 
 
 def split_batches(batches: Iterator[pa.RecordBatch], column: str, rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -15,8 +15,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import fold_of, split_batches
+from .common import fold_of, split_batches, with_fields
 
 #: The model is fitted on at most this many labelled texts of each class, none longer than this many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 800, 16_000
@@ -136,7 +137,11 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(key, score, predicted) and the columns to ``carry``; a null text counts as empty. Keys may be null or repeat."""
+    """(key, score, predicted) and the columns to ``carry``, which must have other names.
+
+    A null text counts as empty; texts are read whole, block by block. Keys may be null or repeat; equal texts have equal scores. An empty
+    table gives an empty one.
+    """
     held = df.sparkSession.sparkContext.broadcast(model)
     carry = carry or []
 
@@ -145,6 +150,5 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
             p = held.value.scores(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(batch.column(c) for c in carry)], names=[key, "score", "predicted", *carry])
 
-    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry]
-    columns = list(dict.fromkeys([key, text, *carry]))
-    return df.select(*columns).mapInArrow(run, ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", "score double", "predicted int", *kinds]))
+    schema = with_fields([df.schema[key], *StructType.fromDDL("score double, predicted int"), *(df.schema[c] for c in carry)])
+    return df.select(*dict.fromkeys([key, text, *carry])).mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 Pieces are dealt to buckets by hash. Each bucket is packed best-fit decreasing and compared with the largest of a family of bounds from
 dual-feasible functions. A bucket that meets its bound keeps all but its emptiest sequence; one with a gap keeps its full
-sequences only. What is let go is dealt to fewer buckets and packed again, until one round has a single bucket or nothing is left over.
+sequences only. What is let go is dealt to fewer buckets and packed again, until one round has a single bucket or settles little.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_words import encoder
-from .common import split_batches, written
+from .common import dealt, split_batches, with_fields, written
 
 CAPACITY = 1024
 BUCKET_ROWS = 40_000
-ROUNDS = 4
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -55,7 +54,7 @@ def pieces(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
+    return df.select(key, text).mapInArrow(run, with_fields([df.schema[key]], "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids))
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -101,20 +100,26 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+#: Columns that ``pack`` adds; the last is its own and goes.
+ADDED = ["sequence_id", "offset", "certified", "_settled"]
+_BUCKET = "_bucket"
+
+
 def _placer(turn: int, final: bool, capacity: int, key: str):
     def place(table: pa.Table) -> pa.Table:
-        bucket = table.column("_bucket")[0].as_py()
-        table = table.drop_columns(["_bucket"]).sort_by([(key, "ascending"), ("piece", "ascending"), ("length", "ascending")])
+        bucket = table.column(_BUCKET)[0].as_py()
+        table = table.drop_columns([_BUCKET]).sort_by([(key, "ascending"), ("piece", "ascending"), ("length", "ascending")])
         lengths = table.column("length").to_numpy().astype(np.int64)
         bins, offsets, count = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=count)
+        certified = count == lower_bound(lengths, capacity)
         if final:
             keep = np.ones(count, dtype=bool)
-        elif count == lower_bound(lengths, capacity):
+        elif certified:
             keep = np.arange(count) != int(np.argmin(fill))
         else:
             keep = fill == capacity
-        for name, values in (("sequence_id", (turn << 56) + (bucket << 32) + bins), ("offset", offsets), ("settled", keep[bins])):
+        for name, values in zip(ADDED, ((turn << 56) + (bucket << 32) + bins, offsets, np.full(len(bins), certified), keep[bins])):
             table = table.append_column(name, pa.array(values))
         return table
 
@@ -122,23 +127,25 @@ def _placer(turn: int, final: bool, capacity: int, key: str):
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``parts`` (with key, piece, length and any other columns) with sequence_id and offset; every row is placed once.
+    """``parts`` (with key, piece, length and any other columns) with sequence_id, offset and certified; every row is placed once.
 
-    An empty table gives an empty one. Lengths must be 1 to ``capacity``. Repeated rows are packed as rows of their own.
+    ``certified``: the row's bucket took as few sequences as its lower bound, in the round that placed the row. Rounds go on until one has a
+    single bucket, or until one settles less than a tenth of its rows: then the rest is taken as it is packed, and its rows tell whether that
+    met the bound. Columns of the names above (and _bucket, _settled) are replaced. An empty table gives an empty one. Lengths must be 1 to ``capacity``.
+    Repeated rows are packed as rows of their own; keys may be null.
     """
     spark = parts.sparkSession
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long, settled boolean"
-    left, done = parts, None
-    for turn in range(ROUNDS):
-        rows = left.count()
+    left, done = parts.drop(*ADDED, _BUCKET), None
+    schema = with_fields(left.schema.fields, "sequence_id long, offset long, certified boolean, _settled boolean")
+    turn, rows, before = 0, left.count(), None
+    while True:
         buckets = max(1, -(-rows // bucket_rows))
-        final = buckets == 1 or turn == ROUNDS - 1
-
-        dealt = left.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key), F.col("piece"), F.lit(turn)), F.lit(buckets)).cast("int"))
-        placed = written(spark, dealt.repartition(buckets, "_bucket").groupBy("_bucket").applyInArrow(_placer(turn, final, capacity, key), schema), f"packed-{turn}")
-        settled = placed.filter("settled").drop("settled")
+        final = buckets == 1 or before is not None and rows > 0.9 * before
+        spread = left.withColumn(_BUCKET, F.pmod(F.xxhash64(F.col(key), F.col("piece"), F.lit(turn)), F.lit(buckets)).cast("int"))
+        placed = written(spark, dealt(spread, buckets, _BUCKET).groupBy(_BUCKET).applyInArrow(_placer(turn, final, capacity, key), schema), f"packed-{turn}")
+        settled = placed.filter("_settled").drop("_settled")
         done = settled if done is None else done.unionByName(settled)
         if final:
-            break
-        left = placed.filter("not settled").drop("settled", "sequence_id", "offset")
-    return done
+            return done
+        left = placed.filter("not _settled").drop(*ADDED)
+        before, rows, turn = rows, left.count(), turn + 1

@@ -1,6 +1,6 @@
 """Weak supervision: rules vote or abstain, expectation-maximisation weighs them, and the posterior decides.
 
-Votes are computed beside the text in one narrow pass; only the counts of distinct vote patterns, at most 3 ** rules of them
+Votes are computed beside the text in one narrow pass; only the counts of distinct vote patterns, at most 4 ** rules of them
 whatever the input, are gathered to fit the model. The model is then a small table of numbers in an expression.
 """
 
@@ -8,35 +8,39 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import WORD_PATTERN, split_batches, written
+from .common import WORD_PATTERN, split_batches, with_fields, written
 
 WORDS = re.compile(WORD_PATTERN)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: Each rule: statistic, bound up to which it votes good, bound from which it votes bad; between them it abstains. None: it never
-#: votes so. "low" rules are on how small a value is: good from the first bound up, bad up to the second.
+#: Each rule: up to which value of its statistic it votes good, and from which it votes weakly and strongly bad; between them it
+#: abstains. None: it never votes so. Rules in LOW_RULES are on how small a value is, so their bounds fall.
 RULES = {
-    "repeat_words": (0.10, 0.30),
-    "dup_lines": (None, 0.30),
-    "symbols": (None, 0.20),
-    "upper": (None, 0.60),
-    "exclaims": (None, 0.30),
-    "bars": (None, 0.20),
-    "one_word": (None, 0.25),
-    "long_words": (None, 20.0),
+    "symbols": (0.01, 0.10, 0.30),
+    "symbol_chars": (0.002, 0.02, 0.06),
+    "word_length": (6.0, 7.0, 9.0),
+    "repeat_words": (0.02, 0.12, 0.30),
+    "dup_lines": (0.0, 0.15, 0.30),
+    "one_word": (0.09, 0.18, 0.30),
+    "bars": (None, 0.05, 0.20),
+    "upper": (0.08, 0.25, 0.60),
+    "exclaims": (None, 0.10, 0.30),
 }
-LOW_RULES = {"n_words": (80, 20), "distinct": (0.30, 0.10)}
+LOW_RULES = {"n_words": (80.0, 49.0, 20.0), "distinct": (0.65, 0.45, 0.25), "stops": (0.03, 0.005, None)}
 RULE_NAMES = [*RULES, *LOW_RULES]
-#: Beta priors (in pseudo-documents) of each rule's rates. A rule seldom calls a good text bad, and finds a fair part of the bad ones.
-PRIOR_BAD_IF_GOOD, PRIOR_BAD_IF_BAD, PRIOR_GOOD_IF_GOOD, PRIOR_GOOD_IF_BAD = (0.2, 199.8), (10.0, 90.0), (60.0, 40.0), (50.0, 50.0)
-#: No rule calls more of the good texts bad than this; else a frequent defect that other rules do not see could pass for quality.
-FALSE_ALARM = 0.0005
-PRIOR_QUALITY = 0.9
+#: Votes: strongly bad, weakly bad, abstain, good.
+GRADES = "=-0+"
+#: Dirichlet priors of a rule's rates of these votes, in pseudo-documents, for good and for bad texts; the same for all rules, and no rate has a bound.
+PRIOR_IF_GOOD, PRIOR_IF_BAD = (0.5, 1.5, 4.0, 14.0), (4.0, 4.0, 8.0, 4.0)
+#: Beta prior of the share of good texts, in pseudo-documents.
+PRIOR_SHARE = (8.0, 2.0)
 BASE = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -82,89 +86,121 @@ def statistics(text: str | None) -> tuple:
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     upper = sum(map(str.isupper, joined)) / len(joined) if not joined.islower() else 0.0
+    tail = "".join([w[-1] for w in words])
     return (
         n, len(joined), symbols, dup, again,
-        again / n, dup / lines, symbols / n, upper, sum(w.endswith("!") for w in words) / n, counts.get("|", 0) / n,
-        max(counts.values()) / n if n >= 20 else 0.0, len(joined) / n, float(n), min(1.0, len(counts) / min(n, 400)),
+        symbols / n, symbols / len(joined), len(joined) / n, again / n, dup / lines, max(counts.values()) / n if n >= 20 else 0.0, counts.get("|", 0) / n, upper,
+        tail.count("!") / n, float(n), min(1.0, len(counts) / min(n, 400)), sum(map(tail.count, ".,;:?!")) / n,
     )
 
 
-def vote(name: str, value: float) -> int:
-    """1 good, -1 bad, 0 abstain."""
+def vote(name: str, value: float) -> str:
+    """The rule's vote, one of GRADES."""
     if name in LOW_RULES:
-        good, bad = LOW_RULES[name]
-        return 1 if value >= good else -1 if value <= bad else 0
-    good, bad = RULES[name]
-    return -1 if value >= bad else 1 if good is not None and value <= good else 0
+        good, weak, strong = (None if x is None else -x for x in LOW_RULES[name])
+        value = -value
+    else:
+        good, weak, strong = RULES[name]
+    if strong is not None and value >= strong:
+        return "="
+    return "-" if value >= weak else "+" if good is not None and value <= good else "0"
 
 
 def with_votes(df: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, votes), and the columns to ``carry``.
 
-    ``votes`` has one character for each rule: + good, - bad, 0 abstain. A null text has no words. Keys may be null or repeat.
+    ``votes`` has one character for each rule: + good, 0 abstain, - weakly bad, = strongly bad. A text without words (null, empty, blank) has abstentions only. Keys may be
+    null or repeat; equal texts have equal votes; texts are read whole.
     """
     carry = carry or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in split_batches([b], text)):
             rows = [statistics(x) for x in batch.column(text).to_pylist()]
-            votes = ["".join("-0+"[vote(r, v) + 1] for r, v in zip(RULE_NAMES, row[5:])) if row[0] else "0" * len(RULE_NAMES) for row in rows]
+            votes = ["".join(map(vote, RULE_NAMES, row[5:])) if row[0] else "0" * len(RULE_NAMES) for row in rows]
             numbers = [pa.array([row[k] for row in rows], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column(key), *numbers, pa.array(votes, pa.string()), *(batch.column(c) for c in carry)], names=[key, "n_words", *BASE, "votes", *carry])
 
-    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry]
-    columns = list(dict.fromkeys([key, text, *carry]))
-    return df.select(*columns).mapInArrow(run, ", ".join([f"`{key}` {df.schema[key].dataType.simpleString()}", "n_words long", *(f"{c} long" for c in BASE), "votes string", *kinds]))
+    schema = with_fields([df.schema[key], *StructType.fromDDL(f"n_words long, {', '.join(f'{c} long' for c in BASE)}, votes string"), *(df.schema[c] for c in carry)])
+    return df.select(*dict.fromkeys([key, text, *carry])).mapInArrow(run, schema)
 
 
-def fit(patterns: list[tuple[str, int]], steps: int = 50) -> dict[str, float]:
-    """Posterior probability of good quality for each vote pattern, by expectation-maximisation over pattern counts.
+@dataclass
+class Model:
+    """Share of good texts, and the rates of each rule's four votes among good and among bad texts (rules x votes)."""
 
-    Given the quality, rules are independent; each has three vote rates for good and for bad texts, with the priors above (so an
-    empty table gives the priors' model). Same patterns and counts, same result, in any order.
+    share: float
+    good: np.ndarray
+    bad: np.ndarray
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of good quality of rows of votes (numbers of GRADES), given which rules are independent."""
+        gap = np.log(self.good) - np.log(self.bad)
+        odds = gap[np.arange(votes.shape[1]), votes].sum(1) + np.log(self.share / (1 - self.share))
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+    def accuracy(self) -> dict[str, float]:
+        """Of each rule: how often it is right when it does not abstain."""
+        right = self.share * self.good[:, 3] + (1 - self.share) * self.bad[:, :2].sum(1)
+        wrong = self.share * self.good[:, :2].sum(1) + (1 - self.share) * self.bad[:, 3]
+        return dict(zip(RULE_NAMES, (right / (right + wrong)).tolist()))
+
+
+def grades(patterns: list[str]) -> np.ndarray:
+    return np.array([[GRADES.index(c) for c in p] for p in patterns], dtype=np.int64)
+
+
+def fit(patterns: list[tuple[str, int]], steps: int = 100) -> Model:
+    """Rates of votes by expectation-maximisation over the counts of vote patterns, from the priors above.
+
+    No patterns: the priors' model. Same patterns and counts, same result, in any order.
     """
     patterns = sorted(patterns)
-    if not patterns:
-        return {}
-    votes = np.array([["-0+".index(c) for c in p] for p, _ in patterns])
-    count = np.array([c for _, c in patterns], dtype=float)
-    pick = [votes == v for v in range(3)]
-
-    def rates(weight: np.ndarray, bad: tuple, good: tuple, most: float = 1.0) -> np.ndarray:
-        total = weight.sum()
-        minus = np.minimum(most, (weight @ pick[0] + bad[0]) / (total + sum(bad)))
-        rest = weight @ pick[1] + weight @ pick[2]
-        plus = (weight @ pick[2] + good[0]) / (rest + sum(good))
-        return np.log(np.stack([minus, (1 - minus) * (1 - plus), (1 - minus) * plus]))
-
-    def posterior(prior: float, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-        gap = sum((pick[v] * (good[v] - bad[v])).sum(1) for v in range(3)) + np.log(prior / (1 - prior))
-        return 1 / (1 + np.exp(-np.clip(gap, -500, 500)))
+    width = len(patterns[0][0]) if patterns else len(RULE_NAMES)
+    votes, count = grades([p for p, _ in patterns]).reshape(-1, width), np.array([c for _, c in patterns], dtype=float)
+    pick = np.stack([(votes == v) for v in range(len(GRADES))], axis=2).astype(float)  # patterns x rules x votes
+
+    def rates(weight: np.ndarray, prior: tuple[float, ...]) -> np.ndarray:
+        return (np.tensordot(weight, pick, 1) + prior) / (weight.sum() + sum(prior))
 
     none = np.zeros(len(patterns))
-    prior = PRIOR_QUALITY
-    good, bad = rates(none, PRIOR_BAD_IF_GOOD, PRIOR_GOOD_IF_GOOD, FALSE_ALARM), rates(none, PRIOR_BAD_IF_BAD, PRIOR_GOOD_IF_BAD)
-    p = posterior(prior, good, bad)
-    for _ in range(steps):
-        prior = min(PRIOR_QUALITY, (count @ p + 90.0) / (count.sum() + 100.0))  # a single bad vote must be able to tell in a clean corpus
-        # the priors weigh as much as a hundredth of the texts, or their own pseudo-counts if that is more
-        scale = max(1.0, count.sum() / 10000)
-        good = rates(count * p / scale, PRIOR_BAD_IF_GOOD, PRIOR_GOOD_IF_GOOD, FALSE_ALARM)
-        bad = rates(count * (1 - p) / scale, PRIOR_BAD_IF_BAD, PRIOR_GOOD_IF_BAD)
-        p = posterior(prior, good, bad)
-    return {pattern: float(x) for (pattern, _), x in zip(patterns, p)}
-
-
-def quality(voted: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``voted`` with quality_probability, base_failed and kept. The patterns (at most 3 ** rules) are counted over all rows."""
-    counted = [(r[0], r[1]) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()]
-    spark = voted.sparkSession
-    model = spark.createDataFrame([(k, v) for k, v in fit(counted).items()], "votes string, quality_probability double")
+    model = Model(PRIOR_SHARE[0] / sum(PRIOR_SHARE), rates(none, PRIOR_IF_GOOD), rates(none, PRIOR_IF_BAD))
+    for _ in range(steps if patterns else 0):
+        p = model.posterior(votes)
+        model = Model((count @ p + PRIOR_SHARE[0]) / (count.sum() + sum(PRIOR_SHARE)), rates(count * p, PRIOR_IF_GOOD), rates(count * (1 - p), PRIOR_IF_BAD))
+    return model
+
+
+def fitted(voted: DataFrame) -> Model:
+    """The model of all rows' votes. Only the counts of vote patterns that occur come to the driver: at most 4 ** rules, whatever the input."""
+    return fit([(r[0], r[1]) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()])
+
+
+def quality(voted: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``voted`` with quality_probability, base_failed and kept, by an expression of the model's numbers."""
+    gap = np.log(model.good) - np.log(model.bad)
+    odds = F.lit(float(np.log(model.share / (1 - model.share))))
+    for k, row in enumerate(gap.tolist()):
+        letter = F.substring("votes", k + 1, 1)
+        odds = odds + F.when(letter == "=", row[0]).when(letter == "-", row[1]).when(letter == "+", row[3]).otherwise(row[2])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    joined = voted.join(F.broadcast(model), "votes", "left")
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= threshold))
+    out = voted.withColumn("quality_probability", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_probability") >= threshold))
+
+
+def judge(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_words, the base counts, votes, quality_probability, base_failed, kept) of every row; the statistics are written once, so texts are read once.
+
+    A row whose base counts fail is not kept; of the others the posterior decides, so a weak bad vote may be outweighed, and abstentions
+    alone may not be enough. A null or empty text has no words and fails. Repeated rows each count; an empty table gives an empty one; other columns
+    are dropped.
+    """
+    voted = written(df.sparkSession, with_votes(df, key, text), "votes")
+    return quality(voted, fitted(voted))
 
 
-def judge(df: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Votes, fit and verdict of every row; the statistics are written once, so texts are read once."""
-    return quality(written(df.sparkSession, with_votes(df, key, text, carry), "votes"))
+def kept_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns. Votes are computed twice, to fit and to decide, so that no row is stored between."""
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+    model = fitted(with_votes(rows, "_key", "_text"))
+    return quality(with_votes(rows, "_key", "_text", carry=["_row"]), model).filter("kept").select("_row.*")

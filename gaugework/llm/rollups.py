@@ -2,17 +2,23 @@
 
 Totals are additive, so a batch needs its own changes and the small table of totals, never the documents counted before. A commit writes a
 new version of the totals under a new name and then renames one marker into place; a batch whose marker exists is
-skipped, so repeating a batch, or a job that was lost half-way, changes nothing. [DataFrame functions only.]
+skipped, so repeating a batch, or a job that was lost half-way, changes nothing. Counting is apart from the rollup: by a public tokenizer
+(``count_tokens``) or by a pattern that SQL knows too (``token_count``).
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_words import encoder
+from .common import split_batches, with_fields
+
 GROUP = ["source", "lang", "tokenizer"]
 #: Tokenizer versions that SQL can count: words; and words with each ASCII punctuation mark apart.
 COUNTERS = {
@@ -26,6 +32,23 @@ def token_count(text: str, tokenizer: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(COUNTERS[tokenizer])), F.lit(0)).cast("long")
 
 
+def count_tokens(df: DataFrame, path: str, carry: list[str], text: str = "text", out: str = "n_tokens") -> DataFrame:
+    """(``carry``, ``out``): how many ids the tokenizer file gives each whole text, special tokens not added.
+
+    A null or empty text has 0. Rows may repeat and hold nulls; other columns are dropped; ``out`` must not be carried. An empty table gives an empty one.
+    """
+    if out in carry:
+        raise ValueError(f"{out} is carried already")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = encoder(path)
+        for batch in (s for b in batches for s in split_batches([b], text)):
+            n = [len(x) // 4 for x in tool.encode_many(batch.column(text).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(n, pa.int64())], names=[*carry, out])
+
+    return df.select(*dict.fromkeys([*carry, text])).mapInArrow(run, with_fields([df.schema[c] for c in carry], f"`{out}` long"))
+
+
 def changes(new: DataFrame | None = None, old: DataFrame | None = None) -> DataFrame:
     """Signed totals of a batch. ``new``: (source, lang, tokenizer, n_tokens) of documents that come or are counted anew; ``old``: the
     same of what they replace, or of deleted documents. A null count is 0; null groups are groups; repeated rows each count."""
@@ -82,4 +105,6 @@ class Rollup:
         jvm = self.spark._jvm
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(draft).toUri(), self.spark._jsc.hadoopConfiguration()) if "://" in draft else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark._jsc.hadoopConfiguration())
         context.rename(self._path(draft), self._path(f"{self.folder}/commits/{version:08d}"), self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        if len(done) > 1:  # readers of the version before this one may still be at work, none of older ones
+            self._fs.delete(self._path(f"{self.folder}/{done[-2]['totals']}"), True)
         return True

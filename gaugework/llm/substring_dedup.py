@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_suffixes
-from .common import dealt, mix64, pack_rows, read_rows, runs, split_batches, written
+from .common import dealt, mix64, pack_rows, read_rows, runs, split_batches, with_fields, written
 
 LEAST, GRAM = 200, 32
 BLOCK_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
@@ -347,7 +347,10 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram:
     columns = list(df.columns)
     if not as_text:
         df = df.drop(*(c for c in added if c in columns and c != text))
-    corpus = written(spark, blocks(df, text, least, gram), "text-blocks")
+    # columns go by place, so that any name will do
+    keep = [(f"c{k}", f) for k, f in enumerate(df.schema.fields) if not digest_only or f.name != text]
+    text = f"c{df.columns.index(text)}"
+    corpus = written(spark, blocks(df.toDF(*(f"c{k}" for k in range(len(df.columns)))), text, least, gram), "text-blocks")
     shards = max(MIN_SHARDS, -(-int(corpus.agg(F.sum("n_bytes")).first()[0] or 0) // SHARD_BYTES))
     keyed = corpus.select("block", "anchors", "contents", "times")
     whole = corpus.drop("n_bytes", "times")
@@ -392,8 +395,8 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram:
     sent = whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(request, "shard int, block long, items binary, contents binary")
     verdicts = written(spark, dealt(sent, shards, "shard").groupBy("shard").applyInArrow(decide(least), REPLY), "verdicts")
     told = answers.unionByName(verdicts)
-    keep = [f for f in df.schema.fields if not digest_only or f.name != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) if as_text else ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *([] if digest_only else ["spans array<struct<start: long, length: long>>, kept binary"])])
+    digests = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start: long, length: long>>, kept binary" * (not digest_only)
+    schema = with_fields([f for _, f in keep], "" if as_text else digests)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         got = rows_of(right)
@@ -412,12 +415,12 @@ def remove_repeats(df: DataFrame, text: str = "text", least: int = LEAST, gram:
             if as_text:
                 texts = block.batch.column(text)
                 new = pa.array([None if gap else r[5].decode("utf-8", errors="ignore") for r, gap in zip(rows, texts.is_null().to_pylist())], texts.type)
-                out.append(pa.Table.from_arrays([new if f.name == text else block.batch.column(f.name) for f in keep], names=[f.name for f in keep]))
+                out.append(pa.Table.from_arrays([new if c == text else block.batch.column(c) for c, _ in keep], names=[f.name for _, f in keep]))
                 continue
             columns = list(zip(*rows))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary()]
-            arrays = [block.batch.column(f.name) for f in keep] + [pa.array(list(c), t) for c, t in zip(columns, kinds)][: len(added)]
-            out.append(pa.Table.from_arrays(arrays, names=[*(f.name for f in keep), *added]))
+            arrays = [block.batch.column(c) for c, _ in keep] + [pa.array(list(c), t) for c, t in zip(columns, kinds)][: len(added)]
+            out.append(pa.Table.from_arrays(arrays, names=[*(f.name for _, f in keep), *added]))
         return pa.concat_tables(out)
 
     return whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)

@@ -246,11 +246,63 @@ def test_op7(docs):
         assert r["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and not (r["base_failed"] and r["kept"])
 
 
-def test_op7_fit_finds_the_bad_cluster():
-    good, bad = "+" + "0" * 7 + "++", "+0-0000" + "0++"
-    model = quality_rules.fit([(good, 18000), (bad, 700), ("-" + "0" * 7 + "+-", 800)])
-    assert model[good] > 0.9 and model[bad] < 0.5 and model["-" + "0" * 7 + "+-"] < 0.1
-    assert quality_rules.fit([]) == {}
+def test_op7_posterior_and_verdict(docs):
+    """The posterior is that of a plain EM over all rows' votes, and it decides."""
+    got = [r for r in quality_rules.judge(docs).collect()]
+    want = plain_em([r["votes"] for r in got])
+    for r in got:
+        assert r["quality_probability"] == pytest.approx(want[r["votes"]], abs=1e-6)
+        assert r["kept"] == (not r["base_failed"] and r["quality_probability"] >= 0.5)
+    rows = {r["doc_id"]: r for r in quality_rules.kept_rows(docs).collect()}
+    assert set(rows) == {r["doc_id"] for r in got if r["kept"]} and all(rows[i]["text"] == TEXTS[i] and rows[i]["votes"] == "clash" for i in rows)
+
+
+def plain_em(votes, steps=100):
+    """Posterior by vote pattern, row by row in plain Python."""
+    order, prior_good, prior_bad = "=-0+", quality_rules.PRIOR_IF_GOOD, quality_rules.PRIOR_IF_BAD
+    rules, times = len(votes[0]), collections.Counter(votes)
+    share = quality_rules.PRIOR_SHARE[0] / sum(quality_rules.PRIOR_SHARE)
+    tables = [[[x / sum(prior) for x in prior] for _ in range(rules)] for prior in (prior_good, prior_bad)]
+
+    def posterior(v):
+        odds = math.log(share / (1 - share)) + sum(math.log(tables[0][k][order.index(c)] / tables[1][k][order.index(c)]) for k, c in enumerate(v))
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(steps):
+        p = {v: posterior(v) for v in times}
+        good = sum(p[v] * n for v, n in times.items())
+        for side, (prior, of) in enumerate(((prior_good, lambda v: p[v]), (prior_bad, lambda v: 1 - p[v]))):
+            total = sum(of(v) * n for v, n in times.items()) + sum(prior)
+            tables[side] = [[(sum(of(v) * n for v, n in times.items() if v[k] == c) + prior[j]) / total for j, c in enumerate(order)] for k in range(rules)]
+        share = (good + quality_rules.PRIOR_SHARE[0]) / (len(votes) + sum(quality_rules.PRIOR_SHARE))
+    return {v: posterior(v) for v in times}
+
+
+def test_op7_finds_known_accuracies():
+    rng = np.random.default_rng(7)
+    n, rules = 20000, len(quality_rules.RULE_NAMES)
+    good = rng.random(n) < 0.8
+    hit = np.linspace(0.75, 0.95, rules)
+    votes = []
+    for q in good:
+        speaks, right = rng.random(rules) < 0.6, rng.random(rules) < hit
+        votes.append("".join("0" if not s else "+" if r == q else "-" for s, r in zip(speaks, right)))
+    model = quality_rules.fit(list(collections.Counter(votes).items()))
+    assert model.share == pytest.approx(0.8, abs=0.02)
+    for k, x in enumerate(model.accuracy().values()):
+        assert x == pytest.approx(hit[k], abs=0.03)
+    p = model.posterior(quality_rules.grades(votes))
+    assert np.mean((p >= 0.5) == good) > 0.95
+
+
+def test_op7_is_not_all_must_pass():
+    """One weak bad vote can be outweighed; a text that no rule speaks for is refused without any bad vote."""
+    clean, junk, weak, silent = "++++++0+0+++", "==-+++0+0+++", "+++0-+0+0+++", "0" * 12
+    model = quality_rules.fit([(clean, 9000), (junk, 900), ("==--++0+0++0", 300), (weak, 60), (silent, 20)])
+    p = dict(zip((clean, junk, weak, silent), model.posterior(quality_rules.grades([clean, junk, weak, silent]))))
+    assert p[clean] > 0.99 and p[junk] < 0.01 and p[weak] > 0.5 and p[silent] < 0.5
+    none = quality_rules.fit([])
+    assert none.share == pytest.approx(0.8) and none.good.shape == (12, 4)
 
 
 def test_op8(spark):
@@ -269,16 +321,21 @@ def test_op8(spark):
 
 
 def test_op9(docs):
-    got = by_id(media.store_texts(docs))
+    stored = media.store_texts(docs)
+    files, got = by_id(stored), by_id(media.features(stored))
     for i, t in enumerate(TEXTS):
         raw = (t or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-        r = got[i]
+        r, wave = got[i], bytes(files[i]["media"])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert media.read_wave(bytes(r["media"]))[3] == payload and r["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest()
-        low = media.resample(media.expand(payload, "mulaw"), 8000, 16000).astype(np.int64)
-        assert r["feature"].startswith(f"mulaw={(low**2).sum() / len(low):.3f};")
-    pcm = by_id(media.decode_audio(media.store_texts(docs)))
+        assert media.read_wave(wave)[3] == payload and r["media_sha256"] == hashlib.sha256(wave).hexdigest() and r["media_bytes"] == len(wave)
+        sound = [int(media.MULAW[x]) for x in payload[::2]]  # half the rate: every other sample
+        assert bytes(r["pcm"]) == np.array(sound, "<i2").tobytes()
+        turns = sum((a < 0) != (b < 0) for a, b in zip(sound, sound[1:]))
+        alaw = sum(int(media.ALAW[x]) ** 2 for x in payload) / len(payload)
+        adpcm = int(np.abs(media.decode_adpcm(np.frombuffer(payload, np.uint8).reshape(-1, 64)).astype(np.int64)).sum())
+        assert r["feature"] == f"mulaw={sum(x * x for x in sound) / len(sound):.3f};turns={turns};alaw={alaw:.3f};adpcm={adpcm}"
+    pcm = by_id(media.decode_audio(stored))
     assert pcm[3]["codec"] == "mulaw" and pcm[3]["n_samples"] == 128
 
 
@@ -316,6 +373,53 @@ def test_op10(spark, tmp_path):
     assert again.commit("three", rollups.changes(old=rows.filter("source is null"))) and again.totals().count() == 1
 
 
+def test_op10_counts_by_tokenizers(docs):
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tool = Tokenizer.from_file(PATH(name))
+        got = by_id(rollups.count_tokens(docs, PATH(name), ["doc_id", "votes"]))
+        assert all(got[i]["n_tokens"] == len(tool.encode(t or "", add_special_tokens=False).ids) and got[i]["votes"] == "clash" for i, t in enumerate(TEXTS))
+
+
+def test_op3_each_order_cuts_candidates(spark):
+    """Texts of few words have many shingles in common with others, but no two texts many."""
+    ship_package(spark)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(40)) for _ in range(600)]
+    near = texts[5].split(" ")
+    near[-1] = "z"
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, " ".join(near)])], "doc_id long, text string")
+    sets = ngram_join.candidate_sets(spark, ngram_join.written(spark, ngram_join.blocks(df, "doc_id", "text", 5), "b"), 5, 75)
+    lists = ngram_join.prefix_lists(sets)
+    a, b = lists.select("token", F.col("sid").alias("x")), lists.select("token", F.col("sid").alias("y"))
+    pairs = a.join(b, "token").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    left = [ngram_join.met_in_all(pairs, sets, k).count() for k in (1, 2, 3)]
+    assert left[0] > 2 * left[1] > 2 * left[2] > 0
+    groups = by_id(ngram_join.near_groups(df))
+    assert groups[600]["component_id"] == 5 and sum(r["component_id"] != i for i, r in groups.items()) == 1
+
+
+def test_long_runs(spark):
+    """Texts of one character, as long as block and chunk bounds or beyond them, in every operator on texts."""
+    ship_package(spark)
+    texts = [" " * 1_500_000, "\n" * 700_000, "a" * 300_000, "." * 300_000, "ab " * 100_000, "é" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = by_id(packing.pack(packing.pieces(df, PATH("byte_bpe_50k.json")).groupBy("doc_id").agg(F.lit(0).alias("piece"), F.lit(5).cast("long").alias("length"), F.sum("length").alias("n"))))
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(PATH("byte_bpe_50k.json"))
+    assert all(ids[i]["n"] == len(tool.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts))
+    gone = by_id(substring_dedup.remove_repeats(df, digest_only=True))
+    assert all(gone[i]["n_removed"] == len(t.encode()) for i, t in enumerate(texts))
+    assert piece_bpe.digests(df, PATH("piece_bpe_32k.model")).count() == 6
+    assert {i: r["n_shingles"] for i, r in by_id(ngram_join.near_groups(df)).items()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
+    assert [r["n_words"] for r in quality_rules.judge(df).orderBy("doc_id").collect()] == [0, 0, 1, 1, 100_000, 1]
+    assert [r["n_tokens"] for r in language_model.scores(df).orderBy("doc_id").collect()] == [1, 1, 2, 2, 100_001, 2]
+    assert media.features(media.store_texts(df)).count() == 6
+    assert token_files.read_shards(spark, token_files.store(df, PATH("word_bpe_49k.json"))[1]).count() == 6
+
+
 def test_empty_tables(spark):
     ship_package(spark)
     none = spark.createDataFrame([], "doc_id long, text string")
@@ -326,4 +430,8 @@ def test_empty_tables(spark):
     assert language_model.scores(none).count() == 0
     assert packing.pack(packing.pieces(none, PATH("byte_bpe_50k.json"))).count() == 0
     assert quality_rules.judge(none).count() == 0
-    assert media.store_texts(none).count() == 0
+    assert media.features(media.store_texts(none)).count() == 0
+    assert rollups.count_tokens(none, PATH("byte_bpe_50k.json"), ["doc_id"]).count() == 0
+    assert ngram_join.keep_one(none).count() == 0 and quality_rules.kept_rows(none).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert compression_quality.score(none, compression_quality.fit(none, labels)).count() == 0
