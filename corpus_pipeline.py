@@ -18,7 +18,7 @@ from gaugework.session import ship_package
 
 def _with_rows(docs: DataFrame) -> DataFrame:
     """Id and text beside the whole row, so that no name of an operator's can clash with a column of documents."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weighed rules keep."""
     ship_package(spark)
-    return quality_rules.judge(_with_rows(docs), carry=["_row"]).filter("kept").select("_row.*")
+    return quality_rules.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """All documents, without what stands in another or again in the same; n_chars is counted anew."""
     ship_package(spark)
     cut = substring_dedup.remove_repeats(docs, as_text=True)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
