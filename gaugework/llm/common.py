@@ -69,7 +69,11 @@ def written(spark: SparkSession, df: DataFrame, name: str, finished: Iterable[Da
 
 def delete_table(spark: SparkSession, table: DataFrame) -> None:
     """Drop a table that ``written`` made."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(table._written_path)
+    delete_folder(spark, table._written_path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 

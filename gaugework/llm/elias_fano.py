@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and an n-gram trie level structure over one mapped buffer.
+"""Elias-Fano sequences, and an n-gram trie of such levels in one memory-mapped file.
 
 A non-decreasing sequence is kept as low bits in a packed array and high parts in unary; an element is found by a rank
 directory over the unary bytes and one table lookup. All calls take and give numpy arrays.
@@ -10,6 +10,7 @@ import mmap
 import struct
 
 import numpy as np
+from pyarrow import fs
 
 _ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.uint8)
 #: Place of the k-th set bit of a byte.
@@ -26,6 +27,7 @@ class EliasFano:
         self.high = np.frombuffer(buffer, np.uint8, high_size, start + low_size)
         self.end = start + low_size + high_size
         self._ranks = np.cumsum(_ONES[self.high], dtype=np.int64)
+        self._all: np.ndarray | None = None
 
     @staticmethod
     def pack(values: np.ndarray) -> bytes:
@@ -67,8 +69,26 @@ class EliasFano:
             out |= word & np.uint64((1 << self.low_bits) - 1)
         return out
 
+    def all(self) -> np.ndarray:
+        """Every element, decoded once."""
+        if self._all is None:
+            marks = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
+            out = (marks - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+            for a in range(0, self.n if self.low_bits else 0, 1 << 18):
+                b = min(self.n, a + (1 << 18))
+                bits = np.unpackbits(self.low[a * self.low_bits // 8 :], count=(b - a) * self.low_bits, bitorder="little").reshape(b - a, self.low_bits)
+                for k in range(self.low_bits):
+                    out[a:b] |= bits[:, k].astype(np.uint64) << np.uint64(k)
+            self._all = out
+        return self._all
+
     def search(self, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """First place in [low, high) whose element is not under ``wanted``, else high; all three are arrays."""
+        """First place in [low, high) whose element is not under ``wanted``, else high; all three are arrays.
+
+        Few questions are answered element by element; as many as an eighth of the elements, from the level decoded as a whole.
+        """
+        if 8 * len(wanted) >= self.n:
+            return np.clip(np.searchsorted(self.all(), wanted), low, high)
         low, high = low.astype(np.int64).copy(), high.astype(np.int64).copy()
         active = np.flatnonzero(low < high)
         while len(active):
@@ -80,67 +100,118 @@ class EliasFano:
         return low
 
 
-def mapped(data: bytes) -> mmap.mmap:
-    """The bytes in a memory map of their own."""
-    out = mmap.mmap(-1, max(1, len(data)))
-    out.write(data)
-    return out
+def stored(data: bytes, path: str):
+    """The bytes written to ``path`` (a URI) and opened again: memory-mapped where the path is a local or mounted file, else read."""
+    system, place = fs.FileSystem.from_uri(path)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(place) as out:
+        out.write(data)
+    if isinstance(system, fs.LocalFileSystem):
+        with open(place, "rb") as file:
+            return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    with system.open_input_file(place) as file:
+        return file.read()
+
+
+def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes 1 to 255, and the 256 numbers they stand for (code 0: 0). Each code stands for the mean of a quantile bin, so few different values stay near exact."""
+    distinct = np.unique(values)
+    if len(distinct) > 255:
+        distinct = np.unique(np.quantile(np.sort(values), (np.arange(255) + 0.5) / 255, method="nearest"))
+    place = np.clip(np.searchsorted(distinct, values), 0, max(0, len(distinct) - 1))
+    if len(distinct):
+        lower = np.maximum(place - 1, 0)
+        place = np.where(np.abs(distinct[lower] - values) < np.abs(distinct[place] - values), lower, place)
+    book = np.zeros(256, dtype="<f4")
+    sums, times = np.bincount(place, weights=values, minlength=255), np.bincount(place, minlength=255)
+    book[1:] = sums / np.maximum(1, times)
+    return (place + 1).astype(np.uint8), book
 
 
 class Trie:
-    """Contexts, monotone pointers to their successors, and a quantised probability code for each successor.
+    """N-grams of up to three words around the middle one: words, their successors, their predecessors, and those pairs' successors.
 
-    Successors are numbered in the vocabulary of this trie; a context's successors are kept relative to its place (place * size of the
-    vocabulary + number), which makes the whole level one non-decreasing sequence. A query searches between its context's two pointers.
+    All four levels are monotone: a level's entry is its parent's place times the size of what it counts in, plus its own number, and pointers
+    tell where a parent's entries begin. The last level counts a third word by its place among the successors of the second, not in
+    the vocabulary (which takes fewer bits), so a query goes: find the middle word, search the third among its successors (the shorter n-gram, to back off to), search
+    the first among its predecessors, then the third's place inside that pair.
     """
 
+    LEVELS = ("middles", "thirds", "firsts", "to_successors", "successors", "to_predecessors", "predecessors", "to_triples", "triples")
+    CODES = ("two", "weight", "three")  # probability of a pair, weight of what backs off from a pair, probability of a triple
+
     def __init__(self, buffer):
-        self.size, at = struct.unpack_from("<Q", buffer, 0)[0], 8
-        self.levels = []
-        for _ in range(4):
-            self.levels.append(EliasFano(buffer, at))
-            at = self.levels[-1].end
-        self.contexts, self.words, self.pointers, self.successors = self.levels
-        self.book = np.frombuffer(buffer, "<f4", 256, at)
-        self.codes = np.frombuffer(buffer, np.uint8, self.successors.n, at + 1024)
+        *self.sizes, self.places = struct.unpack_from("<QQQ", buffer, 0)
+        at = 24
+        for name in self.LEVELS:
+            level = EliasFano(buffer, at)
+            setattr(self, name, level)
+            at = level.end
+        for name, level in zip(self.CODES, (self.successors, self.predecessors, self.triples)):
+            setattr(self, f"{name}_book", np.frombuffer(buffer, "<f4", 256, at))
+            setattr(self, name, np.frombuffer(buffer, np.uint8, level.n, at + 1024))
+            at += 1024 + level.n
 
     @staticmethod
-    def pack(contexts: np.ndarray, words: np.ndarray, context_of: np.ndarray, word_of: np.ndarray, probability: np.ndarray) -> bytes:
-        """``contexts`` and ``words`` are sorted keys; each entry is a pair of places in them, entries sorted by context, then word."""
-        size = max(1, len(words))
-        pointers = np.searchsorted(context_of, np.arange(len(contexts) + 1))
-        # quantile bins: each code stands for the mean of its bin, so rates of equal counts are near exact where few values are in use
-        distinct = np.unique(probability)
-        if len(distinct) > 256:
-            distinct = np.unique(np.quantile(np.sort(probability), (np.arange(256) + 0.5) / 256, method="nearest"))
-        place = np.clip(np.searchsorted(distinct, probability), 0, max(0, len(distinct) - 1))
-        if len(distinct):
-            lower = np.maximum(place - 1, 0)
-            place = np.where(np.abs(distinct[lower] - probability) < np.abs(distinct[place] - probability), lower, place)
-        book = np.zeros(256, dtype="<f4")
-        sums, times = np.bincount(place, weights=probability, minlength=256), np.bincount(place, minlength=256)
-        book[:] = sums / np.maximum(1, times)
-        value = context_of.astype(np.uint64) * np.uint64(size) + word_of.astype(np.uint64)
-        return struct.pack("<Q", size) + b"".join(EliasFano.pack(v) for v in (contexts, words, pointers, value)) + book.tobytes() + place.astype(np.uint8).tobytes()
-
-    def find(self, level: EliasFano, keys: np.ndarray) -> np.ndarray:
-        """Places of keys in a level, -1 for those that are not in it."""
-        if not level.n:
-            return np.full(len(keys), -1, dtype=np.int64)
-        at = level.search(keys, np.zeros(len(keys), np.int64), np.full(len(keys), level.n, np.int64))
-        good = at < level.n
+    def pack(middles: np.ndarray, thirds: np.ndarray, firsts: np.ndarray, pairs: tuple, contexts: tuple, triples: tuple) -> bytes:
+        """Sorted keys of the words in each place, and sorted entries: pairs (middle, third, probability), contexts (middle, first, weight)
+        and triples (context, third, probability), all as places in what is given before."""
+        pair_middle, pair_third, two = pairs
+        context_middle, context_first, weight = contexts
+        triple_context, triple_third, three = triples
+        n2, n1 = max(1, len(thirds)), max(1, len(firsts))
+        successors = pair_middle.astype(np.uint64) * np.uint64(n2) + pair_third.astype(np.uint64)
+        to_successors = np.searchsorted(pair_middle, np.arange(len(middles) + 1))
+        middle = context_middle[triple_context] if len(triple_context) else triple_context
+        spot = np.searchsorted(successors, middle.astype(np.uint64) * np.uint64(n2) + triple_third.astype(np.uint64)) - to_successors[middle]
+        places = int(np.diff(to_successors).max()) if len(middles) else 1
+        levels = (
+            middles, thirds, firsts, to_successors, successors,
+            np.searchsorted(context_middle, np.arange(len(middles) + 1)), context_middle.astype(np.uint64) * np.uint64(n1) + context_first.astype(np.uint64),
+            np.searchsorted(triple_context, np.arange(len(context_middle) + 1)), triple_context.astype(np.uint64) * np.uint64(max(1, places)) + spot.astype(np.uint64),
+        )
+        out = struct.pack("<QQQ", n2, n1, max(1, places)) + b"".join(EliasFano.pack(v) for v in levels)
+        for values in (two, weight, three):
+            code, book = quantised(values)
+            out += book.tobytes() + code.tobytes()
+        return out
+
+    @staticmethod
+    def find(level: EliasFano, keys: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """Places of keys in a level (within [low, high) where given), -1 for those that are not in it."""
+        n = len(keys)
+        if not level.n or not n:
+            return np.full(n, -1, dtype=np.int64)
+        high = np.full(n, level.n, np.int64) if high is None else high
+        at = level.search(keys, np.zeros(n, np.int64) if low is None else low, high)
+        good = at < high
         good[good] = level.get(at[good]) == keys[good]
         return np.where(good, at, -1)
 
-    def look_up(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Code of each (place of context, place of word), -1 where the pair is not there."""
-        out = np.full(len(context), -1, dtype=np.int64)
-        ask = np.flatnonzero((context >= 0) & (word >= 0))
-        wanted = context[ask].astype(np.uint64) * np.uint64(self.size) + word[ask].astype(np.uint64)
-        low = self.pointers.get(context[ask]).astype(np.int64)
-        high = self.pointers.get(context[ask] + 1).astype(np.int64)
-        at = self.successors.search(wanted, low, high)
-        good = at < high
-        good[good] = self.successors.get(at[good]) == wanted[good]
-        out[ask[good]] = self.codes[at[good]]
+    def pair(self, middle: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """Place among the successors of each (key of middle word, key of third word), or -1."""
+        return self._successor(self.find(self.middles, middle), self.find(self.thirds, third))
+
+    def _below(self, parent: np.ndarray, number: np.ndarray, size: int, pointers: EliasFano, level: EliasFano) -> np.ndarray:
+        out = np.full(len(parent), -1, dtype=np.int64)
+        ask = np.flatnonzero((parent >= 0) & (number >= 0))
+        p = parent[ask]
+        low, high = pointers.get(p).astype(np.int64), pointers.get(p + 1).astype(np.int64)
+        out[ask] = self.find(level, p.astype(np.uint64) * np.uint64(size) + number[ask].astype(np.uint64), low, high)
         return out
+
+    def _successor(self, middle: np.ndarray, third: np.ndarray) -> np.ndarray:
+        return self._below(middle, third, self.sizes[0], self.to_successors, self.successors)
+
+    def triple(self, middle: np.ndarray, first: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of pair, back-off weight and triple for each (middle, first, third) key; 0 where that n-gram or context is not known."""
+        word = self.find(self.middles, middle)
+        pair = self._successor(word, self.find(self.thirds, third))
+        context = self._below(word, self.find(self.firsts, first), self.sizes[1], self.to_predecessors, self.predecessors)
+        spot = np.where(pair >= 0, pair - self.to_successors.get(np.maximum(word, 0)).astype(np.int64), -1) if self.middles.n else pair
+        triple = self._below(context, spot, self.places, self.to_triples, self.triples)
+        return tuple(_coded(codes, at) for codes, at in ((self.two, pair), (self.weight, context), (self.three, triple)))
+
+
+def _coded(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.where(at >= 0, codes[np.maximum(at, 0)], 0).astype(np.uint8) if len(codes) else np.zeros(len(at), np.uint8)

@@ -1,19 +1,23 @@
-"""Bigram scores from a sharded Elias-Fano trie.
+"""Trigram scores from sharded Elias-Fano tries.
 
 The corpus is read once, into blocks: the documents of some megabytes as numbers in the block's own vocabulary. Each block then
-asks for what it needs only, once for each distinct word and word pair, and brings its training counts with the question. Questions
-are dealt to shards by context; a shard adds up the counts, builds its trie and answers from it. Contexts so frequent that one shard
-would grow with the corpus are spread by successor. Words and contexts are known by 64-bit hashes, successors by 48 bits within
-their context. Nothing of the size of the corpus, its vocabulary or its n-grams passes through the driver.
-
-P(w | v) = (c(v w) - D) / c(v) + D * n(v) / c(v) * P(w), where n(v) counts distinct successors, and P(w) = (c + 0.5) / (N + 0.5 (V + 1)).
+asks for what it needs only, once for each distinct word and word triple, and brings its training counts with the question. Questions
+are dealt to shards by the triple's middle word, where its pairs (middle, third) and contexts (first, middle) are whole too; a shard adds up the
+counts, writes its trie to the shared folder, maps the file and answers from it by key. Middle words so frequent that one shard
+would grow with the corpus are spread by first word, their pairs by third word, and contexts so frequent by third word; the driver has the exact counts of those
+alone, a bounded number for each shard. Middle words are known by 64-bit hashes, first and third words by 40 bits beside them.
+Nothing of the size of the corpus, its vocabulary or its n-grams passes through the driver.
+
+P(w | u v) = (c(u v w) - D) / c(u v) + D * n(u v) / c(u v) * P(w | v), P(w | v) likewise from c(v w), c(v) and P(w), where n counts distinct
+successors and a negative difference is 0; an unseen context leaves it to the shorter one. P(w) = (c + 0.5) / (N + 0.5 (V + 1)).
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,18 +27,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, split_batches, written
-from .elias_fano import Trie, mapped
+from .common import dealt, delete_folder, mix64, new_folder, split_batches, written
+from .elias_fano import Trie, stored
 
 DISCOUNT = 0.75
 BLOCK_BYTES = 8 << 20
-SHARD_PAIRS = 1_500_000
+SHARD_TOKENS = 3_000_000
 MIN_SHARDS = 48
-TOP_WORDS = 1000
+#: Each block names its most frequent words and word pairs; what is frequent in the corpus is among some block's.
+TOP = 1000
 END = b"\n"  # no word has white space
 #: Stands for "no token yet" as a context.
 BEGIN = np.uint64(0x5BE6157A7E97)
-_MASK48 = np.uint64((1 << 48) - 1)
+_CUT = np.uint64(24)
+_STEP, _STEP2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,6 +53,7 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def make_block(doc_ids: list, texts: list) -> dict:
+    """The block's columns. Words are numbered in the order of their hashes."""
     tokens: list[bytes] = []
     lengths = []
     for t in texts:
@@ -56,12 +63,15 @@ def make_block(doc_ids: list, texts: list) -> dict:
         lengths.append(len(words) + 1)
     codes, vocabulary = pd.factorize(np.array(tokens, dtype=object))
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), dtype=np.uint64, count=len(vocabulary))
+    order = np.argsort(hashes)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    codes, hashes = rank[codes], hashes[order]
     sizes = np.array(lengths, dtype=np.int64)
     train = np.repeat([not held_out(d) for d in doc_ids], sizes)
     counts = np.bincount(codes, weights=train, minlength=len(hashes)).astype("<u4")
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    raw = codes.astype("<u4")
-    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 4).T).tobytes()  # byte planes compress far better than whole numbers
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()  # byte planes compress far better than whole numbers
     return {
         "lengths": sizes.astype("<i8").tobytes(),
         "codes": squeeze(planes),
@@ -73,11 +83,33 @@ def make_block(doc_ids: list, texts: list) -> dict:
     }
 
 
-def open_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths of documents, codes of tokens, hashes of words and their training counts in the block."""
-    loose = zstandard.ZstdDecompressor().decompress
-    planes = np.frombuffer(loose(row["codes"]), np.uint8).reshape(4, -1)
-    return np.frombuffer(row["lengths"], "<i8"), np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64), np.frombuffer(row["hashes"], "<u8"), np.frombuffer(loose(row["counts"]), "<u4")
+class Tokens:
+    """A block's tokens with the two before each, as numbers; the last number stands for BEGIN."""
+
+    def __init__(self, row: dict):
+        loose = zstandard.ZstdDecompressor().decompress
+        planes = np.frombuffer(loose(row["codes"]), np.uint8).reshape(4, -1)
+        self.codes = np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
+        self.lengths = np.frombuffer(row["lengths"], "<i8")
+        self.counts = np.frombuffer(loose(row["counts"]), "<u4").astype(np.int64)
+        self.keys = np.append(np.frombuffer(row["hashes"], "<u8"), BEGIN)
+        self.short = self.keys >> _CUT
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.size = len(self.keys)
+        self.middle = self._shifted(self.codes)
+        self.first = self._shifted(self.middle)
+        self.train = np.repeat(~np.array(row["held"], dtype=bool), self.lengths)
+
+    def _shifted(self, codes: np.ndarray) -> np.ndarray:
+        out = np.empty_like(codes)
+        out[1:], out[self.starts] = codes[:-1], self.size - 1
+        return out
+
+
+def pair_key(first_short: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """Key of a context of two words."""
+    with np.errstate(over="ignore"):
+        return mix64(middle + first_short * _STEP2)
 
 
 BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, lengths binary, codes binary, hashes binary, counts binary, train_tokens long, train_docs long, n_tokens long"
@@ -90,13 +122,13 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        for batch in (s for b in batches for s in split_batches([b], text, rows=1 << 20, size=BLOCK_BYTES)):
-            ids = batch.column(key).to_pylist()
-            row = {"block": number, "doc_ids": ids, "held": [held_out(d) for d in ids]} | make_block(ids, batch.column(text).to_pylist())
+        for batch in (s for b in batches for s in split_batches([b], "text", rows=1 << 20, size=BLOCK_BYTES)):
+            ids = batch.column("key").to_pylist()
+            row = {"block": number, "doc_ids": ids, "held": [held_out(d) for d in ids]} | make_block(ids, batch.column("text").to_pylist())
             number += 1
             yield pa.RecordBatch.from_pylist([row], schema=_arrow(BLOCK_SCHEMA))
 
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, BLOCK_SCHEMA)
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, BLOCK_SCHEMA)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -104,77 +136,112 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(part.split(" ")[0], kinds[part.split(" ")[1]]) for part in schema.split(", ")])
 
 
-class Plan:
-    """How a block's questions are laid out; the same every time it is made."""
+@dataclass
+class Frequent:
+    """Contexts that are spread over shards: exact training counts by key, and into how many parts each goes."""
 
-    def __init__(self, row: dict, shards: int, spread: dict[int, int]):
-        self.lengths, self.codes, self.hashes, self.counts = open_block(row)
-        ends = np.cumsum(self.lengths)
-        self.starts = ends - self.lengths
-        size = len(self.hashes) + 1
-        before = np.empty_like(self.codes)
-        before[1:], before[self.starts] = self.codes[:-1], size - 1
-        self.before = before
-        keys = np.append(self.hashes, BEGIN)
-        pairs, self.pair_of = np.unique(before * size + self.codes, return_inverse=True)
-        self.context, self.word = pairs // size, pairs % size
-        self.keys = keys
-        # a shard for each word, and for each pair by its context, or by context and successor where the context is frequent
-        self.word_shard = self.shard_of(self.hashes, shards)
-        context_hash, word_hash = keys[self.context], keys[self.word] & _MASK48
-        fan = np.ones(len(keys), dtype=np.uint64)
-        for h, f in spread.items():
-            fan[keys == np.uint64(h)] = f
-        with np.errstate(over="ignore"):
-            self.pair_shard = self.shard_of(context_hash + (word_hash % fan[self.context]) * np.uint64(0x9E3779B97F4A7C15), shards)
-        self.word_order = np.lexsort((self.hashes, self.word_shard))
-        self.pair_order = np.lexsort((word_hash, context_hash, self.pair_shard))
+    counts: dict[int, int] = field(default_factory=dict)
+    parts: dict[int, int] = field(default_factory=dict)
 
-    @staticmethod
-    def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-        return (mix64(h) % np.uint64(shards)).astype(np.int64)
+    def __post_init__(self):
+        self.keys = np.array(sorted(self.counts), dtype=np.uint64)
+        self.total = np.array([self.counts[int(k)] for k in self.keys], dtype=np.int64)
+        self.fan = np.array([self.parts[int(k)] for k in self.keys], dtype=np.uint64)
 
-    def parts(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Shard, its words and its pairs, as places in this block."""
-        words = np.searchsorted(self.word_shard[self.word_order], np.arange(shards + 1))
-        pairs = np.searchsorted(self.pair_shard[self.pair_order], np.arange(shards + 1))
-        for s in range(shards):
-            w, p = self.word_order[words[s] : words[s + 1]], self.pair_order[pairs[s] : pairs[s + 1]]
-            if len(w) or len(p):
-                yield s, w, p
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key here, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
-    def context_runs(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts of sorted pairs, and how many pairs each has."""
-        context = self.context[pairs]
-        new = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
-        return context[new], np.diff(np.append(new, len(context)))
+    def fans(self, at: np.ndarray) -> np.ndarray:
+        return np.where(at >= 0, self.fan[np.maximum(at, 0)], 1).astype(np.uint64) if len(self.fan) else np.ones(len(at), np.uint64)
 
 
-def _six(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return (mix64(h) % np.uint64(shards)).astype(np.int64)
 
 
-def _unsix(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+class Plan(Tokens):
+    """How a block's questions are laid out; the same every time it is made."""
+
+    def __init__(self, row: dict, shards: int, often: Frequent):
+        super().__init__(row)
+        size = np.int64(self.size)
+        triples, self.triple_of = np.unique((self.middle * size + self.first) * size + self.codes, return_inverse=True)
+        self.t_middle, rest = np.divmod(triples, size * size)
+        self.t_first, self.t_third = np.divmod(rest, size)
+        word_at = often.at(self.keys)
+        self.frequent_word = word_at  # of each word, its place among the frequent ones
+        fan = often.fans(word_at)
+        self.context_at = often.at(pair_key(self.short[self.t_first], self.keys[self.t_middle]))
+        with np.errstate(over="ignore"):
+            spread = self.short[self.t_first] % fan[self.t_middle] * _STEP + self.short[self.t_third] % often.fans(self.context_at) * _STEP2
+            self.triple_shard = shard_of(self.keys[self.t_middle] + spread, shards)
+            # pairs of frequent middle words, whose triples are not together
+            hot = np.flatnonzero(word_at[self.middle] >= 0)
+            pairs, of = np.unique(self.middle[hot] * size + self.codes[hot], return_inverse=True)
+            self.hot, self.pair_of = hot, of
+            self.p_middle, self.p_third = np.divmod(pairs, size)
+            self.pair_middle_key = mix64(self.keys[self.p_middle] + np.uint64(1))
+            self.pair_shard = shard_of(self.pair_middle_key + self.short[self.p_third] % fan[self.p_middle] * _STEP, shards)
+        self.word_shard = shard_of(self.keys[:-1], shards)
+        self.orders = [np.argsort(x, kind="stable") for x in (self.word_shard, self.triple_shard, self.pair_shard)]
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Each shard that is asked, and its words, triples and pairs, as places in this block."""
+        sides = [x[o] for x, o in zip((self.word_shard, self.triple_shard, self.pair_shard), self.orders)]
+        used = np.unique(np.concatenate(sides))
+        cuts = [(np.searchsorted(x, used), np.searchsorted(x, used, side="right")) for x in sides]
+        for k, s in enumerate(used.tolist()):
+            yield s, *(o[a[k] : b[k]] for o, (a, b) in zip(self.orders, cuts))
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal neighbours begin, and how long they are."""
+    new = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return new, np.diff(np.append(new, len(values)))
+
+
+def _five(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unfive(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
     return wide.view("<u8")[:, 0]
 
 
-def ask(block_rows: DataFrame, shards: int, spread: dict[int, int]) -> DataFrame:
+def pack_parts(parts: list[bytes]) -> bytes:
+    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def unpack_parts(data: bytes) -> list[bytes]:
+    n = struct.unpack_from("<I", data)[0]
+    sizes = struct.unpack_from(f"<{n}Q", data, 4)
+    cuts = np.cumsum([4 + 8 * n, *sizes]).tolist()
+    return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def ask(block_rows: DataFrame, shards: int, often: Frequent) -> DataFrame:
     """(shard, block, question) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for row in batch.to_pylist():
-                plan = Plan(row, shards, spread)
-                train = np.repeat(~np.array(row["held"], dtype=bool), plan.lengths)
-                times = np.bincount(plan.pair_of, weights=train, minlength=len(plan.context)).astype("<u4")
+                plan = Plan(row, shards, often)
+                times = np.bincount(plan.triple_of, weights=plan.train, minlength=len(plan.t_middle)).astype("<u4")
+                pair_times = np.bincount(plan.pair_of, weights=plan.train[plan.hot], minlength=len(plan.p_middle)).astype("<u4")
                 out: list[tuple[int, int, bytes]] = []
-                for s, words, pairs in plan.parts(shards):
-                    contexts, runs = plan.context_runs(pairs)
-                    data = struct.pack("<III", len(words), len(contexts), len(pairs)) + plan.hashes[words].tobytes() + plan.counts[words].astype("<u4").tobytes()
-                    data += plan.keys[contexts].astype("<u8").tobytes() + runs.astype("<u4").tobytes() + _six(plan.keys[plan.word[pairs]]) + times[pairs].tobytes()
-                    out.append((s, row["block"], data))
+                for s, words, triples, pairs in plan.parts():
+                    parts = [plan.keys[words].tobytes(), squeeze(plan.counts[words].astype("<u4").tobytes())]
+                    for keys, middle, sides, n in ((plan.keys[plan.t_middle[triples]], plan.t_middle[triples], (plan.short[plan.t_first[triples]], plan.short[plan.t_third[triples]]), times[triples]), (plan.pair_middle_key[pairs], plan.p_middle[pairs], (plan.short[plan.p_third[pairs]],), pair_times[pairs])):
+                        new, length = _runs(middle)
+                        parts += [keys[new].tobytes(), squeeze(length.astype("<u4").tobytes()), *map(_five, sides), squeeze(n.tobytes())]
+                    out.append((s, row["block"], pack_parts(parts)))
                 s, b, d = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(d, pa.binary())], names=["shard", "block", "question"])
 
@@ -182,88 +249,165 @@ def ask(block_rows: DataFrame, shards: int, spread: dict[int, int]) -> DataFrame
 
 
 def _read_question(data: bytes) -> tuple[np.ndarray, ...]:
-    words, contexts, pairs = struct.unpack_from("<III", data)
-    at, out = 12, []
-    for n, kind in ((words, "<u8"), (words, "<u4"), (contexts, "<u8"), (contexts, "<u4")):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return *out, _unsix(data[at : at + 6 * pairs]), np.frombuffer(data, "<u4", pairs, at + 6 * pairs)
-
-
-def answer(spread_counts: dict[int, int]):
+    """Words, their counts; triples' middles (repeated), firsts, thirds, times; pairs' middles, thirds, times."""
+    loose = zstandard.ZstdDecompressor().decompress
+    words, counts, keys, length, first, third, times, pair_keys, pair_length, pair_third, pair_times = unpack_parts(data)
+    number = lambda x: np.frombuffer(loose(x), "<u4").astype(np.int64)
+    return (
+        np.frombuffer(words, "<u8"), number(counts),
+        np.repeat(np.frombuffer(keys, "<u8"), number(length)), _unfive(first), _unfive(third), number(times),
+        np.repeat(np.frombuffer(pair_keys, "<u8"), number(pair_length)), _unfive(pair_third), number(pair_times),
+    )
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, each one's sum, and each value's place among them."""
+    known, where = np.unique(keys, return_inverse=True)
+    return known, np.bincount(where, weights=values, minlength=len(known)).astype(np.int64), where
+
+
+class Shard:
+    """A shard's sums and its trie."""
+
+    def __init__(self, asked: list[tuple[np.ndarray, ...]], often: Frequent, path: str):
+        words, counts, middle, first, third, times, pair_middle, pair_third, pair_times = (np.concatenate(x) for x in zip(*asked))
+        self.words, self.counts, _ = _summed(words, counts)
+        middles, m = np.unique(np.concatenate((middle, pair_middle)), return_inverse=True)
+        thirds, w = np.unique(np.concatenate((third, pair_third)), return_inverse=True)
+        firsts, u = np.unique(first, return_inverse=True)
+        n, n3, n1 = len(middle), max(1, len(thirds)), max(1, len(firsts))
+        triple, c3, self.triple_at = _summed((m[:n] * n1 + u) * n3 + w[:n], times)
+        t_context, t_third = np.divmod(triple, n3)
+        t_middle = t_context // n1
+        pair, c2, at = _summed(np.concatenate((t_middle * n3 + t_third, m[n:] * n3 + w[n:])), np.concatenate((c3, pair_times)))
+        self.pair_at = at[len(triple) :]
+        self.asked_triple = (middles[t_middle], firsts[t_context % n1], thirds[t_third]) if len(triple) else (middles[:0], firsts[:0], thirds[:0])
+        self.asked_pair = middles[pair // n3], thirds[pair % n3]
+        # what training has: pairs by middle, contexts (first, middle), triples by context
+        pair, c2 = pair[c2 > 0], c2[c2 > 0]
+        p_middle, p_third = np.divmod(pair, n3)
+        seen = c3 > 0
+        contexts, c_context, t_place = _summed(t_context[seen], c3[seen])
+        c_middle, c_first = np.divmod(contexts, n1)
+        total = np.bincount(p_middle, weights=c2, minlength=len(middles)).astype(np.int64)
+        self.middles, self.followers = middles, np.bincount(p_middle, minlength=len(middles))
+        hot = often.at(middles)
+        total = np.where(hot >= 0, often.total[np.maximum(hot, 0)], total) if len(often.total) else total
+        n_context = np.bincount(t_place, minlength=len(contexts))
+        self.context_keys, self.n_context = pair_key(firsts[c_first], middles[c_middle]), n_context
+        hot = often.at(self.context_keys)
+        c_context = np.where(hot >= 0, often.total[np.maximum(hot, 0)], c_context) if len(often.total) else c_context
+        two = np.maximum(c2 - DISCOUNT, 0) / np.maximum(1, total[p_middle])
+        weight = DISCOUNT * n_context / np.maximum(1, c_context)
+        three = np.maximum(c3[seen] - DISCOUNT, 0) / np.maximum(1, c_context[t_place])
+        self.back = np.where(total > 0, DISCOUNT * self.followers / np.maximum(1, total), 1.0).astype("<f4")
+        packed = Trie.pack(middles, thirds, firsts, (p_middle, p_third, two), (c_middle, c_first, weight), (t_place, t_third[seen], three))
+        self.trie = Trie(stored(packed, path))
+
+
+def answer(often: Frequent, folder: str) -> Callable[[pa.Table], pa.Table]:
     """The function of one shard: add up, build the trie, answer each block from it. Rows with block null hold sums for the whole model."""
 
     def run(table: pa.Table) -> pa.Table:
+        from pyspark import TaskContext
+
         asked = [_read_question(x.as_py()) for x in table.column("question")]
-        shard = table.column("shard")[0].as_py()
-        known, where = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        counts = np.bincount(where, weights=np.concatenate([a[1] for a in asked]), minlength=len(known)).astype(np.int64)
-        contexts, context_at = np.unique(np.concatenate([np.repeat(a[2], a[3]) for a in asked]), return_inverse=True)
-        words, word_at = np.unique(np.concatenate([a[4] for a in asked]), return_inverse=True)
-        pair, pair_at = np.unique(context_at.astype(np.int64) << 32 | word_at, return_inverse=True)
-        times = np.bincount(pair_at, weights=np.concatenate([a[5] for a in asked]), minlength=len(pair)).astype(np.int64)
-        del context_at, word_at, where
-        seen = times > 0
-        ask_context, ask_word = pair >> 32, pair & 0xFFFFFFFF
-        context_of, word_of, times = ask_context[seen], ask_word[seen], times[seen]
-        # how often each context stands: from this shard's words, or for spread contexts from the exact sums sent along
-        total = np.zeros(len(contexts), dtype=np.int64)
-        at = np.minimum(np.searchsorted(known, contexts), max(0, len(known) - 1))
-        if len(known):
-            total = np.where(known[at] == contexts, counts[at], 0)
-        for h, c in spread_counts.items():
-            total[contexts == np.uint64(h)] = c
-        followers = np.bincount(context_of, minlength=len(contexts))
-        trie = Trie(mapped(Trie.pack(contexts, words, context_of, word_of, np.maximum(times - DISCOUNT, 0) / np.maximum(1, total[context_of]))))
-        # every question once, however many blocks ask it; places in the levels are the numbers given above
-        code = (trie.look_up(ask_context, ask_word) + 1).astype("<u2")
-        rows, at = [], 0
-        for block, (ask_words, _, ask_contexts, _, successors, _) in zip(table.column("block").to_pylist(), asked):
-            c = counts[np.searchsorted(known, ask_words)]
-            n = followers[np.searchsorted(contexts, ask_contexts)]
-            data = c.astype("<u8").tobytes() + n.astype("<u4").tobytes() + code[pair_at[at : at + len(successors)]].tobytes() + trie.book.tobytes()
-            rows.append((block, shard, zstandard.ZstdCompressor(level=1).compress(data), None, None))
-            at += len(successors)
-        rows.append((None, shard, None, -1, int((counts > 0).sum())))
-        for h in spread_counts:
-            at = np.flatnonzero(contexts == np.uint64(h))
-            if len(at):
-                rows.append((None, shard, None, int(np.uint64(h).view(np.int64)), int(followers[at[0]])))
+        number = table.column("shard")[0].as_py()
+        shard = Shard(asked, often, f"{folder}/{number:08d}-{TaskContext.get().taskAttemptId()}.trie")
+        # every question once, however many blocks ask it
+        trie = shard.trie
+        codes = trie.triple(*shard.asked_triple)
+        at = trie.pair(*shard.asked_pair)
+        two = np.where(at >= 0, trie.two[np.maximum(at, 0)], 0).astype(np.uint8) if len(trie.two) else np.zeros(len(at), np.uint8)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        books = b"".join(getattr(trie, f"{c}_book").tobytes() for c in Trie.CODES)
+        rows, a, b = [], 0, 0
+        for block, (words, _, middle, _, _, times, pair_middle, _, pair_times) in zip(table.column("block").to_pylist(), asked):
+            triples, pairs = shard.triple_at[a : a + len(times)], shard.pair_at[b : b + len(pair_times)]
+            new, _ = _runs(middle)
+            back = shard.back[np.searchsorted(shard.middles, middle[new])]
+            count = shard.counts[np.searchsorted(shard.words, words)]
+            parts = [count.astype("<u8").tobytes(), back.tobytes(), *(c[triples].tobytes() for c in codes), two[pairs].tobytes(), books]
+            rows.append((block, number, squeeze(pack_parts(parts)), None, None))
+            a, b = a + len(times), b + len(pair_times)
+        rows.append((None, number, None, -1, int((shard.counts > 0).sum())))
+        # distinct successors of frequent words (under their pairs' keys) and contexts
+        for keys, n in ((shard.middles, shard.followers), (shard.context_keys, shard.n_context)):
+            hot = np.flatnonzero(often.at(keys) >= 0)
+            rows += [(None, number, None, int(k.view(np.int64)), int(x)) for k, x in zip(keys[hot], n[hot])]
         names = ["block", "shard", "answer", "about", "amount"]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=names)
 
     return run
 
 
-def score_block(row: dict, answers: dict[int, bytes], shards: int, spread: dict[int, int], followers: dict[int, int], train_tokens: int, vocabulary: int, train_docs: int) -> dict[str, np.ndarray]:
-    plan = Plan(row, shards, spread)
-    count = np.zeros(len(plan.hashes) + 1, dtype=np.int64)
-    n = np.zeros(len(count), dtype=np.int64)
-    rate = np.zeros(len(plan.context))
-    for s, words, pairs in plan.parts(shards):
-        contexts, _ = plan.context_runs(pairs)
-        data = zstandard.ZstdDecompressor().decompress(answers[s])
-        a, b, c = 8 * len(words), 4 * len(contexts), 2 * len(pairs)
-        count[words] = np.frombuffer(data, "<u8", len(words)).astype(np.int64)
-        n[contexts] = np.frombuffer(data, "<u4", len(contexts), a)
-        book = np.append(0.0, np.frombuffer(data, "<f4", 256, a + b + c))
-        rate[pairs] = book[np.frombuffer(data, "<u2", len(pairs), a + b)]
-    for h, f in followers.items():
-        n[plan.keys == np.uint64(h)] = f
-    context_count = count.copy()
-    context_count[-1] = train_docs
-    single = (count[:-1] + 0.5) / (train_tokens + 0.5 * (vocabulary + 1))
-    back = np.where(context_count > 0, DISCOUNT * n / np.maximum(1, context_count), 1.0)
+def score_block(row: dict, answers: dict[int, bytes], shards: int, often: Frequent, followers: dict[int, int], train_tokens: int, vocabulary: int) -> dict[str, np.ndarray]:
+    plan = Plan(row, shards, often)
+    loose = zstandard.ZstdDecompressor().decompress
+    count = np.zeros(plan.size - 1, dtype=np.int64)
+    back_word = np.ones(plan.size)
+    two, weight, three = (np.zeros(len(plan.t_middle)) for _ in range(3))
+    hot_two = np.zeros(len(plan.p_middle))
+    for s, words, triples, pairs in plan.parts():
+        counts, back, *codes, pair_codes, books = unpack_parts(loose(answers[s]))
+        books = np.frombuffer(books, "<f4").reshape(3, 256).astype(float)
+        count[words] = np.frombuffer(counts, "<u8").astype(np.int64)
+        middle = plan.t_middle[triples]
+        back_word[middle[_runs(middle)[0]]] = np.frombuffer(back, "<f4")
+        for out, code, book in zip((two, weight, three), codes, books):
+            out[triples] = book[np.frombuffer(code, np.uint8)]
+        hot_two[pairs] = books[0][np.frombuffer(pair_codes, np.uint8)]
+    weight[weight == 0] = 1.0  # a context that training has not
+    # frequent words and contexts: their sums are exact and come from the driver
+    n = np.array([followers.get(int(k), 0) for k in often.keys], dtype=float)
+    share = DISCOUNT * n / np.maximum(1, often.total)
+    if len(share):
+        # a frequent word's pairs are counted under another key, see Plan
+        at = often.at(mix64(plan.keys + np.uint64(1)))
+        back_word = np.where(at >= 0, share[np.maximum(at, 0)], back_word)
+        weight = np.where(plan.context_at >= 0, share[np.maximum(plan.context_at, 0)], weight)
+    single = (count + 0.5) / (train_tokens + 0.5 * (vocabulary + 1))
     token = single[plan.codes]
-    both = rate[plan.pair_of] + back[plan.before] * token
+    pair = two[plan.triple_of]
+    pair[plan.hot] = hot_two[plan.pair_of]
+    both = pair + back_word[plan.middle] * token
+    score = three[plan.triple_of] + weight[plan.triple_of] * both
     return {
         "n_tokens": plan.lengths,
         "n_known": np.add.reduceat((count[plan.codes] > 0).astype(np.int64), plan.starts),
         "base_score": np.add.reduceat(np.log10(token), plan.starts),
-        "score": np.add.reduceat(np.log10(both), plan.starts),
+        "score": np.add.reduceat(np.log10(score), plan.starts),
     }
 
 
+def frequent_contexts(corpus: DataFrame, shards: int, train_tokens: int, train_docs: int) -> Frequent:
+    """Words and word pairs over an eighth of a mean shard: at most 16 for each shard. Their counts are exact."""
+    bound = max(1, train_tokens // (8 * shards))
+    columns = corpus.select("held", "lengths", "codes", "hashes", "counts")
+
+    def counted(pick: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in (r for b in batches for r in b.to_pylist()):
+                tokens = Tokens(row)
+                inside = tokens.train & (tokens.middle != tokens.size - 1)
+                code, times = np.unique(tokens.middle[inside] * np.int64(tokens.size) + tokens.first[inside], return_counts=True)
+                middle, first = np.divmod(code, tokens.size)
+                word = np.bincount(middle, weights=times, minlength=tokens.size).astype(np.int64)
+                for keys, n in ((tokens.keys[:-1], word[:-1]), (pair_key(tokens.short[first], tokens.keys[middle]), times)):
+                    mine = pick(keys, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[mine].view(np.int64)), pa.array(n[mine])], names=["h", "c"])
+
+        return columns.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+    wanted = np.array([r[0] for r in counted(lambda _, n: np.argsort(-n, kind="stable")[:TOP]).filter(F.col("c") > bound).select("h").collect()], dtype=np.int64).view(np.uint64)
+    rows = counted(lambda keys, _: np.flatnonzero(np.isin(keys, wanted))).collect() if len(wanted) else []
+    counts = {int(np.int64(h).view(np.uint64)): int(c) for h, c in rows}
+    counts[int(BEGIN)] = counts[int(pair_key(np.array([BEGIN >> _CUT]), np.array([BEGIN]))[0])] = train_docs
+    # pairs of a frequent word are asked for, and counted, under a key of their own
+    counts |= {int(mix64(np.array([k], np.uint64) + np.uint64(1))[0]): c for k, c in list(counts.items())}
+    return Frequent(counts, {k: max(1, -(-8 * shards * c // max(1, train_tokens))) for k, c in counts.items()})
+
+
 SCORE_SCHEMA = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -271,39 +415,19 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document.
 
     The model learns from all documents whose crc32 of the id modulo 5 is not 1 (a null id counts as ''). A null text counts as empty: its only
-    token is the end. Ids are longs or null and may repeat; each row is a document. An empty table gives an empty one. Without
-    training documents every word is unknown and both scores are the base's.
+    token is the end. Ids are longs or null and may repeat; each row is a document. Texts of any length are read whole; other columns are
+    dropped. An empty table gives an empty one. Without training documents every word is unknown and both scores are the base's.
     """
     spark = df.sparkSession
     corpus = written(spark, blocks(df, key, text), "lm-blocks")
     sums = corpus.agg(F.sum("train_tokens"), F.sum("train_docs"), F.sum("n_tokens")).first()
     train_tokens, train_docs, n_tokens = (int(x or 0) for x in sums)
-    shards = max(MIN_SHARDS, -(-n_tokens // (2 * SHARD_PAIRS)))
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
-                h, c = np.frombuffer(h, "<i8"), np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<u4")
-                top = np.argsort(-c.astype(np.int64), kind="stable")[:TOP_WORDS]
-                yield pa.RecordBatch.from_arrays([pa.array(h[top]), pa.array(c[top].astype(np.int64))], names=["h", "c"])
-
-    # contexts over an eighth of a mean shard: at most 8 * shards of them
-    bound = max(1, train_tokens // (8 * shards))
-    often = [r[0] for r in corpus.select("hashes", "counts").mapInArrow(frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") > bound).select("h").collect()]
-    wanted = np.array(sorted(often), dtype=np.int64)
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
-                h, c = np.frombuffer(h, "<i8"), np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<u4")
-                mine = np.isin(h, wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(h[mine]), pa.array(c[mine].astype(np.int64))], names=["h", "c"])
-
-    counted = {int(np.int64(r[0]).view(np.uint64)): int(r[1]) for r in corpus.select("hashes", "counts").mapInArrow(exact, "h long, c long").groupBy("h").agg(F.sum("c")).collect()} if often else {}
-    counted[int(BEGIN)] = train_docs
-    spread = {h: max(1, -(-8 * shards * c // max(1, train_tokens))) for h, c in counted.items()}
-
-    answers = written(spark, ask(corpus, shards, spread).repartition(shards, "shard").groupBy("shard").applyInArrow(answer(counted), "block long, shard int, answer binary, about long, amount long"), "lm-answers")
+    shards = max(MIN_SHARDS, -(-n_tokens // SHARD_TOKENS))
+    often = frequent_contexts(corpus, shards, train_tokens, train_docs)
+    folder = new_folder(spark, "lm-tries")
+    asked = dealt(ask(corpus, shards, often), shards, "shard").groupBy("shard")
+    answers = written(spark, asked.applyInArrow(answer(often, folder), "block long, shard int, answer binary, about long, amount long"), "lm-answers")
+    delete_folder(spark, folder)  # the answers hold what the blocks need of the tries
     model = {r[0]: r[1] for r in answers.filter("about is not null").groupBy("about").agg(F.sum("amount")).collect()}
     vocabulary = int(model.pop(-1, 0))
     followers = {int(np.int64(h).view(np.uint64)): int(n) for h, n in model.items()}
@@ -313,7 +437,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         if not rows:
             return _arrow(f"{key} long, {SCORE_SCHEMA}").empty_table()
         got = dict(zip(right.column("shard").to_pylist(), right.column("answer").to_pylist()))
-        out = score_block(rows[0], got, shards, spread, followers, train_tokens, vocabulary, train_docs)
+        out = score_block(rows[0], got, shards, often, followers, train_tokens, vocabulary)
         size = len(rows[0]["doc_ids"])
         columns = [pa.array(rows[0]["doc_ids"], pa.int64()), pa.array(rows[0]["held"], pa.bool_()), pa.array(out["n_tokens"]), pa.array(out["n_known"]), pa.array(np.full(size, train_tokens)), pa.array(out["base_score"]), pa.array(out["score"])]
         return pa.Table.from_arrays(columns, names=[key, *(x.split(" ")[0] for x in SCORE_SCHEMA.split(", "))])

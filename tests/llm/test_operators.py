@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from gaugework.llm import bwt, compression_quality, language_model, media, ngram_join, packing, piece_bpe, quality_rules, rollups, substring_dedup, token_files  # noqa: E402
+from gaugework.llm import bwt, compression_quality, elias_fano, language_model, media, ngram_join, packing, piece_bpe, quality_rules, rollups, substring_dedup, token_files  # noqa: E402
 from gaugework.llm.elias_fano import EliasFano  # noqa: E402
 from gaugework.session import ship_package  # noqa: E402
 
@@ -175,19 +175,52 @@ def test_op5(docs):
     words = {i: (t or "").encode().lower().split() + [b"\n"] for i, t in enumerate(TEXTS)}
     train = [i for i in words if zlib.crc32(str(i).encode()) % 5 != 1]
     count = collections.Counter(w for i in train for w in words[i])
-    pairs = collections.Counter(p for i in train for p in zip([None, *words[i]], words[i]))
-    context, followers = collections.Counter(), collections.Counter()
-    for (a, _), n in pairs.items():
-        context[a] += n
-        followers[a] += 1
+    before = {i: [None, *ws[:-1]] for i, ws in words.items()}
+    triples = collections.Counter(t for i in train for t in zip([None, *before[i][:-1]], before[i], words[i]))
+    pairs, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    after2, after3 = collections.Counter(), collections.Counter()
+    for (u, v, w), n in triples.items():
+        pairs[v, w] += n
+        three[u, v] += n
+        after3[u, v] += 1
+    for (v, _), n in pairs.items():
+        two[v] += n
+        after2[v] += 1
     total, size = sum(count.values()), len(count)
     got = by_id(language_model.scores(docs))
     for i, ws in words.items():
         base = [(count[w] + 0.5) / (total + 0.5 * (size + 1)) for w in ws]
-        both = [(max(pairs[a, w] - 0.75, 0) + 0.75 * followers[a] * p) / context[a] if context[a] else p for a, w, p in zip([None, *ws], ws, base)]
+        full = []
+        for u, v, w, p in zip([None, *before[i][:-1]], before[i], ws, base):
+            p = (max(pairs[v, w] - 0.75, 0) + 0.75 * after2[v] * p) / two[v] if two[v] else p
+            full.append((max(triples[u, v, w] - 0.75, 0) + 0.75 * after3[u, v] * p) / three[u, v] if three[u, v] else p)
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(count[w] > 0 for w in ws), total, i not in train)
-        assert r["base_score"] == pytest.approx(sum(map(math.log10, base))) and r["score"] == pytest.approx(sum(map(math.log10, both)), rel=1e-5)
+        assert r["base_score"] == pytest.approx(sum(map(math.log10, base))) and r["score"] == pytest.approx(sum(map(math.log10, full)), rel=1e-5)
+
+
+def test_op5_trie_answers_by_key(tmp_path):
+    """A stored trie against a dictionary: known and unknown words in each place, few questions and many."""
+    rng = np.random.default_rng(5)
+    key = lambda n: np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64))
+    middles, thirds, firsts = key(30), key(200), key(60)
+    entries = {(m, u, w): float(rng.integers(1, 9)) for m, u, w in zip(rng.integers(0, len(middles), 4000).tolist(), rng.integers(0, len(firsts), 4000).tolist(), rng.integers(0, len(thirds), 4000).tolist())}
+    entries = {k: entries[k] for k in sorted(entries)}
+    pairs = sorted({(m, w) for m, _, w in entries})
+    contexts = sorted({(m, u) for m, u, _ in entries})
+    two, weight = {p: 0.5 + p[1] % 7 for p in pairs}, {c: 0.25 + c[1] % 5 for c in contexts}
+    place = {c: k for k, c in enumerate(contexts)}
+    arrays = lambda rows: tuple(np.array(x) for x in zip(*rows))
+    packed = elias_fano.Trie.pack(middles, thirds, firsts, arrays((*p, two[p]) for p in pairs), arrays((*c, weight[c]) for c in contexts), arrays((place[m, u], w, v) for (m, u, w), v in entries.items()))
+    trie = elias_fano.Trie(elias_fano.stored(packed, f"file://{tmp_path}/0.trie"))
+    assert trie.middles.all().tolist() == middles.tolist()
+    asks = [(rng.integers(-1, len(middles)), rng.integers(-1, len(firsts)), rng.integers(-1, len(thirds))) for _ in range(3000)] + list(entries)
+    for part in (asks[:40], asks):
+        m, u, w = (np.array([3 if k < 0 else int(table[k]) for k in x], dtype=np.uint64) for x, table in zip(zip(*part), (middles, firsts, thirds)))
+        got = trie.triple(m, u, w)
+        for k, (a, b, c) in enumerate(part):
+            want = two.get((a, c), 0), weight.get((a, b), 0), entries.get((a, b, c), 0)
+            assert tuple(float(book[code[k]]) for book, code in zip((trie.two_book, trie.weight_book, trie.three_book), got)) == pytest.approx(want)
 
 
 def test_elias_fano():
