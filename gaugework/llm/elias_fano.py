@@ -50,8 +50,10 @@ class EliasFano:
         return struct.pack("<QIQQ", n, bits, len(low), len(unary)) + low + unary.tobytes()
 
     def get(self, index: np.ndarray) -> np.ndarray:
-        """Elements at the given places."""
+        """Elements at the given places; many of them from the level decoded as a whole."""
         index = np.asarray(index, dtype=np.int64)
+        if 8 * len(index) >= self.n:
+            return self.all()[index]
         byte = np.searchsorted(self._ranks, index, side="right")
         before = np.where(byte > 0, self._ranks[byte - 1], 0)
         mark = byte * 8 + _NTH[self.high[byte], index - before]
@@ -100,17 +102,24 @@ class EliasFano:
         return low
 
 
-def stored(data: bytes, path: str):
-    """The bytes written to ``path`` (a URI) and opened again: memory-mapped where the path is a local or mounted file, else read."""
+def stored(data: bytes, path: str, keep: bool = True):
+    """The bytes written to ``path`` (a URI) and opened again: memory-mapped where the path is a local or mounted file, else read.
+
+    Without ``keep`` the name goes once the file is open, and the file with its last reader.
+    """
     system, place = fs.FileSystem.from_uri(path)
     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
     with system.open_output_stream(place) as out:
         out.write(data)
     if isinstance(system, fs.LocalFileSystem):
         with open(place, "rb") as file:
-            return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-    with system.open_input_file(place) as file:
-        return file.read()
+            out = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        with system.open_input_file(place) as file:
+            out = file.read()
+    if not keep:
+        system.delete_file(place)
+    return out
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +197,13 @@ class Trie:
         good[good] = level.get(at[good]) == keys[good]
         return np.where(good, at, -1)
 
-    def pair(self, middle: np.ndarray, third: np.ndarray) -> np.ndarray:
-        """Place among the successors of each (key of middle word, key of third word), or -1."""
-        return self._successor(self.find(self.middles, middle), self.find(self.thirds, third))
+    def pair(self, middle: tuple, third: tuple) -> np.ndarray:
+        """Place among the successors of each (middle word, third word), or -1. A word in a question is (different keys, which of them)."""
+        return self._successor(self._word(self.middles, middle), self._word(self.thirds, third))
+
+    def _word(self, level: EliasFano, asked: tuple) -> np.ndarray:
+        keys, which = asked
+        return self.find(level, keys)[which]
 
     def _below(self, parent: np.ndarray, number: np.ndarray, size: int, pointers: EliasFano, level: EliasFano) -> np.ndarray:
         out = np.full(len(parent), -1, dtype=np.int64)
@@ -203,11 +216,11 @@ class Trie:
     def _successor(self, middle: np.ndarray, third: np.ndarray) -> np.ndarray:
         return self._below(middle, third, self.sizes[0], self.to_successors, self.successors)
 
-    def triple(self, middle: np.ndarray, first: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of pair, back-off weight and triple for each (middle, first, third) key; 0 where that n-gram or context is not known."""
-        word = self.find(self.middles, middle)
-        pair = self._successor(word, self.find(self.thirds, third))
-        context = self._below(word, self.find(self.firsts, first), self.sizes[1], self.to_predecessors, self.predecessors)
+    def triple(self, middle: tuple, first: tuple, third: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of pair, back-off weight and triple for each (middle, first, third), words as in ``pair``; 0 where that n-gram or context is not known."""
+        word = self._word(self.middles, middle)
+        pair = self._successor(word, self._word(self.thirds, third))
+        context = self._below(word, self._word(self.firsts, first), self.sizes[1], self.to_predecessors, self.predecessors)
         spot = np.where(pair >= 0, pair - self.to_successors.get(np.maximum(word, 0)).astype(np.int64), -1) if self.middles.n else pair
         triple = self._below(context, spot, self.places, self.to_triples, self.triples)
         return tuple(_coded(codes, at) for codes, at in ((self.two, pair), (self.weight, context), (self.three, triple)))

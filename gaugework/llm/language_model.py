@@ -32,8 +32,8 @@ from .elias_fano import Trie, stored
 
 DISCOUNT = 0.75
 BLOCK_BYTES = 8 << 20
-SHARD_TOKENS = 3_000_000
-MIN_SHARDS = 48
+SHARD_TOKENS = 1_500_000
+MIN_SHARDS = 96
 #: Each block names its most frequent words and word pairs; what is frequent in the corpus is among some block's.
 TOP = 1000
 END = b"\n"  # no word has white space
@@ -187,7 +187,9 @@ class Plan(Tokens):
             self.pair_middle_key = mix64(self.keys[self.p_middle] + np.uint64(1))
             self.pair_shard = shard_of(self.pair_middle_key + self.short[self.p_third] % fan[self.p_middle] * _STEP, shards)
         self.word_shard = shard_of(self.keys[:-1], shards)
-        self.orders = [np.argsort(x, kind="stable") for x in (self.word_shard, self.triple_shard, self.pair_shard)]
+        # in a shard: words; triples of words that are there too, in their order; triples of frequent words
+        self.spread = word_at[self.t_middle] >= 0
+        self.orders = [np.argsort(self.word_shard, kind="stable"), np.lexsort((self.spread, self.triple_shard)), np.argsort(self.pair_shard, kind="stable")]
 
     def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Each shard that is asked, and its words, triples and pairs, as places in this block."""
@@ -214,6 +216,17 @@ def _unfive(raw: bytes) -> np.ndarray:
     return wide.view("<u8")[:, 0]
 
 
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers under 2 ** 32 as compressed byte planes."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
+
+
 def pack_parts(parts: list[bytes]) -> bytes:
     return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
 
@@ -229,34 +242,42 @@ def ask(block_rows: DataFrame, shards: int, often: Frequent) -> DataFrame:
     """(shard, block, question) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for row in batch.to_pylist():
-                plan = Plan(row, shards, often)
-                times = np.bincount(plan.triple_of, weights=plan.train, minlength=len(plan.t_middle)).astype("<u4")
-                pair_times = np.bincount(plan.pair_of, weights=plan.train[plan.hot], minlength=len(plan.p_middle)).astype("<u4")
-                out: list[tuple[int, int, bytes]] = []
-                for s, words, triples, pairs in plan.parts():
-                    parts = [plan.keys[words].tobytes(), squeeze(plan.counts[words].astype("<u4").tobytes())]
-                    for keys, middle, sides, n in ((plan.keys[plan.t_middle[triples]], plan.t_middle[triples], (plan.short[plan.t_first[triples]], plan.short[plan.t_third[triples]]), times[triples]), (plan.pair_middle_key[pairs], plan.p_middle[pairs], (plan.short[plan.p_third[pairs]],), pair_times[pairs])):
-                        new, length = _runs(middle)
-                        parts += [keys[new].tobytes(), squeeze(length.astype("<u4").tobytes()), *map(_five, sides), squeeze(n.tobytes())]
-                    out.append((s, row["block"], pack_parts(parts)))
-                s, b, d = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(d, pa.binary())], names=["shard", "block", "question"])
+        for row in (r for b in batches for r in b.to_pylist()):
+            plan = Plan(row, shards, often)
+            times = np.bincount(plan.triple_of, weights=plan.train, minlength=len(plan.t_middle))
+            pair_times = np.bincount(plan.pair_of, weights=plan.train[plan.hot], minlength=len(plan.p_middle))
+            out = []
+            for s, words, triples, pairs in plan.parts():
+                first, third, pair_third = plan.t_first[triples], plan.t_third[triples], plan.p_third[pairs]
+                # the words in first and third place, each once
+                used = np.zeros(plan.size, dtype=bool)
+                used[first] = used[third] = used[pair_third] = True
+                number = np.cumsum(used) - 1
+                middle, apart = plan.t_middle[triples], plan.spread[triples]
+                mine, others = middle[~apart], middle[apart]
+                begins, length = _runs(others)
+                pair_begins, pair_length = _runs(plan.p_middle[pairs])
+                parts = [
+                    plan.keys[words].tobytes(), pack_numbers(plan.counts[words]), pack_numbers(np.searchsorted(mine, words, side="right") - np.searchsorted(mine, words)),
+                    plan.keys[others[begins]].tobytes(), pack_numbers(length), _five(plan.short[used]), pack_numbers(number[first]), pack_numbers(number[third]), pack_numbers(times[triples]),
+                    plan.pair_middle_key[pairs][pair_begins].tobytes(), pack_numbers(pair_length), pack_numbers(number[pair_third]), pack_numbers(pair_times[pairs]),
+                ]
+                out.append((s, row["block"], pack_parts(parts)))
+            s, b, d = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(b, pa.int64()), pa.array(d, pa.binary())], names=["shard", "block", "question"])
 
     return block_rows.select("block", "held", "lengths", "codes", "hashes", "counts").mapInArrow(run, "shard int, block long, question binary")
 
 
 def _read_question(data: bytes) -> tuple[np.ndarray, ...]:
     """Words, their counts; triples' middles (repeated), firsts, thirds, times; pairs' middles, thirds, times."""
-    loose = zstandard.ZstdDecompressor().decompress
-    words, counts, keys, length, first, third, times, pair_keys, pair_length, pair_third, pair_times = unpack_parts(data)
-    number = lambda x: np.frombuffer(loose(x), "<u4").astype(np.int64)
+    words, counts, length, others, other_length, shorts, first, third, times, pair_keys, pair_length, pair_third, pair_times = unpack_parts(data)
+    keys = lambda x: np.frombuffer(x, "<u8")
+    short = _unfive(shorts)
     return (
-        np.frombuffer(words, "<u8"), number(counts),
-        np.repeat(np.frombuffer(keys, "<u8"), number(length)), _unfive(first), _unfive(third), number(times),
-        np.repeat(np.frombuffer(pair_keys, "<u8"), number(pair_length)), _unfive(pair_third), number(pair_times),
+        keys(words), unpack_numbers(counts),
+        np.concatenate((np.repeat(keys(words), unpack_numbers(length)), np.repeat(keys(others), unpack_numbers(other_length)))), short[unpack_numbers(first)], short[unpack_numbers(third)], unpack_numbers(times),
+        np.repeat(keys(pair_keys), unpack_numbers(pair_length)), short[unpack_numbers(pair_third)], unpack_numbers(pair_times),
     )
 
 
@@ -269,7 +290,7 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Shard:
     """A shard's sums and its trie."""
 
-    def __init__(self, asked: list[tuple[np.ndarray, ...]], often: Frequent, path: str):
+    def __init__(self, asked: list[tuple[np.ndarray, ...]], often: Frequent, path: str, keep: bool = False):
         words, counts, middle, first, third, times, pair_middle, pair_third, pair_times = (np.concatenate(x) for x in zip(*asked))
         self.words, self.counts, _ = _summed(words, counts)
         middles, m = np.unique(np.concatenate((middle, pair_middle)), return_inverse=True)
@@ -281,8 +302,8 @@ class Shard:
         t_middle = t_context // n1
         pair, c2, at = _summed(np.concatenate((t_middle * n3 + t_third, m[n:] * n3 + w[n:])), np.concatenate((c3, pair_times)))
         self.pair_at = at[len(triple) :]
-        self.asked_triple = (middles[t_middle], firsts[t_context % n1], thirds[t_third]) if len(triple) else (middles[:0], firsts[:0], thirds[:0])
-        self.asked_pair = middles[pair // n3], thirds[pair % n3]
+        self.asked_triple = (middles, t_middle), (firsts, t_context % n1), (thirds, t_third)
+        self.asked_pair = (middles, pair // n3), (thirds, pair % n3)
         # what training has: pairs by middle, contexts (first, middle), triples by context
         pair, c2 = pair[c2 > 0], c2[c2 > 0]
         p_middle, p_third = np.divmod(pair, n3)
@@ -302,10 +323,10 @@ class Shard:
         three = np.maximum(c3[seen] - DISCOUNT, 0) / np.maximum(1, c_context[t_place])
         self.back = np.where(total > 0, DISCOUNT * self.followers / np.maximum(1, total), 1.0).astype("<f4")
         packed = Trie.pack(middles, thirds, firsts, (p_middle, p_third, two), (c_middle, c_first, weight), (t_place, t_third[seen], three))
-        self.trie = Trie(stored(packed, path))
+        self.trie = Trie(stored(packed, path, keep))
 
 
-def answer(often: Frequent, folder: str) -> Callable[[pa.Table], pa.Table]:
+def answer(often: Frequent, folder: str, keep: bool) -> Callable[[pa.Table], pa.Table]:
     """The function of one shard: add up, build the trie, answer each block from it. Rows with block null hold sums for the whole model."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -313,7 +334,7 @@ def answer(often: Frequent, folder: str) -> Callable[[pa.Table], pa.Table]:
 
         asked = [_read_question(x.as_py()) for x in table.column("question")]
         number = table.column("shard")[0].as_py()
-        shard = Shard(asked, often, f"{folder}/{number:08d}-{TaskContext.get().taskAttemptId()}.trie")
+        shard = Shard(asked, often, f"{folder}/{number:08d}-{TaskContext.get().taskAttemptId()}.trie", keep)
         # every question once, however many blocks ask it
         trie = shard.trie
         codes = trie.triple(*shard.asked_triple)
@@ -411,12 +432,12 @@ def frequent_contexts(corpus: DataFrame, shards: int, train_tokens: int, train_d
 SCORE_SCHEMA = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(df: DataFrame, key: str = "doc_id", text: str = "text", tries: str | None = None) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document.
 
     The model learns from all documents whose crc32 of the id modulo 5 is not 1 (a null id counts as ''). A null text counts as empty: its only
     token is the end. Ids are longs or null and may repeat; each row is a document. Texts of any length are read whole; other columns are
-    dropped. An empty table gives an empty one. Without training documents every word is unknown and both scores are the base's.
+    dropped. The shards' tries stay in the folder ``tries`` if it is given, else each goes with its task. An empty table gives an empty one. Without training documents every word is unknown and both scores are the base's.
     """
     spark = df.sparkSession
     corpus = written(spark, blocks(df, key, text), "lm-blocks")
@@ -424,10 +445,11 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     train_tokens, train_docs, n_tokens = (int(x or 0) for x in sums)
     shards = max(MIN_SHARDS, -(-n_tokens // SHARD_TOKENS))
     often = frequent_contexts(corpus, shards, train_tokens, train_docs)
-    folder = new_folder(spark, "lm-tries")
+    folder = tries or new_folder(spark, "lm-tries")
     asked = dealt(ask(corpus, shards, often), shards, "shard").groupBy("shard")
-    answers = written(spark, asked.applyInArrow(answer(often, folder), "block long, shard int, answer binary, about long, amount long"), "lm-answers")
-    delete_folder(spark, folder)  # the answers hold what the blocks need of the tries
+    answers = written(spark, asked.applyInArrow(answer(often, folder, tries is not None), "block long, shard int, answer binary, about long, amount long"), "lm-answers")
+    if tries is None:
+        delete_folder(spark, folder)
     model = {r[0]: r[1] for r in answers.filter("about is not null").groupBy("about").agg(F.sum("amount")).collect()}
     vocabulary = int(model.pop(-1, 0))
     followers = {int(np.int64(h).view(np.uint64)): int(n) for h, n in model.items()}

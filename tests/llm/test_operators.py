@@ -216,7 +216,7 @@ def test_op5_trie_answers_by_key(tmp_path):
     assert trie.middles.all().tolist() == middles.tolist()
     asks = [(rng.integers(-1, len(middles)), rng.integers(-1, len(firsts)), rng.integers(-1, len(thirds))) for _ in range(3000)] + list(entries)
     for part in (asks[:40], asks):
-        m, u, w = (np.array([3 if k < 0 else int(table[k]) for k in x], dtype=np.uint64) for x, table in zip(zip(*part), (middles, firsts, thirds)))
+        m, u, w = (np.unique(np.array([3 if k < 0 else int(table[k]) for k in x], dtype=np.uint64), return_inverse=True) for x, table in zip(zip(*part), (middles, firsts, thirds)))
         got = trie.triple(m, u, w)
         for k, (a, b, c) in enumerate(part):
             want = two.get((a, c), 0), weight.get((a, b), 0), entries.get((a, b, c), 0)
