@@ -5,7 +5,7 @@ asks for what it needs only, once for each distinct word and word triple, and br
 are dealt to shards by the triple's middle word, where its pairs (middle, third) and contexts (first, middle) are whole too; a shard adds up the
 counts, writes its trie to the shared folder, maps the file and answers from it by key. Middle words so frequent that one shard
 would grow with the corpus are spread by first word, their pairs by third word, and contexts so frequent by third word; the driver has the exact counts of those
-alone, a bounded number for each shard. Middle words are known by 64-bit hashes, first and third words by 40 bits beside them.
+alone, a bounded number for each shard. Middle words are known by 64-bit hashes, first and third words by 32 bits beside them.
 Nothing of the size of the corpus, its vocabulary or its n-grams passes through the driver.
 
 P(w | u v) = (c(u v w) - D) / c(u v) + D * n(u v) / c(u v) * P(w | v), P(w | v) likewise from c(v w), c(v) and P(w), where n counts distinct
@@ -31,7 +31,7 @@ from .common import dealt, delete_folder, mix64, new_folder, split_batches, writ
 from .elias_fano import Trie, stored
 
 DISCOUNT = 0.75
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 SHARD_TOKENS = 1_500_000
 MIN_SHARDS = 96
 #: Each block names its most frequent words and word pairs; what is frequent in the corpus is among some block's.
@@ -39,7 +39,7 @@ TOP = 1000
 END = b"\n"  # no word has white space
 #: Stands for "no token yet" as a context.
 BEGIN = np.uint64(0x5BE6157A7E97)
-_CUT = np.uint64(24)
+_CUT = np.uint64(32)
 _STEP, _STEP2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -89,7 +89,7 @@ class Tokens:
     def __init__(self, row: dict):
         loose = zstandard.ZstdDecompressor().decompress
         planes = np.frombuffer(loose(row["codes"]), np.uint8).reshape(4, -1)
-        self.codes = np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
+        self.codes = np.ascontiguousarray(planes.T).view("<i4")[:, 0]
         self.lengths = np.frombuffer(row["lengths"], "<i8")
         self.counts = np.frombuffer(loose(row["counts"]), "<u4").astype(np.int64)
         self.keys = np.append(np.frombuffer(row["hashes"], "<u8"), BEGIN)
@@ -169,9 +169,17 @@ class Plan(Tokens):
     def __init__(self, row: dict, shards: int, often: Frequent):
         super().__init__(row)
         size = np.int64(self.size)
-        triples, self.triple_of = np.unique((self.middle * size + self.first) * size + self.codes, return_inverse=True)
-        self.t_middle, rest = np.divmod(triples, size * size)
-        self.t_first, self.t_third = np.divmod(rest, size)
+        key = self.middle.astype(np.int64)
+        for other in (self.first, self.codes):
+            key *= size
+            key += other
+        triples, of = np.unique(key, return_inverse=True)
+        del key
+        self.triple_of = of.astype(np.int32)
+        self.t_third = (triples % size).astype(np.int32)
+        triples //= size
+        self.t_middle, self.t_first = ((triples // size).astype(np.int32), (triples % size).astype(np.int32))
+        del triples, of
         word_at = often.at(self.keys)
         self.frequent_word = word_at  # of each word, its place among the frequent ones
         fan = often.fans(word_at)
@@ -184,6 +192,7 @@ class Plan(Tokens):
             pairs, of = np.unique(self.middle[hot] * size + self.codes[hot], return_inverse=True)
             self.hot, self.pair_of = hot, of
             self.p_middle, self.p_third = np.divmod(pairs, size)
+            del pairs, of
             self.pair_middle_key = mix64(self.keys[self.p_middle] + np.uint64(1))
             self.pair_shard = shard_of(self.pair_middle_key + self.short[self.p_third] % fan[self.p_middle] * _STEP, shards)
         self.word_shard = shard_of(self.keys[:-1], shards)
@@ -206,16 +215,6 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.diff(np.append(new, len(values)))
 
 
-def _five(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unfive(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8")[:, 0]
-
-
 def pack_numbers(values: np.ndarray) -> bytes:
     """Numbers under 2 ** 32 as compressed byte planes."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -259,7 +258,7 @@ def ask(block_rows: DataFrame, shards: int, often: Frequent) -> DataFrame:
                 pair_begins, pair_length = _runs(plan.p_middle[pairs])
                 parts = [
                     plan.keys[words].tobytes(), pack_numbers(plan.counts[words]), pack_numbers(np.searchsorted(mine, words, side="right") - np.searchsorted(mine, words)),
-                    plan.keys[others[begins]].tobytes(), pack_numbers(length), _five(plan.short[used]), pack_numbers(number[first]), pack_numbers(number[third]), pack_numbers(times[triples]),
+                    plan.keys[others[begins]].tobytes(), pack_numbers(length), pack_numbers(np.diff(plan.short[:-1][used[:-1]], prepend=np.uint64(0))), np.array([used[-1]]).tobytes(), pack_numbers(number[first]), pack_numbers(number[third]), pack_numbers(times[triples]),
                     plan.pair_middle_key[pairs][pair_begins].tobytes(), pack_numbers(pair_length), pack_numbers(number[pair_third]), pack_numbers(pair_times[pairs]),
                 ]
                 out.append((s, row["block"], pack_parts(parts)))
@@ -271,9 +270,11 @@ def ask(block_rows: DataFrame, shards: int, often: Frequent) -> DataFrame:
 
 def _read_question(data: bytes) -> tuple[np.ndarray, ...]:
     """Words, their counts; triples' middles (repeated), firsts, thirds, times; pairs' middles, thirds, times."""
-    words, counts, length, others, other_length, shorts, first, third, times, pair_keys, pair_length, pair_third, pair_times = unpack_parts(data)
+    words, counts, length, others, other_length, gaps, begin, first, third, times, pair_keys, pair_length, pair_third, pair_times = unpack_parts(data)
     keys = lambda x: np.frombuffer(x, "<u8")
-    short = _unfive(shorts)
+    short = np.cumsum(unpack_numbers(gaps)).astype(np.uint64)
+    if begin == b"\1":  # the one word that is not in the order of hashes
+        short = np.append(short, BEGIN >> _CUT)
     return (
         keys(words), unpack_numbers(counts),
         np.concatenate((np.repeat(keys(words), unpack_numbers(length)), np.repeat(keys(others), unpack_numbers(other_length)))), short[unpack_numbers(first)], short[unpack_numbers(third)], unpack_numbers(times),
