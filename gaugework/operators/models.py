@@ -118,9 +118,14 @@ def log_linear_rule(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 # ---- many features ---------------------------------------------------------------------------------------------------
 
 
-def gram_by_fold(df: DataFrame, features: list[str], y: str, fold: str) -> DataFrame:
-    """(fold, n, and sums of all products of (1, features, y)): one pass, a small row a fold."""
-    columns = [F.lit(1.0), *[F.col(c).cast("double") for c in [*features, y]]]
+def _columns(features: list[str], y: str, shift: list[float]) -> list[Column]:
+    return [F.lit(1.0), *[F.col(c).cast("double") - F.lit(m) for c, m in zip([*features, y], shift)]]
+
+
+def gram_by_fold(df: DataFrame, features: list[str], y: str, fold: str, shift: list[float] | None = None) -> DataFrame:
+    """(fold, products): sums of all products of (1, features, y), one pass and a small row a fold. ``shift``: numbers near the columns'
+    means, taken off first, so that large offsets do not cancel the digits that count."""
+    columns = _columns(features, y, shift or [0.0] * (len(features) + 1))
     pairs = list(itertools.combinations_with_replacement(range(len(columns)), 2))
     return df.groupBy(fold).agg(F.array(*[F.sum(columns[i] * columns[j]) for i, j in pairs]).alias("products"))
 
@@ -132,39 +137,63 @@ def _square(flat, size: int) -> np.ndarray:
     return out
 
 
-def solve_ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
-    """(intercept, coefficients) from sums of products of (1, features, y); the penalty is on standardised features and target."""
+def solve_ridge(gram: np.ndarray, alpha: float, blocks: list[int] | None = None) -> np.ndarray:
+    """(intercept, coefficients) from sums of products of (1, features, y); the penalty is on standardised features and target.
+
+    ``blocks``: sizes of consecutive feature blocks that weigh the same in total: features are divided by the root of their block's number of varying
+    ones, which multiplies their penalty by that number. Constant features have coefficient 0 and do not count.
+    """
     n, d = gram[0, 0], len(gram) - 2
     mean = gram[0] / n
     cov = gram / n - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov), 0))[1 : d + 1]
-    safe = np.where(sd > 1e-12, sd, 1.0)
+    varies = sd > 1e-12
+    safe = np.where(varies, sd, 1.0)
     corr = cov[1 : d + 1, 1 : d + 1] / np.outer(safe, safe)
-    b = np.linalg.solve(corr + alpha / n * np.eye(d) + np.diag(sd <= 1e-12), np.where(sd > 1e-12, cov[1 : d + 1, -1] / safe, 0.0)) / safe
+    cuts = np.cumsum([0, *(blocks or [])])
+    penalty = np.concatenate([np.full(b - a, max(1, int(varies[a:b].sum()))) for a, b in zip(cuts[:-1], cuts[1:])]) if blocks else np.ones(d)
+    b = np.linalg.solve(corr + alpha / n * np.diag(penalty) + np.diag(~varies), np.where(varies, cov[1 : d + 1, -1] / safe, 0.0)) / safe
     return np.concatenate(([mean[-1] - b @ mean[1 : d + 1]], b))
 
 
-def ridge_cv(df: DataFrame, features: list[str], y: str, fold: str, alphas: list[float]) -> tuple[DataFrame, list[tuple[float, float]]]:
-    """Every row with the prediction of the best penalty's model of the other folds, and (alpha, mean absolute error) of all.
-
-    The rows are read twice: for the folds' product sums, which are (d + 2) squared numbers a fold, and for all errors at once.
-    """
+def _ridge(df: DataFrame, features: list[str], y: str, fold: str, alphas: list[float], blocks: list[int] | None):
+    """Errors of all penalties over the folds, rows with every penalty's prediction, and the model of all rows by penalty, with its shift."""
     size = len(features) + 2
-    grams = {r[0]: _square(r[1], size) for r in gram_by_fold(df, features, y, fold).collect()}
+    means = df.agg(*[F.avg(F.col(c).cast("double")) for c in [*features, y]]).first()
+    shift = [float(m or 0.0) for m in means]
+    grams = {r[0]: _square(r[1], size) for r in gram_by_fold(df, features, y, fold, shift).collect()}
     total = sum(grams.values())
-    models = [(k, float(a), [float(v) for v in solve_ridge(total - g, a)]) for k, g in grams.items() for a in alphas]
+    models = [(k, float(a), [float(v) for v in solve_ridge(total - g, a, blocks)]) for k, g in grams.items() for a in alphas]
     table = df.sparkSession.createDataFrame(models, f"`{fold}` {df.schema[fold].dataType.simpleString()}, alpha double, model array<double>")
-    predicted = F.col("model")[0] + sum((F.col("model")[i + 1] * F.col(c) for i, c in enumerate(features)), F.lit(0.0))
-    every = df.join(F.broadcast(table), fold).withColumn("y_pred", predicted)
+    every = df.join(F.broadcast(table), fold).withColumn("y_pred", _linear([F.col("model")[i] for i in range(size - 1)], features, y, shift))
     errors = [(r[0], r[1]) for r in every.groupBy("alpha").agg(F.avg(F.abs(F.col(y) - F.col("y_pred"))).alias("mae")).orderBy("mae", "alpha").collect()]
+    return errors, every, lambda alpha: (solve_ridge(total, alpha, blocks), shift)
+
+
+def _linear(model: list[Column], features: list[str], y: str, shift: list[float]) -> Column:
+    terms = _columns(features, y, shift)[1:-1]
+    return model[0] + F.lit(shift[-1]) + sum((b * x for b, x in zip(model[1:], terms)), F.lit(0.0))
+
+
+def ridge_cv(df: DataFrame, features: list[str], y: str, fold: str, alphas: list[float], blocks: list[int] | None = None) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """Every row with the prediction of the best penalty's model of the other folds, and (alpha, mean absolute error) of all.
+
+    The rows are read three times: for means, for the folds' product sums, which are (d + 2) squared numbers a fold, and for all errors at once.
+    """
+    errors, every, _ = _ridge(df, features, y, fold, alphas, blocks)
     return every.filter(F.col("alpha") == errors[0][0]).drop("model", "alpha"), errors
 
 
-def concat_ridge(df: DataFrame, blocks: list[list[str]], y: str, fold: str, alphas: list[float]) -> DataFrame:
-    """Ridge on feature blocks of equal total weight."""
-    from .projections import block_scale
+def ridge_refit(df: DataFrame, new: DataFrame, features: list[str], y: str, fold: str, alphas: list[float], blocks: list[int] | None = None) -> DataFrame:
+    """``new`` with y_pred of the model of all rows of ``df``, at the penalty that is best over its folds."""
+    errors, _, fitted = _ridge(df, features, y, fold, alphas, blocks)
+    model, shift = fitted(errors[0][0])
+    return new.withColumn("y_pred", _linear([F.lit(float(b)) for b in model], features, y, shift))
 
-    return ridge_cv(block_scale(df, df, blocks), [c for b in blocks for c in b], y, fold, alphas)[0]
+
+def concat_ridge(df: DataFrame, blocks: list[list[str]], y: str, fold: str, alphas: list[float]) -> DataFrame:
+    """Ridge on feature blocks of equal total weight, scaled by each training fold's own moments."""
+    return ridge_cv(df, [c for b in blocks for c in b], y, fold, alphas, [len(b) for b in blocks])[0]
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:

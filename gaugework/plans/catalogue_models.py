@@ -24,6 +24,8 @@ def cv_line_sql(alpha: float = 0.0, source: str = "ev") -> str:
 
 add("m1_ridge_one_feature", lambda t: M.cross_validated_line(t.ev, [], "fold", "x", "y_true", 10.0).select("key", "y_pred"), f"WITH {cv_line_sql(10.0)} SELECT key, round(y_pred, 6) AS y_pred FROM oof")
 add("m1_ridge_cv", lambda t: M.ridge_cv(t.ev.withColumn("x2", F.col("x") * F.col("x")), ["x", "x2"], "y_true", "fold", [0.1, 10.0, 1000.0])[0].select("key", "y_pred"))
+add("m1_ridge_refit", lambda t: M.ridge_refit(t.ev.filter("fold <> 0"), t.ev.filter("fold = 0"), ["x"], "y_true", "fold", [10.0]).select("key", "y_pred"),
+    f"WITH m AS (SELECT b, sy / n - b * sx / n AS a FROM (SELECT *, {LINE.format(a=10.0)} AS b FROM (SELECT {SUMS} FROM ev WHERE fold <> 0))) SELECT key, round(a + b * x, 6) AS y_pred FROM ev, m WHERE fold = 0")
 SMALL = "SELECT key, fold, x, CAST(grp % 11 AS DOUBLE) AS g, y_true FROM ev"
 add("m2_boosted_trees", lambda t: M.tree_predict(t.sql(SMALL).filter("fold <> 0"), t.sql(SMALL).filter("fold = 0"), ["x", "g"], "y_true", "boosted", maxIter=4, maxDepth=3)[0].agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
 add("m3_random_forest", lambda t: M.tree_predict(t.sql(SMALL).filter("fold <> 0"), t.sql(SMALL).filter("fold = 0"), ["x", "g"], "y_true", "forest", numTrees=5, maxDepth=3)[0].agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
