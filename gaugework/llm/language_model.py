@@ -31,7 +31,7 @@ from .common import dealt, delete_folder, mix64, new_folder, split_batches, writ
 from .elias_fano import Trie, stored
 
 DISCOUNT = 0.75
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 SHARD_TOKENS = 1_500_000
 MIN_SHARDS = 96
 #: Each block names its most frequent words and word pairs; what is frequent in the corpus is among some block's.
@@ -53,7 +53,7 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def make_block(doc_ids: list, texts: list) -> dict:
-    """The block's columns. Words are numbered in the order of their hashes."""
+    """The block's columns. Words are numbered as they come, so that frequent ones have small numbers."""
     tokens: list[bytes] = []
     lengths = []
     for t in texts:
@@ -63,10 +63,7 @@ def make_block(doc_ids: list, texts: list) -> dict:
         lengths.append(len(words) + 1)
     codes, vocabulary = pd.factorize(np.array(tokens, dtype=object))
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), dtype=np.uint64, count=len(vocabulary))
-    order = np.argsort(hashes)
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    codes, hashes = rank[codes], hashes[order]
+    del tokens
     sizes = np.array(lengths, dtype=np.int64)
     train = np.repeat([not held_out(d) for d in doc_ids], sizes)
     counts = np.bincount(codes, weights=train, minlength=len(hashes)).astype("<u4")
@@ -84,16 +81,20 @@ def make_block(doc_ids: list, texts: list) -> dict:
 
 
 class Tokens:
-    """A block's tokens with the two before each, as numbers; the last number stands for BEGIN."""
+    """A block's tokens with the two before each, as numbers in the order of their words' hashes; the last number stands for BEGIN."""
 
     def __init__(self, row: dict):
         loose = zstandard.ZstdDecompressor().decompress
         planes = np.frombuffer(loose(row["codes"]), np.uint8).reshape(4, -1)
-        self.codes = np.ascontiguousarray(planes.T).view("<i4")[:, 0]
+        hashes = np.frombuffer(row["hashes"], "<u8")
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.codes = rank[np.ascontiguousarray(planes.T).view("<i4")[:, 0]]
         self.lengths = np.frombuffer(row["lengths"], "<i8")
-        self.counts = np.frombuffer(loose(row["counts"]), "<u4").astype(np.int64)
-        self.keys = np.append(np.frombuffer(row["hashes"], "<u8"), BEGIN)
-        self.short = self.keys >> _CUT
+        self.counts = np.frombuffer(loose(row["counts"]), "<u4").astype(np.int64)[order]
+        self.keys = np.append(hashes[order], BEGIN)
+        self.short = (self.keys >> _CUT).astype(np.uint32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.size = len(self.keys)
         self.middle = self._shifted(self.codes)
@@ -109,7 +110,7 @@ class Tokens:
 def pair_key(first_short: np.ndarray, middle: np.ndarray) -> np.ndarray:
     """Key of a context of two words."""
     with np.errstate(over="ignore"):
-        return mix64(middle + first_short * _STEP2)
+        return mix64(middle + first_short.astype(np.uint64) * _STEP2)
 
 
 BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, lengths binary, codes binary, hashes binary, counts binary, train_tokens long, train_docs long, n_tokens long"
@@ -223,7 +224,7 @@ def pack_numbers(values: np.ndarray) -> bytes:
 
 def unpack_numbers(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4")[:, 0]
 
 
 def pack_parts(parts: list[bytes]) -> bytes:
@@ -258,7 +259,7 @@ def ask(block_rows: DataFrame, shards: int, often: Frequent) -> DataFrame:
                 pair_begins, pair_length = _runs(plan.p_middle[pairs])
                 parts = [
                     plan.keys[words].tobytes(), pack_numbers(plan.counts[words]), pack_numbers(np.searchsorted(mine, words, side="right") - np.searchsorted(mine, words)),
-                    plan.keys[others[begins]].tobytes(), pack_numbers(length), pack_numbers(np.diff(plan.short[:-1][used[:-1]], prepend=np.uint64(0))), np.array([used[-1]]).tobytes(), pack_numbers(number[first]), pack_numbers(number[third]), pack_numbers(times[triples]),
+                    plan.keys[others[begins]].tobytes(), pack_numbers(length), pack_numbers(np.diff(plan.short[:-1][used[:-1]], prepend=np.uint32(0))), np.array([used[-1]]).tobytes(), pack_numbers(number[first]), pack_numbers(number[third]), pack_numbers(times[triples]),
                     plan.pair_middle_key[pairs][pair_begins].tobytes(), pack_numbers(pair_length), pack_numbers(number[pair_third]), pack_numbers(pair_times[pairs]),
                 ]
                 out.append((s, row["block"], pack_parts(parts)))
@@ -272,9 +273,9 @@ def _read_question(data: bytes) -> tuple[np.ndarray, ...]:
     """Words, their counts; triples' middles (repeated), firsts, thirds, times; pairs' middles, thirds, times."""
     words, counts, length, others, other_length, gaps, begin, first, third, times, pair_keys, pair_length, pair_third, pair_times = unpack_parts(data)
     keys = lambda x: np.frombuffer(x, "<u8")
-    short = np.cumsum(unpack_numbers(gaps)).astype(np.uint64)
+    short = np.cumsum(unpack_numbers(gaps), dtype=np.uint64).astype(np.uint32)
     if begin == b"\1":  # the one word that is not in the order of hashes
-        short = np.append(short, BEGIN >> _CUT)
+        short = np.append(short, np.uint32(BEGIN >> _CUT))
     return (
         keys(words), unpack_numbers(counts),
         np.concatenate((np.repeat(keys(words), unpack_numbers(length)), np.repeat(keys(others), unpack_numbers(other_length)))), short[unpack_numbers(first)], short[unpack_numbers(third)], unpack_numbers(times),
@@ -285,23 +286,31 @@ def _read_question(data: bytes) -> tuple[np.ndarray, ...]:
 def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, each one's sum, and each value's place among them."""
     known, where = np.unique(keys, return_inverse=True)
-    return known, np.bincount(where, weights=values, minlength=len(known)).astype(np.int64), where
+    return known, np.bincount(where, weights=values, minlength=len(known)).astype(np.int64), where.astype(np.int32)
 
 
 class Shard:
     """A shard's sums and its trie."""
 
     def __init__(self, asked: list[tuple[np.ndarray, ...]], often: Frequent, path: str, keep: bool = False):
-        words, counts, middle, first, third, times, pair_middle, pair_third, pair_times = (np.concatenate(x) for x in zip(*asked))
-        self.words, self.counts, _ = _summed(words, counts)
-        middles, m = np.unique(np.concatenate((middle, pair_middle)), return_inverse=True)
-        thirds, w = np.unique(np.concatenate((third, pair_third)), return_inverse=True)
-        firsts, u = np.unique(first, return_inverse=True)
-        n, n3, n1 = len(middle), max(1, len(thirds)), max(1, len(firsts))
-        triple, c3, self.triple_at = _summed((m[:n] * n1 + u) * n3 + w[:n], times)
+        part = lambda *k: np.concatenate([x[j] for j in k for x in asked])
+        self.words, self.counts, _ = _summed(part(0), part(1))
+        n, times, pair_times = sum(len(x[2]) for x in asked), part(5), part(8)
+        middles, m = np.unique(part(2, 6), return_inverse=True)
+        thirds, w = np.unique(part(4, 7), return_inverse=True)
+        firsts, u = np.unique(part(3), return_inverse=True)
+        n3, n1 = max(1, len(thirds)), max(1, len(firsts))
+        pair_key_of = m[n:] * n3 + w[n:]
+        key = m[:n] * n1
+        key += u
+        key *= n3
+        key += w[:n]
+        del m, u, w
+        triple, c3, self.triple_at = _summed(key, times)
+        del key, times
         t_context, t_third = np.divmod(triple, n3)
         t_middle = t_context // n1
-        pair, c2, at = _summed(np.concatenate((t_middle * n3 + t_third, m[n:] * n3 + w[n:])), np.concatenate((c3, pair_times)))
+        pair, c2, at = _summed(np.concatenate((t_middle * n3 + t_third, pair_key_of)), np.concatenate((c3, pair_times)))
         self.pair_at = at[len(triple) :]
         self.asked_triple = (middles, t_middle), (firsts, t_context % n1), (thirds, t_third)
         self.asked_pair = (middles, pair // n3), (thirds, pair % n3)
@@ -424,7 +433,7 @@ def frequent_contexts(corpus: DataFrame, shards: int, train_tokens: int, train_d
     wanted = np.array([r[0] for r in counted(lambda _, n: np.argsort(-n, kind="stable")[:TOP]).filter(F.col("c") > bound).select("h").collect()], dtype=np.int64).view(np.uint64)
     rows = counted(lambda keys, _: np.flatnonzero(np.isin(keys, wanted))).collect() if len(wanted) else []
     counts = {int(np.int64(h).view(np.uint64)): int(c) for h, c in rows}
-    counts[int(BEGIN)] = counts[int(pair_key(np.array([BEGIN >> _CUT]), np.array([BEGIN]))[0])] = train_docs
+    counts[int(BEGIN)] = counts[int(pair_key(np.array([BEGIN >> _CUT], np.uint32), np.array([BEGIN]))[0])] = train_docs
     # pairs of a frequent word are asked for, and counted, under a key of their own
     counts |= {int(mix64(np.array([k], np.uint64) + np.uint64(1))[0]): c for k, c in list(counts.items())}
     return Frequent(counts, {k: max(1, -(-8 * shards * c // max(1, train_tokens))) for k, c in counts.items()})
