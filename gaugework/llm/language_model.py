@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dealt, delete_folder, mix64, new_folder, split_batches, written
-from .elias_fano import Trie, stored
+from .elias_fano import Trie, quantised, stored
 
 DISCOUNT = 0.75
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 6 << 20
 SHARD_TOKENS = 1_500_000
 MIN_SHARDS = 96
 #: Each block names its most frequent words and word pairs; what is frequent in the corpus is among some block's.
@@ -331,7 +331,7 @@ class Shard:
         two = np.maximum(c2 - DISCOUNT, 0) / np.maximum(1, total[p_middle])
         weight = DISCOUNT * n_context / np.maximum(1, c_context)
         three = np.maximum(c3[seen] - DISCOUNT, 0) / np.maximum(1, c_context[t_place])
-        self.back = np.where(total > 0, DISCOUNT * self.followers / np.maximum(1, total), 1.0).astype("<f4")
+        self.back, self.back_book = quantised(np.where(total > 0, DISCOUNT * self.followers / np.maximum(1, total), 1.0))
         packed = Trie.pack(middles, thirds, firsts, (p_middle, p_third, two), (c_middle, c_first, weight), (t_place, t_third[seen], three))
         self.trie = Trie(stored(packed, path, keep))
 
@@ -351,7 +351,7 @@ def answer(often: Frequent, folder: str, keep: bool) -> Callable[[pa.Table], pa.
         at = trie.pair(*shard.asked_pair)
         two = np.where(at >= 0, trie.two[np.maximum(at, 0)], 0).astype(np.uint8) if len(trie.two) else np.zeros(len(at), np.uint8)
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        books = b"".join(getattr(trie, f"{c}_book").tobytes() for c in Trie.CODES)
+        books = b"".join(getattr(trie, f"{c}_book").tobytes() for c in Trie.CODES) + shard.back_book.tobytes()
         rows, a, b = [], 0, 0
         for block, (words, _, middle, _, _, times, pair_middle, _, pair_times) in zip(table.column("block").to_pylist(), asked):
             triples, pairs = shard.triple_at[a : a + len(times)], shard.pair_at[b : b + len(pair_times)]
@@ -381,11 +381,11 @@ def score_block(row: dict, answers: dict[int, bytes], shards: int, often: Freque
     hot_two = np.zeros(len(plan.p_middle))
     for s, words, triples, pairs in plan.parts():
         counts, back, *codes, pair_codes, books = unpack_parts(loose(answers[s]))
-        books = np.frombuffer(books, "<f4").reshape(3, 256).astype(float)
+        books = np.frombuffer(books, "<f4").reshape(4, 256).astype(float)
         count[words] = np.frombuffer(counts, "<u8").astype(np.int64)
         middle = plan.t_middle[triples]
-        back_word[middle[_runs(middle)[0]]] = np.frombuffer(back, "<f4")
-        for out, code, book in zip((two, weight, three), codes, books):
+        back_word[middle[_runs(middle)[0]]] = books[3][np.frombuffer(back, np.uint8)]
+        for out, code, book in zip((two, weight, three), codes, books[:3]):
             out[triples] = book[np.frombuffer(code, np.uint8)]
         hot_two[pairs] = books[0][np.frombuffer(pair_codes, np.uint8)]
     weight[weight == 0] = 1.0  # a context that training has not
