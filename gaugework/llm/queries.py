@@ -70,36 +70,35 @@ def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 TOXIC, LOW = "toxic = 1", "quality = 0 and coalesce(toxic, 0) <> 1"
 
 
-def _four_batches(spark: SparkSession, load: DataFrame, toxic: DataFrame, low_old: DataFrame, low_new: DataFrame) -> DataFrame:
-    """Totals after four batches: all documents come, the toxic ones go, those of low quality are counted anew by another
-    tokenizer version, and the second batch arrives again."""
+def _four_batches(spark: SparkSession, counted: DataFrame, labels: DataFrame, first: str, second: str) -> DataFrame:
+    """Totals after four batches: all documents come, counted by ``first``; the toxic ones go; those of low quality are counted anew by
+    ``second``; and the second batch arrives again. ``counted`` has a column of each name; texts are not moved to meet their labels."""
+    counted = written(spark, _marked(counted, labels), "token-counts")
+
+    def by(version: str, rows: DataFrame) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("tokenizer"), F.col(version).alias("n_tokens"))
+
+    toxic, low = counted.filter(TOXIC), counted.filter(LOW)
     totals = rollups.Rollup(spark, new_folder(spark, "token-totals"))
-    totals.commit("load", rollups.changes(new=load))
-    totals.commit("toxic", rollups.changes(old=toxic))
-    totals.commit("recount", rollups.changes(new=low_new, old=low_old))
-    totals.commit("toxic", rollups.changes(old=toxic))
+    totals.commit("load", rollups.changes(new=by(first, counted)))
+    totals.commit("toxic", rollups.changes(old=by(first, toxic)))
+    totals.commit("recount", rollups.changes(new=by(second, low), old=by(first, low)))
+    totals.commit("toxic", rollups.changes(old=by(first, toxic)))
     return totals.totals()
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a corpus counted by one public tokenizer, from which toxic documents go and of which those of low quality are counted anew by another."""
-    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    first, second = "byte_bpe_50k", "word_bpe_49k"
-    counted = rollups.count_tokens(docs, token_path(f"{first}.json"), ["doc_id", "source", "lang"])
-    counted = written(spark, _marked(counted, labels), "token-counts").withColumn("tokenizer", F.lit(first))
-    again = rollups.count_tokens(_marked(docs, labels).filter(LOW), token_path(f"{second}.json"), ["source", "lang"]).withColumn("tokenizer", F.lit(second))
-    return _four_batches(spark, counted, counted.filter(TOXIC), counted.filter(LOW), again)
+    versions = ["byte_bpe_50k", "word_bpe_49k"]
+    counted = rollups.count_tokens(documents(spark, sf_dir), {v: token_path(f"{v}.json") for v in versions}, ["doc_id", "source", "lang"])
+    return _four_batches(spark, counted, spark.read.parquet(f"{sf_dir}/labels.parquet"), *versions)
 
 
 def rollup_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same batches with counts that SQL can make, by DataFrame functions only."""
-    marked = _marked(documents(spark, sf_dir).select("doc_id", "source", "lang", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-    def by(version: str, rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", "source", "lang", "toxic", "quality", F.lit(version).alias("tokenizer"), rollups.token_count("text", version).alias("n_tokens"))
-
-    counted = written(spark, by("words-1", marked), "token-counts")
-    return _four_batches(spark, counted, counted.filter(TOXIC), counted.filter(LOW), by("words-2", marked.filter(LOW)))
+    versions = list(rollups.COUNTERS)
+    counted = documents(spark, sf_dir).select("doc_id", "source", "lang", *(rollups.token_count("text", v).alias(v) for v in versions))
+    return _four_batches(spark, counted, spark.read.parquet(f"{sf_dir}/labels.parquet"), *versions)
 
 
 WORD_COUNTS_SQL = rf"""

@@ -32,21 +32,23 @@ def token_count(text: str, tokenizer: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(COUNTERS[tokenizer])), F.lit(0)).cast("long")
 
 
-def count_tokens(df: DataFrame, path: str, carry: list[str], text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """(``carry``, ``out``): how many ids the tokenizer file gives each whole text, special tokens not added.
+def count_tokens(df: DataFrame, paths: dict[str, str], carry: list[str], text: str = "text") -> DataFrame:
+    """(``carry``, a column for each of ``paths``): how many ids each tokenizer file gives a whole text, special tokens not added.
 
-    A null or empty text has 0. Rows may repeat and hold nulls; other columns are dropped; ``out`` must not be carried. An empty table gives an empty one.
+    All files count beside the text, so that no text is moved. A null or empty text has 0. Rows may repeat and hold nulls; other columns are
+    dropped; a column of ``paths`` must not be carried. An empty table gives an empty one.
     """
-    if out in carry:
-        raise ValueError(f"{out} is carried already")
+    if set(paths) & set(carry):
+        raise ValueError(f"{sorted(set(paths) & set(carry))} are carried already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
+        tools = [encoder(p) for p in paths.values()]
         for batch in (s for b in batches for s in split_batches([b], text)):
-            n = [len(x) // 4 for x in tool.encode_many(batch.column(text).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(n, pa.int64())], names=[*carry, out])
+            texts = batch.column(text).to_pylist()
+            counts = [pa.array([len(x) // 4 for x in t.encode_many(texts)], pa.int64()) for t in tools]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *counts], names=[*carry, *paths])
 
-    return df.select(*dict.fromkeys([*carry, text])).mapInArrow(run, with_fields([df.schema[c] for c in carry], f"`{out}` long"))
+    return df.select(*dict.fromkeys([*carry, text])).mapInArrow(run, with_fields([df.schema[c] for c in carry], ", ".join(f"`{n}` long" for n in paths)))
 
 
 def changes(new: DataFrame | None = None, old: DataFrame | None = None) -> DataFrame:

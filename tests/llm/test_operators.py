@@ -411,7 +411,7 @@ def test_op10_counts_by_tokenizers(docs):
 
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         tool = Tokenizer.from_file(PATH(name))
-        got = by_id(rollups.count_tokens(docs, PATH(name), ["doc_id", "votes"]))
+        got = by_id(rollups.count_tokens(docs, {"n_tokens": PATH(name)}, ["doc_id", "votes"]))
         assert all(got[i]["n_tokens"] == len(tool.encode(t or "", add_special_tokens=False).ids) and got[i]["votes"] == "clash" for i, t in enumerate(TEXTS))
 
 
@@ -464,7 +464,7 @@ def test_empty_tables(spark):
     assert packing.pack(packing.pieces(none, PATH("byte_bpe_50k.json"))).count() == 0
     assert quality_rules.judge(none).count() == 0
     assert media.features(media.store_texts(none)).count() == 0
-    assert rollups.count_tokens(none, PATH("byte_bpe_50k.json"), ["doc_id"]).count() == 0
+    assert rollups.count_tokens(none, {"n": PATH("byte_bpe_50k.json")}, ["doc_id"]).count() == 0
     assert ngram_join.keep_one(none).count() == 0 and quality_rules.kept_rows(none).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert compression_quality.score(none, compression_quality.fit(none, labels)).count() == 0
