@@ -8,6 +8,40 @@ from pyspark.sql import functions as F
 from ..functions.randomness import digest, poisson_one, uniform
 
 
+#: Leading hexadecimal digits of a digest that cut a stratum: 16 ** 3 = 4096 parts of even size.
+SPREAD_DIGITS = 3
+
+
+def digest_ranks(df: DataFrame, by: list[str], drawn: Column, ahead: str | None = None, ties: str | None = None, weight: str | None = None) -> DataFrame:
+    """Each row with its place ``_r`` (from 1) in the order of the digest ``drawn`` within ``by``, the group's rows ``_n``, the weight
+    ``_before`` it and the group's weight ``_total`` (a row weighs 1 without ``weight``). With ``ahead``, greater values of it come first.
+
+    A group is cut by the digest's first digits; parts are sorted apart and shifted by what the parts before hold, so that no task sorts a
+    whole group. Only the parts' sums meet, 4096 a group and value of ``ahead``. Null is a group of its own; rows of equal digest and
+    ``ties`` come in any order.
+    """
+    first = F.col(ahead) if ahead else F.lit(0)
+    rows = df.withColumns({"_d": drawn, "_w": F.col(weight) if weight else F.lit(1).cast("long")})
+    rows = rows.withColumn("_cell", F.struct(F.struct(*by).alias("of"), first.alias("first"), F.substring("_d", 1, SPREAD_DIGITS).alias("part")))
+
+    cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_weight"))
+    group = Window.partitionBy("_cell.of")
+    earlier = group.orderBy(F.desc("_cell.first"), "_cell.part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = cells.select(
+        "_cell",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
+        F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_weight_before"),
+        F.sum("_rows").over(group).alias("_n"),
+        F.sum("_weight").over(group).alias("_total"),
+    )
+
+    inside = Window.partitionBy("_cell").orderBy("_d", *([ties] if ties else []))
+    so_far = F.coalesce(F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumns({"_place": F.row_number().over(inside), "_inside": so_far}).join(shifts, "_cell")
+    placed = placed.withColumns({"_r": F.col("_place") + F.col("_rows_before"), "_before": F.col("_inside") + F.col("_weight_before")})
+    return placed.select(*df.columns, "_r", "_n", "_before", "_total")
+
+
 def random_split(df: DataFrame, key: str, fractions: list[tuple[str, float]], seed: int) -> DataFrame:
     """A ``part`` for each row by thresholds on its uniform number: no shuffle, sizes near the fractions."""
     u, total, part = uniform(seed, key), sum(f for _, f in fractions), F.lit(fractions[-1][0])
@@ -20,16 +54,17 @@ def random_split(df: DataFrame, key: str, fractions: list[tuple[str, float]], se
 def stratified_kfold(df: DataFrame, key: str, stratum: str, k: int, repeats: int, seed: int) -> DataFrame:
     """A row for each repeat, with ``fold``: strata are dealt out evenly in random order."""
     rows = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = F.row_number().over(Window.partitionBy("repeat", stratum).orderBy(digest(seed, F.col("repeat"), key)))
-    return rows.withColumn("fold", ((order - 1) % k).cast("int"))
+    ranked = digest_ranks(rows, ["repeat", stratum], digest(seed, F.col("repeat"), key))
+    return ranked.select(*rows.columns, ((F.col("_r") - 1) % k).cast("int").alias("fold"))
 
 
 def group_folds(df: DataFrame, stratum: str, group: str, k: int, seed: int) -> DataFrame:
     """(group, fold): groups whole, dealt back and forth within each dominant stratum, large ones first."""
     sizes = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("_n"))
     one = sizes.groupBy(group).agg(F.sum("_n").alias("_size"), F.min_by(stratum, F.struct(-F.col("_n"), F.col(stratum))).alias("_stratum"))
-    r = F.row_number().over(Window.partitionBy("_stratum").orderBy(F.desc("_size"), digest(seed, group))) - 1
-    return one.withColumn("_r", r).select(group, F.when(F.floor(F.col("_r") / k) % 2 == 0, F.col("_r") % k).otherwise(k - 1 - F.col("_r") % k).cast("int").alias("fold"))
+    r = F.col("_r") - 1
+    forth, back = r % k, k - 1 - r % k
+    return digest_ranks(one, ["_stratum"], digest(seed, group), ahead="_size").select(group, F.when(F.floor(r / k) % 2 == 0, forth).otherwise(back).cast("int").alias("fold"))
 
 
 def stratified_group_kfold(df: DataFrame, stratum: str, group: str, k: int, seed: int) -> DataFrame:
@@ -54,15 +89,14 @@ def proportional_quotas(counts: DataFrame, stratum: str, n: str, total: int) ->
 def stratified_sample(df: DataFrame, key: str, stratum: str, total: int, seed: int) -> DataFrame:
     """Exactly ``total`` rows, shares kept, none twice."""
     quotas = proportional_quotas(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")), stratum, "_n", total)
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(digest(seed, key))))
-    return ranked.join(F.broadcast(quotas), stratum).filter("_r <= quota").drop("_r", "quota")
+    ranked = digest_ranks(df, [stratum], digest(seed, key))
+    return ranked.join(quotas, stratum).filter("_r <= quota").select(*df.columns)
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, test_share: float, seed: int) -> DataFrame:
     """``part`` train or test; each stratum gives its share, rounded."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(digest(seed, key))), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.withColumn("part", F.when(F.col("_r") <= F.floor(F.col("_n") * test_share + 0.5), "test").otherwise("train")).drop("_r", "_n")
+    ranked = digest_ranks(df, [stratum], digest(seed, key))
+    return ranked.select(*df.columns, F.when(F.col("_r") <= F.floor(F.col("_n") * test_share + 0.5), "test").otherwise("train").alias("part"))
 
 
 def nested_subsets(df: DataFrame, key: str, stratum: str, group: str, sizes: list[int], seed: int) -> DataFrame:
@@ -74,9 +108,8 @@ def nested_subsets(df: DataFrame, key: str, stratum: str, group: str, sizes: lis
         q = proportional_quotas(counts, stratum, "_n", n).select(stratum, F.lit(n).alias("_size"), F.col("quota").alias("_q"))
         quota = q if quota is None else quota.unionByName(q)
     in_stratum = df.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("_rows"))
-    w = Window.partitionBy(stratum).orderBy(digest(seed, group), group).rowsBetween(Window.unboundedPreceding, -1)
-    before = in_stratum.withColumn("_before", F.coalesce(F.sum("_rows").over(w), F.lit(0)))
-    entry = before.join(F.broadcast(quota), stratum).filter("_before < _q").groupBy(group).agg(F.min("_size").alias("entry"))
+    before = digest_ranks(in_stratum, [stratum], digest(seed, group), ties=group, weight="_rows")
+    entry = before.join(quota, stratum).filter("_before < _q").groupBy(group).agg(F.min("_size").alias("entry"))
     return df.join(entry, group, "left").select(key, "entry")
 
 
@@ -91,10 +124,7 @@ def fit_stop_calibrate(df: DataFrame, stratum: str, group: str, share: float, se
     stratum's rows is reached; every other one of them calibrates."""
     sizes = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("_n"))
     one = sizes.groupBy(group).agg(F.sum("_n").alias("_size"), F.min_by(stratum, F.struct(-F.col("_n"), F.col(stratum))).alias("_stratum"))
-    w = Window.partitionBy("_stratum").orderBy(digest(seed, group), group)
-    before = F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_size").over(Window.partitionBy("_stratum"))
-    ranked = one.withColumns({"_before": before, "_total": total, "_r": F.row_number().over(w)})
+    ranked = digest_ranks(one, ["_stratum"], digest(seed, group), ties=group, weight="_size")
     part = F.when(F.col("_before") >= F.col("_total") * share, "fit").when(F.col("_r") % 2 == 1, "stop").otherwise("calibrate")
     return df.join(ranked.select(group, part.alias("part")), group)
 
@@ -103,7 +133,7 @@ def inner_folds(tasks: DataFrame, task: str, regime: str, stratum: str, group: s
     """Training rows only: in holdout tasks a fold is a stratum, else groups are dealt out by digest within (task, stratum)."""
     train = tasks.filter("role = 'train'")
     groups = train.groupBy(task, group).agg(F.min(stratum).alias("_s"))
-    dealt = groups.withColumn("_f", (F.row_number().over(Window.partitionBy(task, "_s").orderBy(digest(seed, group))) - 1) % k).select(task, group, "_f")
+    dealt = digest_ranks(groups, [task, "_s"], digest(seed, group)).select(task, group, ((F.col("_r") - 1) % k).alias("_f"))
     return train.join(dealt, [task, group]).withColumn("inner_fold", F.when(F.col(regime) == "holdout", F.col(stratum)).otherwise(F.col("_f").cast("string"))).drop("_f")
 
 
@@ -129,7 +159,3 @@ def bootstrap_weights(units: DataFrame, unit: str, replicates: int, seed: int) -
     """Poisson(1) weights for each unit and replicate; the same for every method. Rows of weight 0 are left out."""
     rows = units.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     return rows.withColumn("weight", poisson_one(uniform(seed, F.col("replicate"), unit)).cast("long")).filter("weight > 0")
-
-
-def fold_role(fold: str, test: int) -> Column:
-    return F.when(F.col(fold) == test, "test").otherwise("train")
