@@ -83,35 +83,34 @@ def nearest_tokens(test: DataFrame, train: DataFrame, key: str, train_key: str,
     return ta.select(key).join(best, key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-#: Largest reference side that nearest-vector joins broadcast; a larger one goes through blocks.
+#: Largest reference side that nearest-vector joins broadcast, in rows and in bytes; a larger one goes through blocks of that size.
 BROADCAST_VECTORS = 20_000
+BROADCAST_BYTES = 64 << 20
 
 
-def _against(df: DataFrame, reference: DataFrame) -> DataFrame:
+def _against(df: DataFrame, reference: DataFrame, vector: str) -> DataFrame:
     """Every row of ``df`` beside every reference row: a reference of checked size is broadcast, a larger one is dealt in blocks."""
-    n = reference.limit(BROADCAST_VECTORS + 1).count()
-    if n <= BROADCAST_VECTORS:
+    size = (F.count(F.lit(1)), F.coalesce(F.sum(F.size(vector).cast("long")), F.lit(0)))
+    n, numbers = reference.limit(BROADCAST_VECTORS + 1).agg(*size).first()
+    if n <= BROADCAST_VECTORS and 8 * numbers <= BROADCAST_BYTES:
         return df.join(F.broadcast(reference), F.lit(True))
-    blocks = max(2, -(-reference.count() // BROADCAST_VECTORS))
+    n, numbers = reference.agg(*size).first()
+    blocks = max(2, -(-n // BROADCAST_VECTORS), -(-8 * numbers // BROADCAST_BYTES))
     dealt = reference.withColumn("_block", F.pmod(F.xxhash64(*reference.columns), F.lit(blocks)).cast("int"))
     return df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
 
 
 def nearest_euclidean(df: DataFrame, reference: DataFrame, key: str, vector: str, reference_vector: str) -> DataFrame:
     """(key, distance) to the closest reference vector; each row keeps a minimum only."""
-    return _against(df.select(key, vector), reference.select(reference_vector)).groupBy(key).agg(F.min(euclidean(F.col(vector), F.col(reference_vector))).alias("distance"))
+    return _against(df.select(key, vector), reference.select(reference_vector), reference_vector).groupBy(key).agg(F.min(euclidean(F.col(vector), F.col(reference_vector))).alias("distance"))
 
 
 def nearest_cosine(df: DataFrame, reference: DataFrame, key: str, vector: str, reference_key: str, reference_vector: str) -> DataFrame:
     """(key, nearest, distance): the reference of least cosine distance; of equals the least key."""
     d = F.round(cosine_distance(F.col(vector), F.col(reference_vector)), 9)
-    best = _against(df.select(key, vector), reference.select(reference_key, reference_vector)).groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col(reference_key).alias("k"))).alias("x"))
+    best = _against(df.select(key, vector), reference.select(reference_key, reference_vector), reference_vector).groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col(reference_key).alias("k"))).alias("x"))
     return best.select(key, F.col("x.k").alias("nearest"), F.col("x.d").alias("distance"))
 
 
 def row_cosine(df: DataFrame, a: str, b: str, out: str = "distance") -> DataFrame:
     return df.withColumn(out, cosine_distance(F.col(a), F.col(b)))
-
-
-def condition(df: DataFrame, test: Column) -> DataFrame:
-    return df.filter(test)

@@ -11,7 +11,9 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import projections as P
 from ..operators import windows as W
+from ..session import shared_folder
 from ..sources import tables as S
+from ..streaming.ledger import outcome_ledger
 from .views import run, table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +56,35 @@ add("s1_read_table", lambda t: S.read_table(t.spark, f"{t.sf_dir}/nowhere.parque
     "SELECT p_partkey, p_name, round(p_retailprice, 6) AS p_retailprice FROM part")
 add("s2_needed_subset", lambda t: S.needed_subset(t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice"), t.customer.filter("c_acctbal < 0"), "c_custkey", F.col("o_totalprice") > 400000),
     "SELECT o_custkey AS c_custkey, o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders WHERE o_totalprice > 400000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+
+
+def run_records(t: Tables) -> DataFrame:
+    """Events as JSON records of at most 100 readings a run, read back as rows."""
+    readings = F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x")
+    runs = t.events.groupBy(F.floor(F.col("event_id") / 100).alias("run")).agg(readings).select("run", F.col("x.event_id").alias("id"), F.col("x.value").alias("reading"))
+    folder = shared_folder(t.spark, "runs")
+    runs.write.json(folder)
+    return S.collect_runs(t.spark, folder, "run long, id array<long>, reading array<double>", ["id", "reading"], F.col("run") > 0)
+
+
+def results_read_back(t: Tables) -> DataFrame:
+    path = shared_folder(t.spark, "results.csv")
+    S.write_results(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), path, order=["o_orderkey"])
+    return S.read_table(t.spark, path, "o_orderkey long, o_custkey long, o_totalprice double")
+
+
+def streamed_ledger(t: Tables) -> DataFrame:
+    """Events as a stream, the first of each user kept."""
+    columns = ["user_id", "event_id", "event_type", "value"]
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet*").select(*columns)
+    path = shared_folder(t.spark, "ledger")
+    outcome_ledger(stream, path, path + "-checkpoint", "user_id", "event_id").awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(path)
+
+
+add("s3_collect_runs", run_records, "SELECT CAST(event_id // 100 AS BIGINT) AS run, event_id AS id, round(value, 6) AS reading FROM events WHERE event_id // 100 > 0")
+add("s4_write_results", results_read_back, "SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice FROM orders")
+add("s6_outcome_ledger", streamed_ledger, "SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
 add("s5_pending", lambda t: S.pending(t.customer.select("c_custkey", "c_name"), t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", t.customer.filter("c_acctbal < 0")),
     "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND NOT c_acctbal < 0")
 add("s7_merge_outcome_logs", lambda t: S.merge_outcome_logs([t.outcomes.filter("value < 30"), t.outcomes.filter("value >= 30").drop("value")], "user_id", "event_type", "event_id"),

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the folder that driver and executors share, the session's spark.checkpoint.dir. Unset, local mode takes a new local folder
+    and a cluster raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gaugework-")
+    return f"{root.rstrip('/')}/gaugework/{uuid.uuid4().hex[:12]}-{name}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each Spark application."""
     context = spark.sparkContext

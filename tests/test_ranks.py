@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.randomness import digest
-from gaugework.operators import splits
+from gaugework.operators import joins, splits
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +58,17 @@ def test_rows_are_sorted_within_parts_only(rows, split):
     assert drawn
     for line in drawn:
         assert "windowspecdefinition(_cell#" in line, line
+
+
+@pytest.mark.parametrize("rows_bound, bytes_bound", [(20_000, 64), (10, 64 << 20)])
+def test_nearest_in_blocks_equals_broadcast(spark, monkeypatch, rows_bound, bytes_bound):
+    df = spark.range(40).select(F.col("id").alias("k"), F.array(F.col("id") % 7 + 1.0, F.col("id") % 3 + 1.0).alias("v"))
+    ref = df.select(F.col("k").alias("r"), F.reverse("v").alias("rv"))
+
+    def both():
+        return sorted(joins.nearest_euclidean(df, ref, "k", "v", "rv").collect()), sorted(joins.nearest_cosine(df, ref, "k", "v", "r", "rv").collect())
+
+    whole = both()
+    monkeypatch.setattr(joins, "BROADCAST_VECTORS", rows_bound)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", bytes_bound)
+    assert both() == whole
