@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import compression_quality, language_model, media, ngram_join, packing, piece_bpe, quality_rules, rollups, substring_dedup, token_files
+from . import alignment, compression_quality, language_model, media, ngram_join, packing, piece_bpe, quality_rules, rollups, simhash, substring_dedup, token_files, vector_codes
 from .common import fold_of, new_folder, token_path, written
 
 
@@ -94,6 +94,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _four_batches(spark, counted, spark.read.parquet(f"{sf_dir}/labels.parquet"), *versions)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' ids aligned over the same bytes, and how often each text's links occur in the corpus."""
+    return alignment.aligned_digests(documents(spark, sf_dir), token_path("byte_bpe_50k.json"), token_path("piece_bpe_32k.model"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def rollup_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same batches with counts that SQL can make, by DataFrame functions only."""
     versions = list(rollups.COUNTERS)
@@ -112,6 +126,35 @@ SELECT source, lang, tokenizer, count(*) AS n_docs,
 FROM kept GROUP BY source, lang, tokenizer
 """
 
+def vector_codes_sql() -> str:
+    """Product codes in SQL: every part against every entry, in as many steps as there are rounds."""
+    v = vector_codes
+    near = "list_sum(list_transform(range(1, len(x) + 1), i -> (x[i] - c[i]) * (x[i] - c[i])))"
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS (SELECT r, vec_id, p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+  SELECT r, vec_id, p, x, e, {near} AS d FROM parts JOIN c{n} USING (p)) GROUP BY r, vec_id, p)"""
+
+    def moved(n: int) -> str:
+        return f"""m{n} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (
+  SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{n}, range(1, width + 1) t(i), shape GROUP BY p, e, i) GROUP BY p, e),
+c{n + 1} AS (SELECT p, e, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (p, e))"""
+
+    steps = ",\n".join(f"{assigned(n)},\n{moved(n)}" for n in range(v.ROUNDS))
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * {v.SCALE}) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+shape AS (SELECT max(len(v)) // {v.PARTS} AS width FROM kept),
+parts AS (SELECT r, vec_id, p, v[p * width + 1 : (p + 1) * width] AS x FROM kept, shape, range({v.PARTS}) t(p)),
+c0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= {v.ENTRIES}),
+{steps},
+{assigned(v.ROUNDS)},
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{v.ROUNDS}),
+coded AS (SELECT r, vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{v.ROUNDS} GROUP BY r, vec_id)
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded c JOIN kept USING (r), book
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -123,6 +166,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_media_columns": op9_media_columns,
     "op10_token_counts": op10_token_counts,
+    "op11_alignment": op11_alignment,
+    "op12_simhash": op12_simhash,
+    "op13_vector_codes": op13_vector_codes,
     "rollup_word_counts": rollup_word_counts,
 }
-ORACLES: dict[str, str] = {"rollup_word_counts": WORD_COUNTS_SQL}
+ORACLES: dict[str, str] = {"rollup_word_counts": WORD_COUNTS_SQL, "op13_vector_codes": vector_codes_sql()}
