@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import null_safe_join, quantiles, ranked
+
 N = F.count
 
 
@@ -66,6 +68,14 @@ def winner(df: DataFrame, by: list[str], metric: str, name: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(metric, name))).filter("_n = 1").drop("_n")
 
 
+def best_recipe(metrics: DataFrame, recipe: list[str], value: str, also: str) -> DataFrame:
+    """One row: the recipe of least mean ``value`` over its folds, that mean, and as ``also_<column>`` the recipe that would win by ``also``; of equals the first by name."""
+    means = metrics.groupBy(*recipe).agg(F.avg(value).alias("_v"), F.avg(also).alias("_a"))
+    first = lambda m: F.min_by(F.struct(*recipe), F.struct(F.col(m).isNull(), m, *recipe))
+    one = means.agg(first("_v").alias("x"), F.min("_v").alias(value), first("_a").alias("y"))
+    return one.select(*[F.col("x")[c].alias(c) for c in recipe], value, *[F.col("y")[c].alias(f"also_{c}") for c in recipe])
+
+
 def _joined_in_order(order: str, value: str, separator: str) -> Column:
     """Distinct values in order of first appearance, as one string."""
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value)))), lambda x: x[value])
@@ -87,10 +97,10 @@ def value_count_maps(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def hit_summary(log: DataFrame, by: str, order: str, hit: str, k: int) -> DataFrame:
-    """(by, lookups, hits, rate, kth): ``kth`` is the step of the k-th hit."""
-    w = Window.partitionBy(by).orderBy(order)
-    steps = log.select(by, F.col(hit).cast("long").alias("_h"), F.row_number().over(w).alias("_step"), F.sum(F.col(hit).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_hits"))
-    return steps.groupBy(by).agg(F.count(F.lit(1)).alias("lookups"), F.sum("_h").alias("hits"), F.avg("_h").alias("rate"), F.min(F.when(F.col("_hits") >= k, F.col("_step"))).cast("long").alias("kth"))
+    """(by, lookups, hits, rate, kth): ``kth`` is the step of the k-th hit. A null hit counts as a lookup, in no rate."""
+    steps = ranked(log.select(by, order, F.col(hit).cast("long").alias("_h")), [by], [order], F.col("_h"))
+    kth = F.min(F.when(F.col("_before") + F.coalesce("_h", F.lit(0)) >= k, F.col("_r"))).cast("long")
+    return steps.groupBy(by).agg(F.count(F.lit(1)).alias("lookups"), F.sum("_h").alias("hits"), F.avg("_h").alias("rate"), kth.alias("kth"))
 
 
 def pivot_wide(df: DataFrame, index: list[str], column: str, levels: list[str], value: str, complete: bool = True) -> DataFrame:
@@ -110,14 +120,18 @@ def paired_change(metrics: DataFrame, fold: list[str], method: str, base: str, v
 
 
 def noise_summary(df: DataFrame, label: str, reference: str) -> DataFrame:
-    gap = F.abs(F.col(label) - F.col(reference))
-    return df.agg(F.avg(gap).alias("mean"), F.median(gap).alias("median"), F.percentile(gap, F.lit(0.9)).alias("q90"), F.max(gap).alias("largest"), F.avg((gap <= 1).cast("double")).alias("within_1"))
+    """(mean, median, q90, largest, within_1) of the absolute differences; nulls are left out."""
+    gaps = df.select(F.abs(F.col(label) - F.col(reference)).alias("_gap"))
+    q = quantiles(gaps, [], "_gap", [0.5, 0.9])
+    one = gaps.agg(F.avg("_gap").alias("mean"), F.max("_gap").alias("largest"), F.avg((F.col("_gap") <= 1).cast("double")).alias("within_1"))
+    return one.join(q, F.lit(True), "left").select("mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("q90"), "largest", "within_1")
 
 
 def scaled_mad(df: DataFrame, key: str, value: str, least: int = 3) -> DataFrame:
     """(key, mad): 1.4826 times the median absolute deviation of keys with ``least`` values or more."""
-    middle = df.groupBy(key).agg(F.median(value).alias("_m"), F.count(value).alias("_n")).filter(F.col("_n") >= least)
-    return df.join(middle, key).groupBy(key).agg((1.4826 * F.median(F.abs(F.col(value) - F.col("_m")))).alias("mad"))
+    middle = quantiles(df, [key], value, [0.5]).filter(F.col("n") >= least).select(key, F.col("q")[0].alias("_m"))
+    off = null_safe_join(df, middle, [key]).select(key, F.abs(F.col(value) - F.col("_m")).alias("_off"))
+    return quantiles(off, [key], "_off", [0.5]).select(key, (1.4826 * F.col("q")[0]).alias("mad"))
 
 
 def distance_bands(df: DataFrame, value: str, bands: list[tuple[float, float]], background: tuple[float, float]) -> DataFrame:
@@ -129,15 +143,22 @@ def distance_bands(df: DataFrame, value: str, bands: list[tuple[float, float]],
 
 
 def bias_by_bin(df: DataFrame, bin_: str, error: str) -> DataFrame:
-    return df.filter(F.col(bin_).isNotNull()).groupBy(bin_).agg(F.count(F.lit(1)).alias("size"), F.median(error).alias("median_bias"), F.avg(F.abs(F.col(error))).alias("mae"))
+    known = df.filter(F.col(bin_).isNotNull())
+    one = known.groupBy(bin_).agg(F.count(F.lit(1)).alias("size"), F.avg(F.abs(F.col(error))).alias("mae"))
+    middle = quantiles(known, [bin_], error, [0.5]).select(bin_, F.col("q")[0].alias("median_bias"))
+    return one.join(middle, bin_, "left").select(bin_, "size", "median_bias", "mae")
 
 
 def tail_report(pred: DataFrame, train: DataFrame, task: str, y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """(task, band, n, mae, share): errors below, within and above the training labels' 2 % and 98 % quantiles, and their share of all error."""
-    edges = train.groupBy(task).agg(F.percentile(y, F.array(F.lit(0.02), F.lit(0.98))).alias("_q"))
-    band = F.when(F.col(y) < F.col("_q")[0], "low").when(F.col(y) > F.col("_q")[1], "high").otherwise("middle")
-    by = pred.join(edges, task).groupBy(task, band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs(_error(y, p))).alias("_sum"))
-    return by.withColumn("share", F.col("_sum") / F.sum("_sum").over(Window.partitionBy(task))).select(task, "band", "n", (F.col("_sum") / F.col("n")).alias("mae"), "share")
+    """(task, band, n, outside, mae, share): errors below, within and above the training labels' 2 % and 98 % quantiles, and their share of the task's
+    error; ``outside`` counts a band's rows beyond the least or greatest training label. Tasks without training labels are left out."""
+    edges = quantiles(train, [task], y, [0.0, 0.02, 0.98, 1.0]).select(task, "q")
+    lowest, low, high, highest = (F.col("q")[i] for i in range(4))
+    band = F.when(F.col(y) < low, "low").when(F.col(y) > high, "high").otherwise("middle")
+    beyond = (F.col(y) < lowest) | (F.col(y) > highest)
+    by = null_safe_join(pred, edges, [task]).groupBy(task, band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(beyond, 1)).alias("outside"), F.sum(F.abs(_error(y, p))).alias("_sum"))
+    share = F.col("_sum") / F.sum("_sum").over(Window.partitionBy(task))  # three rows a task
+    return by.withColumn("share", share).select(task, "band", "n", "outside", (F.col("_sum") / F.col("n")).alias("mae"), "share")
 
 
 def same_keys_check(pred: DataFrame, task: str, method: str, key: str) -> DataFrame:
@@ -147,6 +168,18 @@ def same_keys_check(pred: DataFrame, task: str, method: str, key: str) -> DataFr
     return one.groupBy(task).agg(F.count_distinct("_n", "_s").alias("versions"), F.count(F.lit(1)).alias("methods"))
 
 
+def fold_partition_check(folds: DataFrame, by: list[str], key: str, every: DataFrame) -> DataFrame:
+    """(by, keys, repeated, missing, foreign): whether the test folds of each ``by`` hold every key once. Counts of keys: different ones, those in several rows, those
+    of ``every`` that no fold has, and those that are not in ``every``. The folds partition the keys where the last three are 0."""
+    wanted = every.select(key).distinct().withColumn("_wanted", F.lit(True))
+    each = folds.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_n"))
+    met = null_safe_join(each, wanted, [key], "left")
+    known = F.count(F.when(F.col("_wanted"), 1))
+    sums = met.groupBy(*by).agg(F.count(F.lit(1)).alias("keys"), F.count(F.when(F.col("_n") > 1, 1)).alias("repeated"), known.alias("_known"))
+    total = wanted.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    return sums.crossJoin(total).select(*by, "keys", "repeated", (F.col("_total") - F.col("_known")).alias("missing"), (F.col("keys") - F.col("_known")).alias("foreign"))
+
+
 def params_tally(df: DataFrame, params: str, by: list[str] = ()) -> DataFrame:
     """How often each value of each JSON parameter was chosen."""
     parsed = df.select(*by, F.explode(F.from_json(params, "map<string,string>")).alias("parameter", "value"))
@@ -157,6 +190,12 @@ def weights_summary(weights: DataFrame, by: str, weight: str) -> DataFrame:
     return weights.groupBy(by).agg(F.format_string("%.3f [%.3f to %.3f]", F.avg(weight), F.min(weight), F.max(weight)).alias("summary"))
 
 
+def mean_of_first(df: DataFrame, by: list[str], once: list[str], value: str, order: str) -> DataFrame:
+    """(by, value): the mean over ``once`` of a value that is repeated in its rows, as an error beside each member's weight is: the first in order counts."""
+    one = df.groupBy(*dict.fromkeys([*by, *once])).agg(F.min_by(value, order).alias(value))
+    return one.groupBy(*by).agg(F.avg(value).alias(value))
+
+
 def gap_table(errors: DataFrame, method: str, part: str, value: str) -> DataFrame:
     """(method, train, test, gap)."""
     wide = errors.groupBy(method).agg(F.avg(F.when(F.col(part) == "train", F.col(value))).alias("train"), F.avg(F.when(F.col(part) == "test", F.col(value))).alias("test"))
@@ -173,11 +212,11 @@ def contribution(errors: DataFrame, key: str, a: str, b: str, k: int) -> DataFra
 
 
 def region_ratio(pred: DataFrame, by: str, score: str, flag: str, error: str, key: str) -> DataFrame:
-    """(by, flagged_ratio, top_ratio): mean score in the flagged region over elsewhere; error of the tenth of highest score over all."""
-    w = Window.partitionBy(by)
-    ranked = pred.withColumns({"_r": F.row_number().over(w.orderBy(F.desc(score), key)), "_n": F.count(F.lit(1)).over(w)})
+    """(by, flagged_ratio, top_ratio): mean score in the flagged region over elsewhere; error of the tenth of highest score over all. Null scores come last."""
+    rows = ranked(pred.select(F.col(by).alias("_g"), F.col(score).alias("_s"), F.col(flag).alias("_f"), F.col(error).alias("_e"), F.col(key).alias("_k")), ["_g"], ["-_s", "_k"])
     top = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 10))
-    return ranked.groupBy(by).agg((F.avg(F.when(F.col(flag), F.col(score))) / F.avg(F.when(~F.col(flag), F.col(score)))).alias("flagged_ratio"), (F.avg(F.when(top, F.col(error))) / F.avg(error)).alias("top_ratio"))
+    flagged, others = F.avg(F.when(F.col("_f"), F.col("_s"))), F.avg(F.when(~F.col("_f"), F.col("_s")))
+    return rows.groupBy(F.col("_g").alias(by)).agg(F.try_divide(flagged, others).alias("flagged_ratio"), F.try_divide(F.avg(F.when(top, F.col("_e"))), F.avg("_e")).alias("top_ratio"))
 
 
 def found_share(campaign: DataFrame, targets: DataFrame, run: str, group: str, key: str) -> DataFrame:
@@ -202,8 +241,19 @@ def variant_dispersion(pred: DataFrame, key: str, value: str) -> DataFrame:
     return pred.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), (F.max(value) - F.min(value)).alias("range"))
 
 
+def dispersion_summary(spreads: DataFrame, sd: str, bound: float = 1.0) -> DataFrame:
+    """(n, q25, median, q75, share_above, share_zero) of deviations: quartiles, and the shares above the bound and at zero; nulls (one variant) are left out."""
+    known = spreads.filter(F.col(sd).isNotNull())
+    share = lambda c: F.avg(c.cast("double"))
+    one = known.agg(F.count(F.lit(1)).alias("n"), share(F.col(sd) > bound).alias("share_above"), share(F.col(sd) == 0).alias("share_zero"))
+    q = quantiles(known, [], sd, [0.25, 0.5, 0.75]).select(*[F.col("q")[i].alias(name) for i, name in enumerate(("q25", "median", "q75"))])
+    return one.join(q, F.lit(True), "left").select("n", "q25", "median", "q75", "share_above", "share_zero")
+
+
 def category_summary(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"))
+    one = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    middle = quantiles(df, [by], value, [0.5]).select(by, F.col("q")[0].alias("median"))
+    return null_safe_join(one, middle, [by], "left").select(by, "n", "median", "low", "high")
 
 
 def matches_saved(new: DataFrame, saved: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

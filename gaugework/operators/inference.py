@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import student_two_sided, t_975
+from ..session import settled
+from .ranks import average_ranks, null_safe_join
 from .splits import bootstrap_weights
 
 
@@ -18,13 +20,19 @@ def corrected_t(diffs: DataFrame, by: list[str], diff: str, n_train: str, n_test
     return out.withColumn("t", t).withColumn("p", p)
 
 
-def stratified_bootstrap(units: DataFrame, unit: str, stratum: str, diff: str, replicates: int, seed: int) -> DataFrame:
-    """(estimate, low, high, p): mean over strata of mean differences; percentile interval; two-sided p."""
-    estimate = units.groupBy(stratum).agg(F.avg(diff).alias("_m")).agg(F.avg("_m").alias("estimate"))
-    draws = bootstrap_weights(units.select(unit, stratum, diff), unit, replicates, seed)
-    one = draws.groupBy("replicate", stratum).agg((F.sum(F.col("weight") * F.col(diff)) / F.sum("weight")).alias("_m")).groupBy("replicate").agg(F.avg("_m").alias("_m"))
-    both = one.agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.avg((F.col("_m") <= 0).cast("double")).alias("_low"), F.avg((F.col("_m") >= 0).cast("double")).alias("_high"))
-    return estimate.crossJoin(both).select("estimate", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), F.least(F.lit(1.0), 2 * F.least("_low", "_high")).alias("p"))
+def stratified_bootstrap(units: DataFrame, unit: str, stratum: str, diff: str, replicates: int, seed: int, by: list[str] = ()) -> DataFrame:
+    """(by, estimate, low, high, p, per_stratum): mean over strata of mean differences; percentile interval; two-sided p; a map of each stratum's mean (a null
+    stratum is called 'null'). ``by``: families of comparisons, such as regimes with their own strata, each with its own row."""
+    known = units.filter(F.col(diff).isNotNull())
+    name = F.coalesce(F.col(stratum).cast("string"), F.lit("null"))
+    strata = known.groupBy(*by, name.alias("_name")).agg(F.avg(diff).alias("_m"))
+    estimate = strata.groupBy(*by).agg(F.avg("_m").alias("estimate"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_m")))).alias("per_stratum"))
+    draws = bootstrap_weights(known.select(*by, unit, name.alias("_name"), diff), unit, replicates, seed)
+    one = draws.groupBy(*by, "replicate", "_name").agg((F.sum(F.col("weight") * F.col(diff)) / F.sum("weight")).alias("_m")).groupBy(*by, "replicate").agg(F.avg("_m").alias("_m"))
+    # replicates are a parameter: a group holds as many numbers
+    both = one.groupBy(*by).agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.avg((F.col("_m") <= 0).cast("double")).alias("_low"), F.avg((F.col("_m") >= 0).cast("double")).alias("_high"))
+    met = null_safe_join(estimate, both, list(by))
+    return met.select(*by, "estimate", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), F.least(F.lit(1.0), 2 * F.least("_low", "_high")).alias("p"), "per_stratum")
 
 
 def group_bootstrap(errors: DataFrame, by: list[str], method: str, group: str, error: str, reference: str, replicates: int, seed: int) -> DataFrame:
@@ -63,12 +71,14 @@ def confirmatory_table(rows: DataFrame, name: str, p: str, estimate: str, bootst
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str, least: int = 10) -> DataFrame:
-    """(by, n, rho): correlation of average ranks, in groups of ``least`` rows or more; null if a score does not vary."""
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
-    ranked = rows.withColumns({"_a": rank(a), "_b": rank(b)})
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_a", "_b").alias("rho")).filter(F.col("n") >= least)
-    return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+    """(by, n, rho): correlation of average ranks, in groups of ``least`` rows or more; null if a score does not vary. Rows that lack a score are left out."""
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(a).alias("_x"), F.col(b).alias("_y"))
+    rows = settled(rows, "score-pairs")
+    of = [f"_g{i}" for i in range(len(by))]
+    both = null_safe_join(rows, average_ranks(rows, of, "_x").withColumnRenamed("rank", "_a"), [*of, "_x"])
+    both = null_safe_join(both, average_ranks(rows, of, "_y").withColumnRenamed("rank", "_b"), [*of, "_y"])
+    out = both.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")).alias("rho")).filter(F.col("n") >= least)
+    return out.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(by)], "n", "rho")
 
 
 def paired_contrasts(diffs: DataFrame, by: list[str], diff: str, n_train: str, n_test: str, least: float) -> DataFrame:

@@ -77,6 +77,38 @@ def learning_curve(tasks: DataFrame, test: DataFrame, size: str, x: str, y: str)
     return test.join(F.broadcast(model), F.lit(True)).groupBy(size).agg(F.avg(F.abs(F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))).alias("mae"))
 
 
+def fold_curves(tasks: DataFrame, df: DataFrame, key: str, by: list[str], x: str, y: str) -> DataFrame:
+    """(by, method, n_train, mae) of a line and of the training mean, fitted on each task's training rows and scored on its test rows.
+
+    ``tasks``: (by, key, role) as from ``splits.fold_curve_tasks``; ``df``: (key, x, y).
+    """
+    rows = tasks.join(df.select(key, x, y), key)
+    sums = line_sums(rows.filter("role = 'train'"), by, x, y)
+    line = line_model(sums, by).withColumn("method", F.lit("line"))
+    mean = rows.filter("role = 'train'").groupBy(*by).agg(F.avg(y).alias("intercept")).withColumns({"slope": F.lit(0.0), "method": F.lit("mean")})
+    both = line.select(*by, "method", "slope", "intercept").unionByName(mean.select(*by, "method", "slope", "intercept"))
+    size = rows.groupBy(*by).agg(F.count(F.when(F.col("role") == "train", 1)).alias("n_train"))
+    off = F.abs(F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
+    return rows.filter("role = 'test'").join(both, by).groupBy(*by, "method").agg(F.avg(off).alias("mae")).join(size, by).select(*by, "method", "n_train", "mae")
+
+
+def paired_curve(curves: DataFrame, size: str, units: list[str], method: str, base: str, value: str) -> DataFrame:
+    """(size, method, change, sd, better, n): differences from the base method on the same units (fold and draw), by size."""
+    ref = curves.filter(F.col(method) == base).select(size, *units, F.col(value).alias("_base"))
+    off = curves.filter(F.col(method) != base).join(ref, [size, *units]).withColumn("_d", F.col(value) - F.col("_base"))
+    return off.groupBy(size, method).agg(F.avg("_d").alias("change"), F.stddev_samp("_d").alias("sd"), F.count(F.when(F.col("_d") < 0, 1)).alias("better"), F.count(F.lit(1)).alias("n"))
+
+
+def exclusion_effect(full: DataFrame, audited: DataFrame, key: list[str], by: list[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """(by, n, mae_full, mae_audited, rmse_full, rmse_audited): predictions of models trained with and without suspect labels, both scored on the rows that both predict, against the labels of ``audited``."""
+    both = audited.select(*key, *by, F.col(y).alias("_y"), F.col(p).alias("_b")).join(full.select(*key, *by, F.col(p).alias("_a")), [*key, *by])
+    made = []
+    for name, c in (("full", "_a"), ("audited", "_b")):
+        gap = F.col("_y") - F.col(c)
+        made += [F.avg(F.abs(gap)).alias(f"mae_{name}"), F.sqrt(F.avg(gap * gap)).alias(f"rmse_{name}")]
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *made).select(*by, "n", "mae_full", "mae_audited", "rmse_full", "rmse_audited")
+
+
 def compare_additions(base: DataFrame, additions: dict[str, DataFrame], test: DataFrame, key: str, hard: Column, x: str, y: str, replicates: int, seed: int) -> DataFrame:
     """(arm, n_added, rmse, rmse_hard) of lines on the base rows alone and with each addition, on one test set; for additions also the
     changes against base, with bootstrap intervals over test rows that are paired: both arms have the same draws."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.randomness import digest
+from .ranks import quantiles
 
 
 def symbol_counts(df: DataFrame, text: str, symbols: dict[str, str]) -> DataFrame:
@@ -77,11 +78,20 @@ def cut(df: DataFrame, column: str, edges: list[float], labels: list[str], out:
     return df.withColumn(out, chain)
 
 
-def quantile_bins(df: DataFrame, column: str, q: int, out: str = "bin") -> DataFrame:
-    """Bins between interpolated quantiles, the lowest edge included; equal values stay together. Labels: Q1 to Qq."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(k / q) for k in range(1, q)])).alias("_edges"))
+def quantile_bins(df: DataFrame, column: str, q: int, out: str = "bin", ranges: bool = False) -> DataFrame:
+    """Bins between interpolated quantiles, the lowest edge included; equal values stay together. Labels: Q1 to Qq.
+
+    With ``ranges``, a label also has the least and greatest value in its bin, to two places: 'Q1: low–high'.
+    """
+    edges = quantiles(df, [], column, [k / q for k in range(1, q)], "_edges").select("_edges")
     place = F.size(F.filter("_edges", lambda e: e < F.col(column))) + 1
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(column).isNotNull(), F.concat(F.lit("Q"), place.cast("string")))).drop("_edges")
+    # one row of q - 1 numbers; none if there is no value
+    named = df.join(F.broadcast(edges), F.lit(True), "left").withColumn(out, F.when(F.col(column).isNotNull(), F.concat(F.lit("Q"), place.cast("string")))).drop("_edges")
+    if not ranges:
+        return named
+    seen = named.filter(F.col(out).isNotNull()).groupBy(F.col(out).alias("_bin")).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    shown = F.format_string("%s: %.2f–%.2f", F.col("_bin"), F.col("_low").cast("double"), F.col("_high").cast("double"))
+    return named.join(F.broadcast(seen.select("_bin", shown.alias("_shown"))), F.col(out) == F.col("_bin"), "left").withColumn(out, F.col("_shown")).drop("_bin", "_shown")  # q rows
 
 
 def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
@@ -168,13 +178,12 @@ def scale_target(train: DataFrame, df: DataFrame, column: str, inverse: bool = F
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n, nulls, mean, sd, low, q25, q50, q75, high), from one pass."""
-    made = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        made.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.sum(x.isNull().cast("long")).alias("nulls"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("low"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(x).alias("high")))
-    return df.agg(F.array(*made).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    """(column, n, nulls, mean, sd, low, q25, q50, q75, high): one pass for the sums, and the quantiles of all columns at once."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*")
+    x = F.col("x")
+    one = long.groupBy("column").agg(F.count(x).alias("n"), F.sum(x.isNull().cast("long")).alias("nulls"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"))
+    q = quantiles(long, ["column"], "x", [0.25, 0.5, 0.75]).select("column", *[F.col("q")[i].alias(name) for i, name in enumerate(("q25", "q50", "q75"))])
+    return one.join(q, "column", "left").select("column", "n", "nulls", "mean", "sd", "low", "q25", "q50", "q75", "high")
 
 
 def histogram(df: DataFrame, column: str, low: float, width: float) -> DataFrame:
@@ -183,8 +192,8 @@ def histogram(df: DataFrame, column: str, low: float, width: float) -> DataFrame
 
 
 def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(by).agg(q.alias("q"), F.min(column).alias("low"), F.max(column).alias("high")).select(by, "low", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "high")
+    q = quantiles(df, [by], column, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return q.select(by, *[F.col("q")[i].alias(name) for i, name in enumerate(("low", "q25", "q50", "q75", "high"))])
 
 
 def attribute_flags(df: DataFrame, counts: list[str], least: str, least_n: int, most: str, most_n: int, out: str = "flag") -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.probability import normal_cdf
 from ..functions.randomness import digest
 from .inference import spearman
 from .models import _square, gram_by_fold
+from .ranks import ranked
 
 
 def top_uncertain(scores: DataFrame, spread: str, key: str, k: int) -> DataFrame:
@@ -98,6 +99,7 @@ def next_round(pool: DataFrame, ledger: DataFrame, key: str, score: str, k: int,
 
 
 def campaign_account(log: DataFrame, by: list[str], order: list[str], value: str, low: float, high: float) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """Rows with ``in_spec`` and the ``hits`` up to each in its campaign. A null value is no hit; nulls in ``order`` come last."""
     flagged = log.withColumn("in_spec", F.col(value).between(low, high))
-    return flagged.withColumn("hits", F.sum(F.col("in_spec").cast("long")).over(w))
+    own = F.coalesce(F.col("in_spec").cast("long"), F.lit(0))
+    return ranked(flagged, by, order, own).select(*flagged.columns, (F.col("_before") + own).alias("hits"))

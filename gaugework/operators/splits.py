@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.randomness import digest, poisson_one, uniform
+from .ranks import null_safe_join, ranks_in_cells
 
 
 #: Leading hexadecimal digits of a digest that cut a stratum: 16 ** 3 = 4096 parts of even size.
@@ -23,23 +26,7 @@ def digest_ranks(df: DataFrame, by: list[str], drawn: Column, ahead: str | None
     first = F.col(ahead) if ahead else F.lit(0)
     rows = df.withColumns({"_d": drawn, "_w": F.col(weight) if weight else F.lit(1).cast("long")})
     rows = rows.withColumn("_cell", F.struct(F.struct(*by).alias("of"), first.alias("first"), F.substring("_d", 1, SPREAD_DIGITS).alias("part")))
-
-    cells = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_weight"))
-    group = Window.partitionBy("_cell.of")
-    earlier = group.orderBy(F.desc("_cell.first"), "_cell.part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = cells.select(
-        "_cell",
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
-        F.coalesce(F.sum("_weight").over(earlier), F.lit(0)).alias("_weight_before"),
-        F.sum("_rows").over(group).alias("_n"),
-        F.sum("_weight").over(group).alias("_total"),
-    )
-
-    inside = Window.partitionBy("_cell").orderBy("_d", *([ties] if ties else []))
-    so_far = F.coalesce(F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumns({"_place": F.row_number().over(inside), "_inside": so_far}).join(shifts, "_cell")
-    placed = placed.withColumns({"_r": F.col("_place") + F.col("_rows_before"), "_before": F.col("_inside") + F.col("_weight_before")})
-    return placed.select(*df.columns, "_r", "_n", "_before", "_total")
+    return ranks_in_cells(rows, df.columns, [F.col("_d"), *([F.col(ties)] if ties else [])], [F.desc("_cell.first"), F.col("_cell.part")])
 
 
 def random_split(df: DataFrame, key: str, fractions: list[tuple[str, float]], seed: int) -> DataFrame:
@@ -58,17 +45,27 @@ def stratified_kfold(df: DataFrame, key: str, stratum: str, k: int, repeats: int
     return ranked.select(*rows.columns, ((F.col("_r") - 1) % k).cast("int").alias("fold"))
 
 
-def group_folds(df: DataFrame, stratum: str, group: str, k: int, seed: int) -> DataFrame:
-    """(group, fold): groups whole, dealt back and forth within each dominant stratum, large ones first."""
-    sizes = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("_n"))
-    one = sizes.groupBy(group).agg(F.sum("_n").alias("_size"), F.min_by(stratum, F.struct(-F.col("_n"), F.col(stratum))).alias("_stratum"))
+def _whole_groups(df: DataFrame, stratum: str, group: str, by: list[str] = ()) -> DataFrame:
+    """(by, group, _size, _stratum): one row a group, with its rows and the stratum that most of them have (ties: the first)."""
+    sizes = df.groupBy(*by, group, stratum).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.groupBy(*by, group).agg(F.sum("_n").alias("_size"), F.min_by(stratum, F.struct(-F.col("_n"), F.col(stratum))).alias("_stratum"))
+
+
+def group_folds(df: DataFrame, stratum: str, group: str, k: int, seed: int, by: list[str] = ()) -> DataFrame:
+    """(by, group, fold): groups whole, dealt back and forth within each dominant stratum of ``by``, large ones first. Null is a group, and a stratum."""
+    one = _whole_groups(df, stratum, group, by)
     r = F.col("_r") - 1
     forth, back = r % k, k - 1 - r % k
-    return digest_ranks(one, ["_stratum"], digest(seed, group), ahead="_size").select(group, F.when(F.floor(r / k) % 2 == 0, forth).otherwise(back).cast("int").alias("fold"))
+    dealt = digest_ranks(one, [*by, "_stratum"], digest(seed, group), ahead="_size")
+    return dealt.select(*by, group, F.when(F.floor(r / k) % 2 == 0, forth).otherwise(back).cast("int").alias("fold"))
 
 
-def stratified_group_kfold(df: DataFrame, stratum: str, group: str, k: int, seed: int) -> DataFrame:
-    return df.join(group_folds(df, stratum, group, k, seed), group)
+def stratified_group_kfold(df: DataFrame, stratum: str, group: str, k: int, seed: int, repeats: int | None = None) -> DataFrame:
+    """Each row with ``fold``; with ``repeats``, once for each ``repeat`` from 0, whose deal has the seed ``seed + repeat``."""
+    if repeats is None:
+        return null_safe_join(df, group_folds(df, stratum, group, k, seed), [group])
+    deals = [group_folds(df, stratum, group, k, seed + r).withColumn("repeat", F.lit(r)) for r in range(repeats)]
+    return null_safe_join(df, reduce(DataFrame.unionByName, deals), [group])
 
 
 def leave_group_out(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
@@ -77,20 +74,24 @@ def leave_group_out(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
     return rows.withColumn("role", F.when(F.col(column) == F.col("task"), "test").otherwise("train"))
 
 
-def proportional_quotas(counts: DataFrame, stratum: str, n: str, total: int) -> DataFrame:
-    """(stratum, quota): whole numbers that add up to ``total``, by largest remainders (ties: the first stratum). Strata are few."""
-    share = F.col(n) * F.lit(float(total)) / F.sum(n).over(Window.partitionBy())
-    base = counts.withColumn("_share", share).withColumns({"_floor": F.floor("_share")})
-    short = F.lit(total) - F.sum("_floor").over(Window.partitionBy())
-    order = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_share") - F.col("_floor"), 9)), stratum))
-    return base.withColumns({"_short": short, "_o": order}).select(stratum, (F.col("_floor") + (F.col("_o") <= F.col("_short")).cast("long")).alias("quota"))
+def proportional_quotas(counts: DataFrame, stratum: str, n: str, total: int | Column, by: list[str] = ()) -> DataFrame:
+    """(by, stratum, quota): whole numbers that add up to ``total`` in each ``by``, by largest remainders (ties: the first stratum). Strata are few.
+
+    ``total`` may be an expression of ``_all``, the sum of ``n`` in ``by``.
+    """
+    whole = Window.partitionBy(*by)
+    base = counts.withColumn("_all", F.sum(n).over(whole)).withColumn("_wanted", total if isinstance(total, Column) else F.lit(total))
+    base = base.withColumn("_share", F.col(n) * F.col("_wanted").cast("double") / F.col("_all")).withColumns({"_floor": F.floor("_share")})
+    short = F.col("_wanted") - F.sum("_floor").over(whole)
+    order = F.row_number().over(whole.orderBy(F.desc(F.round(F.col("_share") - F.col("_floor"), 9)), stratum))
+    return base.withColumns({"_short": short, "_o": order}).select(*by, stratum, (F.col("_floor") + (F.col("_o") <= F.col("_short")).cast("long")).alias("quota"))
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, total: int, seed: int) -> DataFrame:
-    """Exactly ``total`` rows, shares kept, none twice."""
+    """Exactly ``total`` rows (all, if there are fewer), shares kept, none twice. Null is a stratum of its own."""
     quotas = proportional_quotas(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")), stratum, "_n", total)
     ranked = digest_ranks(df, [stratum], digest(seed, key))
-    return ranked.join(quotas, stratum).filter("_r <= quota").select(*df.columns)
+    return null_safe_join(ranked, quotas, [stratum]).filter("_r <= quota").select(*df.columns)
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, test_share: float, seed: int) -> DataFrame:
@@ -99,18 +100,17 @@ def stratified_split(df: DataFrame, key: str, stratum: str, test_share: float, s
     return ranked.select(*df.columns, F.when(F.col("_r") <= F.floor(F.col("_n") * test_share + 0.5), "test").otherwise("train").alias("part"))
 
 
-def nested_subsets(df: DataFrame, key: str, stratum: str, group: str, sizes: list[int], seed: int) -> DataFrame:
-    """(key, entry): the smallest size whose subset holds the row, null for none. Whole groups in one random order fill each stratum's
-    quota; subsets nest; a group in several strata enters at its smallest size."""
-    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    quota = None
-    for n in sizes:
-        q = proportional_quotas(counts, stratum, "_n", n).select(stratum, F.lit(n).alias("_size"), F.col("quota").alias("_q"))
-        quota = q if quota is None else quota.unionByName(q)
-    in_stratum = df.groupBy(stratum, group).agg(F.count(F.lit(1)).alias("_rows"))
-    before = digest_ranks(in_stratum, [stratum], digest(seed, group), ties=group, weight="_rows")
-    entry = before.join(quota, stratum).filter("_before < _q").groupBy(group).agg(F.min("_size").alias("entry"))
-    return df.join(entry, group, "left").select(key, "entry")
+def nested_subsets(df: DataFrame, key: str, stratum: str, group: str, sizes: list[int], seed: int, by: list[str] = ()) -> DataFrame:
+    """(by, key, entry): the smallest size whose subset holds the row, null for none. Whole groups in one random order fill each stratum's
+    quota; subsets nest; a group in several strata enters at its smallest size. Null is a group, and a stratum. ``by``: tables that are cut apart, in other orders."""
+    counts = df.groupBy(*by, stratum).agg(F.count(F.lit(1)).alias("_n"))
+    quota = [proportional_quotas(counts, stratum, "_n", n, by).select(*by, stratum, F.lit(n).alias("_size"), F.col("quota").alias("_q")) for n in sizes]
+    in_stratum = df.groupBy(*by, stratum, group).agg(F.count(F.lit(1)).alias("_rows"))
+    drawn = digest(seed, *[F.col(c).cast("string") for c in by], group) if by else digest(seed, group)
+    before = digest_ranks(in_stratum, [*by, stratum], drawn, ties=group, weight="_rows")
+    inside = null_safe_join(before, reduce(DataFrame.unionByName, quota), [*by, stratum]).filter("_before < _q")
+    entry = inside.groupBy(*by, group).agg(F.min("_size").alias("entry"))
+    return null_safe_join(df, entry, [*by, group], "left").select(*by, key, "entry")
 
 
 def learning_curve_tasks(entries: DataFrame, entry: str, sizes: list[int]) -> DataFrame:
@@ -119,22 +119,43 @@ def learning_curve_tasks(entries: DataFrame, entry: str, sizes: list[int]) -> Da
     return band_expansion(entries, entry, sizes)
 
 
+def fold_curve_tasks(df: DataFrame, key: str, fold: str, k: int, stratum: str, group: str, sizes: list[int], draws: int, seed: int) -> DataFrame:
+    """(test_fold, draw, size, key, role): nested training subsets of each fold's other rows, in ``draws`` orders; the fold itself is the test of each of its tasks.
+
+    A row that no subset of a draw holds is in none of its tasks.
+    """
+    every = df.select(key, stratum, group, F.col(fold).alias("_fold"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("test_fold"))
+    train = every.filter(~F.col("_fold").eqNullSafe(F.col("test_fold"))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    entries = nested_subsets(train, key, stratum, group, sizes, seed, ["test_fold", "draw"]).filter("entry is not null")
+    inside = learning_curve_tasks(entries, "entry", sizes).select("test_fold", "draw", "size", key, F.lit("train").alias("role"))
+    tests = every.filter("_fold = test_fold").withColumns({"draw": F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))})
+    tests = tests.select("test_fold", "draw", F.explode(F.array(*map(F.lit, sizes))).alias("size"), key, F.lit("test").alias("role"))
+    return inside.unionByName(tests)
+
+
+def _taken(groups: DataFrame, group: str, total: Column, seed: int) -> DataFrame:
+    """The groups in random order within each stratum until it has its quota of ``total`` rows; a group is never cut."""
+    quota = proportional_quotas(groups.groupBy("_stratum").agg(F.sum("_size").alias("_rows")), "_stratum", "_rows", total)
+    ranked = digest_ranks(groups, ["_stratum"], digest(seed, group), ties=group, weight="_size").drop("_r", "_n", "_total")
+    return null_safe_join(ranked, quota, ["_stratum"]).filter("_before < quota").select(*groups.columns)
+
+
 def fit_stop_calibrate(df: DataFrame, stratum: str, group: str, share: float, seed: int) -> DataFrame:
-    """``part`` fit, stop or calibrate: whole groups, in random order within their dominant stratum, are held out until ``share`` of the
-    stratum's rows is reached; every other one of them calibrates."""
-    sizes = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("_n"))
-    one = sizes.groupBy(group).agg(F.sum("_n").alias("_size"), F.min_by(stratum, F.struct(-F.col("_n"), F.col(stratum))).alias("_stratum"))
-    ranked = digest_ranks(one, ["_stratum"], digest(seed, group), ties=group, weight="_size")
-    part = F.when(F.col("_before") >= F.col("_total") * share, "fit").when(F.col("_r") % 2 == 1, "stop").otherwise("calibrate")
-    return df.join(ranked.select(group, part.alias("part")), group)
+    """``part`` fit, stop or calibrate. Whole groups, in random order within their dominant stratum, are held out until each stratum has its quota of ``share`` of all
+    rows; those are halved in the same way, by quotas of half their rows: stop gets its quota, calibrate the rest. Null is a group, and a stratum."""
+    one = _whole_groups(df, stratum, group)
+    held = _taken(one, group, F.bround(F.col("_all") * share).cast("long"), seed)
+    stop = _taken(held, group, F.floor(F.col("_all") / 2), seed + 1)
+    parts = null_safe_join(held.select(group), stop.select(group, F.lit("stop").alias("_stop")), [group], "left").select(group, F.coalesce("_stop", F.lit("calibrate")).alias("_part"))
+    return null_safe_join(df, parts, [group], "left").select(*df.columns, F.coalesce("_part", F.lit("fit")).alias("part"))
 
 
 def inner_folds(tasks: DataFrame, task: str, regime: str, stratum: str, group: str, k: int, seed: int) -> DataFrame:
-    """Training rows only: in holdout tasks a fold is a stratum, else groups are dealt out by digest within (task, stratum)."""
+    """Training rows only: in holdout tasks a fold is a stratum, else a fold of ``group_folds`` within the task."""
     train = tasks.filter("role = 'train'")
-    groups = train.groupBy(task, group).agg(F.min(stratum).alias("_s"))
-    dealt = digest_ranks(groups, [task, "_s"], digest(seed, group)).select(task, group, ((F.col("_r") - 1) % k).alias("_f"))
-    return train.join(dealt, [task, group]).withColumn("inner_fold", F.when(F.col(regime) == "holdout", F.col(stratum)).otherwise(F.col("_f").cast("string"))).drop("_f")
+    dealt = group_folds(train, stratum, group, k, seed, [task]).withColumnRenamed("fold", "_f")
+    fold = F.when(F.col(regime) == "holdout", F.col(stratum)).otherwise(F.col("_f").cast("string"))
+    return null_safe_join(train, dealt, [task, group]).withColumn("inner_fold", fold).drop("_f")
 
 
 def external_task(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import cosine_distance
+from .ranks import null_safe_join, order_statistics, quantiles, ranked
 
 SO_FAR = (Window.unboundedPreceding, 0)
 
 
 def hit_curve(log: DataFrame, by: list[str], order: list[str], hit: str, every: int) -> DataFrame:
-    """(by, step, hits) at each ``every``-th step and the last."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = log.select(*by, F.row_number().over(w).alias("step"), F.sum(F.col(hit).cast("long")).over(w.rowsBetween(*SO_FAR)).alias("hits"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("_n"))
-    return rows.filter((F.col("step") % every == 0) | (F.col("step") == F.col("_n"))).select(*by, F.col("step").cast("long").alias("step"), "hits")
+    """(by, step, hits) at each ``every``-th step and the last. A null hit is none; nulls in ``order`` come last."""
+    own = F.col(hit).cast("long")
+    steps = ranked(log.select(*by, *order, own.alias("_hit")), by, order, F.col("_hit"))
+    at = (F.col("_r") % every == 0) | (F.col("_r") == F.col("_n"))
+    return steps.filter(at).select(*by, F.col("_r").cast("long").alias("step"), (F.col("_before") + F.coalesce("_hit", F.lit(0))).alias("hits"))
 
 
 def first_to_reach(log: DataFrame, strategy: str, seed: str, step: str, hits: str, targets: list[int]) -> DataFrame:
@@ -39,12 +41,12 @@ def labels_to_match(curves: DataFrame, strategy: str, size: str, value: str, ref
 
 
 def retention_curve(df: DataFrame, by: list[str], score: str, error: str, key: str, fractions: list[float]) -> DataFrame:
-    """(by, fraction, n, mae) over the rows of lowest score: a share of them, one at least, halves to even."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumns({"_r": F.row_number().over(w.orderBy(score, key)), "_n": F.count(F.lit(1)).over(w)})
+    """(by, fraction, n, mae) over the rows of lowest score: a share of them, one at least, halves to even. Rows without a score are left out."""
+    known = df.filter(F.col(score).isNotNull()).select(*by, F.col(score).alias("_s"), F.col(key).alias("_k"), F.col(error).alias("_e"))
+    rows = ranked(known, by, ["_s", "_k"])
     cells = rows.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
     inside = cells.filter(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("fraction") * F.col("_n"))))
-    return inside.groupBy(*by, "fraction").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(error))).alias("mae"))
+    return inside.groupBy(*by, "fraction").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("_e")).alias("mae"))
 
 
 def step_distance(df: DataFrame, by: list[str], order: str, vector: str) -> DataFrame:
@@ -53,23 +55,44 @@ def step_distance(df: DataFrame, by: list[str], order: str, vector: str) -> Data
     return df.select(*by, order, cosine_distance(F.lag(vector).over(w), F.col(vector)).alias("from_last"), cosine_distance(F.first(vector).over(w), F.col(vector)).alias("from_first"))
 
 
+def step_summary(steps: DataFrame, by: list[str], order: str, cut: float, still: float = 1e-9) -> DataFrame:
+    """(by, n, rho, median_upto, median_beyond, share_unchanged) of the rows of ``step_distance``: rank correlation of the order with the distance from the first,
+    median steps up to the cut and beyond, and the share of those beyond that do not move. The first row has no step."""
+    from .inference import spearman
+
+    known = steps.filter(F.col("from_last").isNotNull()).withColumn("_far", F.col(order) > cut)
+    beyond = F.col("_far")
+    n = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    moved = known.groupBy(*by).agg(F.avg(F.when(beyond, (F.col("from_last") < still).cast("double"))).alias("share_unchanged"))
+    middle = quantiles(known, [*by, "_far"], "from_last", [0.5])
+    sides = middle.groupBy(*by).agg(*[F.max(F.when(F.col("_far") == far, F.col("q")[0])).alias(name) for name, far in (("median_upto", False), ("median_beyond", True))])
+    rho = spearman(steps, by, order, "from_first", least=2).select(*by, "rho")
+    out = n
+    for part in (rho, sides, moved):
+        out = null_safe_join(out, part, by, "left")
+    return out.select(*by, "n", "rho", "median_upto", "median_beyond", "share_unchanged")
+
+
 def top_k_by_abs(df: DataFrame, value: Column, k: int, key: str) -> DataFrame:
     return df.withColumn("size", F.abs(value)).orderBy(F.desc("size"), key).limit(k)
 
 
 def order_stat(df: DataFrame, by: list[str], value: str, rank: Column) -> DataFrame:
-    """(by, stat): the value of a rank (an expression of ``n``, the group's size); infinite beyond the size or under 1."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumns({"_r": F.row_number().over(w.orderBy(value)), "n": F.count(F.lit(1)).over(w)}).withColumn("_k", rank.cast("long"))
-    return rows.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_r") == F.col("_k"), F.col(value))), F.lit(float("inf"))).alias("stat"), F.max("n").alias("n"))
+    """(by, stat, n): the value of a rank (an expression of ``n``, the group's known values); infinite beyond them or under 1. Nulls are left out."""
+    stats = order_statistics(df, by, value, lambda n: F.array(rank.cast("long")))
+    return stats.select(*by, F.coalesce(F.col("at")[rank.cast("long")].cast("double"), F.lit(float("inf"))).alias("stat"), "n")
 
 
-def rank_in_round(df: DataFrame, round_: str, order: list, out: str = "rank_in_round") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(round_).orderBy(*order)))
+def rank_in_round(df: DataFrame, round_: str, order: list[str], out: str = "rank_in_round") -> DataFrame:
+    """Place of each row in its round; '-' before a number's name is descending, nulls come last."""
+    return ranked(df, [round_], order).select(*df.columns, F.col("_r").cast("int").alias(out))
 
 
 def stage_rates(log: DataFrame, stage: str, hit: str, distance: str) -> DataFrame:
-    return log.filter(F.col(stage).isNotNull()).groupBy(stage).agg(F.avg(F.col(hit).cast("double")).alias("rate"), F.median(distance).alias("median_distance"), F.count(F.lit(1)).alias("n"))
+    known = log.filter(F.col(stage).isNotNull())
+    rates = known.groupBy(stage).agg(F.avg(F.col(hit).cast("double")).alias("rate"), F.count(F.lit(1)).alias("n"))
+    middle = quantiles(known, [stage], distance, [0.5]).select(stage, F.col("q")[0].alias("median_distance"))
+    return rates.join(middle, stage, "left").select(stage, "rate", "median_distance", "n")
 
 
 def wins(final: DataFrame, seed: str, method: str, value: str, best: str) -> DataFrame:

@@ -96,6 +96,8 @@ add("s8_extract_values", lambda t: S.extract_values(t.pages, "html", "<body", r"
 add("s9_fetch_checked", lambda t: S.fetch_checked(t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.lit("BUILDING").alias("c_mktsegment")), t.customer.filter("c_acctbal > 0").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_custkey", "c_mktsegment").select("o_orderkey", "c_acctbal", "problem"),
     """SELECT o_orderkey, round(c_acctbal, 6) AS c_acctbal, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_mktsegment <> 'BUILDING' THEN 'changed source' END AS problem
     FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey""")
+add("s9_fetch_strict", lambda t: S.fetch_strict(t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey").join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey"), t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), "c_custkey", "c_mktsegment", "o_orderkey", {"layer": 3}, {"layer": 3}, ["layer"]).select("o_orderkey", "c_mktsegment", "c_acctbal"),
+    "SELECT o_orderkey, c_mktsegment, round(c_acctbal, 6) AS c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")
 
 # ---- projections -----------------------------------------------------------------------------------------------------
 
@@ -125,8 +127,8 @@ add("p10_assign_bins", lambda t: P.assign_bins(t.parts, "p_size", [("small", 0,
     "SELECT CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'middle' ELSE 'large' END AS bin, count(*) AS n FROM parts GROUP BY ALL")
 add("p11_cut", lambda t: P.cut(t.items, "q", [0, 10, 25, 40], ["a", "b", "c"]).groupBy("bin").agg(F.count(F.lit(1)).alias("n")),
     "SELECT CASE WHEN q > 0 AND q <= 10 THEN 'a' WHEN q > 10 AND q <= 25 THEN 'b' WHEN q > 25 AND q <= 40 THEN 'c' END AS bin, count(*) AS n FROM items GROUP BY ALL")
-add("p12_quantile_bins", lambda t: P.quantile_bins(t.orders, "o_totalprice", 5).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low")),
-    "WITH e AS (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS e FROM orders) SELECT 'Q' || (len(list_filter(e, lambda x: x < o_totalprice)) + 1) AS bin, count(*) AS n, round(min(o_totalprice), 6) AS low FROM orders, e GROUP BY 1")
+add("p12_quantile_bins", lambda t: P.quantile_bins(t.orders, "o_totalprice", 5, ranges=True).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low")),
+    "WITH e AS (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS e FROM orders) SELECT printf('Q%d: %.2f–%.2f', k, min(p), max(p)) AS bin, count(*) AS n, round(min(p), 6) AS low FROM (SELECT len(list_filter(e, lambda x: x < o_totalprice)) + 1 AS k, CAST(o_totalprice AS DOUBLE) AS p FROM orders, e) GROUP BY k")
 add("p13_one_hot", lambda t: P.one_hot(t.items.select("l_orderkey", "flag"), "flag", ["A", "N", "R"]).groupBy("l_orderkey").agg(F.sum("flag_A").alias("a"), F.sum("flag_N").alias("n"), F.sum("flag_R").alias("r")),
     "SELECT l_orderkey, CAST(count(*) FILTER (flag = 'A') AS DOUBLE) AS a, CAST(count(*) FILTER (flag = 'N') AS DOUBLE) AS n, CAST(count(*) FILTER (flag = 'R') AS DOUBLE) AS r FROM items GROUP BY 1")
 add("p14_group_ids", lambda t: P.group_ids(t.outcomes.select("user_id", "event_id"), "user_id", "event_id"),

@@ -9,6 +9,7 @@ from ..operators import audit as L
 from ..operators import conformal as C
 from ..operators import inference as I
 from ..operators import projections as P
+from ..operators import splits as K
 from ..operators import windows as W
 from .catalogue import add, uniform_sql
 
@@ -44,12 +45,16 @@ add("a15_distance_bands", lambda t: A.distance_bands(t.orders, "o_totalprice", [
     "SELECT * FROM (SELECT 0.0::DOUBLE AS low, 50000.0::DOUBLE AS high, count(*) FILTER (o_totalprice >= 0 AND o_totalprice < 50000) AS n, round(count(*) FILTER (o_totalprice >= 200000 AND o_totalprice < 300000) / 100000.0::DOUBLE * 50000, 6) AS expected FROM orders UNION ALL SELECT 50000, 100000, count(*) FILTER (o_totalprice >= 50000 AND o_totalprice < 100000), round(count(*) FILTER (o_totalprice >= 200000 AND o_totalprice < 300000) / 100000.0::DOUBLE * 50000, 6) FROM orders)")
 add("a16_bias_by_bin", lambda t: A.bias_by_bin(P.cut(t.wide.withColumn("e", F.col("p_hour") - F.col("y_true")), "x", [-1, 5, 11, 17, 23], ["night", "morning", "day", "evening"]), "bin", "e"),
     "SELECT CASE WHEN x <= 5 THEN 'night' WHEN x <= 11 THEN 'morning' WHEN x <= 17 THEN 'day' ELSE 'evening' END AS bin, count(*) AS size, round(median(p_hour - y_true), 6) AS median_bias, round(avg(abs(p_hour - y_true)), 6) AS mae FROM wide GROUP BY 1")
-add("a17_tail_report", lambda t: A.tail_report(t.pred.filter("method = 'mean'"), t.ev, "fold"),
-    """WITH q AS (SELECT fold, quantile_cont(y_true, 0.02) AS lo, quantile_cont(y_true, 0.98) AS hi FROM ev GROUP BY 1), b AS (SELECT p.fold, CASE WHEN y_true < lo THEN 'low' WHEN y_true > hi THEN 'high' ELSE 'middle' END AS band, abs(y_true - y_pred) AS e FROM pred p JOIN q ON p.fold = q.fold WHERE method = 'mean')
-    SELECT fold, band, count(*) AS n, round(avg(e), 6) AS mae, round(sum(e) / sum(sum(e)) OVER (PARTITION BY fold), 6) AS share FROM b GROUP BY fold, band""")
+add("a17_tail_report", lambda t: A.tail_report(t.pred.filter("method = 'mean'"), t.ev.filter("x >= 2"), "fold"),
+    """WITH q AS (SELECT fold, quantile_cont(y_true, 0.02) AS lo, quantile_cont(y_true, 0.98) AS hi, min(y_true) AS least, max(y_true) AS most FROM ev WHERE x >= 2 GROUP BY 1),
+    b AS (SELECT p.fold, CASE WHEN y_true < lo THEN 'low' WHEN y_true > hi THEN 'high' ELSE 'middle' END AS band, abs(y_true - y_pred) AS e, y_true < least OR y_true > most AS beyond FROM pred p JOIN q ON p.fold = q.fold WHERE method = 'mean')
+    SELECT fold, band, count(*) AS n, count(*) FILTER (beyond) AS outside, round(avg(e), 6) AS mae, round(sum(e) / sum(sum(e)) OVER (PARTITION BY fold), 6) AS share FROM b GROUP BY fold, band""")
 add("a18_same_keys", lambda t: A.same_keys_check(t.pred, "fold", "method", "key"), "WITH s AS (SELECT fold, method, list_sort(list(key)) AS k FROM pred GROUP BY ALL) SELECT fold, count(DISTINCT k) AS versions, count(*) AS methods FROM s GROUP BY 1")
+add("a18_fold_partition", lambda t: A.fold_partition_check(K.familiar_tasks(t.ev.withColumn("other", (F.col("fold") + 1) % 6), "key", ["fold", "other"], 5).filter("role = 'test'"), ["repeat"], "key", t.ev),
+    """SELECT CAST(r AS INT) AS repeat, count(*) FILTER (hit) AS keys, CAST(0 AS BIGINT) AS repeated, count(*) FILTER (NOT hit) AS missing, CAST(0 AS BIGINT) AS "foreign" FROM (SELECT r, CASE r WHEN 0 THEN fold ELSE (fold + 1) % 6 END < 5 AS hit FROM ev, range(2) x(r)) GROUP BY 1""")
 add("a19_params_tally", lambda t: A.params_tally(t.events, "props", ["event_type"]).filter("parameter = 'k'"), "SELECT event_type, 'k' AS parameter, json_extract_string(props, '$.k') AS value, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY ALL")
 add("a20_weights_summary", lambda t: A.weights_summary(t.foldmae, "method", "mae"), "SELECT method, printf('%.3f [%.3f to %.3f]', avg(mae), min(mae), max(mae)) AS summary FROM foldmae GROUP BY 1")
+add("a20_mean_of_first", lambda t: A.mean_of_first(t.pred.withColumn("e", F.abs(F.col("y_true") - F.col("y_pred"))), ["method"], ["fold", "method"], "e", "key"), "SELECT method, round(avg(e), 6) AS e FROM (SELECT method, fold, arg_min(abs(y_true - y_pred), key) AS e FROM pred GROUP BY ALL) GROUP BY 1")
 add("a21_gap_table", lambda t: A.gap_table(t.foldmae.withColumn("part", F.when(F.col("fold") < 2, "train").otherwise("test")), "method", "part", "mae"), "SELECT method, round(avg(CASE WHEN fold < 2 THEN mae END), 6) AS train, round(avg(CASE WHEN fold >= 2 THEN mae END), 6) AS test, round(avg(CASE WHEN fold >= 2 THEN mae END) - avg(CASE WHEN fold < 2 THEN mae END), 6) AS gap FROM foldmae GROUP BY 1")
 add("a22_contribution", lambda t: A.contribution(t.wide.withColumns({"ea": F.col("y_true") - F.col("p_hour"), "eb": F.col("y_true") - F.col("p_mean")}), "grp", "ea", "eb", 20),
     """WITH g AS (SELECT grp, avg(y_true - p_hour) AS a, avg(y_true - p_mean) AS b FROM wide GROUP BY 1), x AS (SELECT *, a * a - b * b AS e, row_number() OVER (ORDER BY a * a - b * b DESC, grp) AS r FROM g)
@@ -63,6 +68,8 @@ add("a24_found_share", lambda t: A.found_share(t.steps.filter("step <= 300").sel
 add("a24_never_found", lambda t: A.never_found(t.steps.filter("step <= 300"), t.campaign.filter("hit"), "key"), "SELECT key FROM campaign WHERE hit AND key NOT IN (SELECT key FROM steps WHERE step <= 300)")
 add("a25_ensemble_mean", lambda t: A.error_table(A.ensemble_mean(t.pred, ["fold", "key", "y_true"]), ["fold"]), "SELECT fold, count(*) AS n, round(avg(abs(y_true - p)), 6) AS mae, round(sqrt(avg(pow(y_true - p, 2))), 6) AS rmse FROM (SELECT fold, key, y_true, avg(y_pred) AS p FROM pred GROUP BY ALL) GROUP BY 1")
 add("a26_variant_dispersion", lambda t: A.variant_dispersion(t.pred, "key", "y_pred"), "SELECT key, round(avg(y_pred), 6) AS mean, round(stddev_samp(y_pred), 6) AS sd, round(max(y_pred) - min(y_pred), 6) AS range FROM pred GROUP BY 1")
+add("a26_dispersion_summary", lambda t: A.dispersion_summary(A.variant_dispersion(t.pred, "key", "y_pred"), "sd", 12.0),
+    "WITH d AS (SELECT stddev_samp(y_pred) AS sd FROM pred GROUP BY key) SELECT count(sd) AS n, round(quantile_cont(sd, 0.25), 6) AS q25, round(median(sd), 6) AS median, round(quantile_cont(sd, 0.75), 6) AS q75, round(avg(CASE WHEN sd > 12 THEN 1.0 ELSE 0 END), 6) AS share_above, round(avg(CASE WHEN sd = 0 THEN 1.0 ELSE 0 END), 6) AS share_zero FROM d WHERE sd IS NOT NULL")
 add("a27_category_summary", lambda t: A.category_summary(t.ev, "stratum", "y_true"), "SELECT stratum, count(*) AS n, round(median(y_true), 6) AS median, round(min(y_true), 6) AS low, round(max(y_true), 6) AS high FROM ev GROUP BY 1")
 add("a28_matches_saved", lambda t: A.matches_saved(t.wide.select("key", F.col("p_mean").alias("v")), t.wide.filter("fold <> 4").select("key", F.col("p_type").alias("v")), ["key"], "v", 0.5), "SELECT key, round(p_mean, 6) AS new, round(CASE WHEN fold <> 4 THEN p_type END, 6) AS saved FROM wide WHERE fold = 4 OR abs(p_mean - p_type) > 0.5")
 
@@ -81,9 +88,13 @@ add("w4_retention_curve", lambda t: W.retention_curve(t.wide.withColumn("e", F.c
     SELECT stratum, f::DOUBLE AS fraction, count(*) AS n, round(avg(e), 6) AS mae FROM r, (VALUES (0.25), (0.5), (1.0)) v(f) WHERE r <= greatest(1, round_even(f * n, 0)) GROUP BY ALL""")
 add("w5_step_distance", lambda t: W.step_distance(t.embeddings, ["label"], "vec_id", "embedding"),
     "SELECT label, vec_id, round(1 - list_cosine_similarity(lag(e) OVER w, e), 6) AS from_last, round(1 - list_cosine_similarity(first_value(e) OVER w, e), 6) AS from_first FROM (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY vec_id)")
+add("w5_step_summary", lambda t: W.step_summary(W.step_distance(t.embeddings, ["label"], "vec_id", "embedding").withColumns({c: F.round(c, 9) for c in ("from_last", "from_first")}), ["label"], "vec_id", 250),
+    """WITH s AS (SELECT label, vec_id, round(1 - list_cosine_similarity(lag(e) OVER w, e), 9) AS l, round(1 - list_cosine_similarity(first_value(e) OVER w, e), 9) AS f FROM (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+    r AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY f) + (count(*) OVER (PARTITION BY label, f) - 1) / 2.0 AS rf, rank() OVER (PARTITION BY label ORDER BY vec_id) AS ro FROM s)
+    SELECT label, count(*) AS n, round(corr(ro, rf), 6) AS rho, round(median(l) FILTER (vec_id <= 250), 6) AS median_upto, round(median(l) FILTER (vec_id > 250), 6) AS median_beyond, round(avg(CASE WHEN l < 1e-9 THEN 1.0 ELSE 0 END) FILTER (vec_id > 250 AND l IS NOT NULL), 6) AS share_unchanged FROM r GROUP BY 1""")
 add("w6_top_k_by_abs", lambda t: W.top_k_by_abs(t.wide, F.col("y_true") - F.col("p_type"), 25, "key").select("key", "size"), "SELECT key, round(abs(y_true - p_type), 6) AS size FROM wide ORDER BY abs(y_true - p_type) DESC, key LIMIT 25")
 add("w7_order_stat", lambda t: W.order_stat(t.ev, ["grp"], "y_true", F.lit(20)).select("grp", F.when(F.col("stat") < 1e300, F.col("stat")).alias("stat"), "n"), "SELECT grp, round(list_sort(list(y_true))[20], 6) AS stat, count(*) AS n FROM ev GROUP BY 1")
-add("w8_rank_in_round", lambda t: W.rank_in_round(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderstatus", [F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "rank_in_round"), "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank_in_round FROM orders")
+add("w8_rank_in_round", lambda t: W.rank_in_round(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderstatus", ["-o_totalprice", "o_orderkey"]).select("o_orderkey", "rank_in_round"), "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank_in_round FROM orders")
 add("w9_stage_rates", lambda t: W.stage_rates(P.cut(t.steps.withColumn("distance", F.abs(F.col("price") - 125000)), "step", [0, 50, 150, 400], ["early", "middle", "late"], "stage"), "stage", "hit", "distance"),
     "SELECT CASE WHEN step <= 50 THEN 'early' WHEN step <= 150 THEN 'middle' ELSE 'late' END AS stage, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS rate, round(median(abs(price - 125000)), 6) AS median_distance, count(*) AS n FROM steps WHERE step <= 400 GROUP BY 1")
 add("w10_wins", lambda t: W.wins(t.sql("SELECT seed, strategy, CAST(max(hits) AS DOUBLE) AS h FROM steps WHERE step <= 200 GROUP BY seed, strategy"), "seed", "strategy", "h", "1-URGENT"), "WITH f AS (SELECT seed, strategy, max(hits) AS h FROM steps WHERE step <= 200 GROUP BY ALL) SELECT f.strategy, count(*) FILTER (a.h > f.h) AS wins, count(*) AS seeds, round(avg(a.h) / avg(f.h), 6) AS ratio FROM f JOIN f a ON a.seed = f.seed AND a.strategy = '1-URGENT' WHERE f.strategy <> '1-URGENT' GROUP BY 1")
@@ -116,9 +127,16 @@ def weights_sql(source: str, unit: str, replicates: int, seed: int) -> str:
 
 UNITS = "SELECT grp, stratum, avg(abs(y_true - p_hour) - abs(y_true - p_mean)) AS d, avg(pow(y_true - p_hour, 2)) AS sa, avg(pow(y_true - p_mean, 2)) AS sb FROM wide GROUP BY grp, stratum"
 ONE = "SELECT grp, min(stratum) AS stratum, avg(abs(y_true - p_hour) - abs(y_true - p_mean)) AS d, avg(pow(y_true - p_hour, 2)) AS sa, avg(pow(y_true - p_mean, 2)) AS sb FROM wide GROUP BY grp"
-add("st2_stratified_bootstrap", lambda t: I.stratified_bootstrap(t.sql(ONE), "grp", "stratum", "d", 200, 11),
+add("st2_stratified_bootstrap", lambda t: I.stratified_bootstrap(t.sql(ONE), "grp", "stratum", "d", 200, 11).select("estimate", "low", "high", "p"),
     f"""WITH o AS ({ONE}), w AS {weights_sql('o', 'grp', 200, 11)}, m AS (SELECT replicate, stratum, sum(w * d) / sum(w) AS m FROM o JOIN w USING (grp) WHERE w > 0 GROUP BY ALL), r AS (SELECT replicate, avg(m) AS m FROM m GROUP BY 1)
     SELECT (SELECT round(avg(m), 6) FROM (SELECT avg(d) AS m FROM o GROUP BY stratum)) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(least(1.0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0 END))), 6) AS p FROM r""")
+add("st2_per_stratum", lambda t: I.stratified_bootstrap(t.sql(ONE), "grp", "stratum", "d", 20, 11).select(F.explode("per_stratum").alias("stratum", "mean")), f"SELECT stratum, round(avg(d), 6) AS mean FROM ({ONE}) GROUP BY 1")
+FAMILIES = f"SELECT CASE WHEN grp % 3 = 0 THEN 'external' ELSE 'holdout' END AS regime, grp, CASE WHEN grp % 3 = 0 THEN CAST(grp % 2 AS STRING) ELSE stratum END AS stratum, d FROM ({ONE})"
+add("st9_regime_bootstraps", lambda t: I.stratified_bootstrap(t.sql(FAMILIES), "grp", "stratum", "d", 200, 12, ["regime"]).select("regime", "estimate", "low", "high", "p"),
+    f"""WITH o AS ({FAMILIES}), w AS {weights_sql('o', 'grp', 200, 12)}, m AS (SELECT regime, replicate, stratum, sum(w * d) / sum(w) AS m FROM o JOIN w USING (grp) WHERE w > 0 GROUP BY ALL), r AS (SELECT regime, replicate, avg(m) AS m FROM m GROUP BY ALL),
+    e AS (SELECT regime, avg(m) AS estimate FROM (SELECT regime, stratum, avg(d) AS m FROM o GROUP BY ALL) GROUP BY 1)
+    SELECT regime, round(any_value(estimate), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(least(1.0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN m >= 0 THEN 1.0 ELSE 0 END))), 6) AS p FROM r JOIN e USING (regime) GROUP BY 1""")
+
 
 
 def group_bootstrap_sql(source: str, by: str, seed: int, replicates: int) -> str:
@@ -162,7 +180,7 @@ cal = lambda t: t.wide.withColumns({"residual": F.col("y_true") - F.col("p_mean"
 add("c1_split_width", lambda t: C.split_width(cal(t), ["stratum"], "residual", 0.1), f"SELECT stratum, round({WIDTH.format(p='p_mean')}, 6) AS width, count(*) AS n FROM wide GROUP BY 1")
 NORM = "b AS (SELECT stratum, median(x + 1) AS b FROM wide GROUP BY 1), r AS (SELECT stratum, any_value(b) AS b, list_sort(list(abs(y_true - p_mean) / (x + 1 + b)))[CAST(ceil(0.9 * (count(*) + 1) - 1e-9) AS INT)] AS r FROM wide JOIN b USING (stratum) GROUP BY 1)"
 add("c2_normalised_width", lambda t: C.normalised_width(cal(t), cal(t), ["stratum"], "residual", "scale", 0.1).select("key", "width"), f"WITH {NORM} SELECT key, round(r * (x + 1 + b), 6) AS width FROM wide JOIN r USING (stratum)")
-CENTRES = "SELECT p_partkey AS key, k.fold, p_retailprice / 50 + k.fold AS y_pred, p_brand AS stratum FROM part CROSS JOIN (SELECT DISTINCT fold FROM ev) k WHERE p_size = 7"
+CENTRES = "SELECT p_partkey AS key, k.fold, p_retailprice / 50 + k.fold AS y_pred, p_brand AS stratum FROM part CROSS JOIN (SELECT DISTINCT fold FROM ev) k"
 RESID = "SELECT CAST(s_nationkey % 5 AS INT) AS fold, s_acctbal / 1000 AS residual, CASE WHEN s_nationkey % 2 = 0 THEN 'Brand#11' ELSE 'Brand#12' END AS stratum FROM supplier"
 CVP = "SELECT key, {g} list_sort(list(y_pred - abs(residual))) AS l, list_sort(list(y_pred + abs(residual))) AS h, count(*) AS n FROM c JOIN r ON c.fold = r.fold {j} GROUP BY ALL"
 BOUNDS = "CASE WHEN floor(0.1 * (n + 1) + 1e-9) >= 1 THEN l[CAST(floor(0.1 * (n + 1) + 1e-9) AS INT)] ELSE '-inf'::DOUBLE END AS lower, CASE WHEN ceil(0.9 * (n + 1) - 1e-9) <= n THEN h[CAST(ceil(0.9 * (n + 1) - 1e-9) AS INT)] ELSE 'inf'::DOUBLE END AS upper"
@@ -175,6 +193,15 @@ add("c6_member_sd", lambda t: C.member_sd(t.pred, ["key"], "y_pred"), "SELECT ke
 add("c7_interval_table", lambda t: C.interval_table(cal(t), cal(t).withColumn("y_pred", F.col("p_mean")), ["stratum"], "scale", 0.1).select("key", "variant", "lower", "upper"),
     f"WITH {NORM}, s AS (SELECT stratum, {WIDTH.format(p='p_mean')} AS w FROM wide GROUP BY 1) SELECT key, 'plain' AS variant, round(p_mean - w, 6) AS lower, round(p_mean + w, 6) AS upper FROM wide JOIN s USING (stratum) UNION ALL SELECT key, 'normalised', round(p_mean - r * (x + 1 + b), 6), round(p_mean + r * (x + 1 + b), 6) FROM wide JOIN r USING (stratum)")
 
+MEMBERS = "SELECT stratum, key, method, y_true, y_pred FROM pred"
+COVER = "list_sort(list({e}))[CAST(ceil(0.9 * (count(*) + 1) - 1e-9) AS INT)]"
+add("c7_member_intervals", lambda t: C.member_intervals(t.sql(MEMBERS + " WHERE fold <> 0"), t.sql(MEMBERS + " WHERE fold = 0"), ["stratum"], "key", "method", "mean", 0.1),
+    f"""WITH e AS (SELECT stratum, key, fold, max(y_true) AS y, avg(y_pred) AS m, stddev_samp(y_pred) AS s, max(CASE WHEN method = 'mean' THEN y_pred END) AS f FROM pred GROUP BY ALL), c AS (SELECT * FROM e WHERE fold <> 0), b AS (SELECT stratum, median(s) AS b FROM c GROUP BY 1),
+    w AS (SELECT stratum, any_value(b) AS b, {COVER.format(e="abs(y - m)")} AS w, {COVER.format(e="abs(y - m) / (s + b)")} AS r, {COVER.format(e="abs(y - f)")} AS v FROM c JOIN b USING (stratum) GROUP BY 1)
+    SELECT stratum, key, method, variant, round(y_pred, 6) AS y_pred, round(u, 6) AS uncertainty, round(y_pred - h, 6) AS lower, round(y_pred + h, 6) AS upper FROM (
+      SELECT stratum, key, 'ensemble' AS method, 'plain' AS variant, m AS y_pred, s AS u, w AS h FROM e JOIN w USING (stratum) WHERE fold = 0 UNION ALL SELECT stratum, key, 'ensemble', 'normalised', m, s, r * (s + b) FROM e JOIN w USING (stratum) WHERE fold = 0
+      UNION ALL SELECT stratum, key, 'first', 'plain', f, NULL, v FROM e JOIN w USING (stratum) WHERE fold = 0)""")
+
 # ---- audit -----------------------------------------------------------------------------------------------------------
 
 add("l1_formula_labels", lambda t: L.formula_labels(t.parts, "p_retailprice", F.when(F.col("p_size") > 5, F.lit(900.0) + (F.col("p_partkey") % 1000) / 10)).select("p_partkey", "is_formula"), "SELECT p_partkey, p_size > 5 AND abs(p_retailprice - (900 + (p_partkey % 1000) / 10)) <= 0.005 AS is_formula FROM parts")
@@ -200,6 +227,22 @@ def audit_table(t):
 AUDIT = f"""e AS ({CHECKS[0]} UNION ALL {CHECKS[1]}), x AS (SELECT DISTINCT k FROM e WHERE exclude), a AS (SELECT * FROM e UNION ALL SELECT user_id, event_id, 'odd', event_type, true FROM events WHERE value BETWEEN 2 AND 2.2 AND user_id NOT IN (SELECT k FROM x))"""
 JOINED = "(SELECT string_agg(v, '; ' ORDER BY f, v) FROM (SELECT {c} AS v, min(o) AS f FROM a b WHERE b.k = a.k GROUP BY 1))"
 add("l6_build_audit", audit_table, f"WITH {AUDIT} SELECT k, bool_or(exclude) AS exclude, {JOINED.format(c='category')} AS category, {JOINED.format(c='evidence')} AS evidence FROM a GROUP BY k")
+NOTES = "SELECT user_id AS k, concat('seen ', event_type) AS note FROM events WHERE value > 100 AND event_id % 2 = 0"
+
+
+def noted_audit(t):
+    named = [t.sql(c).select("k", F.col("o").alias("order"), "category", "evidence", "exclude") for c in CHECKS]
+    return L.build_audit(named, "k", notes=t.sql(NOTES))
+
+
+add("l6_audit_notes", noted_audit,
+    f"""WITH a AS ({CHECKS[0]} UNION ALL {CHECKS[1]}), n AS (SELECT k, string_agg(DISTINCT note, '; ' ORDER BY note) AS note FROM ({NOTES}) GROUP BY 1)
+    SELECT k, exclude, category, concat_ws('; ', evidence, note) AS evidence FROM (SELECT k, bool_or(exclude) AS exclude, {JOINED.format(c='category')} AS category, {JOINED.format(c='evidence')} AS evidence FROM a GROUP BY k) LEFT JOIN n USING (k)""")
+add("l7_fixed_exclusions", lambda t: L.apply_audit(t.customer.select("c_custkey", "c_acctbal"), t.sql("SELECT o_custkey AS c_custkey, max(o_totalprice) > 450000 AS exclude FROM orders GROUP BY o_custkey"), "c_custkey", fixed=[1, 2, 3]),
+    "SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal FROM customer WHERE c_custkey NOT IN (1, 2, 3) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+add("l8_external_columns", lambda t: L.external_set(t.sql("SELECT p_name AS k, p_partkey AS o, p_size, p_brand FROM part"), t.sql("SELECT p_name AS k FROM part WHERE p_size = 3"), "k", "o", [], F.when(F.col("p_size") > 25, "large").otherwise("small"), "p_size").select("o", "exclude_reason", "subgroup", "single_measurement"),
+    """SELECT p_partkey AS o, CASE WHEN known THEN 'in training' WHEN r > 1 THEN 'duplicate' ELSE '' END AS exclude_reason, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS subgroup, p_size = 1 AS single_measurement
+    FROM (SELECT *, p_name IN (SELECT p_name FROM part WHERE p_size = 3) AS known, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part)""")
 add("l7_apply_audit", lambda t: L.apply_audit(t.outcomes, audit_table(t).withColumnRenamed("k", "user_id"), "user_id").select("user_id", "event_id"), f"WITH {AUDIT} SELECT user_id, event_id FROM outcomes WHERE user_id NOT IN (SELECT k FROM a WHERE exclude)")
 add("l8_external_set", lambda t: L.external_set(t.sql("SELECT p_name AS k, p_partkey AS o, p_size FROM part"), t.sql("SELECT p_name AS k FROM part WHERE p_size = 3"), "k", "o", [("large", F.col("p_size") > 40), ("odd", F.col("p_size") % 2 == 1)]).select("o", "exclude", "exclude_reason"),
     """WITH x AS (SELECT p_partkey AS o, p_size, p_name IN (SELECT p_name FROM part WHERE p_size = 3) AS known, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part), y AS (SELECT o, array_to_string(list_filter([CASE WHEN known THEN 'in training' END, CASE WHEN NOT known AND r > 1 THEN 'duplicate' END, CASE WHEN p_size > 40 THEN 'large' END, CASE WHEN p_size % 2 = 1 THEN 'odd' END], lambda v: v IS NOT NULL), '; ') AS s FROM x)

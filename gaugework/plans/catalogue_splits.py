@@ -16,6 +16,9 @@ add("k2_stratified_kfold", lambda t: K.stratified_kfold(t.ev.select("key", "stra
 GROUPS = """s AS (SELECT grp, stratum, count(*) AS n FROM ev GROUP BY ALL), o AS (SELECT grp, sum(n) AS size, arg_min(stratum, (-n, stratum)) AS st FROM s GROUP BY 1)"""
 FOLDS = f"""{GROUPS}, r AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY size DESC, md5('2:' || grp)) - 1 AS r FROM o), f AS (SELECT grp, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM r)"""
 add("k3_stratified_group_kfold", lambda t: K.stratified_group_kfold(t.ev.drop("fold"), "stratum", "grp", 5, 2).select("key", "fold"), f"WITH {FOLDS} SELECT key, f.fold FROM ev JOIN f USING (grp)")
+add("k3_repeated_group_kfold", lambda t: K.stratified_group_kfold(t.ev.drop("fold"), "stratum", "grp", 5, 2, repeats=3).select("key", "repeat", "fold"),
+    f"""WITH {GROUPS}, r AS (SELECT *, CAST(d AS INT) AS repeat, row_number() OVER (PARTITION BY d, st ORDER BY size DESC, md5((2 + d) || ':' || grp)) - 1 AS r FROM o, range(3) x(d))
+    SELECT key, repeat, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM ev JOIN r USING (grp)""")
 add("k4_leave_group_out", lambda t: K.leave_group_out(t.ev.select("key", "stratum"), "stratum", ["click", "view"]).groupBy("task", "role").agg(F.count(F.lit(1)).alias("n")), "SELECT v AS task, CASE WHEN stratum = v THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM ev, (VALUES ('click'), ('view')) x(v) GROUP BY ALL")
 QUOTA = """q AS (SELECT {s} AS st, n * {n}::DOUBLE / sum(n) OVER () AS share FROM c), q2 AS (SELECT st, floor(share) AS f, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, st) AS o FROM q), quota AS (SELECT st, CAST(f + CASE WHEN o <= {n} - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q2)"""
 add("k5_quotas", lambda t: K.proportional_quotas(t.ev.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), "stratum", "n", 1000), "WITH c AS (SELECT stratum, count(*) AS n FROM ev GROUP BY 1), " + QUOTA.format(s="stratum", n=1000) + " SELECT st AS stratum, quota FROM quota")
@@ -31,10 +34,23 @@ def nested_sql(sizes: list[int], seed: int) -> str:
 
 
 add("k6_nested_subsets", lambda t: K.nested_subsets(t.ev, "key", "stratum", "grp", [100, 500, 2000], 6), nested_sql([100, 500, 2000], 6) + " SELECT key, entry FROM ev LEFT JOIN e USING (grp)")
-add("k7_learning_curve_tasks", lambda t: K.learning_curve_tasks(K.nested_subsets(t.ev, "key", "stratum", "grp", [100, 500], 6).filter("entry is not null"), "entry", [100, 500]).groupBy("size").agg(F.count(F.lit(1)).alias("n")), nested_sql([100, 500], 6) + " SELECT CAST(s AS INT) AS size, count(*) AS n FROM ev JOIN e USING (grp), (VALUES (100), (500)) v(s) WHERE entry <= s GROUP BY 1")
+add("k7_learning_curve_tasks", lambda t: K.learning_curve_tasks(K.nested_subsets(t.ev, "key", "stratum", "grp", [100, 500], 6).filter("entry is not null"), "entry", [100, 500]).select("key", "size"), nested_sql([100, 500], 6) + " SELECT key, CAST(s AS INT) AS size FROM ev JOIN e USING (grp), (VALUES (100), (500)) v(s) WHERE entry <= s")
+CURVE = """c AS (SELECT test_fold, draw, stratum, count(*) AS n FROM tr GROUP BY ALL), g AS (SELECT test_fold, draw, stratum, grp, count(*) AS n FROM tr GROUP BY ALL),
+    q AS (SELECT *, n * size::DOUBLE / sum(n) OVER w AS share FROM c, (VALUES (100), (500), (2000)) v(size) WINDOW w AS (PARTITION BY test_fold, draw, size)),
+    q2 AS (SELECT *, row_number() OVER (PARTITION BY test_fold, draw, size ORDER BY round(share - floor(share), 9) DESC, stratum) AS o, size - sum(floor(share)) OVER (PARTITION BY test_fold, draw, size) AS short FROM q),
+    quota AS (SELECT test_fold, draw, stratum, size, floor(share) + CASE WHEN o <= short THEN 1 ELSE 0 END AS quota FROM q2),
+    b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY test_fold, draw, stratum ORDER BY md5('6:' || test_fold || ':' || draw || ':' || grp), grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+    e AS (SELECT test_fold, draw, grp, min(size) AS entry FROM b JOIN quota USING (test_fold, draw, stratum) WHERE before < quota GROUP BY ALL)"""
+add("k7_fold_curve_tasks", lambda t: K.fold_curve_tasks(t.ev, "key", "fold", 5, "stratum", "grp", [100, 500, 2000], 2, 6),
+    f"""WITH tr AS (SELECT key, grp, stratum, CAST(f AS INT) AS test_fold, CAST(d AS INT) AS draw FROM ev, range(5) x(f), range(2) y(d) WHERE fold <> f), {CURVE}
+    SELECT test_fold, draw, s AS size, key, 'train' AS role FROM tr JOIN e USING (test_fold, draw, grp), (VALUES (100), (500), (2000)) v(s) WHERE entry <= s
+    UNION ALL SELECT fold, CAST(d AS INT), s, key, 'test' FROM ev, range(2) y(d), (VALUES (100), (500), (2000)) v(s)""")
+TAKEN = """SELECT b.*, b.before < quota AS taken FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY st ORDER BY md5('{seed}:' || grp), grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {t}) b
+    JOIN (SELECT st, floor(share) + CASE WHEN row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, st) <= total - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS quota
+      FROM (SELECT st, total, n * total / sum(n) OVER () AS share FROM (SELECT st, sum(size) AS n, (SELECT {total} FROM {t}) AS total FROM {t} GROUP BY 1))) USING (st)"""
 add("k8_fit_stop_calibrate", lambda t: K.fit_stop_calibrate(t.ev, "stratum", "grp", 0.15, 8).select("key", "part"),
-    f"""WITH {GROUPS}, r AS (SELECT grp, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(size) OVER (PARTITION BY st) AS t, row_number() OVER w AS r FROM o WINDOW w AS (PARTITION BY st ORDER BY md5('8:' || grp), grp))
-    SELECT key, CASE WHEN b >= t * 0.15 THEN 'fit' WHEN r % 2 = 1 THEN 'stop' ELSE 'calibrate' END AS part FROM ev JOIN r USING (grp)""")
+    f"""WITH {GROUPS}, a AS ({TAKEN.format(seed=8, t="o", total="round_even(sum(size) * 0.15, 0)")}), h AS (SELECT grp, size, st FROM a WHERE taken), z AS ({TAKEN.format(seed=9, t="h", total="floor(sum(size) / 2)")})
+    SELECT key, CASE WHEN taken THEN 'stop' WHEN taken IS NULL THEN 'fit' ELSE 'calibrate' END AS part FROM ev LEFT JOIN z USING (grp)""")
 add("k9_stratified_sample", lambda t: K.stratified_sample(t.ev.select("key", "stratum"), "key", "stratum", 500, 7), "WITH c AS (SELECT stratum, count(*) AS n FROM ev GROUP BY 1), " + QUOTA.format(s="stratum", n=500) + f", r AS (SELECT key, stratum, {ROW.format(p='stratum', s=7, k='key')} AS r FROM ev) SELECT key, stratum FROM r JOIN quota ON st = stratum WHERE r <= quota")
 
 
@@ -43,9 +59,10 @@ def tasks(t):
     return named.unionByName(t.ev.select("key", "stratum", "grp", F.lit("r0").alias("task"), F.when(F.col("fold") == 0, "test").otherwise("train").alias("role"), F.lit("familiar").alias("regime")))
 
 
-add("k10_inner_folds", lambda t: K.inner_folds(tasks(t), "task", "regime", "stratum", "grp", 3, 1).groupBy("task", "inner_fold").agg(F.count(F.lit(1)).alias("n")),
-    f"""WITH tr AS (SELECT key, grp, stratum, 'r0' AS task FROM ev WHERE fold <> 0), g AS (SELECT grp, min(stratum) AS s FROM tr GROUP BY 1), d AS (SELECT grp, ({ROW.format(p='s', s=1, k='grp')} - 1) % 3 AS f FROM g)
-    SELECT task, CAST(f AS VARCHAR) AS inner_fold, count(*) AS n FROM tr JOIN d USING (grp) GROUP BY ALL UNION ALL SELECT 'click', stratum, count(*) FROM ev WHERE stratum <> 'click' GROUP BY ALL""")
+add("k10_inner_folds", lambda t: K.inner_folds(tasks(t), "task", "regime", "stratum", "grp", 3, 1).select("key", "task", "inner_fold"),
+    f"""WITH tr AS (SELECT key, grp, stratum FROM ev WHERE fold <> 0), {GROUPS.replace("FROM ev", "FROM tr")}, r AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY size DESC, md5('1:' || grp)) - 1 AS r FROM o)
+    SELECT key, 'r0' AS task, CAST(CASE WHEN (r // 3) % 2 = 0 THEN r % 3 ELSE 2 - r % 3 END AS VARCHAR) AS inner_fold FROM tr JOIN r USING (grp)
+    UNION ALL SELECT key, 'click', stratum FROM ev WHERE stratum <> 'click'""")
 add("k11_external_task", lambda t: K.external_task(t.ev.filter("fold = 1").select("key"), t.ev.filter("fold = 2").select("key")), "SELECT key, CASE fold WHEN 1 THEN 'train' ELSE 'test' END AS role FROM ev WHERE fold IN (1, 2)")
 add("k12_familiar_tasks", lambda t: K.familiar_tasks(t.ev.withColumn("other", (F.col("fold") + 1) % 5), "key", ["fold", "other"], 5).groupBy("repeat", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("s")),
     "SELECT CAST(r AS INT) AS repeat, CAST(k AS INT) AS fold, CASE WHEN (ev.fold + r) % 5 = k THEN 'test' ELSE 'train' END AS role, count(*) AS n, CAST(sum(key) AS BIGINT) AS s FROM ev, range(2) a(r), range(5) b(k) GROUP BY ALL")

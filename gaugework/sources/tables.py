@@ -78,6 +78,24 @@ def fetch_checked(wanted: DataFrame, store: DataFrame, key: str, source: str) ->
     return wanted.join(held, key, "left").withColumn("problem", problem).drop("_stored")
 
 
+def fetch_strict(wanted: DataFrame, store: DataFrame, key: str, source: str, position: str, config: dict, expected: dict, checked: list[str]) -> DataFrame:
+    """The wanted rows with the store's columns, in the requested order (``position``); a row that is missing from the store, or whose source is not the one that was
+    stored, raises when the result is read, and names the key. A field of ``checked`` in which the store's ``config`` differs from ``expected`` raises at once.
+
+    Null sources differ from others and equal each other; a key that the store has twice raises too, as its vector is not known.
+    """
+    stale = [k for k in checked if config.get(k) != expected.get(k)]
+    if stale:
+        raise ValueError(f"the store's configuration differs on {stale}; build it anew")
+    held = store.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_times"), F.first(F.struct(*[c for c in store.columns if c != key])).alias("_held"))
+    met = wanted.join(held, F.col(key) == F.col("_key"), "left")
+    changed = ~F.col(f"_held.{source}").eqNullSafe(F.col(source))
+    problem = F.when(F.col("_times").isNull(), "missing from the store").when(F.col("_times") > 1, "twice in the store").when(changed, "stored from another source")
+    fail = F.raise_error(F.concat(F.col(key).cast("string"), F.lit(": "), problem)).cast("boolean")
+    sound = met.filter(F.when(problem.isNotNull(), fail).otherwise(F.lit(True)))
+    return sound.select(*wanted.columns, *[F.col(f"_held.{c}").alias(c) for c in store.columns if c not in (key, source)]).orderBy(position)
+
+
 def require_none(df: DataFrame, message: str) -> None:
     """Raise if a table of violations has a row."""
     found = df.limit(1).collect()
