@@ -129,7 +129,7 @@ FROM kept GROUP BY source, lang, tokenizer
 def vector_codes_sql() -> str:
     """Product codes in SQL: every part against every entry, in as many steps as there are rounds."""
     v = vector_codes
-    near = "list_sum(list_transform(range(1, len(x) + 1), i -> (x[i] - c[i]) * (x[i] - c[i])))"
+    near = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
 
     def assigned(n: int) -> str:
         return f"""a{n} AS (SELECT r, vec_id, p, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
@@ -137,13 +137,13 @@ def vector_codes_sql() -> str:
 
     def moved(n: int) -> str:
         return f"""m{n} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (
-  SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a{n}, range(1, width + 1) t(i), shape GROUP BY p, e, i) GROUP BY p, e),
+  SELECT p, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY p, e, i) GROUP BY p, e),
 c{n + 1} AS (SELECT p, e, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (p, e))"""
 
     steps = ",\n".join(f"{assigned(n)},\n{moved(n)}" for n in range(v.ROUNDS))
     return f"""
-WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * {v.SCALE}) AS BIGINT)) AS v FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {v.SCALE}) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 shape AS (SELECT max(len(v)) // {v.PARTS} AS width FROM kept),
 parts AS (SELECT r, vec_id, p, v[p * width + 1 : (p + 1) * width] AS x FROM kept, shape, range({v.PARTS}) t(p)),
 c0 AS (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= {v.ENTRIES}),
