@@ -30,9 +30,9 @@ from pyspark.sql.types import StructField, StructType
 from .bpe_words import LONG_SPACE, encoder, shown_bytes
 from .common import delete_table, split_batches, written
 
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 2 << 20
 #: Chunks that a worker remembers, and their greatest length in characters.
-MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 100_000, 48
 SPACE = "▁"
 _CUT = re.compile(r"(?<=\S)(?= [\s\S])")
 _SPACE_BEFORE_SPACE = re.compile(r" (?:\s|$)")
@@ -93,7 +93,7 @@ class BothTokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.fast = encoder(path_a)
+        self.encoding = getattr(encoder(path_a), "encoding", None)
         self.library = Tokenizer.from_file(path_a)
         self.library.encode_special_tokens = True
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -112,7 +112,7 @@ class BothTokenizers:
 
     def encode_a(self, chunk: str) -> list[int]:
         """Ids of a chunk; special tokens' strings are plain text."""
-        encoding = getattr(self.fast, "encoding", None)
+        encoding = self.encoding
         if encoding is None or len(chunk) >= 10_000 and LONG_SPACE.search(chunk):
             return self.library.encode(chunk, add_special_tokens=False).ids
         return encoding.encode_ordinary(chunk)
@@ -124,6 +124,16 @@ class BothTokenizers:
             return [" " + w for w in whole.split(" ")[1:]]
         return _CUT.split(whole)
 
+    @staticmethod
+    def _covers(lists: list[list[int]], table: list[bytes], length: np.ndarray, raw: list[bytes]) -> bool:
+        """Whether each list's token bytes are the chunk's: all of them end to end are equal, and so is each one's length."""
+        flat = list(chain.from_iterable(lists))
+        if b"".join(map(table.__getitem__, flat)) != b"".join(raw):
+            return False
+        ends = np.append(0, np.cumsum(length[np.array(flat, dtype=np.int64)]))
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.array_equal(np.diff(ends[np.append(0, np.cumsum(count))]), np.fromiter(map(len, raw), np.int64, len(raw)))
+
     def encode(self, chunks: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of both sides of different chunks; None where the bytes of a side are not the chunk's."""
         memo = self.memo
@@ -131,11 +141,13 @@ class BothTokenizers:
             for k in list(memo)[MEMO_ENTRIES // 2 :]:
                 del memo[k]
         new = [c for c in chunks if c not in memo]
-        found: dict[str, tuple[list[int], list[int]] | None] = {}
-        for c, b in zip(new, self.pieces.encode([c[1:] for c in new])):
-            raw, a = c.encode(), self.encode_a(c)
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-            found[c] = (a, b) if same else None
+        side_a, side_b = [self.encode_a(c) for c in new], self.pieces.encode([c[1:] for c in new])
+        raw = [c.encode() for c in new]
+        if self._covers(side_a, self.bytes_a, self.length_a, raw) and self._covers(side_b, self.bytes_b, self.length_b, raw):
+            found = dict(zip(new, zip(side_a, side_b)))
+        else:  # some chunk's bytes differ: look at each
+            join = lambda table, ids: b"".join(map(table.__getitem__, ids))
+            found = {c: (x, y) if join(self.bytes_a, x) == r == join(self.bytes_b, y) else None for c, r, x, y in zip(new, raw, side_a, side_b)}
         out = [memo[c] if c in memo else found[c] for c in chunks]
         memo.update((c, v) for c, v in found.items() if len(c) <= MEMO_CHARS)
         return out
