@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import cosine_distance, euclidean
+from ..session import settled
+from .ranks import quantiles
 
 
 def merge(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -72,15 +74,21 @@ def fold_residual_join(test_by_fold: DataFrame, residuals: DataFrame, keys: list
 def nearest_tokens(test: DataFrame, train: DataFrame, key: str, train_key: str, token: str, count: str | None = None) -> DataFrame:
     """(key, similarity): the greatest sum(min) / sum(max) of token counts with any training row; of token sets without ``count``.
 
-    Rows meet by shared tokens only. No shared token: 0; two rows without tokens would be equal, but such rows are in no table.
+    A row whose only token is null, or whose counts are all 0, is empty: its similarity is 1 if a training row is empty too, else 0. Rows meet by shared tokens only; no shared token: 0.
     """
-    n = F.col(count).cast("double") if count else F.lit(1.0)
-    a = test.groupBy(key, token).agg(F.sum(n).alias("ca")) if count else test.select(key, token).distinct().withColumn("ca", F.lit(1.0))
-    b = train.groupBy(train_key, token).agg(F.sum(n).alias("cb")) if count else train.select(train_key, token).distinct().withColumn("cb", F.lit(1.0))
-    ta, tb = a.groupBy(key).agg(F.sum("ca").alias("ta")), b.groupBy(train_key).agg(F.sum("cb").alias("tb"))
+    n = F.coalesce(F.col(count).cast("double"), F.lit(0.0)) if count else F.lit(1.0)
+    own = F.when(F.col(token).isNotNull(), n).otherwise(0.0)
+
+    def bags(df: DataFrame, k: str, c: str, t: str) -> tuple[DataFrame, DataFrame]:
+        summed = df.groupBy(k, token).agg((F.sum(own) if count else F.max(own)).alias(c))
+        return summed.filter(F.col(c) > 0), summed.groupBy(k).agg(F.sum(c).alias(t))
+
+    (a, ta), (b, tb) = bags(test, key, "ca", "ta"), bags(train, train_key, "cb", "tb")
     met = a.join(b, token).groupBy(key, train_key).agg(F.sum(F.least("ca", "cb")).alias("common"))
     best = met.join(ta, key).join(tb, train_key).groupBy(key).agg(F.max(F.col("common") / (F.col("ta") + F.col("tb") - F.col("common"))).alias("similarity"))
-    return ta.select(key).join(best, key, "left").select(key, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    empty = tb.agg(F.coalesce(F.max((F.col("tb") == 0).cast("double")), F.lit(0.0)).alias("_empty"))  # one row
+    alone = F.when(F.col("ta") == 0, F.col("_empty")).otherwise(0.0)
+    return ta.join(best, key, "left").crossJoin(F.broadcast(empty)).select(key, F.coalesce("similarity", alone).alias("similarity"))
 
 
 #: Largest reference side that nearest-vector joins broadcast, in rows and in bytes; a larger one goes through blocks of that size.
@@ -112,5 +120,29 @@ def nearest_cosine(df: DataFrame, reference: DataFrame, key: str, vector: str, r
     return best.select(key, F.col("x.k").alias("nearest"), F.col("x.d").alias("distance"))
 
 
+def min_max_scaled(df: DataFrame, bounds_of: DataFrame, vector: str) -> DataFrame:
+    """``df`` with each component of ``vector`` scaled to 0 and 1 between its least and greatest in ``bounds_of``; components that do not vary become 0. Null vectors stay null."""
+    parts = bounds_of.select(F.posexplode(vector).alias("_p", "_x")).groupBy("_p").agg(F.min(F.col("_x").cast("double")).alias("_l"), F.max(F.col("_x").cast("double")).alias("_h"))
+    sides = parts.agg(F.sort_array(F.collect_list(F.struct("_p", "_l", "_h"))).alias("_b"))  # a row of as many entries as a vector
+    scaled = F.transform(F.arrays_zip(F.col(vector).alias("x"), F.col("_b").alias("b")), lambda z: F.coalesce(F.try_divide(z["x"].cast("double") - z["b"]["_l"], z["b"]["_h"] - z["b"]["_l"]), F.when(z["x"].isNotNull(), F.lit(0.0))))
+    return df.crossJoin(F.broadcast(sides)).withColumn(vector, F.when(F.col(vector).isNotNull(), scaled)).select(*df.columns)
+
+
+def retrieval(canonical: DataFrame, variants: DataFrame, key: str, vector: str) -> DataFrame:
+    """(n, retrieval_share, median_distance_ratio): the share of variant vectors whose nearest canonical vector by cosine is their own entity's (of equals the least key), and the
+    median ratio of a variant's distance from its own to the distance between that and the nearest other entity's (1e-12 at least). Variants without a canonical vector are left out."""
+    own = canonical.select(F.col(key).alias("_k"), F.col(vector).alias("_v"))
+    numbered = variants.select(F.col(key).alias("_own"), F.col(vector).alias("_x")).join(own, F.col("_own") == F.col("_k")).drop("_k")
+    numbered = settled(numbered.withColumn("_id", F.monotonically_increasing_id()), "variants")
+    near = nearest_cosine(numbered, own, "_id", "_x", "_k", "_v").select("_id", "nearest")
+    both = _against(own.select("_k", "_v"), own.select(F.col("_k").alias("_o"), F.col("_v").alias("_w")), "_w").filter("_k <> _o")
+    others = both.groupBy("_k").agg(F.min(cosine_distance(F.col("_v"), F.col("_w"))).alias("_far"))
+    rows = numbered.join(near, "_id").join(others, F.col("_own") == F.col("_k"), "left")
+    ratio = cosine_distance(F.col("_x"), F.col("_v")) / F.greatest("_far", F.lit(1e-12))
+    one = settled(rows.select((F.col("nearest") == F.col("_own")).cast("double").alias("_hit"), ratio.alias("_ratio")), "retrieved")
+    middle = quantiles(one, [], "_ratio", [0.5]).select(F.col("q")[0].alias("median_distance_ratio"))
+    return one.agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("retrieval_share")).join(middle, F.lit(True), "left")
+
+
 def row_cosine(df: DataFrame, a: str, b: str, out: str = "distance") -> DataFrame:
     return df.withColumn(out, cosine_distance(F.col(a), F.col(b)))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.randomness import poisson_one, uniform
+from ..session import settled
+from .ranks import null_safe_join, ranked
 
 
 # ---- one feature: closed form in expressions -------------------------------------------------------------------------
@@ -304,6 +306,59 @@ def stack_pair_weight(df: DataFrame, by: list[str], y: str, a: str, b: str) -> D
     return df.groupBy(*by).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(raw, F.lit(0.5)))).alias("weight"))
 
 
+def stack_pair_weight_absolute(df: DataFrame, by: list[str], y: str, a: str, b: str) -> DataFrame:
+    """(by, weight): weight of ``a`` in the blend w a + (1 - w) b of least absolute error, within 0 and 1; exact.
+
+    The error is a sum of |a - b| |w - t| with t = (y - b) / (a - b): its least is at the weighted median of t (the lower one, if a whole stretch is least), and within the
+    bounds the nearest end. Rows that lack a value, or on which both members agree, have no say; a group without others has weight 0.5.
+    """
+    gap = F.col(a) - F.col(b)
+    of = [f"_g{i}" for i in range(len(by))]
+    groups = [F.col(c).alias(g) for c, g in zip(by, of)]
+    rows = df.select(*groups, F.when(gap != 0, F.try_divide(F.col(y) - F.col(b), gap)).alias("_t"), F.abs(gap).alias("_a"))
+    known = rows.filter(F.col("_t").isNotNull())
+    half = F.col("_before") + F.col("_a") >= F.col("_total") / 2
+    middle = ranked(known, of, ["_t"], F.col("_a")).filter(half).groupBy(*of).agg(F.min("_t").alias("_t"))
+    every = null_safe_join(rows.select(*of).distinct(), middle, of, "left") if of else rows.agg(F.count(F.lit(1)).alias("_n")).join(middle, F.lit(True), "left")
+    weight = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("_t", F.lit(0.5))))
+    return every.select(*[F.col(g).alias(c) for c, g in zip(by, of)], weight.alias("weight"))
+
+
+def stack_weights_absolute(df: DataFrame, y: str, members: list[str], steps: int = 60, tolerance: float = 1e-7) -> tuple[dict[str, float], float, float]:
+    """Non-negative weights summing to 1 of least mean absolute error for any number of members, that error, and how far it can be above the least at most.
+
+    Each step is one aggregate: rows count by one over their error, at least a bound that falls from step to step, and the weighted products give the next weights. The same sums give a bound
+    from below: for any numbers s within -1 and 1, sum(s y) less the greatest sum(s member) is at most the least error; here s is an error over its bound. It ends when error and bound
+    differ by ``tolerance`` of the error, or after ``steps``. Rows that lack a value are left out; without rows the weights are equal.
+    """
+    n = len(members)
+    rows = settled(df.select(*[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(members)], F.col(y).cast("double").alias("y")).dropna(), "stack-rows")
+    columns = [F.col(f"m{i}") for i in range(n)]
+    pairs = list(itertools.combinations_with_replacement(range(n + 1), 2))
+    weights = best = np.full(n, 1 / n)
+    error, lower, bound = np.inf, -np.inf, None
+    for _ in range(steps):
+        off = F.col("y") - sum((c * float(w) for c, w in zip(columns[1:], weights[1:])), columns[0] * float(weights[0]))
+        if bound is None:
+            bound = rows.agg(F.avg(F.abs(off))).first()[0] or 0.0
+        own = 1.0 / F.greatest(F.abs(off), F.lit(max(bound, 1e-12)))
+        values = [*columns, F.col("y")]
+        sums = rows.agg(F.count(F.lit(1)), F.sum(F.abs(off)), *[F.sum(off * own * v) for v in values], *[F.sum(own * values[i] * values[j]) for i, j in pairs]).first()
+        if not sums[0]:
+            return dict(zip(members, best.tolist())), 0.0, 0.0
+        now = sums[1] / sums[0]
+        if now < error:
+            error, best = now, weights
+        lower = max(lower, (sums[2 + n] - max(sums[2 : 2 + n])) / sums[0], 0.0)
+        if error - lower <= tolerance * max(error, 1e-12):
+            break
+        gram = _square(sums[3 + n :], n + 1)
+        scale = max(float(np.abs(gram).max()), 1e-300)
+        weights = simplex_least_squares(gram[:n, :n] / scale, gram[:n, n] / scale)
+        bound = bound * 0.4
+    return dict(zip(members, best.tolist())), float(error), float(error - lower)
+
+
 def stack_predict(oof: DataFrame, test: DataFrame, by: list[str], y: str, a: str, b: str) -> DataFrame:
     return test.join(F.broadcast(stack_pair_weight(oof, by, y, a, b)), by).withColumn("y_pred", F.col("weight") * F.col(a) + (1 - F.col("weight")) * F.col(b))
 

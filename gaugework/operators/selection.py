@@ -57,27 +57,50 @@ def _linear(features: list[str], w: np.ndarray) -> Column:
     return sum((F.col(c) * float(v) for c, v in zip(features, w[1:])), F.lit(float(w[0])))
 
 
-def diverse_batch(labelled: DataFrame, candidates: DataFrame, key: str, features: list[str], y: str, k: int, noise: float = 1.0, window: tuple[float, float] | None = None) -> DataFrame:
-    """Greedy batch of a linear-Gaussian model: take the most uncertain row (or the likeliest in ``window``), condition on it, go on.
+#: Candidates that one pass of a greedy batch brings to the driver.
+HEAP = 1024
 
-    Each pick is one pass that keeps a single row; the driver holds the d x d posterior only. (pick, key, score)
+
+def diverse_batch(labelled: DataFrame, candidates: DataFrame, key: str, features: list[str], y: str, k: int, noise: float = 1.0, window: tuple[float, float] | None = None, stats: dict | None = None) -> DataFrame:
+    """Greedy batch of a linear-Gaussian model: take the most uncertain row (or the likeliest in ``window``), condition on it, go on. (pick, key, score)
+
+    Without a window a pass brings the ``HEAP`` rows of greatest variance. Variances only fall as rows are taken, so the least of those is a bound for all other rows: picks
+    go on among the held rows, with their variances worked out anew, as long as the best is above it; then comes another pass. A chance to lie in a window may rise, so with one
+    each pick is a pass that keeps a single row. The driver holds the d x d posterior and the heap. Rows that lack a feature are left out; equal scores go by a hash of
+    the key. ``stats`` gets the number of ``passes``.
     """
     inverse, mean = _posterior(labelled, features, y, noise)
     taken: list[tuple] = []
     kind = candidates.schema[key].dataType.simpleString()
-    spark = candidates.sparkSession
-    for n in range(k):
+    known = candidates.dropna(subset=features)
+    passes = 0
+    while len(taken) < k:
         variance = _quadratic(features, inverse)
         score = variance if window is None else prob_in_window(_linear(features, mean), F.sqrt(variance + noise), *window)
-        left = candidates.filter(~F.col(key).isin([t[1] for t in taken])) if taken else candidates
-        best = left.select(key, *features, score.alias("_s")).agg(F.max_by(F.struct(key, *features, "_s"), F.struct("_s", F.hash(key), key)).alias("x")).first()[0]
-        if best is None:
+        left = known.filter(~F.col(key).isin([t[1] for t in taken])) if taken else known
+        size = HEAP if window is None else 1
+        rows = left.select(key, *features, score.alias("_s"), F.hash(key).alias("_h")).orderBy(F.desc("_s"), F.desc("_h"), F.desc(key)).limit(size).collect()
+        passes += 1
+        if not rows:
+            break
+        x = np.array([[1.0, *[float(r[c]) for c in features]] for r in rows])
+        scores, bound, open_ = np.array([float(r["_s"]) for r in rows]), float(rows[-1]["_s"]), np.ones(len(rows), dtype=bool)
+        fresh = True
+        while open_.any() and len(taken) < k:
+            # rows stand by hash and key where scores are equal, so the first of the greatest is the one to take
+            best = max(np.flatnonzero(open_).tolist(), key=lambda i: (scores[i], rows[i]["_h"], rows[i][key]))
+            if not fresh and len(rows) == size and scores[best] <= bound:
+                break
+            taken.append((len(taken) + 1, rows[best][key], float(scores[best])))
+            open_[best] = fresh = False
+            moved = inverse @ x[best]
+            inverse = inverse - np.outer(moved, moved) / (noise + x[best] @ moved)
+            scores = np.einsum("ij,jk,ik->i", x, inverse, x)
+        if len(rows) < size:
             break
-        x = np.array([1.0, *[float(best[c]) for c in features]])
-        taken.append((n + 1, best[key], float(best["_s"])))
-        moved = inverse @ x
-        inverse = inverse - np.outer(moved, moved) / (noise + x @ moved)
-    return spark.createDataFrame(taken, f"pick int, `{key}` {kind}, score double")
+    if stats is not None:
+        stats["passes"] = passes
+    return candidates.sparkSession.createDataFrame(taken, f"pick int, `{key}` {kind}, score double")
 
 
 def uncertainty_report(pred: DataFrame, by: str, own: str, other: str, distance: str, error: str, flag: str, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -46,6 +46,11 @@ def add(name: str, query: Callable[[Tables], DataFrame], sql: str | None = None)
         ORACLES[name] = with_views(sql)
 
 
+def placed(id_: str) -> Column:
+    """A row's place in a sorted table, from its ``monotonically_increasing_id``: ids ascend with the partitions of a sort."""
+    return F.row_number().over(Window.orderBy(id_)).alias("place")
+
+
 def uniform_sql(seed: int, key: str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT / 4294967296.0)"
 
@@ -104,8 +109,8 @@ add("s9_fetch_strict", lambda t: S.fetch_strict(t.orders.select(F.col("o_custkey
 add("p1_symbol_counts", lambda t: P.symbol_counts(t.doc_words, "text", {"n_e": "e", "n_open": "(", "n_th": "th"}).select("doc_id", "n_e", "n_open", "n_th"),
     "SELECT doc_id, CAST(length(text) - length(replace(text, 'e', '')) AS INT) AS n_e, CAST(length(text) - length(replace(text, '(', '')) AS INT) AS n_open, CAST((length(text) - length(replace(text, 'th', ''))) / 2 AS INT) AS n_th FROM doc_words")
 add("p2_select_features", lambda t: P.select_features(t.part, ["p_partkey", "p_brand", "p_size", "p_type"], ["p_type"]), "SELECT p_partkey, p_brand, p_size FROM part")
-add("p3_hard_region", lambda t: P.hard_region(t.items, {"q": 45, "d": 0.09}).groupBy("flag", "hard").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT flag, coalesce(q >= 45, false) OR coalesce(d >= 0.09, false) AS hard, count(*) AS n FROM items GROUP BY ALL")
+add("p3_hard_region", lambda t: P.hard_region(t.items, {"q": 45, "d": 0.09}).select("l_orderkey", "l_linenumber", "hard"),
+    "SELECT l_orderkey, l_linenumber, coalesce(q >= 45, false) OR coalesce(d >= 0.09, false) AS hard FROM items")
 add("p4_log1p_guarded", lambda t: P.log1p_guarded(t.parts.select("p_partkey", "p_size", "p_retailprice"), ["p_retailprice"]), "SELECT p_partkey, p_size, round(ln(1 + p_retailprice), 6) AS log_p_retailprice FROM parts")
 add("p5_name_filter", lambda t: P.name_filter(t.parts.select("p_name", "p_partkey"), "p_name", t.parts.filter("p_size = 1"), 40, " ", 3),
     "SELECT p_name, p_partkey FROM parts WHERE length(p_name) <= 40 AND length(p_name) - length(replace(p_name, ' ', '')) <= 3 AND NOT starts_with(p_name, 'CID ') AND NOT regexp_matches(p_name, '[,()\\[\\]]') AND p_name NOT IN (SELECT p_name FROM parts WHERE p_size = 1)")
@@ -117,16 +122,16 @@ def kind_rules():
     return [("shout", F.col("text").rlike("!!")), ("symbols", F.col("text").rlike("[#$%]")), ("table", F.col("text").contains("|"))]
 
 
-add("p7_classify_ordered", lambda t: P.classify_ordered(t.doc_words, kind_rules(), "prose").groupBy("category").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT CASE WHEN text LIKE '%!!%' THEN 'shout' WHEN regexp_matches(text, '[#$%]') THEN 'symbols' WHEN text LIKE '%|%' THEN 'table' ELSE 'prose' END AS category, count(*) AS n FROM doc_words GROUP BY ALL")
+add("p7_classify_ordered", lambda t: P.classify_ordered(t.doc_words, kind_rules(), "prose").select("doc_id", "category"),
+    "SELECT doc_id, CASE WHEN text LIKE '%!!%' THEN 'shout' WHEN regexp_matches(text, '[#$%]') THEN 'symbols' WHEN text LIKE '%|%' THEN 'table' ELSE 'prose' END AS category FROM doc_words")
 add("p8_merge_rare", lambda t: P.merge_rare(t.doc_words.select("doc_id", "source"), "source", 40),
     "SELECT doc_id, CASE WHEN n >= 40 THEN source ELSE 'other' END AS source FROM (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n FROM doc_words)")
 add("p9_stratification_labels", lambda t: P.stratification_labels(t.doc_words.select("doc_id", "source"), "source", 40),
     "WITH c AS (SELECT source, count(*) AS n FROM doc_words GROUP BY 1) SELECT doc_id, d.source, CASE WHEN n >= 40 THEN d.source ELSE (SELECT source FROM c ORDER BY n DESC, source LIMIT 1) END AS stratum_label FROM doc_words d JOIN c ON d.source = c.source")
-add("p10_assign_bins", lambda t: P.assign_bins(t.parts, "p_size", [("small", 0, 10), ("middle", 11, 30), ("large", 31, 99)]).groupBy("bin").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'middle' ELSE 'large' END AS bin, count(*) AS n FROM parts GROUP BY ALL")
-add("p11_cut", lambda t: P.cut(t.items, "q", [0, 10, 25, 40], ["a", "b", "c"]).groupBy("bin").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT CASE WHEN q > 0 AND q <= 10 THEN 'a' WHEN q > 10 AND q <= 25 THEN 'b' WHEN q > 25 AND q <= 40 THEN 'c' END AS bin, count(*) AS n FROM items GROUP BY ALL")
+add("p10_assign_bins", lambda t: P.assign_bins(t.parts, "p_size", [("small", 0, 10), ("middle", 11, 30), ("large", 31, 99)]).select("p_partkey", "bin"),
+    "SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'middle' ELSE 'large' END AS bin FROM parts")
+add("p11_cut", lambda t: P.cut(t.items, "q", [0, 10, 25, 40], ["a", "b", "c"]).select("l_orderkey", "l_linenumber", "bin"),
+    "SELECT l_orderkey, l_linenumber, CASE WHEN q > 0 AND q <= 10 THEN 'a' WHEN q > 10 AND q <= 25 THEN 'b' WHEN q > 25 AND q <= 40 THEN 'c' END AS bin FROM items")
 add("p12_quantile_bins", lambda t: P.quantile_bins(t.orders, "o_totalprice", 5, ranges=True).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low")),
     "WITH e AS (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS e FROM orders) SELECT printf('Q%d: %.2f–%.2f', k, min(p), max(p)) AS bin, count(*) AS n, round(min(p), 6) AS low FROM (SELECT len(list_filter(e, lambda x: x < o_totalprice)) + 1 AS k, CAST(o_totalprice AS DOUBLE) AS p FROM orders, e) GROUP BY k")
 add("p13_one_hot", lambda t: P.one_hot(t.items.select("l_orderkey", "flag"), "flag", ["A", "N", "R"]).groupBy("l_orderkey").agg(F.sum("flag_A").alias("a"), F.sum("flag_N").alias("n"), F.sum("flag_R").alias("r")),
@@ -153,8 +158,8 @@ add("p25_normalise_key", lambda t: P.normalise_key(t.parts.select("p_partkey", "
 add("p26_twin_key", lambda t: P.twin_key(t.parts.select("p_partkey", "p_brand"), "p_brand", ("1", "2"), "twin"), "SELECT p_partkey, p_brand, translate(p_brand, '12', '21') AS twin FROM parts")
 add("p27_parse_list", lambda t: P.parse_list(t.sql("SELECT user_id, concat(CAST(user_id AS STRING), ';', CAST(event_id AS STRING), ';x') AS v FROM events"), "v", ";", "l").groupBy("user_id").agg(F.sum(F.col("l")[1]).alias("s"), F.count(F.col("l")[2]).alias("n")), "SELECT user_id, round(CAST(sum(event_id) AS DOUBLE), 6) AS s, CAST(0 AS BIGINT) AS n FROM events GROUP BY 1")
 add("p28_pattern_share", lambda t: P.pattern_share(t.pages, "html", "<a href", []), "SELECT round(avg(CASE WHEN html LIKE '%<a href%' THEN 1.0 ELSE 0.0 END), 6) AS share FROM pages")
-add("p29_masked_mean_pool", lambda t: P.masked_mean_pool(t.embeddings.withColumn("mask", F.col("vec_id") % 3 != 0), ["label"], "embedding", "mask").select("label", F.round(F.col("pooled")[0], 6).alias("first"), F.round(F.col("pooled")[63], 6).alias("last")),
-    "SELECT label, round(sum(CASE WHEN vec_id % 3 <> 0 THEN CAST(embedding[1] AS DOUBLE) ELSE 0 END) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9), 6) AS first, round(sum(CASE WHEN vec_id % 3 <> 0 THEN CAST(embedding[64] AS DOUBLE) ELSE 0 END) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9), 6) AS last FROM embeddings GROUP BY 1")
+add("p29_masked_mean_pool", lambda t: P.masked_mean_pool(t.embeddings.withColumn("mask", F.col("vec_id") % 3 != 0), ["label"], "embedding", "mask").select("label", F.posexplode("pooled").alias("place", "mean")),
+    "SELECT label, CAST(i AS INT) AS place, round(sum(CASE WHEN vec_id % 3 <> 0 THEN x ELSE 0 END) / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9), 6) AS mean FROM (SELECT label, vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i")
 add("p30_count_fingerprint", lambda t: P.count_fingerprint(t.benchmark, "item_id", "text", 1, 64, 5), "SELECT item_id, (('0x' || substr(md5('5:' || w), 1, 8))::BIGINT % 64) AS bin, count(*) AS count FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) GROUP BY ALL")
 
 # ---- joins -----------------------------------------------------------------------------------------------------------
@@ -162,9 +167,9 @@ add("p30_count_fingerprint", lambda t: P.count_fingerprint(t.benchmark, "item_id
 add("j1_merge", lambda t: J.merge(t.orders.withColumnRenamed("o_custkey", "c_custkey"), t.customer, ["c_custkey"]).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price")),
     "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 6) AS price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 add("j2_join_many_to_one", lambda t: J.join_many_to_one(t.customer.withColumnRenamed("c_nationkey", "n_nationkey"), t.nation, ["n_nationkey"]).groupBy("n_name").agg(F.count(F.lit(1)).alias("n")), "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-add("j3_left_keep_order", lambda t: J.join_keeping_order(t.supplier.withColumnRenamed("s_nationkey", "n_nationkey"), t.nation.select("n_nationkey", "n_name"), ["n_nationkey"], "s_suppkey").select("s_suppkey", "n_name"), "SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+add("j3_left_keep_order", lambda t: J.join_keeping_order(t.supplier.withColumnRenamed("s_nationkey", "n_nationkey"), t.nation.select("n_nationkey", "n_name"), ["n_nationkey"], "s_suppkey").select("s_suppkey", "n_name").withColumn("place", F.monotonically_increasing_id()).select("s_suppkey", "n_name", placed("place")), "SELECT s_suppkey, n_name, CAST(row_number() OVER (ORDER BY s_suppkey) AS INT) AS place FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 add("j4_semi_anti", lambda t: J.semi(t.doc_words, t.labels, "doc_id").select("doc_id", F.lit("labelled").alias("kind")).unionByName(J.anti(t.doc_words, t.labels, "doc_id").select("doc_id", F.lit("plain").alias("kind"))), "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'labelled' ELSE 'plain' END AS kind FROM doc_words")
-add("j5_lookup", lambda t: J.lookup(t.doc_words, "lang", {"en": "English", "de": "German"}, "name").groupBy("name").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' END AS name, count(*) AS n FROM doc_words GROUP BY 1")
+add("j5_lookup", lambda t: J.lookup(t.doc_words, "lang", {"en": "English", "de": "German"}, "name").select("doc_id", "name"), "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' END AS name FROM doc_words")
 add("j6_winner_join", lambda t: J.winner_join(t.pred.select("fold", "method", "key", "y_pred"), A.winner(t.foldmae, ["fold"], "mae", "method"), ["fold", "method"]).groupBy("fold", "method").agg(F.count(F.lit(1)).alias("n"), F.sum("y_pred").alias("s")),
     "WITH b AS (SELECT fold, method FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mae, method) AS r FROM foldmae) WHERE r = 1) SELECT fold, method, count(*) AS n, round(sum(y_pred), 6) AS s FROM pred JOIN b USING (fold, method) GROUP BY ALL")
 add("j7_paired", lambda t: J.paired(t.pred, ["key"], "method", "mean", "by_type", "y_pred").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y_pred_a") - F.col("y_pred_b")).alias("gap")), "SELECT count(*) AS n, round(avg(p_mean - p_type), 6) AS gap FROM wide")
@@ -181,8 +186,17 @@ for name, kind in (("j11_count_tanimoto", True), ("j12_set_tanimoto", False)):
         SELECT item_id, round(coalesce(max(common / (ta.s + tb.s - common)), 0), 6) AS similarity FROM ta LEFT JOIN m USING (item_id) LEFT JOIN tb USING (other) GROUP BY 1""")
 add("j13_nearest_euclidean", lambda t: J.nearest_euclidean(t.embeddings, t.embeddings.filter("label = 0").select(F.col("embedding").alias("ref")), "vec_id", "embedding", "ref"),
     "SELECT a.vec_id, round(min(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distance FROM embeddings a, embeddings b WHERE b.label = 0 GROUP BY 1")
-add("j14_nearest_cosine", lambda t: J.nearest_cosine(t.embeddings, t.embeddings.filter("label = 1").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("rv")), "vec_id", "embedding", "ref", "rv").select("vec_id", "distance"),
-    "SELECT a.vec_id, round(min(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distance FROM embeddings a, embeddings b WHERE b.label = 1 GROUP BY 1")
+LABEL_0 = "label = 0"
+add("j13_min_max_euclidean", lambda t: J.nearest_euclidean(J.min_max_scaled(t.embeddings.select("vec_id", "embedding"), t.embeddings, "embedding"), J.min_max_scaled(t.embeddings.filter(LABEL_0).select(F.col("embedding").alias("ref")), t.embeddings.select(F.col("embedding").alias("ref")), "ref"), "vec_id", "embedding", "ref"),
+    """WITH p AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT i, min(x) AS l, max(x) AS h FROM p GROUP BY 1), s AS (SELECT vec_id, any_value(label) AS label, list(coalesce((x - l) / nullif(h - l, 0), 0) ORDER BY i) AS e FROM p JOIN b USING (i) GROUP BY 1)
+    SELECT a.vec_id, round(min(list_distance(a.e, b.e)), 6) AS distance FROM s a, s b WHERE b.label = 0 GROUP BY 1""")
+NOISY = "SELECT vec_id, transform(embedding, (x, i) -> CAST(x AS DOUBLE) + 0.05D * ((vec_id * 31 + i * 17) % 13 - 6)) AS embedding FROM {v}"
+add("j14_retrieval", lambda t: J.retrieval(t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), t.spark.sql(NOISY, v=t.embeddings), "vec_id", "embedding"),
+    """WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), v AS (SELECT vec_id, list_transform(e, lambda x, i: x + 0.05 * ((vec_id * 31 + (i - 1) * 17) % 13 - 6)) AS w FROM c),
+    n AS (SELECT v.vec_id, arg_min(c.vec_id, (round(1 - list_cosine_similarity(w, e), 9), c.vec_id)) AS nearest FROM v, c GROUP BY 1), o AS (SELECT a.vec_id, min(1 - list_cosine_similarity(a.e, b.e)) AS far FROM c a JOIN c b ON a.vec_id <> b.vec_id GROUP BY 1)
+    SELECT count(*) AS n, round(avg(CASE WHEN nearest = vec_id THEN 1.0 ELSE 0 END), 6) AS retrieval_share, round(median((1 - list_cosine_similarity(w, e)) / greatest(far, 1e-12)), 6) AS median_distance_ratio FROM v JOIN c USING (vec_id) JOIN n USING (vec_id) JOIN o USING (vec_id)""")
+add("j14_nearest_cosine", lambda t: J.nearest_cosine(t.embeddings, t.embeddings.filter("label = 1").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("rv")), "vec_id", "embedding", "ref", "rv"),
+    "SELECT a.vec_id, arg_min(b.vec_id, (round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), b.vec_id)) AS nearest, round(min(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distance FROM embeddings a, embeddings b WHERE b.label = 1 GROUP BY 1")
 add("j15_row_cosine", lambda t: J.row_cosine(t.embeddings.withColumn("r", F.reverse("embedding")), "embedding", "r").select("vec_id", "distance"), "SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS distance FROM embeddings")
 
 from . import catalogue_metrics, catalogue_models, catalogue_splits  # noqa: E402, F401  they add their queries here

@@ -11,7 +11,7 @@ from ..operators import inference as I
 from ..operators import projections as P
 from ..operators import splits as K
 from ..operators import windows as W
-from .catalogue import add, uniform_sql
+from .catalogue import add, placed, uniform_sql
 
 ERR = "abs(y_true - y_pred)"
 
@@ -34,7 +34,7 @@ add("a9_merge_evidence", lambda t: A.merge_evidence(t.sql(EVID), "user_id", "eve
     f"""WITH e AS ({EVID}), c AS (SELECT user_id, category AS v, min(event_id) AS f FROM e GROUP BY ALL), d AS (SELECT user_id, evidence AS v, min(event_id) AS f FROM e GROUP BY ALL)
     SELECT user_id, bool_or(exclude) AS exclude, (SELECT string_agg(v, '; ' ORDER BY f) FROM c WHERE c.user_id = e.user_id) AS category, (SELECT string_agg(v, '; ' ORDER BY f) FROM d WHERE d.user_id = e.user_id) AS evidence FROM e GROUP BY user_id""")
 add("a10_value_counts", lambda t: A.value_counts(t.doc_words, ["lang", "source"]), "SELECT lang, source, count(*) AS n FROM doc_words GROUP BY ALL")
-add("a10_value_count_maps", lambda t: A.value_count_maps(t.items, "flag", "status").select("flag", F.map_keys("counts").alias("k")).select("flag", F.array_join(F.sort_array("k"), ",").alias("statuses")), "SELECT flag, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM items GROUP BY 1")
+add("a10_value_count_maps", lambda t: A.value_count_maps(t.items, "flag", "status").select("flag", F.explode("counts").alias("status", "n")), "SELECT flag, status, count(*) AS n FROM items GROUP BY ALL")
 add("a11_hit_summary", lambda t: A.hit_summary(t.campaign, "strategy", "ord", "hit", 10),
     "WITH s AS (SELECT strategy, hit, row_number() OVER w AS step, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER w AS h FROM campaign WINDOW w AS (PARTITION BY strategy ORDER BY ord ROWS UNBOUNDED PRECEDING)) SELECT strategy, count(*) AS lookups, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS rate, min(CASE WHEN h >= 10 THEN step END) AS kth FROM s GROUP BY 1")
 add("a12_pivot_wide", lambda t: A.pivot_wide(t.foldmae, ["fold"], "method", ["mean", "by_type", "by_hour"], "mae"), "SELECT fold, round(max(CASE method WHEN 'mean' THEN mae END), 6) AS mean, round(max(CASE method WHEN 'by_type' THEN mae END), 6) AS by_type, round(max(CASE method WHEN 'by_hour' THEN mae END), 6) AS by_hour FROM foldmae GROUP BY 1")
@@ -104,7 +104,7 @@ add("w12_early_stop", lambda t: W.early_stop_point(t.ev, ["grp"], "key", "y_true
     m AS (SELECT *, b IS NULL OR y_true < b AS better, max(CASE WHEN b IS NULL OR y_true < b THEN r END) OVER (PARTITION BY grp ORDER BY key) AS l FROM r),
     s AS (SELECT grp, coalesce(min(CASE WHEN r - l >= 4 THEN r END), max(r)) AS e FROM m GROUP BY 1) SELECT m.grp, max(CASE WHEN better THEN key END) AS best_epoch, max(key) AS stop_epoch FROM m JOIN s ON m.grp = s.grp AND r <= e GROUP BY 1""")
 add("w13_curve_band", lambda t: W.curve_band(t.curves, ["strategy", "size"], "value"), "SELECT strategy, size, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM curves GROUP BY ALL")
-add("w14_stable_sort", lambda t: W.stable_sort(t.parts.select("p_partkey", "p_brand", "p_size"), F.desc("p_size"), "p_brand", "p_partkey"), "SELECT p_partkey, p_brand, p_size FROM parts")
+add("w14_stable_sort", lambda t: W.stable_sort(t.parts.select("p_partkey", "p_brand", "p_size"), F.desc("p_size"), "p_brand", "p_partkey").withColumn("place", F.monotonically_increasing_id()).select("p_partkey", "p_brand", "p_size", placed("place")), "SELECT p_partkey, p_brand, p_size, CAST(row_number() OVER (ORDER BY p_size DESC, p_brand, p_partkey) AS INT) AS place FROM parts")
 add("u1_concat", lambda t: W.concat(t.customer.select(F.col("c_name").alias("name"), "c_acctbal"), t.supplier.select(F.col("s_name").alias("name"), "s_nationkey")), "SELECT c_name AS name, round(c_acctbal, 6) AS c_acctbal, NULL::INT AS s_nationkey FROM customer UNION ALL SELECT s_name, NULL, s_nationkey FROM supplier")
 add("u2_difference", lambda t: W.difference(t.doc_words.select("doc_id"), t.labels, "doc_id"), "SELECT doc_id FROM doc_words WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 add("u3_intersection", lambda t: W.intersection(t.doc_words.select("doc_id"), t.labels, "doc_id"), "SELECT doc_id FROM doc_words WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -213,8 +213,8 @@ add("l4_group_conflicts", lambda t: L.group_conflicts(t.sql(GROUPS), "g", "k", "
     o AS (SELECT a.g, a.k, a.twin, a.y, count(b.k) + 1 AS n, median(b.y) AS m, max(b.y) - min(b.y) AS sp FROM a LEFT JOIN a b ON a.g = b.g AND a.k <> b.k GROUP BY ALL)
     SELECT o.k, round(m, 6) AS others_median, round(sp, 6) AS others_spread, round(t.y, 6) AS twin_label, coalesce(n >= 3 AND abs(o.y - m) > 20 AND sp <= 20 AND coalesce(abs(o.y - t.y) > 20, true), false) AS exclude FROM o LEFT JOIN a t ON t.g = o.g AND t.k = o.twin""")
 LOOK = "SELECT n_nationkey AS c_nationkey, CASE WHEN n_regionkey = 0 THEN 'none' ELSE CAST(n_nationkey * 300 AS STRING) END AS v FROM nation"
-add("l5_external_check", lambda t: L.external_check(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), t.sql(LOOK), "c_nationkey", "c_acctbal", "v", 2000.0).groupBy("verdict", "exclude").agg(F.count(F.lit(1)).alias("n")),
-    f"WITH l AS ({LOOK}), x AS (SELECT CASE WHEN try_cast(v AS DOUBLE) IS NULL THEN 'unverified' WHEN abs(c_acctbal - try_cast(v AS DOUBLE)) > 2000 THEN 'contradicted' ELSE 'agrees' END AS verdict FROM customer LEFT JOIN l USING (c_nationkey)) SELECT verdict, verdict = 'contradicted' AS exclude, count(*) AS n FROM x GROUP BY ALL")
+add("l5_external_check", lambda t: L.external_check(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), t.sql(LOOK), "c_nationkey", "c_acctbal", "v", 2000.0).select("c_custkey", "verdict", "exclude"),
+    f"WITH l AS ({LOOK}), x AS (SELECT c_custkey, CASE WHEN try_cast(v AS DOUBLE) IS NULL THEN 'unverified' WHEN abs(c_acctbal - try_cast(v AS DOUBLE)) > 2000 THEN 'contradicted' ELSE 'agrees' END AS verdict FROM customer LEFT JOIN l USING (c_nationkey)) SELECT c_custkey, verdict, verdict = 'contradicted' AS exclude FROM x")
 CHECKS = ["SELECT user_id AS k, event_id AS o, 'large' AS category, event_type AS evidence, value > 150 AS exclude FROM events WHERE value > 100", "SELECT user_id AS k, event_id AS o, 'small' AS category, event_type AS evidence, false AS exclude FROM events WHERE value < 1"]
 
 

@@ -68,8 +68,8 @@ add("m9_best_recipe", lambda t: A.best_recipe(A.fold_metrics(t.pred, ["stratum",
     SELECT (SELECT stratum FROM m ORDER BY mae, stratum, method LIMIT 1) AS stratum, (SELECT method FROM m ORDER BY mae, stratum, method LIMIT 1) AS method, (SELECT round(min(mae), 6) FROM m) AS mae,
     (SELECT stratum FROM m ORDER BY rmse, stratum, method LIMIT 1) AS also_stratum, (SELECT method FROM m ORDER BY rmse, stratum, method LIMIT 1) AS also_method""")
 CAND = "SELECT CAST(l_orderkey AS STRING) AS task, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey AS rank, CASE WHEN l_quantity < 10 THEN CAST('NaN' AS DOUBLE) WHEN l_quantity < 15 THEN NULL ELSE l_quantity END AS score FROM lineitem"
-add("m10_refit_fallback", lambda t: M.refit_fallback(t.sql(CAND), ["task"], "rank", "score").groupBy("fallbacks").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s")),
-    f"WITH c AS (SELECT *, score IS NOT NULL AND isfinite(score) AS ok FROM ({CAND})), r AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY task ORDER BY rank ROWS UNBOUNDED PRECEDING) AS bad FROM c), u AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY rank) AS n FROM r WHERE ok) SELECT CAST(bad AS BIGINT) AS fallbacks, count(*) AS n, round(sum(score), 6) AS s FROM u WHERE n = 1 GROUP BY 1")
+add("m10_refit_fallback", lambda t: M.refit_fallback(t.sql(CAND), ["task"], "rank", "score").select("task", "rank", "score", "fallbacks"),
+    f"WITH c AS (SELECT *, score IS NOT NULL AND isfinite(score) AS ok FROM ({CAND})), r AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY task ORDER BY rank ROWS UNBOUNDED PRECEDING) AS bad FROM c), u AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY rank) AS n FROM r WHERE ok) SELECT task, rank, round(score, 6) AS score, CAST(bad AS BIGINT) AS fallbacks FROM u WHERE n = 1")
 add("m11_reference_predictors", lambda t: M.train_mean_predictor(t.ev, ["stratum"], "fold", "y_true").select("key", "y_pred"), "SELECT key, round(y_pred, 6) AS y_pred FROM pred WHERE method = 'by_type'")
 add("m12_split_sensitivity", lambda t: A.summarise(M.cross_validated_line(K.stratified_kfold(t.ev.drop("fold"), "key", "stratum", 3, 4, 21), ["repeat"], "fold", "x", "y_true").groupBy("repeat").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")), [], "mae"),
     f"""WITH k AS (SELECT ev.key, x, y_true, r, (row_number() OVER (PARTITION BY r, stratum ORDER BY md5('21:' || r || ':' || key)) - 1) % 3 AS f3 FROM ev, range(4) y(r)), f AS (SELECT r, f3, {SUMS} FROM k GROUP BY ALL), t AS (SELECT r, {SUMS} FROM k GROUP BY 1), l AS (SELECT f.r, f3, {LESS} FROM f JOIN t USING (r)),
@@ -116,6 +116,18 @@ add("m15_success_probability", lambda t: M.success_probability(t.sql("SELECT o_o
 WEIGHT = "least(1.0::DOUBLE, greatest(0.0, coalesce(sum((y_true - p_type) * (p_mean - p_type)) / nullif(sum(pow(p_mean - p_type, 2)), 0), 0.5)))"
 add("m16_stack_weights", lambda t: M.stack_pair_weight(t.wide, ["stratum"], "y_true", "p_mean", "p_type"), f"SELECT stratum, round({WEIGHT}, 6) AS weight FROM wide GROUP BY 1")
 add("m16_simplex_weights", lambda t: t.spark.createDataFrame(sorted(M.stack_weights(t.wide, "y_true", ["p_mean", "p_type", "p_hour"]).items()), "member string, weight double"))
+add("m16_absolute_pair", lambda t: M.stack_pair_weight_absolute(t.wide, ["stratum"], "y_true", "p_type", "p_hour"),
+    """WITH r AS (SELECT stratum, (y_true - p_hour) / (p_type - p_hour) AS t, abs(p_type - p_hour) AS g FROM wide WHERE p_type <> p_hour), c AS (SELECT stratum, t, sum(g) OVER (PARTITION BY stratum ORDER BY t) AS upto, sum(g) OVER (PARTITION BY stratum) AS total FROM r),
+    m AS (SELECT stratum, min(t) AS t FROM c WHERE upto >= total / 2 GROUP BY 1) SELECT stratum, round(least(1.0, greatest(0.0, coalesce(t, 0.5))), 6) AS weight FROM (SELECT DISTINCT stratum FROM wide) LEFT JOIN m USING (stratum)""")
+
+
+def absolute_weights(t):
+    members = ["p_mean", "p_type", "p_hour"]
+    weights, error, gap = M.stack_weights_absolute(t.wide, "y_true", members)
+    return t.spark.createDataFrame([(m, w, error, gap) for m, w in sorted(weights.items())], "member string, weight double, mae double, gap double")
+
+
+add("m16_absolute_weights", absolute_weights)
 add("m17_stack_predict", lambda t: M.stack_predict(t.wide.filter("fold <> 0"), t.wide.filter("fold = 0"), ["stratum"], "y_true", "p_mean", "p_type").select("key", "y_pred"), f"WITH w AS (SELECT stratum, {WEIGHT} AS w FROM wide WHERE fold <> 0 GROUP BY 1) SELECT key, round(w * p_mean + (1 - w) * p_type, 6) AS y_pred FROM wide JOIN w USING (stratum) WHERE fold = 0")
 add("m18_concat_ridge", lambda t: M.concat_ridge(t.ev.withColumns({"x2": F.col("x") * F.col("x"), "g": (F.col("grp") % 7).cast("double")}), [["x", "x2"], ["g"]], "y_true", "fold", [1.0, 100.0]).select("key", "y_pred"))
 ADD = "SELECT 'base' AS arm, x, y_true FROM ev WHERE fold IN (1, 2) UNION ALL SELECT 'added', x, y_true FROM ev WHERE fold IN (1, 2, 3)"

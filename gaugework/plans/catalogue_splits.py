@@ -19,7 +19,7 @@ add("k3_stratified_group_kfold", lambda t: K.stratified_group_kfold(t.ev.drop("f
 add("k3_repeated_group_kfold", lambda t: K.stratified_group_kfold(t.ev.drop("fold"), "stratum", "grp", 5, 2, repeats=3).select("key", "repeat", "fold"),
     f"""WITH {GROUPS}, r AS (SELECT *, CAST(d AS INT) AS repeat, row_number() OVER (PARTITION BY d, st ORDER BY size DESC, md5((2 + d) || ':' || grp)) - 1 AS r FROM o, range(3) x(d))
     SELECT key, repeat, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM ev JOIN r USING (grp)""")
-add("k4_leave_group_out", lambda t: K.leave_group_out(t.ev.select("key", "stratum"), "stratum", ["click", "view"]).groupBy("task", "role").agg(F.count(F.lit(1)).alias("n")), "SELECT v AS task, CASE WHEN stratum = v THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM ev, (VALUES ('click'), ('view')) x(v) GROUP BY ALL")
+add("k4_leave_group_out", lambda t: K.leave_group_out(t.ev.select("key", "stratum"), "stratum", ["click", "view"]).select("key", "task", "role"), "SELECT key, v AS task, CASE WHEN stratum = v THEN 'test' ELSE 'train' END AS role FROM ev, (VALUES ('click'), ('view')) x(v)")
 QUOTA = """q AS (SELECT {s} AS st, n * {n}::DOUBLE / sum(n) OVER () AS share FROM c), q2 AS (SELECT st, floor(share) AS f, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, st) AS o FROM q), quota AS (SELECT st, CAST(f + CASE WHEN o <= {n} - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q2)"""
 add("k5_quotas", lambda t: K.proportional_quotas(t.ev.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), "stratum", "n", 1000), "WITH c AS (SELECT stratum, count(*) AS n FROM ev GROUP BY 1), " + QUOTA.format(s="stratum", n=1000) + " SELECT st AS stratum, quota FROM quota")
 
@@ -64,8 +64,8 @@ add("k10_inner_folds", lambda t: K.inner_folds(tasks(t), "task", "regime", "stra
     SELECT key, 'r0' AS task, CAST(CASE WHEN (r // 3) % 2 = 0 THEN r % 3 ELSE 2 - r % 3 END AS VARCHAR) AS inner_fold FROM tr JOIN r USING (grp)
     UNION ALL SELECT key, 'click', stratum FROM ev WHERE stratum <> 'click'""")
 add("k11_external_task", lambda t: K.external_task(t.ev.filter("fold = 1").select("key"), t.ev.filter("fold = 2").select("key")), "SELECT key, CASE fold WHEN 1 THEN 'train' ELSE 'test' END AS role FROM ev WHERE fold IN (1, 2)")
-add("k12_familiar_tasks", lambda t: K.familiar_tasks(t.ev.withColumn("other", (F.col("fold") + 1) % 5), "key", ["fold", "other"], 5).groupBy("repeat", "fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("key").alias("s")),
-    "SELECT CAST(r AS INT) AS repeat, CAST(k AS INT) AS fold, CASE WHEN (ev.fold + r) % 5 = k THEN 'test' ELSE 'train' END AS role, count(*) AS n, CAST(sum(key) AS BIGINT) AS s FROM ev, range(2) a(r), range(5) b(k) GROUP BY ALL")
+add("k12_familiar_tasks", lambda t: K.familiar_tasks(t.ev.withColumn("other", (F.col("fold") + 1) % 5), "key", ["fold", "other"], 5),
+    "SELECT key, CAST(r AS INT) AS repeat, CAST(k AS INT) AS fold, CASE WHEN (ev.fold + r) % 5 = k THEN 'test' ELSE 'train' END AS role FROM ev, range(2) a(r), range(5) b(k)")
 add("k13_half_splits", lambda t: K.half_splits(t.ev.select("key"), "key", [1, 2]), "SELECT key, CAST(s AS INT) AS seed, CAST(h AS INT) AS half, CASE WHEN (md5(s || ':' || key) < '8') = (h = 0) THEN 'add' ELSE 'test' END AS role FROM ev, (VALUES (1), (2)) a(s), (VALUES (0), (1)) b(h)")
 add("k14_bootstrap_weights", lambda t: K.bootstrap_weights(t.ev.select("grp").distinct(), "grp", 20, 3), f"SELECT grp, CAST(r AS INT) AS replicate, CAST(w AS BIGINT) AS weight FROM (SELECT grp, r, {POISSON} AS w FROM (SELECT grp, r, {uniform_sql(3, chr(114) + ' || ' + chr(39) + ':' + chr(39) + ' || grp')} AS u FROM (SELECT DISTINCT grp FROM ev), range(1, 21) x(r))) WHERE w > 0")
 add("k15_stratified_split", lambda t: K.stratified_split(t.ev.select("key", "stratum"), "key", "stratum", 0.2, 5), f"SELECT key, stratum, CASE WHEN {ROW.format(p='stratum', s=5, k='key')} <= floor(count(*) OVER (PARTITION BY stratum) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS part FROM ev")
