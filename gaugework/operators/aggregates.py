@@ -76,15 +76,16 @@ def best_recipe(metrics: DataFrame, recipe: list[str], value: str, also: str) ->
     return one.select(*[F.col("x")[c].alias(c) for c in recipe], value, *[F.col("y")[c].alias(f"also_{c}") for c in recipe])
 
 
-def _joined_in_order(order: str, value: str, separator: str) -> Column:
-    """Distinct values in order of first appearance, as one string."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value)))), lambda x: x[value])
-    return F.array_join(F.array_distinct(ordered), separator)
+def merge_evidence(rows: DataFrame, key: str, order: str, category: str = "category", evidence: str = "evidence", exclude: str = "exclude") -> DataFrame:
+    """One row a key: excluded if any row is; distinct categories and evidence in order of appearance. Repeated values are one before a key's values meet; nulls are left out."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("_kind"), F.col(c).cast("string").alias("_value")) for i, c in enumerate((category, evidence))])
+    each = rows.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(exclude).alias("_out"), F.explode(kinds).alias("x")).groupBy("_key", "x").agg(F.min("_order").alias("_order"), F.max("_out").alias("_out"))
 
+    def joined(kind: int) -> Column:
+        found = F.collect_list(F.when((F.col("x._kind") == kind) & F.col("x._value").isNotNull(), F.struct("_order", "x._value")))
+        return F.array_join(F.transform(F.array_sort(found), lambda v: v["_value"]), "; ")
 
-def merge_evidence(rows: DataFrame, key: str, order: str, category: str = "category", evidence: str = "evidence", exclude: str = "exclude") -> DataFrame:
-    """One row a key: excluded if any row is; distinct categories and evidence in order of appearance."""
-    return rows.groupBy(key).agg(F.max(exclude).alias(exclude), _joined_in_order(order, category, "; ").alias(category), _joined_in_order(order, evidence, "; ").alias(evidence))
+    return each.groupBy(F.col("_key").alias(key)).agg(F.max("_out").alias(exclude), joined(0).alias(category), joined(1).alias(evidence))
 
 
 def value_counts(df: DataFrame, by: list[str]) -> DataFrame:

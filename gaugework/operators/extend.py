@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +18,13 @@ def register_feature(name: str, function: Callable) -> None:
 
 def with_features(df: DataFrame, names: dict[str, list[str]], finite_only: bool = True) -> DataFrame:
     """Registered features of input columns; with ``finite_only``, rows with a feature that is null, NaN or infinite go."""
-    from pyspark.sql.functions import PandasUDFType
 
-    vectorised = lambda f: F.pandas_udf(f, "double", PandasUDFType.SCALAR)
+    def vectorised(function: Callable) -> Callable:
+        def values(*columns: pd.Series) -> pd.Series:
+            return function(*columns)
+
+        return F.pandas_udf(values, "double")
+
     out = df.withColumns({n: vectorised(FEATURES[n])(*[F.col(c) for c in inputs]) for n, inputs in names.items()})
     if finite_only:
         for n in names:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.probability import cosine_distance, euclidean
-from ..session import settled
+from ..functions.probability import cosine_distance
+from ..session import settled, ship_package
 from .ranks import quantiles
 
 
@@ -91,33 +96,94 @@ def nearest_tokens(test: DataFrame, train: DataFrame, key: str, train_key: str,
     return ta.join(best, key, "left").crossJoin(F.broadcast(empty)).select(key, F.coalesce("similarity", alone).alias("similarity"))
 
 
-#: Largest reference side that nearest-vector joins broadcast, in rows and in bytes; a larger one goes through blocks of that size.
-BROADCAST_VECTORS = 20_000
-BROADCAST_BYTES = 64 << 20
+#: Largest block of vectors, in rows and in bytes: two blocks meet in one task, as a product of matrices.
+BLOCK_VECTORS = 4096
+BLOCK_BYTES = 8 << 20
+
+
+def _vector_blocks(df: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
+    """Rows with whole vectors in blocks: (prefix_keys, prefix_width, prefix_data), vectors as doubles end to end. Vectors that are null or hold a null or NaN are left out."""
+    kind = df.schema[key].dataType.simpleString()
+    known = df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x.cast("double"))))
+    most_rows, most_bytes = BLOCK_VECTORS, BLOCK_BYTES
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            width = len(batch.column("v")[0])
+            step = max(1, min(most_rows, most_bytes // (8 * width)))
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                flat = part.column("v").flatten().to_numpy()
+                if len(flat) != part.num_rows * width:
+                    raise ValueError("vectors must have one length")
+                keys = part.column("k")
+                columns = [pa.ListArray.from_arrays([0, len(keys)], keys), pa.array([width], pa.int32()), pa.array([flat.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"{prefix}_keys", f"{prefix}_width", f"{prefix}_data"])
+
+    rows = known.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    return rows.mapInArrow(pack, f"{prefix}_keys array<{kind}>, {prefix}_width int, {prefix}_data binary")
+
 
+def cosine_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All cosine distances of rows; 0 for two zero vectors."""
+    sizes = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+    zero = (np.linalg.norm(a, axis=1) == 0)[:, None] & (np.linalg.norm(b, axis=1) == 0)
+    return np.where(zero, 0.0, 1 - (a @ b.T) / np.maximum(sizes, 1e-12))
 
-def _against(df: DataFrame, reference: DataFrame, vector: str) -> DataFrame:
-    """Every row of ``df`` beside every reference row: a reference of checked size is broadcast, a larger one is dealt in blocks."""
-    size = (F.count(F.lit(1)), F.coalesce(F.sum(F.size(vector).cast("long")), F.lit(0)))
-    n, numbers = reference.limit(BROADCAST_VECTORS + 1).agg(*size).first()
-    if n <= BROADCAST_VECTORS and 8 * numbers <= BROADCAST_BYTES:
-        return df.join(F.broadcast(reference), F.lit(True))
-    n, numbers = reference.agg(*size).first()
-    blocks = max(2, -(-n // BROADCAST_VECTORS), -(-8 * numbers // BROADCAST_BYTES))
-    dealt = reference.withColumn("_block", F.pmod(F.xxhash64(*reference.columns), F.lit(blocks)).cast("int"))
-    return df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_block").drop("_block")
+
+def euclidean_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances of rows, by differences in steps of one component, as a product of matrices would lose near ones to rounding."""
+    total = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T):
+        gap = x[:, None] - y
+        total += gap * gap
+    return np.sqrt(total)
+
+
+def _nearest(df: DataFrame, reference: DataFrame, key: str, vector: str, reference_key: str, reference_vector: str, distances: Callable, others_only: bool = False) -> DataFrame:
+    """(key, nearest, distance): the reference row of least distance, rounded to nine places; of equals the least key. With ``others_only``, rows of the same key are passed over.
+
+    Both sides become blocks of bounded size; each block of rows meets each reference block once, and a row leaves a task with one reference at most.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    mine, theirs = _vector_blocks(df, key, vector, "q"), _vector_blocks(reference, reference_key, reference_vector, "r")
+    theirs = settled(theirs.withColumn("_b", F.monotonically_increasing_id()), "vector-blocks")
+    numbers = theirs.agg(F.sort_array(F.collect_list("_b")).alias("_all"))  # a number for each block of the reference
+    met = mine.crossJoin(numbers).withColumn("_b", F.explode("_all")).drop("_all").join(theirs, "_b")
+    kinds = f"k {df.schema[key].dataType.simpleString()}, d double, n {reference.schema[reference_key].dataType.simpleString()}"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            (keys, a), (names, b) = ((row.column(f"{p}_keys").flatten(), np.frombuffer(row.column(f"{p}_data")[0].as_py()).reshape(-1, row.column(f"{p}_width")[0].as_py())) for p in "qr")
+            if a.shape[1] != b.shape[1]:
+                raise ValueError("vectors must have one length")
+            order = pc.array_sort_indices(names)
+            names, b = names.take(order), b[order.to_numpy()]
+            far = np.round(distances(a, b), 9)
+            if others_only:
+                same = keys.dictionary_encode()
+                place = pc.index_in(names, same.dictionary).to_numpy(zero_copy_only=False)
+                far[same.indices.to_numpy(zero_copy_only=False)[:, None] == place] = np.inf
+            at = far.argmin(axis=1)  # the first of equals, so the least key
+            least = far[np.arange(len(far)), at]
+            found = pa.array(np.isfinite(least))
+            yield pa.RecordBatch.from_arrays([keys.filter(found), pa.array(least).filter(found), names.take(pa.array(at)).filter(found)], names=["k", "d", "n"])
+
+    best = met.select("q_keys", "q_width", "q_data", "r_keys", "r_width", "r_data").mapInArrow(compare, kinds).groupBy("k").agg(F.min(F.struct("d", "n")).alias("x"))
+    return best.select(F.col("k").alias(key), F.col("x.n").alias("nearest"), F.col("x.d").alias("distance"))
 
 
 def nearest_euclidean(df: DataFrame, reference: DataFrame, key: str, vector: str, reference_vector: str) -> DataFrame:
-    """(key, distance) to the closest reference vector; each row keeps a minimum only."""
-    return _against(df.select(key, vector), reference.select(reference_vector), reference_vector).groupBy(key).agg(F.min(euclidean(F.col(vector), F.col(reference_vector))).alias("distance"))
+    """(key, distance), to nine places, to the closest reference vector. Vectors that are null or hold a null or NaN are left out on both sides."""
+    named = reference.select(F.lit(0).alias("_r"), reference_vector)
+    return _nearest(df, named, key, vector, "_r", reference_vector, euclidean_distances).select(key, "distance")
 
 
 def nearest_cosine(df: DataFrame, reference: DataFrame, key: str, vector: str, reference_key: str, reference_vector: str) -> DataFrame:
-    """(key, nearest, distance): the reference of least cosine distance; of equals the least key."""
-    d = F.round(cosine_distance(F.col(vector), F.col(reference_vector)), 9)
-    best = _against(df.select(key, vector), reference.select(reference_key, reference_vector), reference_vector).groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col(reference_key).alias("k"))).alias("x"))
-    return best.select(key, F.col("x.k").alias("nearest"), F.col("x.d").alias("distance"))
+    """(key, nearest, distance): the reference of least cosine distance; of equals the least key. Vectors that are null or hold a null or NaN are left out on both sides."""
+    return _nearest(df, reference, key, vector, reference_key, reference_vector, cosine_distances)
 
 
 def min_max_scaled(df: DataFrame, bounds_of: DataFrame, vector: str) -> DataFrame:
@@ -130,14 +196,13 @@ def min_max_scaled(df: DataFrame, bounds_of: DataFrame, vector: str) -> DataFram
 
 def retrieval(canonical: DataFrame, variants: DataFrame, key: str, vector: str) -> DataFrame:
     """(n, retrieval_share, median_distance_ratio): the share of variant vectors whose nearest canonical vector by cosine is their own entity's (of equals the least key), and the
-    median ratio of a variant's distance from its own to the distance between that and the nearest other entity's (1e-12 at least). Variants without a canonical vector are left out."""
+    median ratio of a variant's distance from its own to the distance between that and the nearest other entity's (1e-12 at least; a lone entity has none, and the ratio 0). Variants without a canonical vector are left out."""
     own = canonical.select(F.col(key).alias("_k"), F.col(vector).alias("_v"))
     numbered = variants.select(F.col(key).alias("_own"), F.col(vector).alias("_x")).join(own, F.col("_own") == F.col("_k")).drop("_k")
     numbered = settled(numbered.withColumn("_id", F.monotonically_increasing_id()), "variants")
     near = nearest_cosine(numbered, own, "_id", "_x", "_k", "_v").select("_id", "nearest")
-    both = _against(own.select("_k", "_v"), own.select(F.col("_k").alias("_o"), F.col("_v").alias("_w")), "_w").filter("_k <> _o")
-    others = both.groupBy("_k").agg(F.min(cosine_distance(F.col("_v"), F.col("_w"))).alias("_far"))
-    rows = numbered.join(near, "_id").join(others, F.col("_own") == F.col("_k"), "left")
+    others = _nearest(own, own.select(F.col("_k").alias("_o"), F.col("_v").alias("_w")), "_k", "_v", "_o", "_w", cosine_distances, others_only=True).select("_k", F.col("distance").alias("_far"))
+    rows = numbered.join(near, "_id").join(others, F.col("_own") == F.col("_k"), "left").withColumn("_far", F.coalesce("_far", F.lit(float("inf"))))
     ratio = cosine_distance(F.col("_x"), F.col("_v")) / F.greatest("_far", F.lit(1e-12))
     one = settled(rows.select((F.col("nearest") == F.col("_own")).cast("double").alias("_hit"), ratio.alias("_ratio")), "retrieved")
     middle = quantiles(one, [], "_ratio", [0.5]).select(F.col("q")[0].alias("median_distance_ratio"))

@@ -41,7 +41,7 @@ def line_model(sums: DataFrame, by: list[str], alpha: float = 0.0) -> DataFrame:
 
 
 def line_predict(df: DataFrame, model: DataFrame, on: list[str], x: str, out: str = "y_pred") -> DataFrame:
-    joined = df.join(F.broadcast(model), on) if on else df.crossJoin(F.broadcast(model))
+    joined = df.join(model, on) if on else df.crossJoin(F.broadcast(model))  # without keys the model is one row
     return joined.withColumn(out, F.col("intercept") + F.col("slope") * F.col(x)).drop("slope", "intercept")
 
 
@@ -360,7 +360,7 @@ def stack_weights_absolute(df: DataFrame, y: str, members: list[str], steps: int
 
 
 def stack_predict(oof: DataFrame, test: DataFrame, by: list[str], y: str, a: str, b: str) -> DataFrame:
-    return test.join(F.broadcast(stack_pair_weight(oof, by, y, a, b)), by).withColumn("y_pred", F.col("weight") * F.col(a) + (1 - F.col("weight")) * F.col(b))
+    return test.join(stack_pair_weight(oof, by, y, a, b), by).withColumn("y_pred", F.col("weight") * F.col(a) + (1 - F.col("weight")) * F.col(b))
 
 
 def simplex_least_squares(gram: np.ndarray, target: np.ndarray, steps: int = 2000) -> np.ndarray:

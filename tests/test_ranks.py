@@ -69,6 +69,6 @@ def test_nearest_in_blocks_equals_broadcast(spark, monkeypatch, rows_bound, byte
         return sorted(joins.nearest_euclidean(df, ref, "k", "v", "rv").collect()), sorted(joins.nearest_cosine(df, ref, "k", "v", "r", "rv").collect())
 
     whole = both()
-    monkeypatch.setattr(joins, "BROADCAST_VECTORS", rows_bound)
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", bytes_bound)
+    monkeypatch.setattr(joins, "BLOCK_VECTORS", rows_bound)
+    monkeypatch.setattr(joins, "BLOCK_BYTES", bytes_bound)
     assert both() == whole
