@@ -63,8 +63,3 @@ def cosine_distance(a: Column, b: Column) -> Column:
     size = F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
     both_zero = (dot(a, a) == 0) & (dot(b, b) == 0)
     return F.when(both_zero, 0.0).otherwise(1 - dot(a, b) / size)
-
-
-def euclidean(a: Column, b: Column) -> Column:
-    square = F.zip_with(a, b, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double")))
-    return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, v: s + v))

@@ -97,7 +97,7 @@ def nearest_tokens(test: DataFrame, train: DataFrame, key: str, train_key: str,
 
 
 #: Largest block of vectors, in rows and in bytes: two blocks meet in one task, as a product of matrices.
-BLOCK_VECTORS = 4096
+BLOCK_VECTORS = 2048
 BLOCK_BYTES = 8 << 20
 
 
@@ -201,7 +201,8 @@ def retrieval(canonical: DataFrame, variants: DataFrame, key: str, vector: str)
     numbered = variants.select(F.col(key).alias("_own"), F.col(vector).alias("_x")).join(own, F.col("_own") == F.col("_k")).drop("_k")
     numbered = settled(numbered.withColumn("_id", F.monotonically_increasing_id()), "variants")
     near = nearest_cosine(numbered, own, "_id", "_x", "_k", "_v").select("_id", "nearest")
-    others = _nearest(own, own.select(F.col("_k").alias("_o"), F.col("_v").alias("_w")), "_k", "_v", "_o", "_w", cosine_distances, others_only=True).select("_k", F.col("distance").alias("_far"))
+    asked = own.join(numbered.select(F.col("_own").alias("_k")).distinct(), "_k", "left_semi")
+    others = _nearest(asked, own.select(F.col("_k").alias("_o"), F.col("_v").alias("_w")), "_k", "_v", "_o", "_w", cosine_distances, others_only=True).select("_k", F.col("distance").alias("_far"))
     rows = numbered.join(near, "_id").join(others, F.col("_own") == F.col("_k"), "left").withColumn("_far", F.coalesce("_far", F.lit(float("inf"))))
     ratio = cosine_distance(F.col("_x"), F.col("_v")) / F.greatest("_far", F.lit(1e-12))
     one = settled(rows.select((F.col("nearest") == F.col("_own")).cast("double").alias("_hit"), ratio.alias("_ratio")), "retrieved")

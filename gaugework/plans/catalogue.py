@@ -190,9 +190,9 @@ LABEL_0 = "label = 0"
 add("j13_min_max_euclidean", lambda t: J.nearest_euclidean(J.min_max_scaled(t.embeddings.select("vec_id", "embedding"), t.embeddings, "embedding"), J.min_max_scaled(t.embeddings.filter(LABEL_0).select(F.col("embedding").alias("ref")), t.embeddings.select(F.col("embedding").alias("ref")), "ref"), "vec_id", "embedding", "ref"),
     """WITH p AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT i, min(x) AS l, max(x) AS h FROM p GROUP BY 1), s AS (SELECT vec_id, any_value(label) AS label, list(coalesce((x - l) / nullif(h - l, 0), 0) ORDER BY i) AS e FROM p JOIN b USING (i) GROUP BY 1)
     SELECT a.vec_id, round(min(list_distance(a.e, b.e)), 6) AS distance FROM s a, s b WHERE b.label = 0 GROUP BY 1""")
-NOISY = "SELECT vec_id, transform(embedding, (x, i) -> CAST(x AS DOUBLE) + 0.05D * ((vec_id * 31 + i * 17) % 13 - 6)) AS embedding FROM {v}"
+NOISY = "SELECT vec_id, transform(embedding, (x, i) -> CAST(x AS DOUBLE) + 0.05D * ((vec_id * 31 + i * 17) % 13 - 6)) AS embedding FROM {v} WHERE vec_id % 50 = 0"  # a search: the rows whose id is divisible by 50 against all
 add("j14_retrieval", lambda t: J.retrieval(t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), t.spark.sql(NOISY, v=t.embeddings), "vec_id", "embedding"),
-    """WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), v AS (SELECT vec_id, list_transform(e, lambda x, i: x + 0.05 * ((vec_id * 31 + (i - 1) * 17) % 13 - 6)) AS w FROM c),
+    """WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), v AS (SELECT vec_id, list_transform(e, lambda x, i: x + 0.05 * ((vec_id * 31 + (i - 1) * 17) % 13 - 6)) AS w FROM c WHERE vec_id % 50 = 0),
     n AS (SELECT v.vec_id, arg_min(c.vec_id, (round(1 - list_cosine_similarity(w, e), 9), c.vec_id)) AS nearest FROM v, c GROUP BY 1), o AS (SELECT a.vec_id, min(1 - list_cosine_similarity(a.e, b.e)) AS far FROM c a JOIN c b ON a.vec_id <> b.vec_id GROUP BY 1)
     SELECT count(*) AS n, round(avg(CASE WHEN nearest = vec_id THEN 1.0 ELSE 0 END), 6) AS retrieval_share, round(median((1 - list_cosine_similarity(w, e)) / greatest(far, 1e-12)), 6) AS median_distance_ratio FROM v JOIN c USING (vec_id) JOIN n USING (vec_id) JOIN o USING (vec_id)""")
 add("j14_nearest_cosine", lambda t: J.nearest_cosine(t.embeddings, t.embeddings.filter("label = 1").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("rv")), "vec_id", "embedding", "ref", "rv"),
