@@ -133,12 +133,17 @@ def cosine_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def euclidean_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances of rows, by differences in steps of one component, as a product of matrices would lose near ones to rounding."""
-    total = np.zeros((len(a), len(b)))
-    for x, y in zip(a.T, b.T):
-        gap = x[:, None] - y
-        total += gap * gap
-    return np.sqrt(total)
+    """All distances of rows, from a product of matrices; those that may be a row's least, within the rounding of such a product, from the differences themselves."""
+    sizes = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)
+    squares = sizes - 2 * (a @ b.T)
+    near = squares <= squares.min(axis=1, keepdims=True) + 1e-12 * sizes.max()
+    out = np.sqrt(np.maximum(squares, 0))
+    at = np.flatnonzero(near.ravel())
+    for k in range(0, len(at), 1 << 16):
+        i, j = np.unravel_index(at[k : k + (1 << 16)], near.shape)
+        gap = a[i] - b[j]
+        out[i, j] = np.sqrt((gap * gap).sum(axis=1))
+    return out
 
 
 def _nearest(df: DataFrame, reference: DataFrame, key: str, vector: str, reference_key: str, reference_vector: str, distances: Callable, others_only: bool = False) -> DataFrame:
