@@ -114,3 +114,14 @@ def test_min_max_and_empty_bags(spark):
     assert near(train, "n") == {1: 2 / 5, 2: 1.0, 3: 0.0, 4: 1.0}
     assert near(train.filter("k = 7"), "n") == {1: 2 / 5, 2: 0.0, 3: 0.0, 4: 0.0}
     assert near(train, None) == {1: 1.0, 2: 1.0, 3: 0.0, 4: 0.5}
+
+
+def test_least_distances_are_those_of_differences():
+    """Near ones far from the origin, copies and equal rows: the same nearest row, and its distance to full precision."""
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        a = rng.normal(size=(int(rng.integers(1, 30)), 5)) * 10.0 ** int(rng.integers(-3, 4)) + 10.0 ** int(rng.integers(-2, 4))
+        b = np.concatenate([rng.normal(size=(20, 5)), a[:3] + 1e-7, a[:2], a[:2]])
+        plain = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+        got = joins.euclidean_distances(a, b)
+        assert (got.argmin(axis=1) == plain.argmin(axis=1)).all() and got.min(axis=1) == pytest.approx(plain.min(axis=1), rel=1e-12, abs=0)
