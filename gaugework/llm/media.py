@@ -8,6 +8,7 @@ as empty; an unknown or null codec raises.
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -75,10 +76,41 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear interpolation in whole numbers; the last sample is held. Same rate: the samples themselves."""
+def low_pass_weights(up: int, down: int) -> np.ndarray:
+    """Whole-number weights of a low-pass filter for ``up`` samples in place of ``down`` > ``up``, one row a phase: a Hann-windowed sinc over three of its
+    zeros on either side; each row sums to 2 ** 14."""
+    half = -(-3 * down // up)
+    phase = (np.arange(up) * down % up / up)[:, None]
+    at = (np.arange(-half, half + 1) - phase) * up / down
+    shape = np.sinc(at) * np.where(np.abs(at) < 3, np.cos(np.pi * at / 6) ** 2, 0)
+    weights = np.round(shape / shape.sum(1, keepdims=True) * (1 << 14)).astype(np.int64)
+    weights[:, half] += (1 << 14) - weights.sum(1)
+    return weights
+
+
+def resample(samples: np.ndarray, rate: int, target: int, filtered: bool = True) -> np.ndarray:
+    """Samples at another rate, in whole numbers; the first and last sample are held. Same rate: the samples themselves.
+
+    A higher rate interpolates linearly. A lower one passes a low-pass filter, in which every sample weighs; without ``filtered`` it interpolates too, and so picks
+    samples and leaves out others.
+    """
     if rate == target or not len(samples):
         return samples.astype(np.int16)
+    if filtered and target < rate:
+        common = math.gcd(rate, target)
+        up, down = target // common, rate // common
+        weights = low_pass_weights(up, down)
+        half = weights.shape[1] // 2
+        held = np.pad(samples.astype(np.int64), half, mode="edge")
+        out = np.empty(len(samples) * target // rate, dtype=np.int64)
+        for phase, row in enumerate(weights):
+            first = phase * down // up
+            count = len(out[phase::up])
+            total = np.full(count, 1 << 13, dtype=np.int64)
+            for k in np.flatnonzero(row).tolist():
+                total += held[first + k :: down][:count] * row[k]
+            out[phase::up] = total >> 14
+        return np.clip(out, -32768, 32767).astype(np.int16)
     at = np.arange(len(samples) * target // rate, dtype=np.int64) * rate
     low, part = at // target, at % target
     left = samples.astype(np.int64)
@@ -164,12 +196,23 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text", unit: in
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def features(stored: DataFrame, key: str = "doc_id", unit: int = UNIT, target_rate: int = STORED_RATE) -> DataFrame:
+def _energy_and_turns(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean energy and number of sign changes of each array of samples, none of them empty."""
+    length = np.array([len(x) for x in parts], dtype=np.int64)
+    begin = np.concatenate(([0], np.cumsum(length)[:-1]))
+    sound = np.concatenate(parts).astype(np.int64)
+    change = np.append((sound[1:] < 0) != (sound[:-1] < 0), False)
+    change[begin + length - 1] = False
+    return _per_text(sound**2, begin) / length, _per_text(change.astype(np.int64), begin)
+
+
+def features(stored: DataFrame, key: str = "doc_id", unit: int = UNIT, target_rate: int = STORED_RATE, filtered: bool = False) -> DataFrame:
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm) of ``store_texts`` rows, from the files' bytes.
 
     ``pcm``: the file expanded by its codec's table and resampled to ``target_rate``, little-endian 16-bit. ``feature``: mean energy and sign
     changes of that, mean energy of the payload's A-law expansion, and the sum of absolute samples of the payload decoded as ADPCM blocks. Equal
-    files have equal values.
+    files have equal values. With ``filtered`` a lower rate passes the low-pass filter of ``resample``, and ``feature`` has energy and sign changes of all samples at the
+    file's own rate, A-law and ADPCM as above, then energy and sign changes of ``pcm``, so that every sample counts in it; without, both know the picked samples only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,17 +222,14 @@ def features(stored: DataFrame, key: str = "doc_id", unit: int = UNIT, target_ra
             payloads = [r[3] for r in read]
             sizes = np.array([len(x) for x in payloads], dtype=np.int64)
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            pcm = [resample(expand(payload, codec, block), rate, target_rate) for codec, rate, block, payload in read]
-            length = np.array([len(x) for x in pcm], dtype=np.int64)
-            begin = np.concatenate(([0], np.cumsum(length)[:-1]))
-            sound = np.concatenate(pcm).astype(np.int64)
-            energy = _per_text(sound**2, begin) / length
-            change = np.append((sound[1:] < 0) != (sound[:-1] < 0), False)
-            change[begin + length - 1] = False
-            turns = _per_text(change.astype(np.int64), begin)
+            sound = [expand(payload, codec, block) for codec, _, block, payload in read]
+            pcm = [resample(x, r[1], target_rate, filtered) for x, r in zip(sound, read)]
             raw = np.frombuffer(b"".join(payloads), dtype=np.uint8)
             other = _per_text(ALAW[raw].astype(np.int64) ** 2, starts) / sizes
             steps = _per_text(np.abs(decode_adpcm(raw.reshape(-1, unit)).astype(np.int64)).sum(1), starts // unit)
+            found = [f"mulaw={e:.3f};turns={t};alaw={o:.3f};adpcm={s}" for e, t, o, s in zip(*_energy_and_turns(sound if filtered else pcm), other, steps)]
+            if filtered:
+                found = [f"{x};pcm={e:.3f};pcm_turns={t}" for x, e, t in zip(found, *_energy_and_turns(pcm))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(key),
@@ -199,7 +239,7 @@ def features(stored: DataFrame, key: str = "doc_id", unit: int = UNIT, target_ra
                     pa.array([zlib.crc32(x[-unit:]) for x in payloads], pa.int64()),
                     pa.array([len(x) for x in files], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in files]),
-                    pa.array([f"mulaw={e:.3f};turns={t};alaw={o:.3f};adpcm={s}" for e, t, o, s in zip(energy, turns, other, steps)]),
+                    pa.array(found),
                     pa.array([x.astype("<i2").tobytes() for x in pcm], pa.binary()),
                 ],
                 names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"],

@@ -56,9 +56,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as stored WAVE files, read back: digests, features and the resampled PCM."""
+    """Texts as stored WAVE files, read back: digests, features of all samples and the PCM, filtered before it is resampled."""
     stored = written(spark, media.store_texts(documents(spark, sf_dir)), "media", compression="zstd")
-    return media.features(stored)
+    return media.features(stored, filtered=True)
 
 
 def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:

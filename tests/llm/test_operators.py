@@ -372,6 +372,45 @@ def test_op9(docs):
     assert pcm[3]["codec"] == "mulaw" and pcm[3]["n_samples"] == 128
 
 
+def test_op9_every_sample_counts(spark, tmp_path):
+    """The query: a change of any one byte of a text changes its PCM and its feature."""
+    from gaugework.llm import queries
+
+    base = "Every sample of a telephone call counts, the odd ones as well as the even ones; all of them."
+    texts = [base, *(base[:k] + "\x02" + base[k + 1 :] for k in range(len(base)))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = by_id(queries.op9_media_columns(spark, f"file://{tmp_path}"))
+    assert all(got[i]["pcm"] != got[0]["pcm"] and got[i]["feature"] != got[0]["feature"] for i in range(1, len(texts)))
+    for i, t in enumerate(texts):
+        payload = t.encode() + b"\0" * (-len(t) % 64)
+        sound = [int(media.MULAW[x]) for x in payload]
+        low, held = media.low_pass_weights(1, 2)[0].tolist(), [sound[0]] * 6 + sound + [sound[-1]] * 6
+        pcm = [max(-32768, min(32767, (sum(w * x for w, x in zip(low, held[k : k + 13])) + 8192) >> 14)) for k in range(0, len(sound), 2)]
+        assert bytes(got[i]["pcm"]) == np.array(pcm, "<i2").tobytes()
+        turns = lambda xs: sum((a < 0) != (b < 0) for a, b in zip(xs, xs[1:]))
+        alaw, adpcm = sum(int(media.ALAW[x]) ** 2 for x in payload) / len(payload), int(np.abs(media.decode_adpcm(np.frombuffer(payload, np.uint8).reshape(-1, 64)).astype(np.int64)).sum())
+        want = f"mulaw={sum(x * x for x in sound) / len(sound):.3f};turns={turns(sound)};alaw={alaw:.3f};adpcm={adpcm};pcm={sum(x * x for x in pcm) / len(pcm):.3f};pcm_turns={turns(pcm)}"
+        assert got[i]["feature"] == want
+
+
+def test_low_pass():
+    """What the lower rate cannot hold goes, what it can stays, at any ratio; no sample is left out."""
+    at = np.arange(2400)
+    for rate, target in ((8000, 4000), (8000, 3000), (16000, 1000), (44100, 8000)):
+        weights = media.low_pass_weights(target // math.gcd(rate, target), rate // math.gcd(rate, target))
+        assert (weights.sum(1) == 1 << 14).all()
+        high, low = (np.round(20000 * np.sin(2 * np.pi * at * f * target / rate)).astype(np.int16) for f in (0.9, 0.1))
+        gone, kept = media.resample(high, rate, target), media.resample(low, rate, target)
+        assert np.abs(gone[10:-10]).max() < 1000 and np.abs(media.resample(high, rate, target, filtered=False)).max() > 10000
+        assert np.abs(kept[10:-10] - 20000 * np.sin(2 * np.pi * np.arange(len(kept)) * 0.1)[10:-10]).max() < 400
+        flat = np.zeros(240, dtype=np.int16)
+        for k in range(200):
+            click = flat.copy()
+            click[k] = 32000
+            assert media.resample(click, rate, target).any()
+    assert media.resample(np.array([5], np.int16), 8000, 4000).tolist() == [] and media.resample(np.full(9, 7, np.int16), 8000, 4000).tolist() == [7] * 4
+
+
 def test_audio_tables_and_adpcm():
     assert media.MULAW[0xFF] == 0 and media.MULAW[0x00] == -32124 and media.MULAW[0x80] == 32124
     assert media.ALAW[0xD5] == 8 and media.ALAW[0x55] == -8 and media.ALAW[0xAA] == 32256
