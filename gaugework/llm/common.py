@@ -67,8 +67,26 @@ def written(spark: SparkSession, df: DataFrame, name: str, finished: Iterable[Da
     return out
 
 
+def bucketed(spark: SparkSession, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """``df`` as ``written``, its rows in buckets by ``column``: read back, what is grouped or joined by that column does not shuffle this side again.
+
+    A bucket is read by one task. The catalogue knows the table only until it is read back; the files stay.
+    """
+    path, table = new_folder(spark, name), f"spark_catalog.default.gaugework_{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.format("parquet").bucketBy(buckets, column).option("path", path).option("compression", "snappy").saveAsTable(table)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # of a table with a path of its own only the name goes
+    out._written_path = path
+    return out
+
+
 def delete_table(spark: SparkSession, table: DataFrame) -> None:
-    """Drop a table that ``written`` made."""
+    """Drop a table that ``written`` or ``bucketed`` made."""
     delete_folder(spark, table._written_path)
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from gaugework.llm import bwt, compression_quality, elias_fano, language_model, media, ngram_join, packing, piece_bpe, quality_rules, rollups, substring_dedup, token_files  # noqa: E402
+from gaugework.llm import bwt, common, compression_quality, elias_fano, language_model, media, ngram_join, packing, piece_bpe, quality_rules, rollups, substring_dedup, token_files  # noqa: E402
 from gaugework.llm.elias_fano import EliasFano  # noqa: E402
 from gaugework.session import ship_package  # noqa: E402
 
@@ -102,6 +103,41 @@ def test_op1(docs, crowded):
     assert text[0]["text"] is None and text[7]["text"] == "" and text[3]["text"] == "a" and text[3]["votes"] == "clash"
 
 
+def shuffled_parts(df):
+    """What stands under each shuffle of a plan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*"))
+    for k, line in enumerate(lines):
+        if line.lstrip(" :+-*").startswith("Exchange"):
+            yield "\n".join(itertools.takewhile(lambda x: depth(x) > depth(line), lines[k + 1 :]))
+
+
+@pytest.mark.parametrize("crowded", [3000, 2])
+def test_op1_texts_are_not_shuffled(docs, monkeypatch, crowded):
+    """Answers go to the blocks in all passes, with crowded anchors too: no shuffle has whole blocks under it but where requests are cut from them."""
+    plans, write = {}, substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda spark, df, name, **more: plans.update({name: df}) or write(spark, df, name, **more))
+    plans["result"] = substring_dedup.remove_repeats(docs, digest_only=True, most_segments=crowded)
+    assert set(plans) >= {"segment-counts", "verdicts", "result"} | ({"window-counts"} if crowded == 2 else set())
+    assert list(shuffled_parts(plans["result"]))
+    for name, df in plans.items():
+        assert not any("payload" in x and "InArrow" not in x for x in shuffled_parts(df)), name
+    got = by_id(plans["result"])
+    for i, (b, gone) in enumerate(zip(*removed_by_hand(TEXTS, 200))):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+
+
+def test_bucketed_tables(spark):
+    df = spark.range(1000).selectExpr("if(id = 7, null, id) AS k", "id AS v").repartition(3)
+    names = lambda: {t.name for t in spark.catalog.listTables("default")}
+    before = names()
+    table = common.bucketed(spark, df, "rows", "k", 5)
+    assert names() == before and sorted(table.collect(), key=lambda r: r["v"]) == sorted(df.collect(), key=lambda r: r["v"])
+    sums = table.groupBy("k").agg(F.sum("v").alias("s"))
+    assert not list(shuffled_parts(sums)) and sums.count() == 1000 and sums.filter("k is null").first()["s"] == 7
+    assert common.bucketed(spark, df.limit(0), "rows", "k", 5).count() == 0
+
+
 def test_op2_equals_library(docs):
     import sentencepiece
 
