@@ -76,6 +76,26 @@ def fold_residual_join(test_by_fold: DataFrame, residuals: DataFrame, keys: list
     return test_by_fold.join(residuals, keys).withColumns({"low": F.col("y_pred") - F.col("residual"), "high": F.col("y_pred") + F.col("residual")})
 
 
+def outermost_residuals(residuals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, residual): the residuals of each ``keys`` that give the least ``low`` and the greatest ``high`` of ``fold_residual_join``, at most three, whatever the test rows are.
+
+    Sums and differences never fall where an operand grows, rounded or not, so these are the least and the greatest; as NaN sorts above all numbers, also the greatest number. Null only where no
+    residual is known.
+    """
+    r = F.col("residual")
+    ends = F.array_distinct(F.array(F.min(r), F.max(r), F.max(F.when(~F.isnan(r.cast("double")), r))))
+    return residuals.groupBy(*keys).agg(ends.alias("_ends")).select(*keys, F.explode("_ends").alias("residual"))
+
+
+def fold_residual_range(test_by_fold: DataFrame, residuals: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """(by, low, high): the least ``low`` and the greatest ``high`` of ``fold_residual_join``, over each pair of a test row and a residual of its ``keys``; test rows meet the outermost residuals only.
+
+    These are settled, so that their bytes decide how they are joined: few keys are broadcast, and no test rows are shuffled to a few keys' tasks.
+    """
+    ends = settled(outermost_residuals(residuals, keys), "outermost-residuals")
+    return fold_residual_join(test_by_fold, ends, keys).groupBy(*by).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def nearest_tokens(test: DataFrame, train: DataFrame, key: str, train_key: str, token: str, count: str | None = None) -> DataFrame:
     """(key, similarity): the greatest sum(min) / sum(max) of token counts with any training row; of token sets without ``count``.
 

@@ -176,7 +176,7 @@ add("j7_paired", lambda t: J.paired(t.pred, ["key"], "method", "mean", "by_type"
 add("j8_twin_join", lambda t: J.twin_join(t.sql("SELECT n_regionkey AS g, n_nationkey AS k, 49 - n_nationkey AS w, n_name AS v FROM nation"), "g", "k", "w", "v").select("g", "k", "w", "v", "twin_v"), "SELECT a.n_regionkey AS g, a.n_nationkey AS k, 49 - a.n_nationkey AS w, a.n_name AS v, b.n_name AS twin_v FROM nation a LEFT JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey = 49 - a.n_nationkey")
 add("j9_band_expansion", lambda t: J.band_expansion(t.parts.select("p_partkey", (F.col("p_size") - 5).alias("entry")), "entry", [10, 20, 40]).groupBy("size").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(size AS INT) AS size, count(*) AS n FROM parts, (VALUES (10), (20), (40)) v(size) WHERE p_size - 5 BETWEEN 0 AND size GROUP BY 1")
 TOKENS = "SELECT doc_id, unnest(string_split(lower(text), ' ')) AS token FROM doc_words WHERE lang = 'en'"
-add("j10_fold_residuals", lambda t: J.fold_residual_join(t.sql("SELECT c_custkey, CAST(c_nationkey % 5 AS INT) AS fold, c_acctbal AS y_pred FROM customer"), t.sql("SELECT CAST(s_nationkey % 5 AS INT) AS fold, s_acctbal AS residual FROM supplier"), ["fold"]).groupBy("c_custkey").agg(F.min("low").alias("low"), F.max("high").alias("high")),
+add("j10_fold_residuals", lambda t: J.fold_residual_range(t.sql("SELECT c_custkey, CAST(c_nationkey % 5 AS INT) AS fold, c_acctbal AS y_pred FROM customer"), t.sql("SELECT CAST(s_nationkey % 5 AS INT) AS fold, s_acctbal AS residual FROM supplier"), ["fold"], ["c_custkey"]),
     "SELECT c_custkey, round(min(c_acctbal - s_acctbal), 6) AS low, round(max(c_acctbal + s_acctbal), 6) AS high FROM customer JOIN supplier ON c_nationkey % 5 = s_nationkey % 5 GROUP BY 1")
 for name, kind in (("j11_count_tanimoto", True), ("j12_set_tanimoto", False)):
     n = "count(*)" if kind else "1"
